@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from rasterloom.llm import mixing, sharding
+from rasterloom.llm import chat, mixing, sharding, warc
 
-_MODULES = (sharding, mixing)
+_MODULES = (warc, sharding, chat, mixing)
 
 
 def queries() -> dict:
