@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from rasterloom.llm import chat, mixing, sharding, warc
+from rasterloom.llm import chat, decontaminate, mixing, sharding, tokens, warc
 
-_MODULES = (warc, sharding, chat, mixing)
+_MODULES = (warc, sharding, decontaminate, tokens, chat, mixing)
 
 
 def queries() -> dict:
