@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from rasterloom.llm import chat, decontaminate, langid, mixing, sharding, tokens, warc
+from rasterloom.llm import chat, decontaminate, embeddings, langid, mixing, sharding, tokens, warc
 
-_MODULES = (warc, sharding, langid, decontaminate, tokens, chat, mixing)
+_MODULES = (warc, sharding, langid, embeddings, decontaminate, tokens, chat, mixing)
 
 
 def queries() -> dict:
