@@ -8,8 +8,6 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Words of the decontamination and near-duplicate operators, after A-Z are lowered.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _ROW_BITS = 33
 
 

@@ -26,20 +26,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom.llm.common import table
+from rasterloom.llm.words import norm_words
 
 WINDOW = 10
 MAX_ITEM_CHARS = 20_000_000
 _FOUND = "n_words long, runs array<struct<`from`:int,`to`:int>>, items array<string>, spans array<struct<start:int,`end`:int>>"
-_LOWER = bytes(b + 32 if 65 <= b <= 90 else b if b > 127 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 _ORIGINAL = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 _built: dict[str, object] = {}
 
 
-def norm_words(text: str | None) -> list[bytes]:
-    """The ASCII-lowered words of a text, in UTF-8."""
-    return (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
-
-
 def build(items: list[tuple[str | None, str]], width: int = WINDOW):
     """An automaton whose values are a window's word count and the items that hold it."""
     held: dict[str, tuple[int, set]] = {}
