@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from rasterloom.llm import chat, decontaminate, embeddings, langid, mixing, near_dup, sharding, tokens, warc
+from rasterloom.llm import chat, decontaminate, embeddings, langid, mixing, near_dup, quality, sharding, tokens, warc
 
-_MODULES = (warc, sharding, langid, embeddings, decontaminate, tokens, near_dup, chat, mixing)
+_MODULES = (warc, sharding, langid, embeddings, decontaminate, tokens, near_dup, quality, chat, mixing)
 
 
 def queries() -> dict:
