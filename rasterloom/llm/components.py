@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,3 +46,20 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         small = _hung_on_least(large.distinct(), own=True)
         now = pin(spark, small.distinct(), "links")
     raise RuntimeError("components did not settle")
+
+
+def forest(left_ids: np.ndarray, right_ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
+    """Links that tie the same nodes together as the pairs (left[i], right[j]) do, at most one a node."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = up = parent[up]
+            x = up
+        return x
+
+    for x, y in zip(left_ids[i].tolist(), right_ids[j].tolist(), strict=True):
+        x, y = root(x), root(y)
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+    return [(x, r) for x in parent if (r := root(x)) != x]

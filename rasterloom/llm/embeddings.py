@@ -27,14 +27,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rasterloom.llm.common import number_rows, pin, table
-from rasterloom.llm.components import components
+from rasterloom.llm.components import components, forest
 
 COSINE = 0.98
 PROJECTIONS = 24
 #: Window half-width in deviations of a pair at the threshold.
 WIDTH = 2.0
 RECALL = 1 - 1e-9
-BLOCK = 512
+BLOCK = 2048
 SEED = 7
 
 
@@ -68,23 +68,6 @@ def collisions(left: np.ndarray, right: np.ndarray, half: float) -> np.ndarray:
     return count
 
 
-def forest(left_ids: np.ndarray, right_ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
-    """Links that tie the same vectors together as the pairs (left[i], right[j]) do, at most one a vector."""
-    parent: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while (up := parent.setdefault(x, x)) != x:
-            parent[x] = up = parent[up]
-            x = up
-        return x
-
-    for x, y in zip(left_ids[i].tolist(), right_ids[j].tolist(), strict=True):
-        x, y = root(x), root(y)
-        if x != y:
-            parent[max(x, y)] = min(x, y)
-    return [(x, r) for x in parent if (r := root(x)) != x]
-
-
 def _usable(vector: str = "embedding"):
     v = F.col(vector)
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))

@@ -11,7 +11,7 @@ Documents of equal words are one node. Nodes that share a band of ROWS registers
 filter of sizes and of 128 one-bit registers, then multiset overlap is verified on the texts. To keep a bucket's
 pairs linear in its rows, each node is first paired with the bucket's leader and with the REACH nodes before it
 (all pairs, for buckets of up to REACH + 1 nodes). Larger buckets whose nodes those links leave in several
-components get all their pairs across components, block by block, so no link of different texts is lost.
+components get all their pairs across components compared, block by block, so no link of different texts is lost.
 Components of verified links are the groups; the smallest doc_id of each is kept.
 
 Defined cases: documents that are null or without words link with nothing and are kept; rows with the same doc_id
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rasterloom.llm.common import pin, table
-from rasterloom.llm.components import components
+from rasterloom.llm.components import components, forest
 from rasterloom.llm.grams import mixed
 from rasterloom.llm.words import norm_words
 
@@ -41,9 +41,10 @@ BANDS, ROWS = 32, 5
 REGISTERS = BANDS * ROWS
 #: Of 128 one-bit registers, so many may differ: five deviations above what a pair at the threshold shows.
 BITS_APART = 30
-REACH = 8
+REACH = 3
 BLOCK = 256
 _ELEMENTS = 400_000
+_KEPT = 1_000_000
 _FIELDS = "key binary, n long, bands array<long>, s1 long, s2 long"
 _PRIMES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
@@ -72,15 +73,23 @@ def shingles(words: list[bytes], width: int = WIDTH) -> np.ndarray:
     return mixed(out)
 
 
-def similarity(a: str, b: str) -> float:
-    """Weighted Jaccard similarity of the shingle multisets of two texts."""
-    (x, nx), (y, ny) = (np.unique(shingles(norm_words(t)), return_counts=True) for t in (a, b))
-    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
-    both = int(np.minimum(nx[i], ny[j]).sum())
-    whole = int(nx.sum() + ny.sum()) - both
+def bag(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Different shingles of a text, in order, and how often each occurs."""
+    return np.unique(shingles(norm_words(text)), return_counts=True)
+
+
+def overlap(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> float:
+    """Weighted Jaccard similarity of two bags."""
+    _, i, j = np.intersect1d(x[0], y[0], assume_unique=True, return_indices=True)
+    both = int(np.minimum(x[1][i], y[1][j]).sum())
+    whole = int(x[1].sum() + y[1].sum()) - both
     return both / whole if whole else 0.0
 
 
+def similarity(a: str | None, b: str | None) -> float:
+    return overlap(bag(a), bag(b))
+
+
 def _uniform(h: np.ndarray) -> np.ndarray:
     return ((h >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
@@ -163,15 +172,28 @@ def _pair(a: str, b: str) -> list:
     return [F.least(f"{a}node", f"{b}node").alias("a"), F.greatest(f"{a}node", f"{b}node").alias("b")]
 
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) of doc_ids whose texts are similar enough."""
-    texts = docs.select(F.col("doc_id"), "text")
     both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
     both = both.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
 
     def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bags: dict[tuple[int, str], tuple[np.ndarray, np.ndarray]] = {}  # a node of a hot bucket is in many pairs
+        held = 0
+
+        def known(node: int, text: str) -> tuple[np.ndarray, np.ndarray]:
+            nonlocal held
+            if (node, text) not in bags:
+                if held > _KEPT:
+                    bags.clear()
+                    held = 0
+                bags[node, text] = bag(text)
+                held += len(bags[node, text][0])
+            return bags[node, text]
+
         for batch in batches:
-            good = [similarity(x or "", y or "") >= SIMILARITY for x, y in zip(batch["ta"], batch["tb"], strict=True)]
+            pairs = zip(batch["a"], batch["ta"], batch["b"], batch["tb"], strict=True)
+            good = [overlap(known(a, x or ""), known(b, y or "")) >= SIMILARITY for a, x, b, y in pairs]
             yield batch.loc[good, ["a", "b"]]
 
     return both.select("a", "b", "ta", "tb").mapInPandas(keep, "a long, b long")
@@ -197,29 +219,76 @@ def near_pairs(members: DataFrame) -> DataFrame:
     return led.unionByName(near).distinct()
 
 
-def rest_pairs(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """Filtered pairs across components within buckets of more than REACH + 1 nodes."""
-    large = members.filter(F.col("size") > REACH + 1).drop("lead")
+def rest_members(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows of buckets of more than REACH + 1 nodes that lie in several components, with the nodes' components."""
+    large = members.filter(F.col("size") > REACH + 1).drop("lead", "component")
     large = large.join(roots, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed_ones = large.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least <> most")
-    rows = large.join(mixed_ones.select("bucket"), "bucket")
-    rows = rows.withColumn("blocks", F.ceil(F.col("size") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks")))
+    several = large.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least <> most")
+    return large.join(several.select("bucket"), "bucket")
+
+
+def elements(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """The shingles of each text as a sorted set, repeats numbered: sets overlap as the multisets do."""
+    for batch in texts:
+        out = []
+        for text in batch:
+            key, count = bag(text)
+            start = np.cumsum(count) - count
+            nth = (np.arange(count.sum()) - np.repeat(start, count)).astype(np.uint64)
+            out.append(np.sort(mixed(np.repeat(key, count) + nth * _PRIMES[0]).view(np.int64)))
+        yield pd.Series(out)
+
+
+def with_shared(rest: DataFrame, texts: DataFrame) -> DataFrame:
+    """Rows of rest_members() with the nodes' elements, and how many of them any other node there has.
+
+    Nodes that share too little to be linked at all go. Counts are summed within tasks first, so a shingle that all
+    nodes have is no burden.
+    """
+    nodes = rest.select(F.col("node").alias("doc_id")).distinct()
+    own = texts.join(nodes, "doc_id", "left_semi").select(F.col("doc_id").alias("node"), F.pandas_udf(elements, "array<long>")("text").alias("elements"))
+    own = pin(rest.sparkSession, own, "elements")
+    once = own.select("node", F.explode("elements").alias("e")).groupBy("e").agg(F.count(F.lit(1)).alias("times"), F.min("node").alias("node"))
+    alone = once.filter("times = 1").groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
+    rated = own.join(alone, "node", "left").select("node", "elements", (F.size("elements") - F.coalesce("alone", F.lit(0))).alias("shared"))
+    return rest.join(rated.filter(F.col("shared") >= F.size("elements") * SIMILARITY), "node")
+
+
+def rest_links(rest: DataFrame) -> DataFrame:
+    """Links (a, b) across components within the buckets of with_shared(), enough of them to tie what any link ties.
+
+    Blocks of a bucket meet in tasks of their own. Two nodes share at most what each shares with any node at all;
+    pairs that pass that bound and the one-bit registers are verified there on the elements, so near copies that
+    are each edited in places of their own, of which a hot bucket may hold very many, make no rows.
+    """
+    rows = rest.withColumn("blocks", F.ceil(F.col("size") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "n", "s1", "s2", "component")
+    rows = rows.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "shared", "s1", "s2", "component", "elements")
 
     def across(cell: pd.DataFrame) -> pd.DataFrame:
         i, j = int(cell["i"].iloc[0]), int(cell["j"].iloc[0])
-        one, two = cell[cell["block"] == i], cell[cell["block"] == j]
+        one, two = cell[cell["block"] == i].reset_index(drop=True), cell[cell["block"] == j].reset_index(drop=True)
         get = lambda t, c: t[c].to_numpy(np.int64)
-        apart = sum(np.bitwise_count(get(one, c)[:, None] ^ get(two, c)[None, :]).astype(np.int16) for c in ("s1", "s2"))
-        x, y = get(one, "n")[:, None], get(two, "n")[None, :]
-        near = (apart <= BITS_APART) & (np.minimum(x, y) >= SIMILARITY * np.maximum(x, y))
+        n, m = one["elements"].map(len).to_numpy(), two["elements"].map(len).to_numpy()
+        most = np.minimum(get(one, "shared")[:, None], get(two, "shared")[None, :])
+        near = most >= SIMILARITY * (n[:, None] + m[None, :] - most)
         near &= get(one, "component")[:, None] != get(two, "component")[None, :]
         p, q = np.nonzero(near)
-        a, b = get(one, "node")[p], get(two, "node")[q]
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
-
-    return rows.groupBy("bucket", "i", "j").applyInPandas(across, "a long, b long").distinct()
+        apart = sum(np.bitwise_count(get(one, c)[p] ^ get(two, c)[q]).astype(np.int16) for c in ("s1", "s2"))
+        p, q = p[apart <= BITS_APART], q[apart <= BITS_APART]
+        good = np.zeros(len(p), bool)
+        for x in np.unique(p):
+            mine, at = one["elements"][x], np.flatnonzero(p == x)
+            sizes = m[q[at]]
+            theirs = np.concatenate([two["elements"][y] for y in q[at]])
+            found = mine[np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)] == theirs
+            both = np.add.reduceat(found, np.cumsum(sizes) - sizes, dtype=np.int64)
+            good[at] = both >= SIMILARITY * (len(mine) + sizes - both)
+        a, b = get(one, "node"), get(two, "node")
+        return pd.DataFrame(forest(a, b, p[good], q[good]), columns=["a", "b"]).astype("int64")
+
+    parts = int(rest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "bucket", "i", "j").groupBy("bucket", "i", "j").applyInPandas(across, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -230,12 +299,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         F.min("doc_id").alias("node"), *[F.first(c).alias(c) for c in ("n", "bands", "s1", "s2")]
     )
     members = pin(spark, bucketed(classes.filter(F.col("node").isNotNull())), "buckets")
+    met = members.select(F.col("node").alias("doc_id")).distinct()
+    texts = pin(spark, docs.select("doc_id", "text").join(met, "doc_id", "left_semi"), "texts")
     tried = pin(spark, near_pairs(members), "pairs")
-    links = pin(spark, verified(tried, docs), "links")
+    links = pin(spark, verified(tried, texts), "links")
     roots = components(links)
-    rest = pin(spark, rest_pairs(members, roots).join(tried, ["a", "b"], "left_anti"), "pairs")
+    rest = pin(spark, rest_members(members, roots), "rest")
     if rest.take(1):
-        roots = components(links.unionByName(verified(rest, docs)))
+        roots = components(links.unionByName(rest_links(with_shared(rest, texts))))
     heads = marks.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("node"))
     heads = heads.join(roots, "node", "left").select(F.col("key").alias("group"), F.coalesce("component", "node").alias("head"))
     out = marks.withColumn("group", F.when(F.col("n") > 0, F.col("key"))).join(heads, "group", "left")
