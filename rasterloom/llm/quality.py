@@ -43,14 +43,15 @@ FUNCTION_WORDS = ("a an and are as at be by for from in is it of on or that the
 def labellers(text: Column, words: Column) -> dict[str, Column]:
     """Votes by name: 1 good, 0 bad, -1 none; words: the text's lowered words."""
     chars, n = F.length(text), F.size(words)
-    symbols = (chars - F.length(F.translate(text, SYMBOLS, ""))) / chars
-    capitals = (chars - F.length(F.translate(text, CAPITALS, ""))) / chars
-    kinds = F.size(F.array_distinct(words)) / F.sqrt(n)
-    again = F.size(F.filter(words, lambda w, i: w == F.get(words, i - 1))) / n
-    common = F.size(F.filter(words, lambda w: w.isin(FUNCTION_WORDS))) / n
-    stops = (chars - F.length(F.translate(text, ".", ""))) / n
-    marks = (chars - F.length(F.translate(text, SYMBOLS, ""))) / n
-    plain = F.regexp_count(text, F.lit(PLAIN_END)) / n
+    per_char, per_word = F.greatest(chars, F.lit(1)), F.greatest(n, F.lit(1))
+    symbols = (chars - F.length(F.translate(text, SYMBOLS, ""))) / per_char
+    capitals = (chars - F.length(F.translate(text, CAPITALS, ""))) / per_char
+    kinds = F.size(F.array_distinct(words)) / F.sqrt(per_word)
+    again = F.size(F.filter(words, lambda w, i: w == F.get(words, i - 1))) / per_word
+    common = F.size(F.filter(words, lambda w: w.isin(FUNCTION_WORDS))) / per_word
+    stops = (chars - F.length(F.translate(text, ".", ""))) / per_word
+    marks = (chars - F.length(F.translate(text, SYMBOLS, ""))) / per_word
+    plain = F.regexp_count(text, F.lit(PLAIN_END)) / per_word
 
     def vote(bad: Column, good: Column) -> Column:
         return F.coalesce(F.when(bad, 0).when(good, 1), F.lit(-1))

@@ -43,26 +43,34 @@ def feistel(x: Column, a: int, b: int, seed: int, rounds: int = ROUNDS) -> Colum
     return F.aggregate(F.sequence(F.lit(0), F.lit(rounds - 1)), start, turn, lambda acc: acc.l * F.lit(b) + acc.r)
 
 
+def walk(x: Column, n: int, seed: int, steps: int) -> Column:
+    """x while it is below n, else its image; steps times. A fold, so the expression does not grow with the steps."""
+    a, b = domain(n)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), x, lambda acc, _: F.when(acc >= n, feistel(acc, a, b, seed)).otherwise(acc))
+
+
 def walk_length(spark: SparkSession, n: int, seed: int) -> int:
-    """The passes after which every row number has landed below n.
+    """A number of steps after which every walk that starts below n has come below n again.
 
-    Only the a*b - n < sqrt(n) + 1 values outside are followed, as a DataFrame.
+    Only the a*b - n < sqrt(n) + 1 values outside are followed, as a DataFrame. A chain of values outside that leads
+    inside is one shorter with each step, so once a step leaves their number as it is, what remains are cycles
+    outside, which no walk from inside meets.
     """
     a, b = domain(n)
-    outside, steps = spark.range(n, a * b), 1
-    while outside.take(1):
-        outside = outside.select(feistel(F.col("id"), a, b, seed).alias("id")).filter(F.col("id") >= n)
-        steps += 1
-    return steps
+    steps, outside = 1, spark.range(n, a * b)
+    while True:
+        left = [F.count_if(walk(F.col("id"), n, seed, k) >= n) for k in (steps, steps + 1)]
+        now, then = outside.agg(*[c.alias(f"c{i}") for i, c in enumerate(left)]).first()
+        if now == then:
+            return steps
+        steps *= 2
 
 
 def permute(df: DataFrame, row_no: str, n: int, seed: int, name: str = "position") -> DataFrame:
     """Add the permuted position of each row number."""
     a, b = domain(n)
-    out = df.withColumn(name, feistel(F.col(row_no), a, b, seed))
-    for _ in range(walk_length(df.sparkSession, n, seed) - 1):
-        out = out.withColumn(name, F.when(F.col(name) >= n, feistel(F.col(name), a, b, seed)).otherwise(F.col(name)))
-    return out
+    first = df.withColumn(name, feistel(F.col(row_no), a, b, seed))
+    return first.withColumn(name, walk(F.col(name), n, seed, walk_length(df.sparkSession, n, seed)))
 
 
 def shard(df: DataFrame, shards: int = 8, seed: int = 20240501, keep_text: bool = True) -> DataFrame:
