@@ -28,6 +28,8 @@ from rasterloom.llm.common import table
 
 LIMIT = 2048
 KEPT = 1_000_000
+#: Texts merged together, in characters; bounds a worker's pre-tokens.
+BATCH_CHARS = 2_000_000
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+"
 ASCII_PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\x09-\x0d a-z0-9]+"
 _NONE = np.iinfo(np.int64).max
@@ -125,7 +127,14 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
         if path not in _loaded:
             _loaded[path] = RankMerger(json.loads(held.value))
         for texts in batches:
-            yield pd.Series(_loaded[path].count([t or "" for t in texts]), dtype="int64")
+            out, part, chars = [], [], 0
+            for text in texts:
+                part.append(text or "")
+                chars += len(part[-1])
+                if chars > BATCH_CHARS:
+                    out += _loaded[path].count(part)
+                    part, chars = [], 0
+            yield pd.Series(out + _loaded[path].count(part), dtype="int64")
 
     kept = [c for c in docs.columns if c not in ("n_bytes", "n_tokens", "over_limit")]
     rows = docs.select(*kept, F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), counted("text").alias("n_tokens"))

@@ -1,0 +1,203 @@
+"""WARC, chat formatting, tokens and decontamination."""
+
+import gzip
+import hashlib
+import json
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from rasterloom.llm import chat, decontaminate, tokens, warc
+from rasterloom.llm.common import fresh_path
+
+PAGES = "page_id long, url string, html string, page_digest string"
+
+
+def roundtrip(spark, rows):
+    raw, out = fresh_path(spark, "raw"), fresh_path(spark, "out")
+    warc.write_archives(spark.createDataFrame(rows, PAGES), raw)
+    index = warc.normalise(spark, raw, out)
+    return index, warc.read_records(index).collect()
+
+
+def test_warc_revisits_nulls_and_repeats(spark):
+    big, line = "ü" * 60, "x\r\n\r\nWARC/1.1\r\nContent-Length: 9\r\n\r\n" * 9
+    rows = [(5, "http://a\r\nX: y", big, "e"), (3, "b", big, "e"), (3, "b", big, "e"), (9, None, line, "e"), (1, "c", None, "e"), (2, "d", "", "e"),
+            (7, "e", "short", "e"), (8, "f", "short", "e"), (None, "g", big, "e"), (10, "h", "y" * 300_000, "e")]
+    index, got = roundtrip(spark, rows)
+    for r in got:
+        html = next(h or "" for p, _, h, _ in rows if p == r.page_id)
+        assert (r.payload_bytes, r.payload_digest) == (len(html.encode()), hashlib.sha256(html.encode()).hexdigest())
+    assert sorted((r.page_id or 0, r.record_type, r.refers_to) for r in got if r.payload_bytes == 120) == [(0, "revisit", 3), (3, "response", None), (3, "response", None), (5, "revisit", 3)]
+    assert all(r.record_type == "response" for r in got if r.payload_bytes < 100) and len(got) == len(rows)
+    assert {r.target_uri for r in index.collect() if r.record_id == "<urn:page:5>"} == {"http://a%0D%0AX: y"}
+
+
+def test_each_member_of_a_normalised_archive_is_a_record(spark):
+    index, _ = roundtrip(spark, [(i, f"u{i}", f"page {i} " * 50, None) for i in range(40)])
+    for r in index.collect():
+        with open(r.archive.removeprefix("file://"), "rb") as f:
+            f.seek(r.offset)
+            member = f.read(r.length)
+        assert gzip.decompress(member).startswith(b"WARC/1.1\r\n") and member[:2] == b"\x1f\x8b"
+
+
+def test_warc_empty_table(spark):
+    index, got = roundtrip(spark, [])
+    assert got == [] and index.count() == 0
+
+
+def test_inflate_reads_streams_of_several_members_and_rejects_torn_records():
+    parts = [b"WARC/1.1\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"] * 3
+    assert b"".join(warc.inflate(b"".join(map(gzip.compress, parts)))) == b"".join(parts)
+    assert len(list(warc.split_records(iter([b"".join(parts)[:50], b"".join(parts)[50:]])))) == 3
+    with pytest.raises(ValueError):
+        list(warc.split_records(iter([parts[0][:-1]])))
+
+
+# ---- chat
+
+NASTY = ["", None, "\\", "<", "</turn>\n", "\\l", "\\\\l<", "<turn>user\n", "a\nb", "é<😀\\", "\\n"]
+
+
+def test_escaping_is_reversible(spark):
+    rng = random.Random(2)
+    texts = [t for t in NASTY if t is not None] + ["".join(rng.choice("\\<ln>\n/turn😀") for _ in range(rng.randrange(30))) for _ in range(300)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for role in (False, True):
+        got = df.select("t", chat.escape(F.col("t"), role).alias("e"), chat.unescape(chat.escape(F.col("t"), role), role).alias("u")).collect()
+        assert all(r.t == r.u and "<" not in r.e and not (role and "\n" in r.e) for r in got)
+
+
+def digest(turns):
+    whole = "".join(f"{r or ''}\n{t or ''}\n" for r, t in turns)
+    loss = "".join(t or "" for r, t in turns if r == "assistant")
+    return len(turns), hashlib.sha256(whole.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest()
+
+
+def test_chat_windows_against_brute_force(spark):
+    rng = random.Random(5)
+    rows, want = [], {}
+    for conv in [*range(25), None]:
+        n = rng.choice([1, 2, 3, 8, 60])
+        turns = [(rng.choice(["user", "assistant", "system", None, "a\nb"]) if k else rng.choice(["system", "user"]), rng.choice([*NASTY, "word " * rng.randrange(400)])) for k in range(n)]
+        rows += [(conv, k, r, t, "x") for k, (r, t) in enumerate(turns)]
+        want[conv] = digest(turns)
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, span string")
+    for budget in (16, 1024):
+        windows = chat.format_windows(df, budget=budget, history=2, history_budget=64)
+        got = {r.conv_id: r for r in chat.read_back(windows).collect()}
+        assert {k: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for k, r in got.items()} == want
+        for w in windows.collect():
+            shown = [s for s in w.formatted.split(chat.CLOSE) if s]
+            assert all(s.startswith(chat.OPEN) for s in shown)
+            own = shown[w.n_repeated :]
+            assert w.n_repeated <= 3 and own
+            assert len(w.loss_spans) == sum(s[len(chat.OPEN) :].split("\n", 1)[0] == "assistant" for s in own)
+
+
+def test_chat_keeps_the_system_turn_and_limits_history(spark):
+    turns = [("system", "be kind")] + [("user" if k % 2 else "assistant", f"t{k} " * 20) for k in range(1, 12)]
+    df = spark.createDataFrame([(1, k, r, t) for k, (r, t) in enumerate(turns)], "conv_id long, turn long, role string, text string")
+    windows = chat.format_windows(df, budget=60, history=1, history_budget=30).orderBy("span").collect()
+    assert len(windows) > 3
+    for w in windows[1:]:
+        assert w.formatted.startswith("<turn>system\nbe kind</turn>") and w.n_repeated == 2
+        assert all(w.formatted[s.start : s.start + s.length].startswith("t") for s in w.loss_spans)
+
+
+def test_chat_empty_table(spark):
+    df = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert chat.read_back(chat.format_windows(df)).count() == 0
+
+
+# ---- tokens
+
+
+@pytest.fixture(scope="module")
+def vocabulary():
+    library = pytest.importorskip("tokenizers")
+    P = pytest.importorskip("public_tokenizers")
+    path = str(P.path("word_bpe_49k.json"))
+    return path, library.Tokenizer.from_file(path)
+
+
+def test_counts_equal_the_library(vocabulary):
+    path, library = vocabulary
+    with open(path, encoding="utf-8") as f:
+        merger = tokens.RankMerger(json.load(f))
+    rng = random.Random(1)
+    letters = "aaabbAÀÉß'sſİΣσς 1２٣́ 　\x1c\x1f\x85_-!?中文字😀\u200d\t\n're'LL<|>"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(80))) for _ in range(800)]
+    texts += ["", " ", "a" * 5000, "ha" * 3000, "<|endoftext|>a<|startoftext|>", "<|ENDOFTEXT|>", "x<|endoftext|>" * 3]
+    want = [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert merger.count(texts) == want
+    assert merger.count(texts) == want  # from the kept counts
+
+
+def test_token_counts_of_a_table(spark, vocabulary):
+    path, library = vocabulary
+    rows = [(1, "Hello there", 7), (1, "Hello there", 7), (2, None, 8), (None, "", 9), (3, "word " * 5000, 1)]
+    got = tokens.token_counts(spark.createDataFrame(rows, "doc_id long, text string, n_tokens long"), path).drop("text").collect()
+    assert len(got) == 5
+    for r in got:
+        text = {1: "Hello there", 2: "", None: "", 3: "word " * 5000}[r.doc_id]
+        assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(text), len(library.encode(text, add_special_tokens=False).ids), r.doc_id == 3)
+    assert tokens.token_counts(spark.createDataFrame([], "doc_id long, text string"), path).count() == 0
+
+
+# ---- decontamination
+
+
+def words(text):
+    low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+
+
+def brute(text, items):
+    w = words(text)
+    hit, found = set(), set()
+    for item, t in items:
+        v = words(t)
+        n = min(10, len(v))
+        grams = {tuple(v[i : i + n]) for i in range(len(v) - n + 1)} if n else set()
+        for i in range(len(w) - n + 1 if n else 0):
+            if tuple(w[i : i + n]) in grams:
+                hit |= set(range(i, i + n))
+                found.add(str(item))
+    return len(w), len(hit), sorted(found)
+
+
+@pytest.mark.parametrize("max_chars", [10**7, 120])
+def test_marks_against_brute_force(spark, max_chars):
+    rng = random.Random(7)
+    vocab = ["the", "Of", "é", "中", "x1", "a", "in"]
+    phrase = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
+    items = [(k, phrase(rng.choice([1, 3, 9, 10, 11, 25]))) for k in range(2, 14)] + [(14, ""), (15, "..."), (16, None), (2, "repeated id " + phrase(9))]
+    rows = [(k, (phrase(rng.randrange(60)) + rng.choice([", ", "\n", "--"]) + (rng.choice(items)[1] or "").upper() + "!" + phrase(5)), "y") for k in range(120)]
+    rows += [(200, None, "y"), (201, "", "y"), (202, "?!", "y"), (203, phrase(4000), "y"), (0, rows[0][1], "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, items string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    known = [(k, t) for k, t in items if t]
+    for r in decontaminate.mark(docs, bench, max_chars=max_chars).collect():
+        n, hit, found = brute(r.text, known)
+        assert (r.n_words, r.n_hit, r["items"]) == (n, hit, found)
+        for s in r.spans:
+            assert words(r.text[s.start : s.end]) and words(r.text[: s.start]) + words(r.text[s.start :]) == words(r.text)
+
+
+def test_empty_benchmark_and_empty_documents(spark):
+    docs = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
+    none = spark.createDataFrame([], "item_id long, text string")
+    assert [r.n_hit for r in decontaminate.mark(docs, none).collect()] == [0]
+    assert decontaminate.mark(docs.limit(0), none).count() == 0
+
+
+def test_null_item_ids_hit_but_are_not_listed(spark):
+    docs = spark.createDataFrame([(1, "a b c d")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, "b c")], "item_id long, text string")
+    r = decontaminate.mark(docs, bench).first()
+    assert r.n_hit == 2 and r["items"] == []
