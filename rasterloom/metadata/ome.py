@@ -48,7 +48,7 @@ def prune(text: str | None) -> str | None:
     return ET.tostring(root, encoding="unicode")
 
 
-prune_column = F.udf(prune, T.StringType())
+prune_column = F.udf(lambda text: prune(text), T.StringType())
 
 
 def rgba(value: int) -> dict[str, int]:
