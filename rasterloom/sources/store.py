@@ -1,13 +1,15 @@
 """Stored images: plain Parquet tables `images`, `levels` and `tiles`, with a commit marker written last.
 
-A load first writes tiles partitioned by image, level and tile row, then the levels, and last the row of `images`
-with valid = true. Images without that row are incomplete; the next load replaces their tiles. Levels that a valid
+A load first appends tiles partitioned by image, level and tile row, then the level's row, which names the load, and
+last the row of `images` with valid = true. Tiles of a load that no level names are never read, so a load that broke off
+leaves nothing behind that counts; images without a valid row are incomplete and are loaded again. Levels that a valid
 image already has are skipped, and a store of another format version is left alone with a warning.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 import warnings
 from collections.abc import Iterator
 from itertools import product
@@ -25,9 +27,10 @@ FORMAT_VERSION = 2
 IMAGES = "image_id string, fmt_version int, axes string, channels array<string>, metadata string, original_metadata string, valid boolean"
 LEVELS = (
     "image_id string, level int, axes string, shape array<long>, dtype string, tile array<long>, codec string, pixel_depth int, "
-    "original_axes string, original_shape array<long>, properties map<string,string>"
+    "original_axes string, original_shape array<long>, properties map<string,string>, load_id string"
 )
 TILES = "image_id string, level int, ty int, tx int, tc int, tz int, tt int, start array<int>, extent array<int>, dtype string, data binary"
+STORED = TILES + ", load_id string"
 PARTITIONS = ("image_id", "level", "ty")
 
 
@@ -40,18 +43,23 @@ def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
+def _latest(rows: DataFrame, *keys: str) -> DataFrame:
+    """The last written row of each key."""
+    rest = F.struct(*[c for c in rows.columns if c not in keys])
+    return rows.groupBy(*keys).agg(F.max_by(rest, "written").alias("r")).select(*keys, "r.*").drop("written")
+
+
 def images(spark: SparkSession, path: str) -> DataFrame:
-    """The last written row of each image."""
-    rows = _read(spark, f"{path}/images", IMAGES + ", written timestamp")
-    return rows.groupBy("image_id").agg(F.max_by(F.struct(*[c for c in rows.columns if c != "image_id"]), "written").alias("r")).select("image_id", "r.*")
+    return _latest(_read(spark, f"{path}/images", IMAGES + ", written timestamp"), "image_id")
 
 
 def levels(spark: SparkSession, path: str) -> DataFrame:
-    return _read(spark, f"{path}/levels", LEVELS).dropDuplicates(["image_id", "level"])
+    return _latest(_read(spark, f"{path}/levels", LEVELS + ", written timestamp"), "image_id", "level")
 
 
 def tiles(spark: SparkSession, path: str) -> DataFrame:
-    return _read(spark, f"{path}/tiles", TILES)
+    """Tiles of the loads that levels name."""
+    return _read(spark, f"{path}/tiles", STORED).join(levels(spark, path).select("load_id"), "load_id", "left_semi").drop("load_id")
 
 
 def mark(spark: SparkSession, path: str, row: dict) -> None:
@@ -126,10 +134,12 @@ def save_level(spark: SparkSession, path: str, level: dict, blocks: DataFrame) -
         return False
     tile = dict(zip(level["axes"], level["tile"], strict=True))
     packed = merge_tiles(split_tiles(blocks, level["axes"], tile), level["axes"], tile, tuple(level["shape"]))
-    out = packed.repartition(*PARTITIONS).sortWithinPartitions("tx")
-    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", level["codec"]).partitionBy(*PARTITIONS).parquet(f"{path}/tiles")
-    row = spark.createDataFrame([tuple(level[c.split()[0]] for c in LEVELS.split(", "))], LEVELS)
-    row.coalesce(1).write.mode("append").parquet(f"{path}/levels")
+    load = uuid.uuid4().hex
+    out = packed.withColumn("load_id", F.lit(load)).repartition(*PARTITIONS).sortWithinPartitions("tx")
+    out.write.mode("append").option("compression", level["codec"]).partitionBy(*PARTITIONS).parquet(f"{path}/tiles")
+    named = level | {"load_id": load}
+    row = spark.createDataFrame([tuple(named[c.split()[0]] for c in LEVELS.split(", "))], LEVELS)
+    row.withColumn("written", F.current_timestamp()).coalesce(1).write.mode("append").parquet(f"{path}/levels")
     return True
 
 
@@ -152,7 +162,8 @@ def cells(spark: SparkSession, path: str, image_id: str, level: dict, slices: di
     if depth > 1 and "x" in slices:
         slices["x"] = tuple(n * depth for n in slices["x"])
     extent = {d.lower(): n for d, n in zip(axes, level["tile"], strict=True)}
-    found = tiles(spark, path).filter((F.col("image_id") == image_id) & (F.col("level") == level["level"]) & tile_predicate(slices, extent))
+    mine = (F.col("image_id") == image_id) & (F.col("level") == level["level"]) & (F.col("load_id") == level["load_id"])
+    found = _read(spark, f"{path}/tiles", STORED).filter(mine & tile_predicate(slices, extent)).drop("load_id")
     names = [d.lower() for d in axes]
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

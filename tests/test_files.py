@@ -189,6 +189,21 @@ def test_store_commits_last_skips_what_is_there_and_guards_versions(spark, tmp_p
     assert region.set_index(["y", "x"])["intensity"].loc[(12, 7)] == a[12, 7]
 
 
+def test_tiles_of_a_load_that_broke_off_do_not_count(spark, tmp_path, monkeypatch):
+    a = image((40, 60))
+    write_zarr(str(tmp_path / "a"), a, "YX", (20, 20))
+    path = str(tmp_path / "s")
+    with monkeypatch.context() as m:
+        m.setattr(store, "mark", lambda *args: (_ for _ in ()).throw(RuntimeError("lost")))
+        with pytest.raises(RuntimeError):
+            api.ingest(spark, str(tmp_path / "a"), path, "i", "zarr", tiles={"Y": 8, "X": 8})
+    with pytest.raises(KeyError):
+        Slide(spark, path, "i")
+    slide = api.ingest(spark, str(tmp_path / "a"), path, "i", "zarr", tiles={"Y": 32, "X": 32})
+    np.testing.assert_array_equal(pixels(slide.read_level(0, original_axes=True), "YX", a.shape), a)
+    assert store.tiles(spark, path).count() == 4
+
+
 def test_region_reads_only_tiles_in_reach(spark, tmp_path):
     write_zarr(str(tmp_path / "a"), image((64, 64)), "YX", (32, 32))
     slide = api.ingest(spark, str(tmp_path / "a"), str(tmp_path / "s"), "i", "zarr", tiles={"Y": 16, "X": 16})
