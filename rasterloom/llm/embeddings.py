@@ -36,6 +36,7 @@ WIDTH = 2.0
 RECALL = 1 - 1e-9
 BLOCK = 2048
 SEED = 7
+_ROWS = 64
 
 
 def needed(projections: int = PROJECTIONS, width: float = WIDTH, recall: float = RECALL) -> int:
@@ -54,17 +55,26 @@ def directions(dims: int, projections: int = PROJECTIONS, seed: int = SEED) -> n
 
 
 def collisions(left: np.ndarray, right: np.ndarray, half: float) -> np.ndarray:
-    """Per pair of rows, in how many columns they lie within half of each other (query-centred windows)."""
+    """Per pair of rows, in how many columns they lie within half of each other.
+
+    Each column of right is sorted; a row of left has a window of ranks there, and a rank is in it if its unsigned
+    distance from the window's start is below the window's size. Fewer than 2**16 rows a side.
+    """
     count = np.zeros((len(left), len(right)), np.int8)
+    windows = []
     for j in range(left.shape[1]):
         order = np.argsort(right[:, j], kind="stable")
-        line = right[order, j]
+        line, rank = right[order, j], np.empty(len(right), np.uint16)
+        rank[order] = np.arange(len(right), dtype=np.uint16)
         lo, hi = np.searchsorted(line, left[:, j] - half, "left"), np.searchsorted(line, left[:, j] + half, "right")
-        edge = np.zeros((len(left), len(right) + 1), np.int8)
-        rows = np.arange(len(left))
-        edge[rows, lo] += 1
-        edge[rows, hi] -= 1
-        count[:, order] += np.cumsum(edge[:, :-1], axis=1, dtype=np.int8)
+        windows.append((rank[None, :], lo.astype(np.uint16)[:, None], (hi - lo).astype(np.uint16)[:, None]))
+    for top in range(0, len(left), _ROWS):
+        some = slice(top, min(top + _ROWS, len(left)))
+        far, hit = np.empty(count[some].shape, np.uint16), np.empty(count[some].shape, bool)
+        for rank, lo, size in windows:
+            np.subtract(rank, lo[some], out=far)
+            np.less(far, size[some], out=hit)
+            np.add(count[some], hit.view(np.int8), out=count[some])
     return count
 
 
