@@ -97,6 +97,27 @@ class TiffFile:
             ratio = first["width"] / first["height"]
             smaller = [p for p in pages[1:] if p["width"] < first["width"] and "tiles" in p and abs(p["width"] / p["height"] / ratio - 1) < 0.02]
             self.levels += [[p] for p in sorted(smaller, key=lambda p: -p["width"])]
+        elif len(self.levels) == 1 and self.multispectral:
+            self.levels += self._channel_levels(pages)
+
+    @property
+    def multispectral(self) -> bool:
+        """Pages are channels, each with a description of its own."""
+        return "<PerkinElmer-QPI-ImageDescription" in self.text
+
+    def _channel_levels(self, pages: list[dict]) -> list[list[dict]]:
+        """Smaller levels of a multispectral scan: later pages of one size and the first page's form and type, one a channel."""
+        first, n = pages[0], len(self.levels[0])
+        w, h = first["width"], first["height"]
+        groups: dict[tuple[int, int], list[dict]] = {}
+        for p in pages:
+            alike = all(p[k] == first[k] for k in ("samples", "bits", "format")) and abs(p["width"] * h - p["height"] * w) < w + h
+            if alike and p["width"] < w:
+                groups.setdefault((p["width"], p["height"]), []).append(p)
+        for size, found in groups.items():
+            if len(found) != n and any("tiles" in p for p in found):
+                raise ValueError(f"a level of {size[0]} x {size[1]} has {len(found)} of {n} pages")
+        return [found for _, found in sorted(groups.items(), reverse=True) if len(found) == n]
 
     def _directory(self, at: int) -> tuple[dict, int]:
         code, size, wide, o = ("Q", 20, "Q", 8) if self.big else ("H", 12, "I", 4)
@@ -131,7 +152,7 @@ class TiffFile:
         return np.dtype(f"{KINDS[page['format'][0]]}{page['bits'][0] // 8}")
 
     def leading(self) -> tuple[str, tuple[int, ...]]:
-        """Axes over the pages and their sizes: by OME-XML, else Z."""
+        """Axes over the pages and their sizes: by OME-XML, C for a multispectral scan, else Z."""
         n = len(self.levels[0])
         if self.text.lstrip().startswith(("<OME", "<?xml")) and "<OME" in self.text:
             pixels = next(x for x in ome.ET.fromstring(self.text).iter() if ome.local(x.tag) == "Pixels")
@@ -140,7 +161,7 @@ class TiffFile:
             axes = [d for d in reversed(pixels.get("DimensionOrder", "XYCZT")[2:]) if sizes[d] > 1]
             if int(np.prod([sizes[d] for d in axes])) == n:
                 return "".join(axes), tuple(sizes[d] for d in axes)
-        return ("Z", (n,)) if n > 1 else ("", ())
+        return ("C" if self.multispectral and self.levels[0][0]["samples"] == 1 else "Z", (n,)) if n > 1 else ("", ())
 
     def describe(self) -> dict:
         lead, sizes = self.leading()
@@ -158,7 +179,7 @@ class TiffFile:
         text, first = self.text, self.levels[0][0]
         if "<OME" in text[:200]:
             return ome.from_ome_xml(text)
-        if text.startswith("<?xml") and "PerkinElmer-QPI" in text:
+        if self.multispectral:
             pages = [(p["description"], (p["x_resolution"], p["y_resolution"]) if "x_resolution" in p else None, p.get("photometric") == 2) for p in self.levels[0]]
             return ome.from_page_xml(pages)
         if text.startswith("Aperio"):

@@ -139,6 +139,65 @@ def test_scanned_slide_is_opaque_rgba(tmp_path):
     np.testing.assert_array_equal(block[..., :3], a[:8])
 
 
+def paged_tiff(path, pages):
+    """Pages (height, width[, samples]) with their descriptions; those marked tiled have tiles of 16 by 16."""
+    body, directories = bytearray(8), []
+    for a, text, tiled in pages:
+        h, w = a.shape[:2]
+        n = a.shape[2] if a.ndim == 3 else 1
+        full = np.pad(a, [(0, -h % 16), (0, -w % 16)] + [(0, 0)] * (a.ndim - 2)) if tiled else a
+        parts = [full[y : y + 16, x : x + 16].tobytes() for y in range(0, h, 16) for x in range(0, w, 16)] if tiled else [a.tobytes()]
+        offsets = []
+        for part in parts:
+            offsets.append(len(body))
+            body += part
+        sizes = [len(p) for p in parts]
+        cut = [(322, 4, [16]), (323, 4, [16]), (324, 4, offsets), (325, 4, sizes)] if tiled else [(273, 4, offsets), (278, 4, [h]), (279, 4, sizes)]
+        tags = [(256, 4, [w]), (257, 4, [h]), (258, 3, [a.dtype.itemsize * 8] * n), (259, 3, [1]), (262, 3, [2 if n == 3 else 1]), (277, 3, [n]), (270, 2, text.encode() + b"\0"), *cut]
+        entries = b""
+        for tag, kind, values in sorted(tags, key=lambda t: t[0]):
+            packed = bytes(values) if kind == 2 else struct.pack(f"<{len(values)}{'H' if kind == 3 else 'I'}", *values)
+            if len(packed) > 4:
+                at = len(body)
+                body += packed
+                packed = struct.pack("<I", at)
+            entries += struct.pack("<HHI", tag, kind, len(values)) + packed.ljust(4, b"\0")
+        directories.append((len(body), len(tags)))
+        body += struct.pack("<H", len(tags)) + entries + bytes(4)
+    starts = [at for at, _ in directories]
+    for (at, n), following in zip(directories, [*starts[1:], 0], strict=True):
+        struct.pack_into("<I", body, at + 2 + 12 * n, following)
+    body[:8] = struct.pack("<2sHI", b"II", 42, starts[0])
+    path.write_bytes(bytes(body))
+
+
+def page_xml(name, color):
+    return f'<?xml version="1.0" encoding="utf-16"?><PerkinElmer-QPI-ImageDescription><Name>{name}</Name><Color>{color}</Color></PerkinElmer-QPI-ImageDescription>'
+
+
+def test_multispectral_pages_are_channels_with_levels(spark, tmp_path):
+    texts = [page_xml("DAPI", "0,0,255"), page_xml("FITC", "0,255,0")]
+    base, half, quarter = (image((2, *size), "uint16", seed) for seed, size in enumerate([(45, 35), (22, 17), (11, 8)]))
+    thumb = (image((9, 7, 3)), page_xml("thumb", ""), False)
+    pages = [(a, t, True) for a, t in zip(base, texts, strict=True)] + [thumb]
+    pages += [(a, t, True) for level in (half, quarter) for a, t in zip(level, texts, strict=True)] + [(image((12, 30, 3)), page_xml("macro", ""), False)]
+    paged_tiff(tmp_path / "a.qptiff", pages)
+    about = tiff.TiffFile(str(tmp_path / "a.qptiff")).describe()
+    assert about["axes"] == "CYX" and [level["shape"] for level in about["levels"]] == [base.shape, half.shape, quarter.shape]
+    slide = api.ingest(spark, str(tmp_path / "a.qptiff"), str(tmp_path / "s"), "i", "tiff", tiles={"Y": 16, "X": 16})
+    for level, a in enumerate((base, half, quarter)):
+        np.testing.assert_array_equal(pixels(slide.read_level(level, original_axes=True), "CYX", a.shape), a)
+    channels = json.loads(slide.properties)["channels"]
+    assert [(c["name"], c["min"], c["max"]) for c in channels] == [("DAPI", base[0].min(), base[0].max()), ("FITC", base[1].min(), base[1].max())]
+
+
+def test_an_incomplete_multispectral_level_is_told(tmp_path):
+    base, half = image((2, 40, 32)), image((20, 16))
+    paged_tiff(tmp_path / "a.qptiff", [(a, page_xml("x", ""), True) for a in (*base, half)])
+    with pytest.raises(ValueError, match="1 of 2 pages"):
+        tiff.TiffFile(str(tmp_path / "a.qptiff"))
+
+
 @pytest.mark.parametrize("kind", range(5))
 def test_png_row_filters(kind):
     a = image((9, 7, 3)).astype(np.int64)
