@@ -6,8 +6,9 @@
 4 mix          sources are brought to target weights; a document may come twice; range-sorted by training position
 5 shard        every row gets a shard and a slot
 
-Rows that share a doc_id count as one document in stage 2, where one of them stays. Rows with a null doc_id pass
-stage 2, as no group can name them. Null texts go in stage 1. Columns beyond those of documents pass through.
+Stage 2 decides row by row, also where rows share a doc_id: of near copies the first by (doc_id, text hash) stays, and
+different texts of one doc_id are different documents. Rows with a null doc_id pass stage 2, as no group can name them.
+Null texts go in stage 1. Columns beyond those of documents pass through.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom.llm import decontaminate, langid, mixing, near_dup, sharding
-from rasterloom.llm.common import pin, table
+from rasterloom.llm.common import number_rows, pin, table
 
 #: A document stays if at least this share of its n-grams belongs to its language.
 LEAST_SUPPORT = 0.2
@@ -42,12 +43,13 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    marked = near_dup.near_duplicates(docs.select("doc_id", "text"))
-    kept = pin(spark, marked.filter(F.col("kept") & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("__n")), "kept")
-    out = docs.join(kept.select("doc_id"), "doc_id", "left_semi")
-    if kept.filter("__n > 1").take(1):
-        out = out.dropDuplicates(["doc_id"])
-    return out.unionByName(docs.filter(F.col("doc_id").isNull())).select(*docs.columns)
+    whole = packed(docs)
+    order = [F.col("doc_id"), F.xxhash64("text"), F.xxhash64(*[c for c in docs.columns if c in BASE])]
+    rows, _ = number_rows(spark, whole.filter(F.col("doc_id").isNotNull()), order, "__row")
+    marked = near_dup.near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text"))
+    kept = pin(spark, marked.filter("kept").select(F.col("doc_id").alias("__row")), "kept")
+    out = rows.join(kept, "__row", "left_semi").drop("__row")
+    return unpacked(out.unionByName(whole.filter(F.col("doc_id").isNull())), docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -253,6 +253,17 @@ def test_pipeline_against_its_parts_by_brute_force(spark, tmp_path):
     assert all(s == list(range(len(s))) for s in by) and max(map(len, by)) - min(map(len, by)) <= 1
 
 
+def test_near_copies_go_row_by_row_where_rows_share_a_doc_id(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(7)
+    a, b, c, d, e = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(5))
+    rows = [(3, d, 1), (7, a, 2), (7, b, 3), (9, c, 4), (9, d + " more", 5), (11, e, 6), (11, e, 6), (None, d, 7), (None, d, 7), (12, a, 8)]
+    docs = spark.createDataFrame([(i, t, "aa", "s", len(t), k) for i, t, k in rows], "doc_id long, text string, lang string, source string, n_chars long, __row int")
+    got = pipeline.near_duplicates(spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted(r["__row"] for r in got.collect()) == [1, 2, 3, 4, 6, 7, 7]
+
+
 def test_stages_of_the_pipeline_on_an_empty_table(spark, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     empty = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
