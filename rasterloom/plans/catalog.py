@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -523,4 +524,6 @@ def stored_pyramid(spark, sf_dir):
     """A stored image with two generated levels: cells by level."""
     path, image = _stored(spark, sf_dir, 64)
     api.build_pyramid(spark, path, image, 0, [2.0, 4.0])
-    return store.tiles(spark, path).select("level", "ty", "tx", F.length("data").alias("bytes"))
+    opened = slide.Slide(spark, path, image)
+    each = [opened.read_level(k).select(F.lit(level).alias("level"), "y", "x", "intensity") for k, level in enumerate(opened.levels)]
+    return reduce(DataFrame.unionByName, each)
