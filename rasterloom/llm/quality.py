@@ -2,9 +2,9 @@
 
 Heuristic labellers each vote good, bad or nothing on a document. Expectation-maximisation estimates each one's
 accuracy on good and on bad documents and the share of good ones, from the counts of vote patterns over all
-documents (at most 3**labellers rows, whatever the corpus). The posteriors of a sample, bounded by FIT_TEXTS and
-taken by hash, are the soft targets of a logistic scorer on hashed character n-grams of the whole text, which then
-scores every document. No given label is read.
+documents (at most 3**labellers rows, whatever the corpus). The posteriors of a sample, the FIT_TEXTS rows of lowest
+hashes, are the soft targets of a logistic scorer on hashed character n-grams of the whole text, which then scores
+every document. No given label is read.
 
 Defined cases: a null text counts as empty; texts of fewer than three characters score 0; repeated rows count as
 often as they occur; an empty table gives no rows; other columns pass through.
@@ -29,6 +29,8 @@ BITS = 15
 GRAM = 3
 STEPS = 120
 EM_STEPS = 200
+#: Repeats of a row that are numbered in one array.
+_REPEATS = 1000
 SYMBOLS = "%*&#$|!<>{}[]\\^~=_@+"
 #: A word that ends in a letter and common punctuation at most.
 PLAIN_END = r"\p{L}[.,;:?!]?(?=\s|$)"
@@ -134,6 +136,25 @@ def voted(docs: DataFrame) -> tuple[DataFrame, list[str]]:
     return cut.select(*docs.columns, F.array(*[v.cast("int") for v in votes.values()]).alias("votes")), list(votes)
 
 
+def sampled(docs: DataFrame, total: int, fit_texts: int) -> DataFrame:
+    """The fit_texts of total rows (doc_id, text) that have the lowest hashes of doc_id, text and the number of the repeat.
+
+    Equal rows are counted before they are numbered, so neither a frequent doc_id nor a frequent row gathers in a task.
+    """
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
+    counted = keyed.groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("n"))
+    parts = counted.withColumn("part", F.explode(F.sequence(F.lit(0), F.expr(f"(n - 1) div {_REPEATS}"))))
+    each = parts.select("doc_id", "h", F.explode(F.sequence(F.col("part") * _REPEATS, F.least("n", (F.col("part") + 1) * _REPEATS) - 1)).alias("nth"))
+    each = each.withColumn("spot", F.pmod(F.xxhash64("doc_id", "h", "nth", F.lit(29)), F.lit(1 << 62)))
+    # so many more than fit_texts that fewer are left once in a thousand million times
+    below = each.filter(F.col("spot") <= int(min(1.0, (fit_texts + 6 * fit_texts**0.5) / total) * (1 << 62)))
+    taken = below.orderBy("spot", "doc_id", "h", "nth").limit(fit_texts).groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("copies"))
+    taken = F.broadcast(taken.withColumnsRenamed({"doc_id": "taken_id", "h": "taken_h"}))
+    found = keyed.join(taken, F.col("doc_id").eqNullSafe(F.col("taken_id")) & (F.col("h") == F.col("taken_h")))
+    found = found.groupBy("doc_id", "h").agg(F.first("text").alias("text"), F.first("copies").alias("copies"))
+    return found.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc_id", "text")
+
+
 def fit(docs: DataFrame, fit_texts: int = FIT_TEXTS) -> tuple[dict, np.ndarray, float]:
     """Estimated chances of votes by class and the scorer's weights and bias, from rows (doc_id, text)."""
     rows, names = voted(docs.select("doc_id", "text"))
@@ -142,8 +163,7 @@ def fit(docs: DataFrame, fit_texts: int = FIT_TEXTS) -> tuple[dict, np.ndarray,
         return {}, np.zeros(1 << BITS), 0.0
     patterns, counts = np.array([r["votes"] for r in counted]), np.array([float(r["n"]) for r in counted])
     share, chances = estimate(patterns, counts)
-    spot = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(29)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = rows.filter(spot < min(1.0, fit_texts / counts.sum()))
+    sample, _ = voted(sampled(docs, int(counts.sum()), fit_texts))
 
     def featured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -151,7 +171,7 @@ def fit(docs: DataFrame, fit_texts: int = FIT_TEXTS) -> tuple[dict, np.ndarray,
             mine = posterior(np.array(batch["votes"].tolist()), share, chances)
             yield pd.DataFrame({"at": [a.astype(np.int32).tobytes() for a, _ in each], "value": [v.astype(np.float32).tobytes() for _, v in each], "target": mine})
 
-    got = sample.mapInPandas(featured, "at binary, value binary, target double").collect()
+    got = sorted(sample.mapInPandas(featured, "at binary, value binary, target double").collect())
     vectors = [(np.frombuffer(r["at"], np.int32).astype(np.int64), np.frombuffer(r["value"], np.float32).astype(np.float64)) for r in got]
     w, b = train(vectors, np.array([r["target"] for r in got])) if got else (np.zeros(1 << BITS), 0.0)
     model = {"share": share, "names": names, "chances": chances}

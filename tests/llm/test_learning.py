@@ -86,3 +86,16 @@ def test_quality_of_plain_and_broken_texts(spark):
     assert got[900] == got[901] == 0.0 and 0.5 < model["share"] < 1
     empty, w0, b0 = quality.fit(docs.limit(0))
     assert empty == {} and quality.score(docs.limit(0), w0, b0).count() == 0
+
+
+@pytest.mark.parametrize("hot", [7, None])
+def test_the_scorer_is_fit_on_a_bounded_sample_whatever_repeats(spark, monkeypatch, hot):
+    rows = [(hot, f"the {i} stones of a river") for i in range(700)] + [(hot, "the same")] * 1300 + [(100 + i, f"a {i} green house") for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    fitted, train = [], quality.train
+    monkeypatch.setattr(quality, "train", lambda vectors, target: fitted.append(len(vectors)) or train(vectors, target))
+    quality.fit(docs, 200)
+    assert fitted == [200]
+    got = quality.sampled(docs, len(rows), 200).collect()
+    assert len(got) == 200 and 60 < sum(r.doc_id == hot for r in got) < 140 and 35 < sum(r.text == "the same" for r in got) < 95
+    assert sorted(map(tuple, quality.sampled(docs.limit(5), 5, 200).collect()), key=str) == sorted(map(tuple, docs.limit(5).collect()), key=str)
