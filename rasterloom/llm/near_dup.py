@@ -7,16 +7,18 @@ register and a height in the piece, and count if the height is below the shingle
 earliest point, so two registers agree with the probability of the weighted Jaccard similarity. A process stops at
 the latest time that any register of its document still holds, so cost is about one point a shingle.
 
-Documents of equal words are one node. Nodes that share a band of ROWS registers meet in a bucket. A pair passes a
-filter of sizes and of 128 one-bit registers, then multiset overlap is verified on the texts. To keep a bucket's
-pairs linear in its rows, each node is first paired with the bucket's leader and with the REACH nodes before it
-(all pairs, for buckets of up to REACH + 1 nodes). Larger buckets whose nodes those links leave in several
-components get all their pairs across components compared, block by block, so no link of different texts is lost.
-Components of verified links are the groups; the smallest doc_id of each is kept.
-
-Defined cases: documents that are null or without words link with nothing and are kept; rows with the same doc_id
-are one document; a null doc_id is never a group's representative (a group of such rows only has a null
-component_id and is kept); an empty table gives no rows; other columns are not used.
+Texts of equal words are one node, a class, whatever their rows; each class is compared by one text. Nodes that
+share a band of ROWS registers meet in a bucket. A pair passes a filter of sizes and of 128 one-bit registers, then
+multiset overlap is verified on the texts. To keep a bucket's pairs linear in its rows, each node is first paired
+with the bucket's leader and with the REACH nodes before it (all pairs, for buckets of up to REACH + 1 nodes).
+Larger buckets whose nodes those links leave in several components get all their pairs across components compared,
+block by block, so no link of different texts is lost. Components of verified links are the groups; the smallest
+doc_id of each is its component_id.
+
+Defined cases: rows that are null or without words link with nothing and are kept; rows are decided one by one, so
+rows that share a doc_id but not the words can lie in different groups; repeated rows share a group and a decision;
+a null doc_id names no group that has another (a group of such rows only has a null component_id, and they are
+kept); an empty table gives no rows; other columns are not used.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import pin, table
+from rasterloom.llm.common import number_rows, pin, settled, table
 from rasterloom.llm.components import components, forest
 from rasterloom.llm.grams import mixed
 from rasterloom.llm.words import norm_words
@@ -173,23 +175,23 @@ def _pair(a: str, b: str) -> list:
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) of doc_ids whose texts are similar enough."""
-    both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
-    both = both.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
+    """The pairs (a, b) of nodes whose texts are similar enough; texts holds one row a node."""
+    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
+    both = both.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
 
     def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bags: dict[tuple[int, str], tuple[np.ndarray, np.ndarray]] = {}  # a node of a hot bucket is in many pairs
+        bags: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # a node of a hot bucket is in many pairs
         held = 0
 
         def known(node: int, text: str) -> tuple[np.ndarray, np.ndarray]:
             nonlocal held
-            if (node, text) not in bags:
+            if node not in bags:
                 if held > _KEPT:
                     bags.clear()
                     held = 0
-                bags[node, text] = bag(text)
-                held += len(bags[node, text][0])
-            return bags[node, text]
+                bags[node] = bag(text)
+                held += len(bags[node][0])
+            return bags[node]
 
         for batch in batches:
             pairs = zip(batch["a"], batch["ta"], batch["b"], batch["tb"], strict=True)
@@ -200,20 +202,24 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def bucketed(nodes: DataFrame) -> DataFrame:
-    """Nodes (node, n, s1, s2, bands) with each bucket of two nodes or more that they are in, its size and leader."""
-    rows = nodes.select("node", "n", "s1", "s2", F.posexplode("bands").alias("band", "hash"))
-    rows = rows.select(F.xxhash64("band", "hash").alias("bucket"), "node", "n", "s1", "s2")
-    mine = F.struct(F.xxhash64("node", "bucket").alias("at"), "node", "n", "s1", "s2")
-    heads = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min(mine).alias("lead")).filter("size > 1")
-    return rows.join(heads, "bucket")
+    """Nodes (node, n, s1, s2, bands) with each bucket of two nodes or more that they are in, its size, and whether they lead it.
+
+    Only bucket, node and order travel for all bands; what most rows lack, a bucket of several nodes, is known first.
+    """
+    rows = nodes.select("node", F.posexplode("bands").alias("band", "hash")).select(F.xxhash64("band", "hash").alias("bucket"), "node")
+    rows = rows.withColumn("at", F.xxhash64("node", "bucket"))
+    heads = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("at").alias("least")).filter("size > 1")
+    found = rows.join(heads, "bucket").select("bucket", "node", "size", (F.col("at") == F.col("least")).alias("leads"))
+    return found.join(nodes.select("node", "n", "s1", "s2"), "node")
 
 
 def near_pairs(members: DataFrame) -> DataFrame:
     """Filtered pairs of nodes with their bucket's leader and the REACH nodes before them."""
-    led = members.filter(_close("", "lead.")).select(*_pair("", "lead."))
-    parts = F.ceil(F.col("size") / 1024)
-    rows = members.withColumn("part", F.pmod(F.xxhash64("node", F.lit(3)), parts)).drop("lead")
     mine = F.struct("node", "n", "s1", "s2")
+    leads = members.filter("leads").select("bucket", mine.alias("lead"))
+    led = members.filter(~F.col("leads")).join(leads, "bucket").filter(_close("", "lead.")).select(*_pair("", "lead."))
+    parts = F.ceil(F.col("size") / 1024)
+    rows = members.withColumn("part", F.pmod(F.xxhash64("node", F.lit(3)), parts))
     before = Window.partitionBy("bucket", "part").orderBy("node").rowsBetween(-REACH, -1)
     near = rows.withColumn("before", F.collect_list(mine).over(before)).withColumn("o", F.explode("before")).filter(_close("", "o.")).select(*_pair("", "o."))
     return led.unionByName(near).distinct()
@@ -221,7 +227,7 @@ def near_pairs(members: DataFrame) -> DataFrame:
 
 def rest_members(members: DataFrame, roots: DataFrame) -> DataFrame:
     """Rows of buckets of more than REACH + 1 nodes that lie in several components, with the nodes' components."""
-    large = members.filter(F.col("size") > REACH + 1).drop("lead", "component")
+    large = members.filter(F.col("size") > REACH + 1).drop("leads")
     large = large.join(roots, "node", "left").withColumn("component", F.coalesce("component", "node"))
     several = large.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least <> most")
     return large.join(several.select("bucket"), "bucket")
@@ -245,8 +251,7 @@ def with_shared(rest: DataFrame, texts: DataFrame) -> DataFrame:
     Nodes that share too little to be linked at all go. Counts are summed within tasks first, so a shingle that all
     nodes have is no burden.
     """
-    nodes = rest.select(F.col("node").alias("doc_id")).distinct()
-    own = texts.join(nodes, "doc_id", "left_semi").select(F.col("doc_id").alias("node"), F.pandas_udf(elements, "array<long>")("text").alias("elements"))
+    own = texts.join(rest.select("node").distinct(), "node", "left_semi").select("node", F.pandas_udf(elements, "array<long>")("text").alias("elements"))
     own = pin(rest.sparkSession, own, "elements")
     once = own.select("node", F.explode("elements").alias("e")).groupBy("e").agg(F.count(F.lit(1)).alias("times"), F.min("node").alias("node"))
     alone = once.filter("times = 1").groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
@@ -291,28 +296,55 @@ def rest_links(rest: DataFrame) -> DataFrame:
     return rows.repartition(parts, "bucket", "i", "j").groupBy("bucket", "i", "j").applyInPandas(across, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """Per row of docs (doc_id, text): component_id, kept, n_shingles."""
+def node_texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """One text a node (node, first_id, text_hash), however often its row is repeated; repeats meet map-side first."""
+    rows = docs.select(F.col("doc_id").alias("row_id"), "text", F.xxhash64("text").alias("row_hash"))
+    same = F.col("row_id").eqNullSafe(F.col("first_id")) & (F.col("row_hash") == F.col("text_hash"))
+    return rows.join(nodes, same).groupBy("node").agg(F.first("text").alias("text"))
+
+
+def linked(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, component) of the nodes that are linked to others."""
     spark = docs.sparkSession
-    marks = pin(spark, docs.select("doc_id", F.pandas_udf(signed, _FIELDS)("text").alias("m")).select("doc_id", "m.*"), "signatures")
-    classes = marks.filter("n > 0").groupBy("key").agg(
-        F.min("doc_id").alias("node"), *[F.first(c).alias(c) for c in ("n", "bands", "s1", "s2")]
-    )
-    members = pin(spark, bucketed(classes.filter(F.col("node").isNotNull())), "buckets")
-    met = members.select(F.col("node").alias("doc_id")).distinct()
-    texts = pin(spark, docs.select("doc_id", "text").join(met, "doc_id", "left_semi"), "texts")
+    members = pin(spark, bucketed(nodes), "buckets")
+    met = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "first_id", "text_hash")
+    texts = pin(spark, node_texts(docs, met), "texts")
     tried = pin(spark, near_pairs(members), "pairs")
     links = pin(spark, verified(tried, texts), "links")
     roots = components(links)
     rest = pin(spark, rest_members(members, roots), "rest")
     if rest.take(1):
         roots = components(links.unionByName(rest_links(with_shared(rest, texts))))
-    heads = marks.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("node"))
-    heads = heads.join(roots, "node", "left").select(F.col("key").alias("group"), F.coalesce("component", "node").alias("head"))
-    out = marks.withColumn("group", F.when(F.col("n") > 0, F.col("key"))).join(heads, "group", "left")
+    return roots
+
+
+def near_duplicates(docs: DataFrame, *carry: str) -> DataFrame:
+    """Per row of docs (doc_id, text): component_id, kept, n_shingles and group, beside the columns to carry.
+
+    group numbers the groups, and is null for rows without words. Nodes are numbered in the order of their smallest
+    doc_id, so a component's smallest node has its smallest doc_id.
+    """
+    spark = docs.sparkSession
+    held = [F.struct(*carry).alias("__carry")] if carry else []
+    marks = docs.select("doc_id", *held, F.xxhash64("text").alias("text_hash"), F.pandas_udf(signed, _FIELDS)("text").alias("m"))
+    marks = pin(spark, marks.select(*[c for c in marks.columns if c != "m"], "m.*"), "signatures")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
+
+    def headed() -> DataFrame:
+        classes = marks.filter("n > 0").groupBy("key").agg(first, *[F.first(c).alias(c) for c in ("n", "bands", "s1", "s2")])
+        classes = classes.select("key", F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("text_hash"), "n", "bands", "s1", "s2")
+        nodes, _ = number_rows(spark, classes, [F.col("first_id").isNull(), F.col("first_id"), F.col("key")], "node")
+        roots = linked(docs, nodes)
+        heads = roots.join(nodes.select(F.col("node").alias("component"), F.col("first_id").alias("head")), "component")
+        heads = nodes.select("key", "node", "first_id").join(heads, "node", "left")
+        return heads.select("key", F.coalesce("component", "node").alias("group"), F.when(F.col("component").isNull(), F.col("first_id")).otherwise(F.col("head")).alias("head"))
+
+    heads = settled(spark, headed, "groups")
+    out = marks.withColumn("key", F.when(F.col("n") > 0, F.col("key"))).join(heads, "key", "left")
     component = F.when(F.col("n") > 0, F.col("head")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"), F.col("n").alias("n_shingles"))
+    kept = F.coalesce(F.col("doc_id") == component, component.isNull())
+    return out.select("doc_id", *[F.col("__carry").getField(c).alias(c) for c in carry], component.alias("component_id"), kept.alias("kept"), F.col("n").alias("n_shingles"), "group")
 
 
 def op7_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("group")
