@@ -7,12 +7,13 @@ each holds an interval of the source's cumulative words, once per pass over the
 middle lies below the target; its training position is where the integrated schedule has demanded the words up
 to its middle. Taken copies are range-sorted by position.
 
-Cumulative words are summed in 4096 hash buckets a source and then over the buckets, so a source that holds
-most rows fills no task, and the result does not depend on partitioning.
+Words are counted once. Cumulative words are running sums over range partitions of (source, hash, doc_id, size, row),
+so neither a source nor a doc_id (null or not) that holds most rows fills a task, and the result does not depend on
+partitioning. Texts do not take part; where they are wanted, they are joined at the end.
 
 Defined cases: a null text has no words; a null source is a source of its own, last in order; rows with the
 same doc_id and size are interchangeable; documents without words are taken once or twice at no cost; an empty
-table gives an empty result; other columns pass through.
+table gives an empty result; other columns pass through, but those that bear a result's name in any case.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import table
+from rasterloom.llm.common import pin, repeated, row_key, running_sums, table, unique_rows, unpacked
 
 TOKEN = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
@@ -73,47 +74,56 @@ def demanded_at(share_of_target: Column, klass: Column, schedules: tuple = SCHED
     return out
 
 
-def assign(docs: DataFrame, weights: tuple = WEIGHTS, schedules: tuple = SCHEDULES, share: float = SHARE, max_repeats: int = MAX_REPEATS) -> DataFrame:
-    """All rows of docs (doc_id, source, text or size) with size, source_size, target, copies and positions.
+def plan(docs: DataFrame, size: Column | None = None, weights: tuple = WEIGHTS, schedules: tuple = SCHEDULES, share: float = SHARE, max_repeats: int = MAX_REPEATS) -> DataFrame:
+    """A slim row for each row of docs (doc_id, source, and text if no size is given).
 
-    A column `size`, if there is one, counts as the words of the row; else they are counted from the text.
+    Returns h1, h2 (the key of the row, common.row_key), doc_id, source, size, source_size, target and positions, one
+    for each time the row is taken. Words are counted once, and no text travels.
     """
-    sized = docs if "size" in docs.columns else docs.withColumn("size", words(F.col("text")))
-    rows = sized.withColumn("__src", F.col("source")).withColumn("__nil", F.col("source").isNull())
-    rows = rows.withColumn("__order", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    rows = rows.withColumn("__cell", F.concat(F.when(F.col("__nil"), F.lit("n")).otherwise(F.concat(F.lit("s"), "__src")), F.lit("\x00"), F.substring("__order", 1, 3)))
-    cells = rows.groupBy("__cell", "__src").agg(F.sum("size").alias("__words"))
-    sizes = cells.groupBy("__src").agg(F.sum("__words").alias("source_size"))
-    goal = targets(sizes, weights, share, max_repeats)
-    before = Window.partitionBy("__src").orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
-    starts = cells.withColumn("__start", F.coalesce(F.sum("__words").over(before), F.lit(0)))
-    starts = starts.alias("c").join(goal.alias("g"), F.col("c.__src").eqNullSafe(F.col("g.__src")))
-    starts = starts.select("__cell", "__start", "class", "source_size", "target")
-    inside = Window.partitionBy("__cell").orderBy("__order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("__before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    placed = rows.join(starts, "__cell").withColumn("__at", F.col("__start") + F.col("__before"))
+    spark = docs.sparkSession
+    counted = words(F.col("text")) if size is None else size.cast("long")
+    slim = pin(spark, docs.select(*row_key(docs), "doc_id", "source", counted.alias("size")), "sizes")
+    # equal rows lie next to each other, so one row stands for them until positions are given out
+    src = F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("s"), "source"))
+    order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
+    groups = slim.groupBy("h1", "h2", "doc_id", "source", "size").agg(F.count(F.lit(1)).alias("n")).withColumn("src", src).withColumn("order", order)
+    groups = running_sums(spark, groups, "src", ["order", "doc_id", "size", "h1", "h2"], {"at": F.col("size") * F.col("n")})
+    goal = targets(slim.groupBy(F.col("source").alias("__src")).agg(F.sum("size").alias("source_size")), weights, share, max_repeats)
+    goal = goal.select(F.when(F.col("__src").isNull(), "n").otherwise(F.concat(F.lit("s"), "__src")).alias("src"), "class", F.col("source_size").cast("long"), "target")
+    rows = repeated(groups.join(goal, "src"), "n", "nth").withColumn("at", F.col("at") + F.col("nth") * F.col("size"))
     passes = F.sequence(F.lit(0), F.lit(max_repeats - 1))
-    middles = F.transform(passes, lambda i: i.cast("long") * F.col("source_size") * 2 + F.col("__at") * 2 + F.col("size"))
-    placed = placed.withColumn("__middles", F.filter(middles, lambda m: m < F.col("target") * 2))
-    positions = F.transform("__middles", lambda m: demanded_at(m / (F.col("target") * 2), F.col("class"), schedules))
-    kept = [c for c in sized.columns if c not in ("source_size", "target", "copies", "positions", "size")]
-    return placed.select(*kept, "size", F.col("source_size").cast("long"), "target", F.size("__middles").alias("copies"), positions.alias("positions"))
+    middles = F.transform(passes, lambda i: i.cast("long") * F.col("source_size") * 2 + F.col("at") * 2 + F.col("size"))
+    rows = rows.withColumn("middles", F.filter(middles, lambda m: m < F.col("target") * 2))
+    positions = F.transform("middles", lambda m: demanded_at(m / (F.col("target") * 2), F.col("class"), schedules))
+    return rows.select("h1", "h2", "doc_id", "source", "size", "source_size", "target", positions.alias("positions"))
 
 
-def training_order(assigned: DataFrame) -> DataFrame:
-    """One row a taken copy, range-sorted by its training position."""
-    parts = int(assigned.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    copies = assigned.withColumn("position", F.explode("positions")).drop("positions", "copies")
-    return copies.repartitionByRange(parts, "position", "doc_id").sortWithinPartitions("position", "doc_id")
+def assign(docs: DataFrame, size: Column | None = None, **options) -> DataFrame:
+    """All rows of docs with size, source_size, target, copies and positions; options as for plan()."""
+    own = ("size", "source_size", "target", "copies", "positions")
+    planned = plan(docs, size, **options).drop("doc_id", "source")
+    rows = planned.join(unique_rows(docs), ["h1", "h2"])
+    return rows.select(*unpacked(rows, *own), "size", "source_size", "target", F.size("positions").alias("copies"), "positions")
+
+
+def training_order(docs: DataFrame, size: Column | None = None, **options) -> DataFrame:
+    """One row of docs for each time it is taken, with its position, range-sorted by that; options as for plan().
+
+    Each text is joined to its positions once and then sorted into place.
+    """
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    taken = plan(docs, size, **options).select("h1", "h2", F.col("doc_id").alias("__id"), F.explode("positions").alias("__position"))
+    rows = taken.join(unique_rows(docs), ["h1", "h2"])
+    rows = rows.repartitionByRange(parts, "__position", "__id").sortWithinPartitions("__position", "__id")
+    return rows.select(*unpacked(rows, "position"), F.col("__position").alias("position"))
 
 
 def op10_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", words(F.col("text")).alias("size"))
-    rows = assign(docs)
+    rows = plan(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     first = F.coalesce(F.get("positions", F.lit(0)), F.lit(2.0))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.withColumn("__first", first).repartitionByRange(parts, "__first", "doc_id").sortWithinPartitions("__first", "doc_id")
-    return ordered.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
+    ordered = rows.withColumn("first", first).repartitionByRange(parts, "first", "doc_id").sortWithinPartitions("first", "doc_id")
+    return ordered.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("positions")).cast("long").alias("taken"))
 
 
 ORACLES = {
