@@ -1,17 +1,23 @@
 """Operator 9: chat formatting in budgeted windows.
 
-Prefix sums of turn tokens deal a conversation's turns into spans of about `budget` tokens, never splitting a
-turn. Each span becomes one training text: the leading system turn is retained, the last `history` turns before
-the span are repeated if they fit in `history_budget` tokens, then come the span's own turns. The loss mask
-covers the text of the span's own assistant turns; repeated ones are masked out, so each is learned once.
+Prefix sums of turn tokens (words and TURN_TOKENS for the marks) deal a conversation's turns into spans, never splitting
+a turn. Each span becomes one training text of at most `budget` tokens: the leading system turn is retained, the last
+`history` turns before the span are repeated if they fit in `history_budget` tokens, then come the span's own turns.
+The loss mask covers the text of the span's own assistant turns; repeated ones are masked out, so each is learned once.
+
+How spans keep the budget: what the system turn and the history leave is the room. Offsets of turns fall into cells of
+width room - small, where small is the largest turn of up to half the room. Turns within a cell are a span, together
+with a turn that reaches into the cell if it is no larger than small; a larger turn that reaches over a cell's end is a
+span of its own. So a text exceeds the budget only if it is the system turn and one single turn, without history.
 
 A turn is written `<turn>ROLE\\nTEXT</turn>\\n`. Inside roles and texts a backslash is doubled and `<` becomes
 `\\l` (in roles a line feed becomes `\\n`), so no text can hold a turn mark, and unescaping gives it back.
 
-Defined cases: null text or role is empty; turns go by (turn, role, text), null turns first; rows of a null
-conv_id are one conversation; a conversation without assistant turns has an empty loss; other columns are not
-used. All work on a conversation stays in one sorted, spilling window; a span's text is bounded by the budgets
-and its longest turns. Only the digest of a whole conversation, which read_back() makes, needs all its spans.
+Defined cases: null text or role is empty; turns go by (turn, role, md5 of the text), null turns first; rows of a null
+conv_id are one conversation; repeated rows are turns of their own; a conversation without assistant turns has an
+empty loss; other columns are not used. Spans are planned on slim rows with running sums over range partitions, and
+texts are joined to the plan, so a conversation that holds most rows is spread over tasks. Only the digest of a
+whole conversation, which read_back() makes, needs all its text in one row (Spark holds up to 2 GB there).
 """
 
 from __future__ import annotations
@@ -19,10 +25,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import table
+from rasterloom.llm.common import pin, repeated, row_key, running_sums, settled, table
 
 OPEN, CLOSE = "<turn>", "</turn>\n"
-BUDGET, HISTORY, HISTORY_BUDGET, TURN_TOKENS = 1024, 2, 256, 4
+BUDGET, HISTORY, HISTORY_BUDGET, TURN_TOKENS = 512, 2, 128, 4
 
 
 def escape(text: Column, role: bool = False) -> Column:
@@ -37,50 +43,62 @@ def unescape(text: Column, role: bool = False) -> Column:
     return F.translate(F.replace(out, F.lit("\\l"), F.lit("\\")), "<\\", "\\<")
 
 
+def plan_spans(turns: DataFrame, budget: int, history: int, history_budget: int) -> DataFrame:
+    """Slim rows (conv, rank, before, tokens, role, h1, h2, span, system): which turn goes into which span."""
+    spark = turns.sparkSession
+    slim = turns.select("conv", "turn", "role", F.md5("text").alias("tie"), (F.size(F.split("text", r"\s+")) + TURN_TOKENS).cast("long").alias("tokens"), "h1", "h2")
+    groups = slim.groupBy(*slim.columns).agg(F.count(F.lit(1)).alias("n"))
+    groups = running_sums(spark, groups, "conv", ["turn", "role", "tie"], {"before": F.col("tokens") * F.col("n"), "rank": F.col("n")})
+    rows = repeated(groups, "n", "nth").withColumn("before", F.col("before") + F.col("nth") * F.col("tokens")).withColumn("rank", F.col("rank") + F.col("nth") + 1)
+    rows = pin(spark, rows.drop("nth", "tie", "turn"), "turns")
+    system = F.max(F.when((F.col("rank") == 1) & (F.col("role") == "system"), F.struct("tokens", "h1", "h2"))).alias("system")
+    small = F.max(F.when(F.col("tokens") * 2 <= budget - history_budget, F.col("tokens"))).alias("small")
+    rows = rows.join(rows.groupBy("conv").agg(system, small), "conv")
+    room = F.greatest(F.lit(1).cast("long"), F.lit(budget - history_budget) - F.coalesce("system.tokens", F.lit(0)))
+    rows = rows.withColumn("room", room).withColumn("small", F.least(F.coalesce("small", F.lit(0)), F.expr("room div 2")))
+    rows = rows.withColumn("width", F.greatest(F.lit(1).cast("long"), F.col("room") - F.col("small")))
+    rows = rows.withColumn("first_cell", F.expr("before div width")).withColumn("last_cell", F.expr("(before + tokens - 1) div width"))
+    alone = (F.col("first_cell") < F.col("last_cell")) & (F.col("tokens") > F.col("small"))
+    return rows.select("conv", "rank", "before", "tokens", "role", "h1", "h2", (F.col("last_cell") * 2 - F.when(alone, 1).otherwise(0)).alias("span"), "system")
+
+
 def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, history_budget: int = HISTORY_BUDGET) -> DataFrame:
-    """One row a span: conv_id, span, formatted, loss_spans (start, length in code points), n_repeated."""
-    none = F.lit("")
+    """One row a span: conv_id, span, formatted, loss_spans (start, length in code points), n_repeated, n_tokens."""
+    spark, none = turns.sparkSession, F.lit("")
     rows = turns.select("conv_id", "turn", F.coalesce("role", none).alias("role"), F.coalesce("text", none).alias("text"))
-    rows = rows.withColumn("tokens", F.size(F.split("text", r"\s+")) + TURN_TOKENS)
-    by_turn = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    rows = rows.withColumn("rank", F.row_number().over(by_turn))
-    rows = rows.withColumn("before", F.coalesce(F.sum("tokens").over(by_turn.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    rows = rows.withColumn("span", F.expr(f"before div {int(budget)}"))
-    rows = rows.withColumn("starts", F.coalesce(F.lag("span").over(by_turn) != F.col("span"), F.lit(True)))
-    rows = rows.withColumn("first", F.first(F.struct("role", "text")).over(by_turn.rowsBetween(Window.unboundedPreceding, 0)))
-    retained = F.col("first.role") == "system"
-
-    def piece(span: Column, order: Column, role: Column, text: Column, own: bool) -> Column:
-        return F.struct(span.alias("span"), order.alias("order"), role.alias("role"), text.alias("text"), F.lit(own).alias("own"))
-
-    own = F.array(piece(F.col("span"), F.col("rank"), F.col("role"), F.col("text"), True))
-    head = F.when(F.col("starts") & (F.col("rank") > 1) & retained, F.array(piece(F.col("span"), F.lit(0), F.col("first.role"), F.col("first.text"), False)))
-    pieces = [own, F.coalesce(head, F.array().cast(_PIECES))]
-    for ahead in range(1, history + 1):
-        later = F.lead(F.struct("starts", "before", "span"), ahead).over(by_turn)
-        fits = later["starts"] & (later["before"] - F.col("before") <= history_budget) & ~(retained & (F.col("rank") == 1))
-        again = F.when(fits, F.array(piece(later["span"], F.col("rank"), F.col("role"), F.col("text"), False)))
-        pieces.append(F.coalesce(again, F.array().cast(_PIECES)))
-    parts = rows.select("conv_id", F.concat(*pieces).alias("pieces")).select("conv_id", F.inline("pieces"))
+    rows = rows.select("*", F.coalesce(F.col("conv_id").cast("string"), F.lit("null")).alias("conv"), *row_key(rows))
+    planned = settled(spark, lambda: plan_spans(rows, budget, history, history_budget), "spans")
+    spans = planned.groupBy("conv", "span").agg(
+        F.min("rank").alias("from"), F.min("before").alias("at"), F.sum("tokens").alias("own"), F.first("system").alias("system")
+    )
+    spans = spans.filter(F.col("from") > 1)
+    head = spans.filter(F.col("system").isNotNull()).select("conv", "span", F.lit(0).cast("long").alias("order"), "system.h1", "system.h2", F.col("system.tokens").alias("tokens"), F.lit(False).alias("mine"))
+    room = F.least(F.lit(history_budget).cast("long"), F.lit(budget) - F.col("own") - F.coalesce("system.tokens", F.lit(0)))
+    asked = spans.select("conv", "span", "at", room.alias("room"), F.col("system").isNotNull().alias("retained"), F.explode(F.sequence(F.greatest(F.lit(1), F.col("from") - history), F.col("from") - 1)).alias("rank"))
+    asked = asked.filter((F.col("rank") > 1) | ~F.col("retained")).drop("retained")
+    again = asked.join(planned.drop("span", "system"), ["conv", "rank"]).filter(F.col("at") - F.col("before") <= F.col("room"))
+    again = again.select("conv", "span", F.col("rank").alias("order"), "h1", "h2", "tokens", F.lit(False).alias("mine"))
+    own = planned.select("conv", "span", F.col("rank").alias("order"), "h1", "h2", "tokens", F.lit(True).alias("mine"))
+    pieces = own.unionByName(head).unionByName(again)
+    texts = rows.dropDuplicates(["h1", "h2"]).select("h1", "h2", "conv_id", "role", "text")
+    parts = pieces.join(texts, ["h1", "h2"])
     lead = F.concat(F.lit(OPEN), escape(F.col("role"), role=True), F.lit("\n"))
     parts = parts.withColumn("lead", lead).withColumn("body", escape(F.col("text")))
     parts = parts.withColumn("written", F.concat("lead", "body", F.lit(CLOSE)))
-    in_span = Window.partitionBy("conv_id", "span").orderBy("order").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.withColumn("at", F.coalesce(F.sum(F.length("written")).over(in_span), F.lit(0)) + F.length("lead"))
-    target = F.when(F.col("own") & (F.col("role") == "assistant"), F.struct(F.col("at").cast("int").alias("start"), F.length("body").alias("length")))
-    spans = parts.groupBy("conv_id", "span").agg(
-        F.sort_array(F.collect_list(F.struct("order", "written", "own", target.alias("target")))).alias("parts")
-    )
+    in_span = Window.partitionBy("conv", "span").orderBy("order").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("start", F.coalesce(F.sum(F.length("written")).over(in_span), F.lit(0)) + F.length("lead"))
+    target = F.when(F.col("mine") & (F.col("role") == "assistant"), F.struct(F.col("start").cast("int").alias("start"), F.length("body").alias("length")))
+    whole = parts.groupBy("conv", "span").agg(
+        F.first("conv_id").alias("conv_id"), F.sum("tokens").alias("n_tokens"),
+        F.sort_array(F.collect_list(F.struct("order", "written", "mine", target.alias("target")))).alias("parts"),
+    )
     targets = F.filter(F.transform("parts", lambda p: p.target), lambda t: t.isNotNull())
-    return spans.select(
+    return whole.select(
         "conv_id", "span", F.array_join(F.transform("parts", lambda p: p.written), "").alias("formatted"),
-        targets.alias("loss_spans"), F.size(F.filter("parts", lambda p: ~p.own)).alias("n_repeated"),
+        targets.alias("loss_spans"), F.size(F.filter("parts", lambda p: ~p.mine)).alias("n_repeated"), "n_tokens",
     )
 
 
-_PIECES = "array<struct<span:bigint,order:int,role:string,text:string,own:boolean>>"
-
-
 def read_back(windows: DataFrame) -> DataFrame:
     """Parse formatted windows: per conversation its turns and its learned text, as counts and digests."""
     def parsed(written: Column) -> Column:
@@ -120,17 +138,21 @@ ORACLES = {
             UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')),
         k AS (SELECT *, len(string_split_regex(text, '\s+')) + 4 AS tokens FROM t),
         b AS (
-            SELECT *, row_number() OVER w AS rank, first_value(role) OVER w AS role1, first_value(text) OVER w AS text1,
-                   coalesce(sum(tokens) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
-            FROM k WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
-        r AS (
-            SELECT *, coalesce(lag(before // 1024) OVER (PARTITION BY conv_id ORDER BY rank) <> before // 1024, true) AS starts FROM b),
+            SELECT *, row_number() OVER w AS rank, coalesce(sum(tokens) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
+            FROM k WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text))),
+        i AS (
+            SELECT conv_id AS c, coalesce(max(tokens) FILTER (rank = 1 AND role = 'system'), 0) AS sys, any_value(text) FILTER (rank = 1 AND role = 'system') AS sys_text,
+                   coalesce(max(tokens) FILTER (tokens * 2 <= 384), 0) AS small0 FROM b GROUP BY conv_id),
+        j AS (SELECT *, greatest(1, 384 - sys) AS room, least(small0, greatest(1, 384 - sys) // 2) AS small FROM i),
+        g AS (SELECT b.*, sys, sys_text, small, greatest(1, room - small) AS width FROM b JOIN j ON b.conv_id IS NOT DISTINCT FROM j.c),
+        r AS (SELECT *, 2 * ((before + tokens - 1) // width) - (before // width < (before + tokens - 1) // width AND tokens > small)::BIGINT AS span FROM g),
+        z AS (SELECT conv_id AS c, span AS s, min(rank) AS f, min(before) AS at, sum(tokens) AS own, any_value(sys) AS sys, any_value(sys_text) AS sys_text FROM r GROUP BY ALL HAVING min(rank) > 1),
         parts AS (
             SELECT conv_id, role, text FROM r
-            UNION ALL SELECT conv_id, role1, text1 FROM r WHERE starts AND rank > 1 AND role1 = 'system'
+            UNION ALL SELECT c, 'system', sys_text FROM z WHERE sys > 0
             UNION ALL
-            SELECT a.conv_id, a.role, a.text FROM r a JOIN r z ON a.conv_id IS NOT DISTINCT FROM z.conv_id
-            WHERE z.rank BETWEEN a.rank + 1 AND a.rank + 2 AND z.starts AND z.before - a.before <= 256 AND NOT (a.rank = 1 AND a.role1 = 'system')),
+            SELECT r.conv_id, r.role, r.text FROM r JOIN z ON r.conv_id IS NOT DISTINCT FROM z.c
+            WHERE r.rank BETWEEN z.f - 2 AND z.f - 1 AND NOT (r.rank = 1 AND z.sys > 0) AND z.at - r.before <= least(128, 512 - z.own - z.sys)),
         chars AS (
             SELECT conv_id, sum(15 + length(replace(replace(replace(role, '\', '\\'), '<', '\l'), chr(10), '\n'))
                 + length(replace(replace(text, '\', '\\'), '<', '\l')))::BIGINT AS formatted_chars
