@@ -1,39 +1,44 @@
 """Operator 1: WARC archives, and a normaliser for monolithically compressed ones.
 
-write_archives() writes pages as WARC records, one gzip stream over each whole file, by Spark's text sink.
-normalise() inflates each such stream once, piece by piece, rewrites every record as a gzip member of its own
-and gives the sidecar index (archive, record_no, offset, length). read_records() fetches single members by that
-index. Files are written under another name and renamed, and a rerun task writes the same bytes, so lost
-executors leave no half archive. Memory is bounded by an archive's compressed size and its longest record.
+write_archives() writes pages as WARC records, one gzip stream over each whole file, by Spark's text sink; an archive
+holds RECORDS_AN_ARCHIVE records at most. normalise() inflates each such stream once, piece by piece, rewrites every
+record as a gzip member of its own and writes a sidecar index (archive, record_no, offset, length) beside each archive;
+read_index() finds them and read_records() fetches single members by them. Files are written under another name and
+renamed, and a rerun task writes the same bytes, so lost executors leave no half archive. Archives are read and written
+as streams: memory is bounded by the longest record.
 
 Of records with equal payloads of at least `MIN_REVISIT` bytes, those with the smallest page_id are responses,
-the others revisit it. Groups of equal payloads are found by partial sums of digests and joined with a salt, so a
-payload that fills a third of the table is spread over tasks.
+the others revisit it. Groups of equal payloads are found by partial sums of digests and joined; adaptive execution
+splits the join where one payload fills a third of the table.
 
 Defined cases: null html is an empty payload; a null url gives no target header, line ends in urls are
 percent-encoded; a null page_id is kept as null and never named as response if its group has another; repeated
-rows each get a record; an empty table gives no rows; other columns are not used.
+rows each get a record, and all rows that repeat the smallest page_id are responses; an empty table gives no rows;
+other columns are not used; a stream that is cut off is an error, also if it is cut between records.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import fresh_path, pin, table
+from rasterloom.llm.common import fresh_path, table
 
 MIN_REVISIT = 100
-SALTS = 16
+RECORDS_AN_ARCHIVE = 20_000
 END = "\r\n\r\n"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
 INDEX = "archive string, record_no long, offset long, length long, record_id string, warc_type string, target_uri string"
 RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
+INDEXED = ".index.jsonl"
+_INDEX = [c.split()[0] for c in INDEX.split(", ")]
 _STEP = 1 << 18
 
 
@@ -42,10 +47,7 @@ def records(pages: DataFrame) -> DataFrame:
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumn("bytes", F.octet_length("html")).withColumn("digest", F.sha2(F.col("html").cast("binary"), 256))
     groups = rows.filter(F.col("bytes") >= MIN_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
-    salts = F.sequence(F.lit(0), F.lit(SALTS - 1))
-    groups = groups.filter("n > 1").select(F.col("digest"), "first", F.explode(salts).alias("salt"))
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
-    found = salted.join(groups, ["digest", "salt"], "left")
+    found = rows.join(groups.filter("n > 1").select("digest", "first"), "digest", "left")
     revisit = F.coalesce((F.col("bytes") >= MIN_REVISIT) & ~F.col("page_id").eqNullSafe(F.col("first")) & F.col("first").isNotNull(), F.lit(False))
 
     def name(c: str):
@@ -70,20 +72,22 @@ def records(pages: DataFrame) -> DataFrame:
 
 def write_archives(pages: DataFrame, path: str) -> None:
     """One gzip stream a file; the text sink's line separator is the end of a WARC record."""
-    records(pages).write.option("lineSep", END).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").text(path)
+    records(pages).write.option("maxRecordsPerFile", RECORDS_AN_ARCHIVE).option("lineSep", END).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").text(path)
 
 
-def inflate(content: bytes) -> Iterator[bytes]:
-    """The stream's bytes, piece by piece; a file of several gzip members reads as one stream."""
-    z = zlib.decompressobj(31)
-    for at in range(0, len(content), _STEP):
-        piece = content[at : at + _STEP]
-        while piece:
-            if out := z.decompress(piece):
+def inflate(blocks: Iterable[bytes]) -> Iterator[bytes]:
+    """The bytes of a gzip stream, piece by piece; several gzip members read as one stream."""
+    z, begun = zlib.decompressobj(31), False
+    for block in blocks:
+        while block:
+            z, begun = (zlib.decompressobj(31) if z.eof else z), True
+            if out := z.decompress(block, _STEP):
                 yield out
-            piece = z.unused_data
-            if piece:
-                z = zlib.decompressobj(31)
+            block = z.unused_data if z.eof else z.unconsumed_tail
+    if out := z.flush():
+        yield out
+    if begun and not z.eof:
+        raise ValueError("the archive's gzip stream is cut off")
 
 
 def split_records(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -118,33 +122,48 @@ def head_fields(head: bytes) -> dict[str, str]:
 def _store(uri: str):
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri)
+    local = uri.startswith("file:/") and not uri.startswith("file://")
+    return fs.FileSystem.from_uri("file://" + uri[5:] if local else uri)
+
+
+def _blocks(uri: str) -> Iterator[bytes]:
+    store, path = _store(uri)
+    with store.open_input_stream(path, compression=None) as f:
+        while block := f.read(_STEP):
+            yield block
 
 
 def normalise(spark: SparkSession, source: str, out: str) -> DataFrame:
-    """Rewrite all archives of source into out, a gzip member a record; returns the index, kept beside them."""
+    """Rewrite all archives of source into out, a gzip member a record, with an index beside each; returns the index."""
     import uuid
 
     def rewrite(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, folder = _store(out)
-        for batch in batches:
-            for path, content in zip(batch["path"], batch["content"], strict=True):
-                name = path.rsplit("/", 1)[-1].split(".")[0] + ".warc.gz"
-                rows, at, draft = [], 0, f"{folder}/.{name}.{uuid.uuid4().hex}"
-                with store.open_output_stream(draft, compression=None) as f:
-                    for no, (fields, record) in enumerate(split_records(inflate(content))):
-                        z = zlib.compressobj(1, zlib.DEFLATED, 31)
-                        member = z.compress(record) + z.flush()
-                        f.write(member)
-                        rows.append((f"{out}/{name}", no, at, len(member), fields["warc-record-id"], fields["warc-type"], fields.get("warc-target-uri")))
-                        at += len(member)
-                store.move(draft, f"{folder}/{name}")
-                yield pd.DataFrame(rows, columns=[c.split()[0] for c in INDEX.split(", ")])
+        for path in (p for batch in batches for p in batch["path"]):
+            name = path.rsplit("/", 1)[-1].split(".")[0] + ".warc.gz"
+            at, draft = 0, f"{folder}/.{name}.{uuid.uuid4().hex}"
+            with store.open_output_stream(draft, compression=None) as f, store.open_output_stream(draft + INDEXED, compression=None) as g:
+                for no, (fields, record) in enumerate(split_records(inflate(_blocks(path)))):
+                    z = zlib.compressobj(1, zlib.DEFLATED, 31)
+                    member = z.compress(record) + z.flush()
+                    f.write(member)
+                    row = (f"{out}/{name}", no, at, len(member), fields["warc-record-id"], fields["warc-type"], fields.get("warc-target-uri"))
+                    g.write(json.dumps(dict(zip(_INDEX, row, strict=True))).encode() + b"\n")
+                    at += len(member)
+            store.move(draft, f"{folder}/{name}")
+            store.move(draft + INDEXED, f"{folder}/{name}{INDEXED}")
+            yield pd.DataFrame({"n": [no + 1 if at else 0]})
 
     store, folder = _store(out)
     store.create_dir(folder)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(source).select("path", "content")
-    return pin(spark, files.mapInPandas(rewrite, INDEX), "warc-index")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(source).select("path")
+    files.mapInPandas(rewrite, "n long").agg(F.sum("n")).collect()
+    return read_index(spark, out)
+
+
+def read_index(spark: SparkSession, folder: str) -> DataFrame:
+    """The sidecar indices of all archives of a folder."""
+    return spark.read.schema(INDEX).option("pathGlobFilter", f"*{INDEXED}").json(folder)
 
 
 def read_records(index: DataFrame) -> DataFrame:
@@ -173,7 +192,9 @@ def read_records(index: DataFrame) -> DataFrame:
             out = pd.DataFrame(rows, columns=[c.split()[0] for c in RECORDS.split(", ")])
             yield out.astype({"page_id": "Int64", "refers_to": "Int64"})
 
-    return index.select("archive", "offset", "length").mapInPandas(fetch, RECORDS)
+    parts = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = index.select("archive", "offset", "length").repartitionByRange(parts, "archive", "offset").sortWithinPartitions("archive", "offset")
+    return placed.mapInPandas(fetch, RECORDS)
 
 
 def op1_warc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
