@@ -12,15 +12,16 @@ often as they occur; an empty table gives no rows; other columns pass through.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import string
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom.llm import grams
-from rasterloom.llm.common import table
+from rasterloom.llm.common import packed, sampled, table, unpacked
 
 FIT_TEXTS = 6000
 #: Least quality of a kept document; below one half, so that texts too short to tell are kept.
@@ -29,46 +30,100 @@ BITS = 15
 GRAM = 3
 STEPS = 120
 EM_STEPS = 200
-#: Repeats of a row that are numbered in one array.
-_REPEATS = 1000
 SYMBOLS = "%*&#$|!<>{}[]\\^~=_@+"
-#: A word that ends in a letter and common punctuation at most.
-PLAIN_END = r"\p{L}[.,;:?!]?(?=\s|$)"
-CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+ENDS = ".,;:?!"
+#: Characters whose counts are taken in one array.
+_CHARS = 1_000_000
 #: Frequent function words of English, French, German and Spanish.
 FUNCTION_WORDS = ("a an and are as at be by for from in is it of on or that the this to was with "
                   "au aux de des du elle en et la le les par pour que qui sur un une "
                   "das dem den der die ein eine für ist mit nicht sich sie und von zu "
                   "al con del el es las los no por se su y").split()
-
-
-def labellers(text: Column, words: Column) -> dict[str, Column]:
-    """Votes by name: 1 good, 0 bad, -1 none; words: the text's lowered words."""
-    chars, n = F.length(text), F.size(words)
-    per_char, per_word = F.greatest(chars, F.lit(1)), F.greatest(n, F.lit(1))
-    symbols = (chars - F.length(F.translate(text, SYMBOLS, ""))) / per_char
-    capitals = (chars - F.length(F.translate(text, CAPITALS, ""))) / per_char
-    kinds = F.size(F.array_distinct(words)) / F.sqrt(per_word)
-    again = F.size(F.filter(words, lambda w, i: w == F.get(words, i - 1))) / per_word
-    common = F.size(F.filter(words, lambda w: w.isin(FUNCTION_WORDS))) / per_word
-    stops = (chars - F.length(F.translate(text, ".", ""))) / per_word
-    marks = (chars - F.length(F.translate(text, SYMBOLS, ""))) / per_word
-    plain = F.regexp_count(text, F.lit(PLAIN_END)) / per_word
-
-    def vote(bad: Column, good: Column) -> Column:
-        return F.coalesce(F.when(bad, 0).when(good, 1), F.lit(-1))
-
+LABELLERS = ("symbols", "capitals", "variety", "repeats", "function_words", "sentences", "marks", "plain_words")
+
+
+def _among(codes: np.ndarray, chars: str) -> np.ndarray:
+    """Which code points are among the (ASCII) chars."""
+    held = np.zeros(129, bool)
+    held[[ord(c) for c in chars]] = True
+    return held[np.minimum(codes, 128)]
+
+
+def _joined(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of texts, a line feed after each, and where each text starts."""
+    return grams.codes_of("\n".join([*texts, ""])), np.cumsum([0, *[len(t) + 1 for t in texts[:-1]]])
+
+
+def word_hashes(codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of every word (a run without white space and punctuation), and the number of its text."""
+    inside = ~_among(codes, string.whitespace + string.punctuation)
+    first = inside & ~np.r_[False, inside[:-1]]
+    place = np.arange(len(codes))
+    within = (place - np.maximum.accumulate(np.where(first, place, 0)))[inside]
+    if not len(within):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    power = np.cumprod(np.full(int(within.max()) + 1, 0x9E3779B97F4A7C15, np.uint64))
+    begins = np.flatnonzero(within == 0)
+    return grams.mixed(np.add.reduceat(codes[inside] * power[within], begins)), np.searchsorted(starts, np.flatnonzero(first), "right") - 1
+
+
+_COMMON = np.sort(word_hashes(*_joined(FUNCTION_WORDS))[0])
+
+
+def votes_on(texts: list[str]) -> np.ndarray:
+    """Votes of all labellers (columns, as in LABELLERS) on texts: 1 good, 0 bad, -1 none. Counts are made for all texts at once."""
+    codes, starts = _joined(texts)
+    each = np.diff(np.r_[starts, len(codes)]) - 1
+    count = lambda hit: np.add.reduceat(hit, starts, dtype=np.int64)
+    after = np.r_[codes[1:], 10]
+    blank, end = _among(after, string.whitespace), _among(after, ENDS)
+    plain = grams.letters()[codes] & (blank | (end & np.r_[blank[1:], True]))
+    words, text = word_hashes(*_joined([t.lower() for t in texts]))
+    n = np.bincount(text, minlength=len(texts))
+    again = np.bincount(text[1:][(words[1:] == words[:-1]) & (text[1:] == text[:-1])], minlength=len(texts))
+    common = np.bincount(text[_COMMON[np.minimum(np.searchsorted(_COMMON, words), len(_COMMON) - 1)] == words], minlength=len(texts))
+    order = np.lexsort((words, text))
+    w, t = words[order], text[order]
+    kinds = np.bincount(t[np.r_[True, (w[1:] != w[:-1]) | (t[1:] != t[:-1])][: len(t)]], minlength=len(texts))
+    symbols, per_char, per_word = count(_among(codes, SYMBOLS)), np.maximum(each, 1), np.maximum(n, 1)
     enough = n >= 20
-    return {
-        "symbols": vote(symbols > 0.02, symbols < 0.004),
-        "capitals": vote(enough & (capitals > 0.2), capitals < 0.1),
-        "variety": vote(enough & (kinds < 2.5), enough & (kinds > 4.0)),
-        "repeats": vote(enough & (again > 0.2), enough & (again < 0.05)),
-        "function_words": vote(enough & (common < 0.04), common > 0.12),
-        "sentences": vote(enough & ((stops < 0.01) | (stops > 0.5)), enough & (stops > 0.02) & (stops < 0.3)),
-        "marks": vote(marks > 0.15, marks < 0.03),
-        "plain_words": vote(enough & (plain < 0.8), enough & (plain > 0.95)),
-    }
+    capitals, stops = count((codes >= 65) & (codes <= 90)) / per_char, count(codes == 46) / per_word
+    variety, repeats, known, whole = kinds / np.sqrt(per_word), again / per_word, common / per_word, count(plain) / per_word
+
+    def vote(bad: np.ndarray, good: np.ndarray) -> np.ndarray:
+        return np.where(bad, 0, np.where(good, 1, -1))
+
+    return np.stack([
+        vote(symbols / per_char > 0.02, symbols / per_char < 0.004),
+        vote(enough & (capitals > 0.2), capitals < 0.1),
+        vote(enough & (variety < 2.5), enough & (variety > 4.0)),
+        vote(enough & (repeats > 0.2), enough & (repeats < 0.05)),
+        vote(enough & (known < 0.04), known > 0.12),
+        vote(enough & ((stops < 0.01) | (stops > 0.5)), enough & (stops > 0.02) & (stops < 0.3)),
+        vote(symbols / per_word > 0.15, symbols / per_word < 0.03),
+        vote(enough & (whole < 0.8), enough & (whole > 0.95)),
+    ], axis=1)
+
+
+def voted(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Votes as text, a digit a labeller: 0 none, 1 bad, 2 good."""
+    for batch in texts:
+        out, part, chars = [], [], 0
+        for text in batch:
+            part.append(text or "")
+            chars += len(part[-1])
+            if chars > _CHARS:
+                out.append(votes_on(part))
+                part, chars = [], 0
+        if part:
+            out.append(votes_on(part))
+        told = (np.concatenate([*out, np.zeros((0, len(LABELLERS)), int)]) + 49).astype(np.uint8)
+        yield pd.Series([row.tobytes().decode() for row in told], dtype="object")
+
+
+def patterns_of(votes: Iterable[str]) -> np.ndarray:
+    """The text form of votes as an array."""
+    return np.frombuffer("".join(votes).encode(), np.uint8).reshape(-1, len(LABELLERS)).astype(int) - 49
 
 
 def estimate(patterns: np.ndarray, counts: np.ndarray, steps: int = EM_STEPS) -> tuple[float, np.ndarray]:
@@ -129,52 +184,26 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, steps:
     return w, b
 
 
-def voted(docs: DataFrame) -> tuple[DataFrame, list[str]]:
-    words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[\s\p{Punct}]+"), lambda w: w != "")
-    votes = labellers(F.coalesce("text", F.lit("")), F.col("__words"))
-    cut = docs.withColumn("__words", words)
-    return cut.select(*docs.columns, F.array(*[v.cast("int") for v in votes.values()]).alias("votes")), list(votes)
-
-
-def sampled(docs: DataFrame, total: int, fit_texts: int) -> DataFrame:
-    """The fit_texts of total rows (doc_id, text) that have the lowest hashes of doc_id, text and the number of the repeat.
-
-    Equal rows are counted before they are numbered, so neither a frequent doc_id nor a frequent row gathers in a task.
-    """
-    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
-    counted = keyed.groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("n"))
-    parts = counted.withColumn("part", F.explode(F.sequence(F.lit(0), F.expr(f"(n - 1) div {_REPEATS}"))))
-    each = parts.select("doc_id", "h", F.explode(F.sequence(F.col("part") * _REPEATS, F.least("n", (F.col("part") + 1) * _REPEATS) - 1)).alias("nth"))
-    each = each.withColumn("spot", F.pmod(F.xxhash64("doc_id", "h", "nth", F.lit(29)), F.lit(1 << 62)))
-    # so many more than fit_texts that fewer are left once in a thousand million times
-    below = each.filter(F.col("spot") <= int(min(1.0, (fit_texts + 6 * fit_texts**0.5) / total) * (1 << 62)))
-    taken = below.orderBy("spot", "doc_id", "h", "nth").limit(fit_texts).groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("copies"))
-    taken = F.broadcast(taken.withColumnsRenamed({"doc_id": "taken_id", "h": "taken_h"}))
-    found = keyed.join(taken, F.col("doc_id").eqNullSafe(F.col("taken_id")) & (F.col("h") == F.col("taken_h")))
-    found = found.groupBy("doc_id", "h").agg(F.first("text").alias("text"), F.first("copies").alias("copies"))
-    return found.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc_id", "text")
-
-
 def fit(docs: DataFrame, fit_texts: int = FIT_TEXTS) -> tuple[dict, np.ndarray, float]:
     """Estimated chances of votes by class and the scorer's weights and bias, from rows (doc_id, text)."""
-    rows, names = voted(docs.select("doc_id", "text"))
-    counted = rows.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).collect()
+    votes = F.pandas_udf(voted, "string")("text").alias("votes")
+    counted = docs.select(votes).groupBy("votes").agg(F.count(F.lit(1)).alias("n")).orderBy("votes").collect()
     if not counted:
         return {}, np.zeros(1 << BITS), 0.0
-    patterns, counts = np.array([r["votes"] for r in counted]), np.array([float(r["n"]) for r in counted])
+    patterns, counts = patterns_of(r["votes"] for r in counted), np.array([float(r["n"]) for r in counted])
     share, chances = estimate(patterns, counts)
-    sample, _ = voted(sampled(docs, int(counts.sum()), fit_texts))
+    sample = sampled(docs.select("doc_id", "text"), fit_texts).select("text", votes)
 
     def featured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             each = [features(t) for t in batch["text"]]
-            mine = posterior(np.array(batch["votes"].tolist()), share, chances)
+            mine = posterior(patterns_of(batch["votes"]), share, chances)
             yield pd.DataFrame({"at": [a.astype(np.int32).tobytes() for a, _ in each], "value": [v.astype(np.float32).tobytes() for _, v in each], "target": mine})
 
     got = sorted(sample.mapInPandas(featured, "at binary, value binary, target double").collect())
     vectors = [(np.frombuffer(r["at"], np.int32).astype(np.int64), np.frombuffer(r["value"], np.float32).astype(np.float64)) for r in got]
     w, b = train(vectors, np.array([r["target"] for r in got])) if got else (np.zeros(1 << BITS), 0.0)
-    model = {"share": share, "names": names, "chances": chances}
+    model = {"share": share, "names": LABELLERS, "chances": chances}
     return model, w, b
 
 
@@ -192,7 +221,8 @@ def score(docs: DataFrame, weights: np.ndarray, bias: float) -> DataFrame:
                 out.append(float(1 / (1 + np.exp(-np.clip(value @ w[at] + b, -500, 500)))) if len(at) else 0.0)
             yield pd.Series(out, dtype="float64")
 
-    return docs.withColumn("quality", rated("text"))
+    rows = packed(docs, F.col("text").alias("__text")).withColumn("__quality", rated("__text"))
+    return rows.select(*unpacked(rows, "quality"), F.col("__quality").alias("quality"))
 
 
 def op8_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
