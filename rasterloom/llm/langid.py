@@ -6,12 +6,14 @@ text, the n-grams per language are counted (popcounts), corrected for each filte
 language with the largest corrected share decides.
 
 An n-gram belongs to a language if its share of that language's training texts is at least SHARE of its largest
-share in any language. The fit reads a sample bounded by FIT_TEXTS texts a language (the lowest hashes) and keeps
-GRAMS n-grams a language; both bound the model, which is broadcast (2**SLOT_BITS slots, 8 bytes per 64
-languages). Prediction covers whole texts of all rows.
+share in any language. The fit reads a sample of FIT_TEXTS texts a language (those of the lowest hashes of doc_id, text
+and repeat) and keeps all their n-grams: slots are filled by an aggregate, so the model has 2**SLOT_BITS slots of 8
+bytes per 64 languages however many n-grams there are; it is collected and broadcast. Prediction covers whole texts
+of all rows.
 
 Defined cases: a text that is null or has no letter gets `und`, score 0; ties go to the first language in order;
-with nothing to learn from, all rows get `und`; other columns pass through.
+with nothing to learn from, all rows get `und`; more than MAX_LANGUAGES different languages are an error; other columns
+pass through, but those that bear a result's name in any case.
 """
 
 from __future__ import annotations
@@ -24,28 +26,24 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rasterloom.llm import grams
-from rasterloom.llm.common import table
+from rasterloom.llm.common import packed, sampled, table, unpacked
 
 SIZES = (3, 4)
 FIT_TEXTS = 4000
-GRAMS = 40_000
 SHARE = 0.5
 SLOT_BITS = 20
 PROBES = 2
 UNKNOWN = "und"
+MAX_LANGUAGES = 256
 
 
 class Filters:
     """Bit-sliced Bloom filters: slots[w, i] has bit l of word w set if language 64*w + l has slot i set."""
 
-    def __init__(self, langs: list[str], keys: np.ndarray, lang_no: np.ndarray, bits: int = SLOT_BITS):
-        self.langs, self.bits = langs, bits
-        self.slots = np.zeros((max(1, -(-len(langs) // 64)), 1 << bits), np.uint64)
-        for probe in self.probes(keys):
-            for word in range(len(self.slots)):
-                own = lang_no // 64 == word
-                np.bitwise_or.at(self.slots[word], probe[own], np.uint64(1) << (lang_no[own] % 64).astype(np.uint64))
-        fill = np.array([self.bit(self.slots[i // 64], i % 64).mean() for i in range(len(langs))])
+    def __init__(self, langs: list[str], slots: np.ndarray):
+        self.langs, self.slots = langs, slots
+        self.bits = slots.shape[1].bit_length() - 1
+        fill = np.array([self.bit(slots[i // 64], i % 64).mean() for i in range(len(langs))])
         self.false_rate = fill**PROBES
 
     @staticmethod
@@ -80,33 +78,41 @@ class Filters:
         return self.langs[best], float(shares[best] / shares.sum()) if shares[best] > 0 else 0.0, float(shares[best])
 
 
-def fit(texts: DataFrame, fit_texts: int = FIT_TEXTS, keep: int = GRAMS) -> Filters:
+def slots_of(grams_of: DataFrame, bits: int = SLOT_BITS) -> DataFrame:
+    """Filled slots (word, slot, mask) of rows (number of a language, key)."""
+    low = F.lit((1 << bits) - 1)
+    probes = F.array(*[F.shiftrightunsigned("key", k * 24).bitwiseAND(low) for k in range(PROBES)])
+    each = grams_of.select(F.expr("number div 64").alias("word"), F.expr("shiftleft(1L, number % 64)").alias("mask"), F.explode(probes).alias("slot"))
+    return each.groupBy("word", "slot").agg(F.expr("bit_or(mask)").alias("mask"))
+
+
+def fit(texts: DataFrame, fit_texts: int = FIT_TEXTS, bits: int = SLOT_BITS) -> Filters:
     """Learn from rows (doc_id, text, lang); rows with a null text or lang teach nothing."""
     rows = texts.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not sizes:
-        return Filters([], np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    found = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()
+    if len(found) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages to learn")
+    sizes = {r["lang"]: min(r["n"], fit_texts) for r in found}
     langs = sorted(sizes)
-    part = F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(min(1.0, fit_texts / sizes[k])))])
-    spot = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(17)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = rows.filter(spot < part[F.col("lang")])
+    slots = np.zeros((max(1, -(-len(langs) // 64)), 1 << bits), np.uint64)
+    if not langs:
+        return Filters(langs, slots)
 
     def in_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for lang, own in batch.groupby("lang")["text"]:
+            for lang, own in batch.groupby("by")["text"]:
                 each = [np.unique(grams.hashes(grams.letter_line(t), SIZES)) for t in own]
                 keys, times = np.unique(np.concatenate([*each, np.zeros(0, np.uint64)]), return_counts=True)
                 yield pd.DataFrame({"lang": lang, "key": keys.view(np.int64), "n": times})
 
-    counted = sample.select("lang", "text").mapInPandas(in_texts, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
-    total = F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(float(min(sizes[k], fit_texts))))])
-    rated = counted.withColumn("share", F.col("n") / total[F.col("lang")])
+    sample = sampled(rows, fit_texts, F.col("lang")).select("by", "text")
+    counted = sample.mapInPandas(in_texts, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
+    about = F.create_map(*[x for i, k in enumerate(langs) for x in (F.lit(k), F.struct(F.lit(i).cast("long").alias("number"), F.lit(float(sizes[k])).alias("total")))])
+    rated = counted.withColumn("about", about[F.col("lang")]).withColumn("share", F.col("n") / F.col("about.total"))
     rated = rated.withColumn("most", F.max("share").over(Window.partitionBy("key"))).filter(F.col("share") >= F.col("most") * SHARE)
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("share"), "key"))
-    model = rated.withColumn("rank", rank).filter(F.col("rank") <= keep).select("lang", "key").toPandas()
-    number = {k: i for i, k in enumerate(langs)}
-    keys = np.ascontiguousarray(model["key"].to_numpy(np.int64)).view(np.uint64)
-    return Filters(langs, keys, model["lang"].map(number).to_numpy(np.int64))
+    filled = slots_of(rated.select("about.number", "key"), bits).toPandas()
+    slots[filled["word"].to_numpy(np.int64), filled["slot"].to_numpy(np.int64)] = filled["mask"].to_numpy(np.int64).view(np.uint64)
+    return Filters(langs, slots)
 
 
 def predict(docs: DataFrame, model: Filters) -> DataFrame:
@@ -118,8 +124,8 @@ def predict(docs: DataFrame, model: Filters) -> DataFrame:
         for texts in batches:
             yield pd.DataFrame([held.value.predict(t) for t in texts], columns=["lang_pred", "score", "support"])
 
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score", "support")]
-    return docs.withColumn("__told", told("text")).select(*kept, "__told.*")
+    rows = packed(docs, F.col("text").alias("__text")).withColumn("__told", told("__text"))
+    return rows.select(*unpacked(rows, "lang_pred", "score", "support"), "__told.*")
 
 
 def held_out(doc_id="doc_id"):
