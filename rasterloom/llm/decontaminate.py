@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import table
+from rasterloom.llm.common import packed, table, unpacked
 from rasterloom.llm.words import norm_words
 
 WINDOW = 10
@@ -112,10 +112,10 @@ def item_blocks(benchmark: DataFrame, max_chars: int = MAX_ITEM_CHARS) -> Iterat
 
 def mark(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, max_chars: int = MAX_ITEM_CHARS) -> DataFrame:
     """Add n_words, n_hit, items, spans (of the original text) to each row of docs."""
-    spark, out, names = docs.sparkSession, docs, []
+    spark, out, names = docs.sparkSession, packed(docs, F.col("text").alias("__text")), []
     for k, items in enumerate(item_blocks(benchmark, max_chars)):
         names.append(f"__found{k}")
-        out = out.withColumn(names[-1], _scanner(_Items(spark, items), width)("text"))
+        out = out.withColumn(names[-1], _scanner(_Items(spark, items), width)("__text"))
 
     def merged(field: str) -> Column:
         return F.concat(*[F.col(f"{n}.{field}") for n in names]) if len(names) > 1 else F.col(f"{names[0]}.{field}")
@@ -124,8 +124,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, max_chars:
         n_hit = F.aggregate(merged("runs"), F.lit(0), lambda acc, r: acc + r["to"] - r["from"])
     else:
         n_hit = F.size(F.array_distinct(F.flatten(F.transform(merged("runs"), lambda r: F.sequence(r["from"], r["to"] - 1)))))
-    kept = [c for c in docs.columns if c not in ("n_words", "n_hit", "items", "spans")]
-    return out.select(*kept, F.col(f"{names[0]}.n_words").alias("n_words"), n_hit.cast("long").alias("n_hit"),
+    return out.select(*unpacked(out, "n_words", "n_hit", "items", "spans"), F.col(f"{names[0]}.n_words").alias("n_words"), n_hit.cast("long").alias("n_hit"),
                       F.array_sort(F.array_distinct(merged("items"))).alias("items"), merged("spans").alias("spans"))
 
 

@@ -7,7 +7,7 @@ sizes in rows differ by one at most (law `rows`), slots are gapless, and both ar
 
 Defined cases: a null text has no bytes and the checksum of empty text; null doc_ids come first; repeated rows
 each take a position of their own; an empty table gives an empty result; other columns pass through, and
-columns of the input that bear a result's name are replaced.
+columns of the input that bear a result's name, in any case, are replaced.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import number_rows, table
+from rasterloom.llm.common import number_rows, table, unpacked
 
 ROUNDS = 8
 
@@ -76,21 +76,21 @@ def permute(df: DataFrame, row_no: str, n: int, seed: int, name: str = "position
 def shard(df: DataFrame, shards: int = 8, seed: int = 20240501, keep_text: bool = True) -> DataFrame:
     """Deal rows with doc_id and text into shards; adds size, text_crc32, law, shard, slot, grown_shard."""
     spark = df.sparkSession
-    text = F.coalesce(F.col("text"), F.lit(""))
-    sized = df.withColumn("size", (F.octet_length(text) + 1).cast("long")).withColumn("text_crc32", F.crc32(text.cast("binary")).cast("long"))
-    keys = [F.col("doc_id"), F.xxhash64("text")]
-    if not keep_text:
-        sized = sized.withColumn("__h", keys[1]).drop("text")
-        keys[1] = F.col("__h")
-    rows, n = number_rows(spark, sized, keys, "__row")
-    placed = permute(rows, "__row", n, seed, "__pos")
+    text, own = F.coalesce(F.col("text"), F.lit("")), ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    held = F.struct(*[c for c in df.columns if keep_text or c != "text"]).alias("__in")
+    sized = df.select(
+        held, F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"), (F.octet_length(text) + 1).cast("long").alias("size"),
+        F.crc32(text.cast("binary")).cast("long").alias("text_crc32"),
+    )
+    rows, n = number_rows(spark, sized, [F.col("id"), F.col("hash")], "row")
+    placed = permute(rows, "row", n, seed, "position")
     return placed.select(
-        *[c for c in df.columns if c in rows.columns and c not in ("shard", "slot", "law", "grown_shard", "size", "text_crc32")],
+        *unpacked(placed, *own),
         "size",
         "text_crc32",
         F.lit("rows").alias("law"),
-        F.pmod(F.col("__pos"), F.lit(shards)).cast("int").alias("shard"),
-        F.expr(f"__pos div {int(shards)}").cast("long").alias("slot"),
+        F.pmod(F.col("position"), F.lit(shards)).cast("int").alias("shard"),
+        F.expr(f"position div {int(shards)}").cast("long").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
     )
 
