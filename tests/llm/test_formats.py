@@ -5,6 +5,7 @@ import hashlib
 import json
 import random
 import re
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -44,6 +45,17 @@ def test_each_member_of_a_normalised_archive_is_a_record(spark):
         assert gzip.decompress(member).startswith(b"WARC/1.1\r\n") and member[:2] == b"\x1f\x8b"
 
 
+def test_archives_are_bounded_and_their_indices_lie_beside_them(spark, monkeypatch):
+    monkeypatch.setattr(warc, "RECORDS_AN_ARCHIVE", 15)
+    raw, out = fresh_path(spark, "raw"), fresh_path(spark, "out")
+    pages = spark.createDataFrame([(i, f"u{i}", f"page {i % 30} " * 50, None) for i in range(100)], PAGES).coalesce(1)
+    warc.write_archives(pages, raw)
+    warc.normalise(spark, raw, out)
+    index = warc.read_index(spark, out)
+    assert index.count() == 100 and index.groupBy("archive").count().agg(F.max("count")).first()[0] <= 15
+    assert sorted(r.page_id for r in warc.read_records(index).collect()) == list(range(100))
+
+
 def test_warc_empty_table(spark):
     index, got = roundtrip(spark, [])
     assert got == [] and index.count() == 0
@@ -51,10 +63,19 @@ def test_warc_empty_table(spark):
 
 def test_inflate_reads_streams_of_several_members_and_rejects_torn_records():
     parts = [b"WARC/1.1\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"] * 3
-    assert b"".join(warc.inflate(b"".join(map(gzip.compress, parts)))) == b"".join(parts)
+    whole = b"".join(map(gzip.compress, parts))
+    for n in (1, 7, len(whole)):
+        assert b"".join(warc.inflate(whole[i : i + n] for i in range(0, len(whole), n))) == b"".join(parts)
+    bomb = gzip.compress(bytes(10_000_000))
+    assert max(map(len, warc.inflate([bomb]))) <= 1 << 18 and sum(map(len, warc.inflate([bomb]))) == 10_000_000
+    assert list(warc.inflate([])) == []
     assert len(list(warc.split_records(iter([b"".join(parts)[:50], b"".join(parts)[50:]])))) == 3
     with pytest.raises(ValueError):
         list(warc.split_records(iter([parts[0][:-1]])))
+    # a stream that ends at the end of a record is still cut off
+    z = zlib.compressobj(6, zlib.DEFLATED, 31)
+    with pytest.raises(ValueError):
+        list(warc.split_records(warc.inflate([z.compress(b"".join(parts)) + z.flush(zlib.Z_SYNC_FLUSH)])))
 
 
 # ---- chat
@@ -77,6 +98,20 @@ def digest(turns):
     return len(turns), hashlib.sha256(whole.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest()
 
 
+def tokens_of(shown):
+    text = shown[len(chat.OPEN) :].split("\n", 1)[1]
+    text = text.replace("\\\\", "<").replace("\\l", "_").replace("<", "\\")
+    return len(re.split(r"\s+", text)) + chat.TURN_TOKENS
+
+
+def test_windows_are_well_filled_and_within_the_budget(spark):
+    rng = random.Random(9)
+    rows = [(1, k, "user" if k % 2 else "assistant", "w " * rng.randrange(20, 60)) for k in range(1, 1000)] + [(1, 0, "system", "be kind")]
+    windows = chat.format_windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), budget=1024, history=2, history_budget=256).collect()
+    assert len(windows) > 40 and max(w.n_tokens for w in windows) <= 1024
+    assert sum(w.n_tokens for w in windows) / len(windows) > 700 and all(w.n_repeated == 3 for w in windows[1:] if w.span)
+
+
 def test_chat_windows_against_brute_force(spark):
     rng = random.Random(5)
     rows, want = [], {}
@@ -87,8 +122,11 @@ def test_chat_windows_against_brute_force(spark):
         want[conv] = digest(turns)
     rng.shuffle(rows)
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, span string")
-    for budget in (16, 1024):
-        windows = chat.format_windows(df, budget=budget, history=2, history_budget=64)
+    rows += [(99, 5, "user", "same words", "x")] * 300 + [(99, 6, "assistant", "yes", "x")]
+    want[99] = digest([("user", "same words")] * 300 + [("assistant", "yes")])
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, span string")
+    for budget in (16, 150, 1024):
+        windows = chat.format_windows(df, budget=budget, history=2, history_budget=min(64, budget // 4))
         got = {r.conv_id: r for r in chat.read_back(windows).collect()}
         assert {k: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for k, r in got.items()} == want
         for w in windows.collect():
@@ -96,6 +134,9 @@ def test_chat_windows_against_brute_force(spark):
             assert all(s.startswith(chat.OPEN) for s in shown)
             own = shown[w.n_repeated :]
             assert w.n_repeated <= 3 and own
+            assert w.n_tokens == sum(tokens_of(s) for s in shown)
+            # beyond the budget are only single turns with the system turn
+            assert w.n_tokens <= budget or (len(own) == 1 and w.n_repeated <= 1)
             assert len(w.loss_spans) == sum(s[len(chat.OPEN) :].split("\n", 1)[0] == "assistant" for s in own)
 
 
@@ -104,7 +145,8 @@ def test_chat_keeps_the_system_turn_and_limits_history(spark):
     df = spark.createDataFrame([(1, k, r, t) for k, (r, t) in enumerate(turns)], "conv_id long, turn long, role string, text string")
     windows = chat.format_windows(df, budget=60, history=1, history_budget=30).orderBy("span").collect()
     assert len(windows) > 3
-    for w in windows[1:]:
+    assert windows[0].n_repeated == 0 and windows[1].n_repeated == 1
+    for w in windows[2:]:
         assert w.formatted.startswith("<turn>system\nbe kind</turn>") and w.n_repeated == 2
         assert all(w.formatted[s.start : s.start + s.length].startswith("t") for s in w.loss_spans)
 
