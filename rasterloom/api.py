@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import warnings
 from collections.abc import Callable
+from functools import reduce
+from importlib import metadata
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.functions.axes import stored_layout
+from rasterloom.functions.axes import Layout, stored_layout
 from rasterloom.metadata import ome
 from rasterloom.operators import grid, pyramid
 from rasterloom.operators.slide import Slide
@@ -19,6 +21,21 @@ from rasterloom.sources import raster, store
 WRITERS: dict[str, Callable | None] = {"png": writers.png_file, "tiff": writers.tiff, "zarr": writers.zarr, "svs": None}
 
 
+def register_writer(name: str, writer: Callable) -> None:
+    """Add a format: writer(tiles, rows of levels, common metadata, destination, **options)."""
+    WRITERS[name] = writer
+
+
+def load_plugins() -> list[str]:
+    """Register the readers and writers that installed packages declare as entry points; returns their names."""
+    found = []
+    for group, add in (("rasterloom.readers", raster.register), ("rasterloom.writers", register_writer)):
+        for point in metadata.entry_points(group=group):
+            add(point.name, point.load())
+            found.append(point.name)
+    return found
+
+
 class MetadataCallbackError(Exception):
     """A user's metadata function failed."""
 
@@ -47,22 +64,30 @@ def codecs_by_level(compressor: str | dict[int, str] | None, levels: int) -> dic
 def ingest(
     spark: SparkSession, source: str, path: str, image_id: str, codec: str = "tiff", *, level_min: int = 0, tiles: dict[str, int] | None = None,
     preserve_axes: bool = False, exclude_metadata: bool | Callable[[str], str] | None = None, compressor: str | dict[int, str] | None = None,
-    scale_factors: list[float] | None = None,
+    scale_factors: list[float] | None = None, folded: bool = False, **options,
 ) -> Slide:
-    """Load a file's levels from level_min on as image_id of the store at path; levels already there are skipped."""
-    about = raster.READERS[codec](source).describe()
+    """Load a file's levels from level_min on as image_id of the store at path; levels already there are skipped.
+
+    folded: lay the channels of a plane side by side in X; options go to the reader.
+    """
+    about = raster.READERS[codec](source, **options).describe()
     if not store.check_version(spark, path, image_id):
         return Slide(spark, path, image_id)
     codecs = codecs_by_level(compressor, len(about["levels"]))
     channels = about["image"].get("channels", [])
     for level in about["levels"][level_min:][: 1 if scale_factors else None]:
-        axes, change = stored_layout(about["axes"], tuple(level["shape"]), preserve=preserve_axes)
+        depth = dict(zip(about["axes"], level["shape"], strict=True)).get("C", 1) if folded else 1
+        axes, change = stored_layout(about["axes"], tuple(level["shape"]), depth, preserve_axes)
         shape = change.shape(tuple(level["shape"]))
+        tile = grid.extents(axes, (*shape[:-1], shape[-1] // depth), tiles)
+        tile = (*tile[:-1], tile[-1] * depth)
         row = {
-            "image_id": image_id, "level": level["level"], "axes": axes, "shape": list(shape), "dtype": level["dtype"], "tile": list(grid.extents(axes, shape, tiles)),
-            "codec": codecs[level["level"]], "pixel_depth": 1, "original_axes": about["axes"], "original_shape": list(level["shape"]), "properties": {"level": str(level["level"])},
+            "image_id": image_id, "level": level["level"], "axes": axes, "shape": list(shape), "dtype": level["dtype"], "tile": list(tile),
+            "codec": codecs[level["level"]], "pixel_depth": depth, "original_axes": about["axes"], "original_shape": list(level["shape"]), "properties": {"level": str(level["level"])} | ({"tags": store.as_json(level["tags"])} if "tags" in level else {}),
         }
-        store.save_level(spark, path, row, rearranged(raster.blocks(spark, source, codec, level["level"]), change, image_id))
+        if depth > 1:  # a channel at a time may come; store.save_level lays them side by side
+            change = Layout(about["axes"], "YXC")
+        store.save_level(spark, path, row, rearranged(raster.blocks(spark, source, codec, level["level"], **options), change, image_id))
         if level["level"] == level_min:
             add_ranges(spark, path, row, channels)
     if scale_factors:
@@ -99,8 +124,8 @@ def rearranged(blocks: DataFrame, change, image_id: str) -> DataFrame:
 
 def add_ranges(spark: SparkSession, path: str, level: dict, channels: list[dict]) -> None:
     """Give channels the range of their cells, unless the source gave one; read from the stored tiles."""
-    found = store.tiles(spark, path).filter((F.col("image_id") == level["image_id"]) & (F.col("level") == level["level"]))
-    measured = {r["c"]: r for r in store.channel_stats(found, level["axes"]).collect()}
+    named = store.levels(spark, path).filter((F.col("image_id") == level["image_id"]) & (F.col("level") == level["level"])).first()
+    measured = {r["c"]: r for r in store.channel_stats(store.level_tiles(spark, path, named), level["axes"], level["pixel_depth"]).collect()}
     for i, channel in enumerate(channels):
         if i in measured:
             channel.setdefault("min", measured[i]["min"])
@@ -110,6 +135,8 @@ def add_ranges(spark: SparkSession, path: str, level: dict, channels: list[dict]
 def build_pyramid(spark: SparkSession, path: str, image_id: str, base: int, factors: list[float], progressive: bool = False) -> None:
     """Generate levels base+1, ... by smoothed linear resampling, each from the base or from the level before."""
     top = store.levels(spark, path).filter((F.col("image_id") == image_id) & (F.col("level") == base)).first().asDict()
+    if top["pixel_depth"] > 1:
+        raise ValueError("a pyramid can't be made of channels side by side")
     size = dict(zip(top["axes"], top["shape"], strict=True))
     lead = [d for d in top["axes"] if d not in "YX"]
     now, now_size, done = top, size, 1.0
@@ -121,7 +148,8 @@ def build_pyramid(spark: SparkSession, path: str, image_id: str, base: int, fact
         tile = [min(t, n) for t, n in zip(top["tile"], shape, strict=True)]
         row = top | {"level": base + 1 + i, "shape": shape, "tile": tile, "properties": {"level": str(base + 1 + i), "factor": str(factor)}}
         row["original_shape"] = [dict(zip(top["axes"], shape, strict=True)).get(d, 1) for d in top["original_axes"]]
-        found = store.tiles(spark, path).filter((F.col("image_id") == image_id) & (F.col("level") == source["level"]))
+        named = store.levels(spark, path).filter((F.col("image_id") == image_id) & (F.col("level") == source["level"])).first()
+        found = store.level_tiles(spark, path, named)
         extent = max(tile[top["axes"].index("Y")], tile[top["axes"].index("X")])
         store.save_level(spark, path, row, resampled_planes(found, top["axes"], lead, (source_size["Y"], source_size["X"]), step, extent, row))
         now, now_size, done = row, dict(zip(top["axes"], shape, strict=True)), factor if progressive else 1.0
@@ -164,8 +192,8 @@ def resampled_planes(found: DataFrame, axes: str, lead: list[str], shape: tuple[
     return made.mapInPandas(whole, "image_id string, level int, start array<int>, extent array<int>, dtype string, data binary")
 
 
-def export(spark: SparkSession, path: str, image_id: str, dest: str, codec: str = "tiff", *, level_min: int = 0) -> None:
-    """Write an image's levels from level_min on to a file (or folder) in their original axes."""
+def export(spark: SparkSession, path: str, image_id: str, dest: str, codec: str = "tiff", *, level_min: int = 0, **options) -> None:
+    """Write an image's levels from level_min on to a file (or folder) in their original axes; options go to the writer."""
     import json
 
     writer = WRITERS.get(codec)
@@ -175,8 +203,5 @@ def export(spark: SparkSession, path: str, image_id: str, dest: str, codec: str
     rows = [r.asDict() for r in slide._levels if r["level"] >= level_min]
     if not rows:
         raise ValueError(f"image {image_id!r} has no level from {level_min} on")
-    found = store.tiles(spark, path).filter((F.col("image_id") == image_id) & (F.col("level") >= level_min))
-    if codec == "png":
-        writer(found.filter(F.col("level") == rows[0]["level"]), rows[0], dest)
-    else:
-        writer(found, rows, json.loads(slide.properties), dest)
+    found = reduce(DataFrame.unionByName, [store.level_tiles(spark, path, r) for r in rows])
+    writer(found, rows, json.loads(slide.properties), dest, **options)

@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ORDER = "TCZYX"
@@ -43,186 +42,101 @@ class Axes:
         large = {d for d, n in zip(own.dims, shape, strict=True) if n > 1 or d in "XY"}
         return Axes("".join(d for d in ORDER if d in large))
 
-    def mapper(self, target: Axes) -> Chain:
-        return plan(self.dims, target.dims)
-
-
-class Mapper:
-    """A change of layout that can be undone."""
-
-    def array(self, a: np.ndarray) -> np.ndarray:
-        raise NotImplementedError
-
-    def shape(self, s: tuple) -> tuple:
-        raise NotImplementedError
-
-    def tile(self, t: tuple[slice, ...]) -> tuple[slice, ...]:
-        return self.shape(t)
-
-    def inverse(self) -> Mapper:
-        raise NotImplementedError
-
 
 @dataclass(frozen=True)
-class Swap(Mapper):
-    i: int
-    j: int
-
-    def array(self, a):
-        return np.swapaxes(a, self.i, self.j)
-
-    def shape(self, s):
-        out = list(s)
-        out[self.i], out[self.j] = out[self.j], out[self.i]
-        return tuple(out)
+class Layout:
+    """How an array in the order `source` lies in the order `target`; either may hold `depth` channels side by side in its last axis X.
 
-    def inverse(self):
-        return self
-
-
-@dataclass(frozen=True)
-class Move(Mapper):
-    i: int
-    j: int
+    Dimensions that the target lacks have size 1 and go; those that the source lacks come in with size 1.
+    """
 
-    def array(self, a):
-        return np.moveaxis(a, self.i, self.j)
+    source: str
+    target: str
+    source_depth: int = 1
+    target_depth: int = 1
 
-    def shape(self, s):
-        out = list(s)
-        out.insert(self.j, out.pop(self.i))
+    def __post_init__(self) -> None:
+        for dims, depth in ((self.source, self.source_depth), (self.target, self.target_depth)):
+            if depth > 1 and (dims[-1] != "X" or "C" in dims):
+                raise ValueError(f"axes {dims!r} can't hold channels in X")
+
+    def back(self) -> Layout:
+        return Layout(self.target, self.source, self.target_depth, self.source_depth)
+
+    @property
+    def _named(self) -> tuple[str, str]:
+        """Both orders with channels as a dimension of their own."""
+        return tuple(dims + "C" * (depth > 1) for dims, depth in ((self.source, self.source_depth), (self.target, self.target_depth)))
+
+    def shape(self, sizes: tuple[int, ...]) -> tuple[int, ...]:
+        names, wanted = self._named
+        sizes = tuple(sizes)
+        if self.source_depth > 1:
+            sizes = (*sizes[:-1], sizes[-1] // self.source_depth, self.source_depth)
+        held = dict(zip(names, sizes, strict=True))
+        if any(n != 1 for d, n in held.items() if d not in wanted):
+            raise ValueError(f"dimensions of {self.source!r} that {self.target!r} lacks must have size 1")
+        out = [held.get(d, 1) for d in wanted]
+        if self.target_depth > 1:
+            if out[-1] != self.target_depth:
+                raise ValueError(f"{out[-1]} channels where {self.target_depth} lie side by side")
+            out[-2:] = [out[-2] * out[-1]]
         return tuple(out)
 
-    def inverse(self):
-        return Move(self.j, self.i)
-
-
-@dataclass(frozen=True)
-class Squeeze(Mapper):
-    at: tuple[int, ...]
-
-    def array(self, a):
-        return np.squeeze(a, self.at)
-
-    def shape(self, s):
-        if any(s[i] != 1 for i in self.at if not isinstance(s[i], slice)):
-            raise ValueError("only dimensions of size 1 can be dropped")
-        return tuple(x for i, x in enumerate(s) if i not in self.at)
-
-    def inverse(self):
-        return Unsqueeze(self.at)
-
-
-@dataclass(frozen=True)
-class Unsqueeze(Mapper):
-    at: tuple[int, ...]
-
-    def array(self, a):
-        return np.expand_dims(a, self.at)
-
-    def _filled(self, s, fill):
-        rest = iter(s)
-        return tuple(fill if i in self.at else next(rest) for i in range(len(s) + len(self.at)))
-
-    def shape(self, s):
-        return self._filled(s, 1)
-
-    def tile(self, t):
-        return self._filled(t, slice(None))
-
-    def inverse(self):
-        return Squeeze(self.at)
-
-
-@dataclass(frozen=True)
-class Fold(Mapper):
-    """YXC to YX, channels side by side in X."""
-
-    channels: int
-
-    def array(self, a):
-        return a.reshape(self.shape(a.shape))
-
-    def shape(self, s):
-        y, x, c = s
-        if c != self.channels:
-            raise ValueError(f"{c} channels where {self.channels} are folded")
-        return (y, x * c)
-
-    def tile(self, t):
-        y, x, c = t
-        if (c.start or 0) != 0 or c.stop not in (None, self.channels):
-            raise ValueError("a folded tile has all channels")
-        return (y, slice(x.start * self.channels, x.stop * self.channels))
-
-    def inverse(self):
-        return Unfold(self.channels)
-
-
-@dataclass(frozen=True)
-class Unfold(Mapper):
-    """YX to YXC, the inverse of Fold."""
-
-    channels: int
-
-    def array(self, a):
-        return a.reshape(self.shape(a.shape))
-
-    def shape(self, s):
-        return (s[0], s[1] // self.channels, self.channels)
-
-    def tile(self, t):
-        return (t[0], slice(t[1].start // self.channels, t[1].stop // self.channels), slice(0, self.channels))
-
-    def inverse(self):
-        return Fold(self.channels)
-
-
-@dataclass(frozen=True)
-class Chain(Mapper):
-    steps: tuple[Mapper, ...]
-
-    def array(self, a):
-        return reduce(lambda x, m: m.array(x), self.steps, a)
+    def tile(self, tile: tuple[slice, ...]) -> tuple[slice, ...]:
+        """Where a tile of the source lies in the target; an added dimension is whole."""
+        names, wanted = self._named
+        tile = tuple(tile)
+        if self.source_depth > 1:
+            x, n = tile[-1], self.source_depth
+            tile = (*tile[:-1], slice(x.start // n, -(-x.stop // n)), slice(0, n))
+        held = dict(zip(names, tile, strict=True))
+        out = [held.get(d, slice(None)) for d in wanted]
+        if self.target_depth > 1:
+            x, c = out[-2:]
+            if (c.start or 0, c.stop or self.target_depth) != (0, self.target_depth):
+                raise ValueError("a tile with channels side by side has all of them")
+            out[-2:] = [slice(x.start * self.target_depth, x.stop * self.target_depth)]
+        return tuple(out)
 
-    def shape(self, s):
-        return reduce(lambda x, m: m.shape(x), self.steps, tuple(s))
+    def array(self, a: np.ndarray) -> np.ndarray:
+        names, wanted = self._named
+        shape = self.shape(a.shape)
+        if self.source_depth > 1:
+            a = a.reshape(*a.shape[:-1], a.shape[-1] // self.source_depth, self.source_depth)
+        gone = [d for d in names if d not in wanted]
+        turned = a.transpose([names.index(d) for d in gone] + [names.index(d) for d in wanted if d in names])
+        return turned.reshape(shape)
 
-    def tile(self, t):
-        return reduce(lambda x, m: m.tile(x), self.steps, tuple(t))
 
-    def inverse(self):
-        return Chain(tuple(m.inverse() for m in reversed(self.steps)))
+def stored_layout(source: str, shape: tuple[int, ...], folded: int = 1, preserve: bool = False) -> tuple[str, Layout]:
+    """Stored axes and the layout of an array of the source's axes in them: YX with channels side by side, the source's own, or canonical."""
+    if folded > 1:
+        return "YX", Layout(source, "YX", 1, folded)
+    if preserve:
+        return source, Layout(source, source)
+    own = Axes(source)
+    target = own.canonical(shape).dims
+    return target, Layout(own.named().dims, target)
 
 
-def plan(source: str, target: str) -> Chain:
-    """Drop what the target lacks, move the rest into the target's order, add what the source lacks."""
-    steps: list[Mapper] = []
-    gone = tuple(i for i, d in enumerate(source) if d not in target)
-    if gone:
-        steps.append(Squeeze(gone))
-    now, goal = [d for d in source if d in target], [d for d in target if d in source]
-    for at, d in enumerate(goal):
-        if (i := now.index(d)) != at:
-            steps.append(Move(i, at))
-            now.insert(at, now.pop(i))
-    new = tuple(i for i, d in enumerate(target) if d not in source)
-    if new:
-        steps.append(Unsqueeze(new))
-    return Chain(tuple(steps))
+def level_layout(level: dict) -> Layout:
+    """From a stored level's axes to its original ones."""
+    original = level["original_axes"]
+    return Layout(level["axes"], original if original == level["axes"] else Axes(original).named().dims, level.get("pixel_depth") or 1, 1)
 
 
-def folding_mapper(source: str, channels: int) -> Chain:
-    """Any layout to YX with channels folded into X."""
-    return Chain((*plan(source, "YXC").steps, Fold(channels)))
+def canonical_axes(shape: Column) -> Column:
+    """The canonical axes of an image with sizes in the order TCZYX: those of more than one cell, and X and Y."""
+    names = F.array(*[F.lit(d) for d in ORDER])
+    return F.array_join(F.filter(names, lambda d, i: (F.get(shape, i) > 1) | d.isin("X", "Y")), "")
 
 
-def stored_layout(source: str, shape: tuple[int, ...], folded: int = 1, preserve: bool = False) -> tuple[str, Chain]:
-    """Stored axes and the mapping to them: folded YX, the source's own, or canonical."""
-    if folded > 1:
-        return "YX", folding_mapper(source, folded)
-    target = source if preserve else Axes(source).canonical(shape).dims
-    return target, plan(Axes(source).named().dims if not preserve else source, target)
+def axes_held(axes: Column, pixel_depth: Column) -> Column:
+    """Which original axes each stored axis holds, as a map: itself, and X also C where channels lie side by side."""
+    names = F.filter(F.split(axes, ""), lambda d: d != "")
+    held = F.transform(names, lambda d: F.when((d == "X") & (pixel_depth > 1), F.array(d, F.lit("C"))).otherwise(F.array(d)))
+    return F.map_from_arrays(names, held)
 
 
 # ---- the same on cells: coordinates are columns, so a permutation is a projection

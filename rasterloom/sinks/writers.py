@@ -9,21 +9,30 @@ from __future__ import annotations
 import json
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.functions.axes import plan
+from rasterloom.functions.axes import Layout, level_layout
 from rasterloom.metadata import ome
 from rasterloom.sources import files, png
 
+_PIECES = "level int, page int, ty int, tx int, y int, x int, h int, w int, n int, dtype string, data binary"
 #: Side of a tile in exported TIFF files.
 TIFF_TILE = 256
 
 
+def original(level: dict, tile) -> tuple[np.ndarray, list[int]]:
+    """Pixels and start of a stored tile in the original axes."""
+    change = level_layout(level)
+    block = change.array(np.frombuffer(tile.data, tile.dtype).reshape(tuple(tile.extent)))
+    place = change.tile(tuple(slice(int(a), int(a) + int(n)) for a, n in zip(tile.start, tile.extent, strict=True)))
+    return block, [p.start or 0 for p in place]
+
+
 def zarr(tiles: DataFrame, levels: list[dict], image: dict, dest: str) -> None:
     """A chunk file a tile, in the original axes; sidecars last."""
     by_level = {r["level"]: r for r in levels}
@@ -32,11 +41,9 @@ def zarr(tiles: DataFrame, levels: list[dict], image: dict, dest: str) -> None:
         for batch in batches:
             for t in batch.itertuples():
                 level = by_level[t.level]
-                change = plan(level["axes"], level["original_axes"])
-                block = change.array(np.frombuffer(t.data, t.dtype).reshape(tuple(t.extent)))
-                full = change.shape(tuple(level["tile"]))
-                start = change.shape(tuple(int(s) // n for s, n in zip(t.start, level["tile"], strict=True)))
-                index = [k if d in level["axes"] else 0 for k, d in zip(start, level["original_axes"], strict=True)]
+                block, start = original(level, t)
+                full = level_layout(level).shape(tuple(level["tile"]))
+                index = [s // n for s, n in zip(start, full, strict=True)]
                 chunk = np.zeros(full, t.dtype)
                 chunk[tuple(slice(0, n) for n in block.shape)] = block
                 files.write_whole(f"{dest}/{t.level}/" + ".".join(map(str, index)), zlib.compress(chunk.tobytes(), 5))
@@ -44,7 +51,7 @@ def zarr(tiles: DataFrame, levels: list[dict], image: dict, dest: str) -> None:
 
     tiles.mapInPandas(write, "n long").agg(F.sum("n")).collect()
     for r in levels:
-        change = plan(r["axes"], r["original_axes"])
+        change = level_layout(r)
         spec = {"zarr_format": 2, "shape": list(change.shape(tuple(r["shape"]))), "chunks": list(change.shape(tuple(r["tile"]))), "dtype": np.dtype(r["dtype"]).str,
                 "compressor": {"id": "zlib", "level": 5}, "fill_value": 0, "order": "C", "filters": None}
         files.write_whole(f"{dest}/{r['level']}/.zarray", json.dumps(spec).encode())
@@ -58,43 +65,54 @@ def tiff(tiles: DataFrame, levels: list[dict], image: dict, dest: str, tile: int
     by_level = {r["level"]: r for r in levels}
     interleaved = levels[0]["original_axes"].endswith("YXC")
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for t in batch.itertuples():
-                r = by_level[t.level]
-                change = plan(r["axes"], r["original_axes"])
-                block = change.array(np.frombuffer(t.data, t.dtype).reshape(tuple(t.extent)))
-                start = [int(t.start[r["axes"].index(d)]) if d in r["axes"] else 0 for d in r["original_axes"]]
+                block, start = original(by_level[t.level], t)
                 if not interleaved:
                     block, start = block[..., None], [*start, 0]
-                lead = change.shape(tuple(r["shape"]))[: len(start) - 3]
+                lead = level_layout(by_level[t.level]).shape(tuple(by_level[t.level]["shape"]))[: len(start) - 3]
+                y0, x0 = start[-3:-1]
                 for where in np.ndindex(block.shape[:-3]):
                     page = int(np.ravel_multi_index([a + b for a, b in zip(where, start[:-3], strict=True)], lead)) if lead else 0
                     plane = block[where]
-                    for y in range(0, plane.shape[0], tile):
-                        for x in range(0, plane.shape[1], tile):
-                            part = plane[y : y + tile, x : x + tile]
-                            whole = np.zeros((tile, tile, plane.shape[2]), plane.dtype)
-                            whole[: part.shape[0], : part.shape[1]] = part
-                            rows.append((t.level, page, (start[-3] + y) // tile, (start[-2] + x) // tile, zlib.compress(whole.tobytes(), 5)))
-            yield pd.DataFrame(rows, columns=["level", "page", "ty", "tx", "data"])
+                    h, w, n = plane.shape
+                    for ty in range(y0 // tile, (y0 + h - 1) // tile + 1):
+                        for tx in range(x0 // tile, (x0 + w - 1) // tile + 1):
+                            top, left = max(y0, ty * tile), max(x0, tx * tile)
+                            part = plane[top - y0 : (ty + 1) * tile - y0, left - x0 : (tx + 1) * tile - x0]
+                            rows.append((t.level, page, ty, tx, top - ty * tile, left - tx * tile, *part.shape, t.dtype, part.tobytes()))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in _PIECES.split(", ")])
+
+    def deflated(pieces: Iterable) -> bytes:
+        whole = None
+        for p in pieces:
+            if whole is None:
+                whole = np.zeros((tile, tile, p.n), p.dtype)
+            whole[p.y : p.y + p.h, p.x : p.x + p.w] = np.frombuffer(p.data, p.dtype).reshape(p.h, p.w, p.n)
+        return zlib.compress(whole.tobytes(), 5)
+
+    def alone(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch[order].assign(data=[deflated([p]) for p in batch.itertuples()])
+
+    def together(pieces: pd.DataFrame) -> pd.DataFrame:
+        return pieces[order].iloc[:1].assign(data=[deflated(pieces.itertuples())])
 
-    for r in levels:
-        at = dict(zip(r["axes"], r["tile"], strict=True))
-        whole = dict(zip(r["axes"], r["shape"], strict=True))
-        if any(at[d] % tile and at[d] < whole[d] for d in "YX"):
-            raise ValueError(f"stored tiles must be multiples of {tile} to be exported as TIFF")
     order = ["level", "page", "ty", "tx"]
-    encoded = tiles.mapInPandas(encode, "level int, page int, ty int, tx int, data binary").orderBy(*order).persist()
+    pieces, encoded_as = tiles.mapInPandas(cut, _PIECES), "level int, page int, ty int, tx int, data binary"
+    # a stored tile that ends on a border of exported ones holds them whole
+    fits = all(t % (tile * (r["pixel_depth"] if d == "X" else 1)) == 0 or t >= n for r in levels for d, t, n in zip(r["axes"], r["tile"], r["shape"], strict=True) if d in "YX")
+    encoded = pieces.mapInPandas(alone, encoded_as) if fits else pieces.groupBy(*order).applyInPandas(together, encoded_as)
+    encoded = encoded.orderBy(*order).persist()
     sizes = encoded.select(*order, F.length("data").alias("n")).orderBy(*order).toPandas()
     at = 16 + np.concatenate([[0], np.cumsum(sizes["n"].to_numpy())]).astype(np.int64)
     places = {k: (at[g.index].tolist(), g["n"].tolist()) for k, g in sizes.groupby(["level", "page"])}
     end, body = int(at[-1]), bytearray()
 
     def directory(r: dict, page: int, text: str, subs: list[int]) -> int:
-        change = plan(r["axes"], r["original_axes"])
-        shape = change.shape(tuple(r["shape"]))
+        shape = level_layout(r).shape(tuple(r["shape"]))
         h, w, n = shape[-3:] if interleaved else (*shape[-2:], 1)
         kind = np.dtype(r["dtype"])
         offsets, lengths = places[(r["level"], page)]
@@ -119,7 +137,7 @@ def tiff(tiles: DataFrame, levels: list[dict], image: dict, dest: str, tile: int
     top = levels[0]
     pages = sorted({p for lv, p in places if lv == top["level"]})
     subs = {p: [directory(r, p, "", []) for r in levels[1:]] for p in pages}
-    sizes_of = dict(zip(top["original_axes"], plan(top["axes"], top["original_axes"]).shape(tuple(top["shape"])), strict=True))
+    sizes_of = dict(zip(top["original_axes"], level_layout(top).shape(tuple(top["shape"])), strict=True))
     lead = [d for d in top["original_axes"] if d not in "YX" and not (interleaved and d == "C")]
     dims = "XY" + "".join(reversed(lead)) + "".join(d for d in "CZT" if d not in lead)
     text = ome.to_ome_xml(image, sizes_of, top["dtype"]).replace('DimensionOrder="XYCZT"', f'DimensionOrder="{dims}"')
@@ -129,8 +147,7 @@ def tiff(tiles: DataFrame, levels: list[dict], image: dict, dest: str, tile: int
         heads.append(directory(top, p, text if p == pages[0] else "", subs[p]))
         if link is not None:
             struct.pack_into("<Q", body, link - end, heads[-1])
-    store, path = files.store_of(dest)
-    with store.open_output_stream(path, compression=None) as f:
+    with files.writing(dest) as f:
         f.write(struct.pack("<2sHHHQ", b"II", 43, 8, 0, heads[0]))
         for row in encoded.select("data").toLocalIterator(prefetchPartitions=False):
             f.write(bytes(row["data"]))
@@ -138,17 +155,19 @@ def tiff(tiles: DataFrame, levels: list[dict], image: dict, dest: str, tile: int
     encoded.unpersist()
 
 
-def png_file(tiles: DataFrame, level: dict, dest: str) -> None:
-    """One PNG, streamed in rows of tiles."""
-    axes = level["axes"]
+def png_file(tiles: DataFrame, levels: list[dict], image: dict, dest: str, effort: int = 6) -> None:
+    """One PNG of the first level, streamed in rows of tiles."""
+    level, axes = levels[0], levels[0]["axes"]
+    depth = level["pixel_depth"]
     size = dict(zip(axes, level["shape"], strict=True))
+    if depth > 1:
+        size |= {"X": size["X"] // depth, "C": depth}
     n, kind = size.get("C", 1), np.dtype(level["dtype"])
     if kind.name not in ("uint8", "uint16") or n not in (1, 2, 3, 4) or set(axes) - set("YXC"):
         raise ValueError("PNG holds 8- or 16-bit images of up to four channels")
     target = "YXC" if n > 1 else "YX"
-    z, held, row_no = zlib.compressobj(6), None, None
-    store, path = files.store_of(dest)
-    with store.open_output_stream(path, compression=None) as f:
+    z, held, row_no, change = zlib.compressobj(effort), None, None, Layout(axes, target, depth, 1)
+    with files.writing(dest) as f:
         f.write(png.head(size["Y"], size["X"], n, kind.itemsize * 8))
 
         def flush() -> None:
@@ -158,12 +177,12 @@ def png_file(tiles: DataFrame, level: dict, dest: str) -> None:
                 if data := z.compress(lines.tobytes()):
                     f.write(png.chunk(b"IDAT", data))
 
-        for t in tiles.orderBy("ty", "tx").toLocalIterator(prefetchPartitions=False):
-            block = plan(axes, target).array(np.frombuffer(bytes(t["data"]), t["dtype"]).reshape(tuple(t["extent"])))
+        for t in tiles.filter(F.col("level") == level["level"]).orderBy("ty", "tx").toLocalIterator(prefetchPartitions=False):
+            block = change.array(np.frombuffer(bytes(t["data"]), t["dtype"]).reshape(tuple(t["extent"])))
             if t["ty"] != row_no:
                 flush()
                 row_no, held = t["ty"], np.zeros((block.shape[0], size["X"], *block.shape[2:]), kind)
-            x = t["start"][axes.index("X")]
+            x = t["start"][axes.index("X")] // depth
             held[:, x : x + block.shape[1]] = block
         flush()
         f.write(png.chunk(b"IDAT", z.flush()) + png.chunk(b"IEND", b""))

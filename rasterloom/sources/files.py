@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyarrow import fs
 
@@ -22,12 +23,22 @@ def exists(uri: str) -> bool:
     return store.get_file_info(path).type != fs.FileType.NotFound
 
 
-def write_whole(uri: str, data: bytes) -> None:
-    """Write under another name and rename, so that no reader and no rerun sees half a file."""
+@contextmanager
+def writing(uri: str):
+    """A stream to another name, renamed when all is written, so that no reader and no rerun sees half a file."""
     store, path = store_of(uri)
     folder, name = path.rsplit("/", 1)
     store.create_dir(folder)
     draft = f"{folder}/.{name}.{uuid.uuid4().hex}"
-    with store.open_output_stream(draft, compression=None) as f:
-        f.write(data)
+    try:
+        with store.open_output_stream(draft, compression=None) as f:
+            yield f
+    except BaseException:
+        store.delete_file(draft)
+        raise
     store.move(draft, path)
+
+
+def write_whole(uri: str, data: bytes) -> None:
+    with writing(uri) as f:
+        f.write(data)

@@ -38,16 +38,17 @@ def _unfilter(raw: np.ndarray, kinds: np.ndarray, step: int) -> np.ndarray:
         elif kind == 2:
             line = row + above
         elif kind in (3, 4):
-            line, up = np.zeros(len(row) + step, np.int64), np.r_[np.zeros(step, np.int64), above]
-            for x in range(step, len(line)):
-                a, b, c = line[x - step], up[x], up[x - step]
+            given, up, held = row.tolist(), [0] * step + above.tolist(), [0] * step
+            for x, v in enumerate(given):
+                a, b = held[x], up[x + step]
                 if kind == 3:
                     guess = (a + b) // 2
                 else:
+                    c = up[x]
                     pa, pb, pc = abs(b - c), abs(a - c), abs(a + b - 2 * c)
                     guess = a if pa <= pb and pa <= pc else b if pb <= pc else c
-                line[x] = (int(row[x - step]) + guess) & 255
-            line = line[step:].astype(np.uint8)
+                held.append(v + guess & 255)
+            line = np.array(held[step:], np.uint8)
         else:
             raise ValueError(f"unknown row filter {kind}")
         out[y] = above = line
@@ -101,10 +102,12 @@ class PngFile:
 
     def __init__(self, uri: str):
         self.uri = uri
-        self._data = files.read_range(uri)
+        self._head = files.read_range(uri, 0, 33)
+        if self._head[:8] != MAGIC:
+            raise ValueError("not a PNG file")
 
     def describe(self) -> dict:
-        width, height, bits, color = struct.unpack_from(">IIBB", self._data, 16)
+        width, height, bits, color = struct.unpack_from(">IIBB", self._head, 16)
         n = {3: 3, 4: 4}.get(color, SAMPLES[color])
         shape = (height, width) if n == 1 else (height, width, n)
         names = ["Gray"] if n == 1 else ["Red", "Green", "Blue", "Alpha"][:n]
@@ -116,5 +119,5 @@ class PngFile:
         return 1
 
     def segment(self, level: int, i: int) -> tuple[tuple[int, ...], np.ndarray]:
-        pixels = decode(self._data)
+        pixels = decode(files.read_range(self.uri))
         return (0,) * pixels.ndim, pixels

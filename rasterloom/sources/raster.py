@@ -5,7 +5,9 @@ A partition is a run of segments (strips, tiles or chunks), read by ranges, so a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from collections.abc import Callable, Iterator
+from typing import Protocol
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -15,35 +17,64 @@ from rasterloom.sources.png import PngFile
 from rasterloom.sources.tiff import ScannedSlide, TiffFile
 from rasterloom.sources.zarr import ZarrImage
 
-#: Readers by name; register() adds to them.
-READERS: dict[str, type] = {"png": PngFile, "tiff": TiffFile, "svs": ScannedSlide, "zarr": ZarrImage}
 BLOCKS = "level int, start array<int>, extent array<int>, dtype string, data binary"
 SEGMENTS_A_TASK = 64
 
 
-def register(name: str, reader: type) -> None:
-    """Add a reader: a class over a URI with describe(), segments(level) and segment(level, i)."""
+class Reader(Protocol):
+    """What a format has to bring: an image at a URI, which can be pickled, in segments that are read one by one."""
+
+    def describe(self) -> dict:
+        """axes, levels (level, shape, dtype and, if there are any, tags), image (the common metadata) and original."""
+
+    def segments(self, level: int) -> int: ...
+
+    def segment(self, level: int, i: int) -> tuple[tuple[int, ...], np.ndarray]:
+        """Start and pixels."""
+
+    def bounds(self, level: int, i: int) -> tuple[tuple[int, ...], tuple[int, ...]]:
+        """Start and extent without reading; a reader without this method reads whole levels."""
+
+
+#: Readers by name; register() adds to them.
+READERS: dict[str, Callable[..., Reader]] = {"png": PngFile, "tiff": TiffFile, "svs": ScannedSlide, "zarr": ZarrImage}
+
+
+def register(name: str, reader: Callable[..., Reader]) -> None:
     READERS[name] = reader
 
 
 class Run(InputPartition):
-    def __init__(self, level: int, low: int, high: int):
-        self.level, self.low, self.high = level, low, high
+    def __init__(self, level: int, segments: list[int]):
+        self.level, self.segments = level, segments
 
 
 class RasterReader(DataSourceReader):
-    def __init__(self, reader: type, path: str, level: int):
-        self.reader, self.path, self.level = reader, path, level
+    """The file's directory is read once, by the driver, and goes to the tasks; a region leaves out segments that it doesn't meet."""
+
+    def __init__(self, reader: Callable[..., Reader], path: str, level: int, region: dict[str, tuple[int, int]] | None = None, options: dict | None = None):
+        self.image, self.level = reader(path, **(options or {})), level
+        axes = self.image.describe()["axes"] if region else ""
+        self.region = [(axes.index(d), lo, hi) for d, (lo, hi) in (region or {}).items()]
+
+    def _meets(self, i: int) -> bool:
+        start, extent = self.image.bounds(self.level, i)
+        return all(start[k] < hi and start[k] + extent[k] > lo for k, lo, hi in self.region)
 
     def partitions(self) -> list[Run]:
-        n = self.reader(self.path).segments(self.level)
-        return [Run(self.level, a, min(a + SEGMENTS_A_TASK, n)) for a in range(0, n, SEGMENTS_A_TASK)]
+        found = [i for i in range(self.image.segments(self.level)) if not self.region or not hasattr(self.image, "bounds") or self._meets(i)]
+        return [Run(self.level, found[a : a + SEGMENTS_A_TASK]) for a in range(0, len(found), SEGMENTS_A_TASK)]
 
     def read(self, partition: Run) -> Iterator[tuple]:
-        image = self.reader(self.path)
-        for i in range(partition.low, partition.high):
-            start, block = image.segment(partition.level, i)
-            yield partition.level, list(map(int, start)), list(block.shape), block.dtype.name, np.ascontiguousarray(block).tobytes()
+        for i in partition.segments:
+            start, block = self.image.segment(partition.level, i)
+            start = list(map(int, start))
+            for k, lo, hi in self.region:
+                low, high = max(lo, start[k]), min(hi, start[k] + block.shape[k])
+                block = block[(slice(None),) * k + (slice(max(0, low - start[k]), max(0, high - start[k])),)]
+                start[k] = low
+            if block.size:
+                yield partition.level, start, list(block.shape), block.dtype.name, np.ascontiguousarray(block).tobytes()
 
 
 class RasterSource(DataSource):
@@ -55,9 +86,12 @@ class RasterSource(DataSource):
         return BLOCKS
 
     def reader(self, schema) -> RasterReader:
-        return RasterReader(READERS[self.options["codec"]], self.options["path"], int(self.options.get("level", "0")))
+        region, options = (json.loads(self.options.get(k, "{}")) for k in ("region", "reader"))
+        return RasterReader(READERS[self.options["codec"]], self.options["path"], int(self.options.get("level", "0")), region, options)
 
 
-def blocks(spark: SparkSession, path: str, codec: str, level: int) -> DataFrame:
+def blocks(spark: SparkSession, path: str, codec: str, level: int, region: dict[str, tuple[int, int]] | None = None, **options) -> DataFrame:
+    """Blocks of a level; region: half-open ranges by axis, by which segments are left out and cut; options go to the reader."""
     spark.dataSource.register(RasterSource)
-    return spark.read.format("raster").option("codec", codec).option("level", str(level)).load(path)
+    found = spark.read.format("raster").option("codec", codec).option("level", str(level))
+    return found.option("region", json.dumps(region or {})).option("reader", json.dumps(options)).load(path)

@@ -1,14 +1,19 @@
 """Stored images: plain Parquet tables `images`, `levels` and `tiles`, with a commit marker written last.
 
-A load first appends tiles partitioned by image, level and tile row, then the level's row, which names the load, and
-last the row of `images` with valid = true. Tiles of a load that no level names are never read, so a load that broke off
-leaves nothing behind that counts; images without a valid row are incomplete and are loaded again. Levels that a valid
-image already has are skipped, and a store of another format version is left alone with a warning.
+A load writes tiles into a folder of its own, then the level's row, which names the load, and last the row of `images`
+with valid = true. Tiles of a load that no level names are never read, so a load that broke off leaves nothing behind that
+counts, and vacuum() removes it; images without a valid row are incomplete and are loaded again. A load must bring every
+cell of its level, else it fails before it counts. Levels that a valid image already has are skipped, and a store of
+another format version is left alone with a warning.
+
+A region read opens one load's folder. Its files hold bands of neighbouring tiles in order, in small row groups, so tile
+rows and columns prune files and row groups by their statistics.
 """
 
 from __future__ import annotations
 
 import json
+import math
 import uuid
 import warnings
 from collections.abc import Iterator
@@ -22,6 +27,7 @@ from pyspark.sql import functions as F
 
 from rasterloom.functions import dtypes
 from rasterloom.operators.cells import tile_predicate
+from rasterloom.sources import files
 
 FORMAT_VERSION = 2
 IMAGES = "image_id string, fmt_version int, axes string, channels array<string>, metadata string, original_metadata string, valid boolean"
@@ -31,7 +37,8 @@ LEVELS = (
 )
 TILES = "image_id string, level int, ty int, tx int, tc int, tz int, tt int, start array<int>, extent array<int>, dtype string, data binary"
 STORED = TILES + ", load_id string"
-PARTITIONS = ("image_id", "level", "ty")
+#: Neighbouring tiles that are written together, and the size of row groups.
+BAND, ROW_GROUP = 16, 16 << 20
 
 
 def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -62,6 +69,24 @@ def tiles(spark: SparkSession, path: str) -> DataFrame:
     return _read(spark, f"{path}/tiles", STORED).join(levels(spark, path).select("load_id"), "load_id", "left_semi").drop("load_id")
 
 
+def level_tiles(spark: SparkSession, path: str, level: dict) -> DataFrame:
+    """Tiles of one level, from the folder of its load."""
+    return _read(spark, f"{path}/tiles/load_id={level['load_id']}", TILES)
+
+
+def vacuum(spark: SparkSession, path: str) -> int:
+    """Delete the tiles of loads that no level names, which broke off or were replaced; returns how many. Not while a load runs."""
+    from pyarrow import fs
+
+    store, folder = files.store_of(f"{path}/tiles")
+    named = {f"load_id={r['load_id']}" for r in levels(spark, path).select("load_id").collect()}
+    found = store.get_file_info(fs.FileSelector(folder, allow_not_found=True))
+    gone = [f for f in found if f.base_name.startswith("load_id=") and f.base_name not in named]
+    for f in gone:
+        store.delete_dir(f.path)
+    return len(gone)
+
+
 def mark(spark: SparkSession, path: str, row: dict) -> None:
     frame = spark.createDataFrame([tuple(row.get(c.split()[0]) for c in IMAGES.split(", "))], IMAGES)
     frame.withColumn("written", F.current_timestamp()).coalesce(1).write.mode("append").parquet(f"{path}/images")
@@ -92,32 +117,39 @@ def split_tiles(blocks: DataFrame, axes: str, tile: dict[str, int]) -> DataFrame
 
 
 def merge_tiles(pieces: DataFrame, axes: str, tile: dict[str, int], shape: tuple[int, ...]) -> DataFrame:
-    """Pieces of the same tile put together; a tile is bounded, so its group is."""
-    keys = ["image_id", "level", "ty", "tx", "tc", "tz", "tt"]
+    """Pieces of the same tile put together, bands of neighbouring tiles in a task; a tile is bounded, so its group is. A hole fails."""
+    size = dict(zip(axes, shape, strict=True))
+    across = -(-size["X"] // tile["X"])
+    keys = ["band", "image_id", "level", "ty", "tx", "tc", "tz", "tt"]
+    placed = pieces.withColumn("band", F.expr(f"cast((cast(ty as long) * {across} + tx) div {BAND} as long)")).repartition("band")
 
     def join(part: pd.DataFrame) -> pd.DataFrame:
         first = part.iloc[0]
         at = [int(first["t" + d.lower()]) * tile[d] for d in axes]
         size = [min(tile[d], n - a) for d, n, a in zip(axes, shape, at, strict=True)]
+        if sum(int(np.prod(p.extent)) for p in part.itertuples()) < np.prod(size):
+            raise ValueError(f"pieces of the tile at {at} of level {first['level']} are missing")
         block = np.zeros(size, first["dtype"])
         for p in part.itertuples():
             block[tuple(slice(s - a, s - a + n) for s, n, a in zip(p.start, p.extent, at, strict=True))] = np.frombuffer(p.data, p.dtype).reshape(tuple(p.extent))
-        out = part.iloc[:1].copy()
+        out = part.iloc[:1].drop(columns="band")
         out["start"], out["extent"], out["data"] = [at], [size], [block.tobytes()]
         return out
 
-    return pieces.groupBy(*keys).applyInPandas(join, TILES)
+    return placed.groupBy(*keys).applyInPandas(join, TILES)
 
 
-def channel_stats(found: DataFrame, axes: str) -> DataFrame:
-    """Least and largest cell by channel: reduced per tile, then merged."""
+def channel_stats(found: DataFrame, axes: str, depth: int = 1) -> DataFrame:
+    """Least and largest cell by channel: reduced per tile, then merged; depth: channels side by side in X."""
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for t in batch.itertuples():
                 block = np.frombuffer(t.data, t.dtype).reshape(tuple(t.extent))
-                each = np.moveaxis(block, axes.index("C"), 0) if "C" in axes else block[None]
+                if depth > 1:
+                    block = block.reshape(*block.shape[:-1], -1, depth)
+                each = np.moveaxis(block, -1 if depth > 1 else axes.index("C"), 0) if depth > 1 or "C" in axes else block[None]
                 base = t.start[axes.index("C")] if "C" in axes else 0
                 rows += [(t.level, base + k, float(c.min()), float(c.max())) for k, c in enumerate(each)]
             yield pd.DataFrame(rows, columns=["level", "c", "min", "max"])
@@ -128,15 +160,27 @@ def channel_stats(found: DataFrame, axes: str) -> DataFrame:
 
 
 def save_level(spark: SparkSession, path: str, level: dict, blocks: DataFrame) -> bool:
-    """Write a level's blocks as tiles; False if a valid image already has it."""
+    """Write a level's blocks as tiles; False if a valid image already has it.
+
+    Blocks come in the level's axes; those of a level with channels side by side in X come in YXC.
+    """
     mine = F.col("image_id") == level["image_id"]
     if not images(spark, path).filter(mine & F.col("valid")).isEmpty() and not levels(spark, path).filter(mine & (F.col("level") == level["level"])).isEmpty():
         return False
-    tile = dict(zip(level["axes"], level["tile"], strict=True))
-    packed = merge_tiles(split_tiles(blocks, level["axes"], tile), level["axes"], tile, tuple(level["shape"]))
+    axes, shape, extents, depth = level["axes"], tuple(level["shape"]), list(level["tile"]), level["pixel_depth"]
+    if depth > 1:
+        axes, shape, extents = "YXC", (shape[0], shape[1] // depth, depth), [extents[0], extents[1] // depth, depth]
+    tile = dict(zip(axes, extents, strict=True))
+    packed = merge_tiles(split_tiles(blocks, axes, tile), axes, tile, shape)
+    if depth > 1:  # a block of YXC lies in memory as one of YX with channels side by side
+        side_by_side = [F.array(F.get(c, F.lit(0)), F.get(c, F.lit(1)) * depth).alias(c) for c in ("start", "extent")]
+        packed = packed.select(*[c for c in packed.columns if c not in ("start", "extent")], *side_by_side).select(*packed.columns)
     load = uuid.uuid4().hex
-    out = packed.withColumn("load_id", F.lit(load)).repartition(*PARTITIONS).sortWithinPartitions("tx")
-    out.write.mode("append").option("compression", level["codec"]).partitionBy(*PARTITIONS).parquet(f"{path}/tiles")
+    folder = f"{path}/tiles/load_id={load}"
+    packed.write.option("compression", level["codec"]).option("parquet.block.size", ROW_GROUP).parquet(folder)
+    expected = math.prod(-(-n // t) for n, t in zip(level["shape"], level["tile"], strict=True))
+    if (found := spark.read.schema(TILES).parquet(folder).count()) != expected:
+        raise ValueError(f"level {level['level']} of {level['image_id']!r} has {found} of {expected} tiles")
     named = level | {"load_id": load}
     row = spark.createDataFrame([tuple(named[c.split()[0]] for c in LEVELS.split(", "))], LEVELS)
     row.withColumn("written", F.current_timestamp()).coalesce(1).write.mode("append").parquet(f"{path}/levels")
@@ -162,8 +206,8 @@ def cells(spark: SparkSession, path: str, image_id: str, level: dict, slices: di
     if depth > 1 and "x" in slices:
         slices["x"] = tuple(n * depth for n in slices["x"])
     extent = {d.lower(): n for d, n in zip(axes, level["tile"], strict=True)}
-    mine = (F.col("image_id") == image_id) & (F.col("level") == level["level"]) & (F.col("load_id") == level["load_id"])
-    found = _read(spark, f"{path}/tiles", STORED).filter(mine & tile_predicate(slices, extent)).drop("load_id")
+    channels = slices.pop("c", None) if depth > 1 else None
+    found = level_tiles(spark, path, level).filter(tile_predicate(slices, extent))
     names = [d.lower() for d in axes]
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -183,7 +227,7 @@ def cells(spark: SparkSession, path: str, image_id: str, level: dict, slices: di
         from rasterloom.functions.axes import unfold
 
         out = unfold(out, depth)
-    return out
+    return out if channels is None else out.filter(F.col("c").between(channels[0], channels[1] - 1))
 
 
 def as_json(value: object) -> str:

@@ -9,13 +9,14 @@ import numpy as np
 import pyarrow as pa
 
 from rasterloom.metadata import ome
-from rasterloom.sources import files
+from rasterloom.sources import files, jpeg
 
 #: Tags by number.
 TAGS = {
     254: "subfile", 256: "width", 257: "height", 258: "bits", 259: "compression", 262: "photometric", 270: "description", 273: "strips",
     277: "samples", 278: "strip_rows", 279: "strip_sizes", 282: "x_resolution", 283: "y_resolution", 284: "planar", 296: "unit",
     305: "software", 306: "datetime", 317: "predictor", 322: "tile_width", 323: "tile_height", 324: "tiles", 325: "tile_sizes", 330: "sub", 339: "format",
+    347: "jpeg_tables",
 }
 #: Struct codes of field types.
 CODES = {1: "B", 2: "s", 3: "H", 4: "I", 5: "II", 6: "b", 7: "B", 8: "h", 9: "i", 10: "ii", 11: "f", 12: "d", 13: "I", 16: "Q", 17: "q", 18: "Q"}
@@ -76,8 +77,8 @@ def inflate(data: bytes, compression: int, size: int) -> bytes:
 class TiffFile:
     """The reader protocol on series 0: pages of one shape, with smaller levels in sub-directories or later pages."""
 
-    def __init__(self, uri: str):
-        self.uri = uri
+    def __init__(self, uri: str, extra_tags: tuple[int, ...] = ()):
+        self.uri, self.tags = uri, TAGS | {t: f"tag_{t}" for t in extra_tags}
         start = files.read_range(uri, 0, 16)
         self.order = {b"II": "<", b"MM": ">"}.get(start[:2])
         if self.order is None:
@@ -127,20 +128,20 @@ class TiffFile:
         page: dict = {"samples": 1, "compression": 1, "planar": 1, "predictor": 1, "bits": (8,), "format": (1,)}
         for i in range(n):
             tag, kind, many = struct.unpack_from(self.order + "HH" + wide, body, i * size)
-            if tag not in TAGS or kind not in CODES:
+            if tag not in self.tags or kind not in CODES:
                 continue
             one = struct.calcsize("=" + CODES[kind])
             data = body[i * size + 4 + o : i * size + size]
             if one * many > o:
                 data = files.read_range(self.uri, struct.unpack(self.order + wide, data)[0], one * many)
             if kind == 2:
-                page[TAGS[tag]] = data[:many].rstrip(b"\0").decode("utf-8", "replace")
+                page[self.tags[tag]] = data[:many].rstrip(b"\0").decode("utf-8", "replace")
                 continue
             values = struct.unpack_from(self.order + CODES[kind] * many, data)
             if kind in (5, 10):
                 values = tuple(a / b if b else 0.0 for a, b in zip(values[::2], values[1::2], strict=True))
-            several = TAGS[tag] in ("bits", "format", "strips", "strip_sizes", "tiles", "tile_sizes", "sub")
-            page[TAGS[tag]] = values if several else values[0]
+            several = many > 1 or self.tags[tag] in ("bits", "format", "strips", "strip_sizes", "tiles", "tile_sizes", "sub", "jpeg_tables")
+            page[self.tags[tag]] = values if several else values[0]
         return page, struct.unpack_from(self.order + wide, body, n * size)[0]
 
     @property
@@ -149,7 +150,10 @@ class TiffFile:
 
     def dtype(self, level: int = 0) -> np.dtype:
         page = self.levels[level][0]
-        return np.dtype(f"{KINDS[page['format'][0]]}{page['bits'][0] // 8}")
+        bits = page["bits"][0]
+        if bits not in (1, 2, 4, 8, 16, 32, 64) or len(set(page["bits"])) > 1 or page["format"][0] not in KINDS:
+            raise ValueError(f"TIFF samples of {page['bits']} bits and form {page['format']} are not supported")
+        return np.dtype(f"{KINDS[page['format'][0]]}{max(1, bits // 8)}")
 
     def leading(self) -> tuple[str, tuple[int, ...]]:
         """Axes over the pages and their sizes: by OME-XML, C for a multispectral scan, else Z."""
@@ -172,8 +176,12 @@ class TiffFile:
             at = {"Y": page["height"], "X": page["width"], "C": page["samples"]}
             return (*sizes, *[at[d] for d in inner])
 
-        levels = [{"level": i, "shape": shape(pages[0]), "dtype": self.dtype(i).name} for i, pages in enumerate(self.levels)]
-        return {"axes": lead + inner, "levels": levels, "image": self.image(), "original": {"description": self.text, "software": first.get("software")}}
+        levels = [{"level": i, "shape": shape(pages[0]), "dtype": self.dtype(i).name, "tags": page_tags(pages[0])} for i, pages in enumerate(self.levels)]
+        flags = {"bigtiff": self.big, "byteorder": self.order, "ome": "<OME" in self.text[:200], "multispectral": self.multispectral}
+        original = {"description": self.text, "software": first.get("software"), "flags": flags}
+        if len(self.levels[0]) > 1:
+            original["pages"] = [page_tags(p) for p in self.levels[0]]
+        return {"axes": lead + inner, "levels": levels, "image": self.image(), "original": original}
 
     def image(self) -> dict:
         text, first = self.text, self.levels[0][0]
@@ -199,32 +207,71 @@ class TiffFile:
         _, _, down, across, planes = self._grid(self.levels[level][0])
         return len(self.levels[level]) * planes * down * across
 
-    def segment(self, level: int, i: int) -> tuple[tuple[int, ...], np.ndarray]:
-        """Start and pixels of a segment, clipped at the image's edges."""
+    def bounds(self, level: int, i: int) -> tuple[tuple[int, ...], tuple[int, ...]]:
+        """Start and extent of a segment in the image's axes, clipped at its edges."""
         h, w, down, across, planes = self._grid(self.levels[level][0])
         number, within = divmod(i, planes * down * across)
         page = self.levels[level][number]
         plane, rest = divmod(within, down * across)
         row, column = divmod(rest, across)
-        tiled = "tiles" in page
-        rows = h if tiled else min(h, page["height"] - row * h)
-        inner = 1 if page["planar"] == 2 else page["samples"]
-        kind = self.dtype(level).newbyteorder(self.order)
-        at, size = (page["tiles"][within], page["tile_sizes"][within]) if tiled else (page["strips"][within], page["strip_sizes"][within])
-        raw = inflate(files.read_range(self.uri, at, size), page["compression"], rows * w * inner * kind.itemsize)
-        block = np.frombuffer(raw, kind, rows * w * inner).reshape(rows, w, inner).astype(kind.newbyteorder("="))
-        if page["predictor"] == 2:
-            block = np.cumsum(block, axis=1, dtype=block.dtype)
-        block = block[: page["height"] - row * h, : page["width"] - column * w]
         _, sizes = self.leading()
         where = tuple(int(x) for x in np.unravel_index(number, sizes)) if sizes else ()
-        block = block.reshape((1,) * len(where) + block.shape)
-        start = (*where, row * h, column * w)
-        if page["samples"] == 1:
-            return start, block[..., 0]
-        if page["planar"] == 2:
-            return (*where, plane, row * h, column * w), np.moveaxis(block, -1, len(where))
-        return (*start, 0), block
+        start, extent = (row * h, column * w), (min(h, page["height"] - row * h), min(w, page["width"] - column * w))
+        if page["samples"] > 1 and page["planar"] == 2:
+            start, extent = (plane, *start), (1, *extent)
+        elif page["samples"] > 1:
+            start, extent = (*start, 0), (*extent, page["samples"])
+        return (*where, *start), ((1,) * len(where) + extent)
+
+    def segment(self, level: int, i: int) -> tuple[tuple[int, ...], np.ndarray]:
+        """Start and pixels of a segment, clipped at the image's edges."""
+        h, w, down, across, planes = self._grid(self.levels[level][0])
+        number, within = divmod(i, planes * down * across)
+        page = self.levels[level][number]
+        start, extent = TiffFile.bounds(self, level, i)
+        interleaved = page["samples"] > 1 and page["planar"] != 2
+        inner = page["samples"] if interleaved else 1
+        height, width = extent[-3:-1] if interleaved else extent[-2:]
+        tiled = "tiles" in page
+        at, size = (page["tiles"][within], page["tile_sizes"][within]) if tiled else (page["strips"][within], page["strip_sizes"][within])
+        kind = self.dtype(level)
+        if not size:  # a segment that was never written
+            return start, np.zeros(extent, kind)
+        data = files.read_range(self.uri, at, size)
+        if page["compression"] == 7:
+            block = jpeg.decode(data, bytes(page.get("jpeg_tables", ())), page.get("photometric") == 6)
+        else:
+            rows = h if tiled else height
+            block = samples(data, page, rows, w, inner, kind.newbyteorder(self.order))
+        return start, block[:height, :width].reshape(extent)
+
+
+def samples(data: bytes, page: dict, rows: int, width: int, inner: int, kind: np.dtype) -> np.ndarray:
+    """The samples (rows, width, inner) of an encoded segment, its predictor undone."""
+    bits, predictor = page["bits"][0], page["predictor"]
+    line = -(-width * inner * bits // 8)
+    raw = inflate(data, page["compression"], rows * line)
+    if bits < 8:
+        if predictor != 1:
+            raise ValueError("a predictor on samples of less than a byte is not supported")
+        each = np.unpackbits(np.frombuffer(raw, np.uint8, rows * line).reshape(rows, line), axis=1).reshape(rows, -1, bits)
+        return (each @ (1 << np.arange(bits - 1, -1, -1))).astype(np.uint8)[:, : width * inner].reshape(rows, width, inner)
+    if predictor == 3:
+        if kind.kind != "f":
+            raise ValueError("predictor 3 is for floating point samples")
+        # differences of bytes, the highest bytes of a row's samples first
+        flat = np.cumsum(np.frombuffer(raw, np.uint8, rows * line).reshape(rows, -1, inner), axis=1, dtype=np.uint8)
+        planes = flat.reshape(rows, kind.itemsize, width * inner).transpose(0, 2, 1)
+        return np.ascontiguousarray(planes).view(kind.newbyteorder(">")).reshape(rows, width, inner).astype(kind.newbyteorder("="))
+    if predictor not in (1, 2):
+        raise ValueError(f"TIFF predictor {predictor} is not supported")
+    block = np.frombuffer(raw, kind, rows * width * inner).reshape(rows, width, inner).astype(kind.newbyteorder("="))
+    return np.cumsum(block, axis=1, dtype=block.dtype) if predictor == 2 else block
+
+
+def page_tags(page: dict) -> dict:
+    """A page's tags but places and tables."""
+    return {k: v for k, v in page.items() if k not in ("strips", "strip_sizes", "tiles", "tile_sizes", "sub", "jpeg_tables", "description")}
 
 
 class ScannedSlide(TiffFile):
@@ -238,6 +285,10 @@ class ScannedSlide(TiffFile):
             level["shape"] = (*level["shape"][:2], 4)
         return out
 
+    def bounds(self, level: int, i: int) -> tuple[tuple[int, ...], tuple[int, ...]]:
+        start, extent = super().bounds(level, i)
+        return start, (*extent[:2], 4)
+
     def segment(self, level: int, i: int) -> tuple[tuple[int, ...], np.ndarray]:
         start, block = super().segment(level, i)
         opaque = np.full((*block.shape[:2], 1), np.iinfo(block.dtype).max, block.dtype)

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 
 from rasterloom.metadata import ome
-from rasterloom.sources import files
+from rasterloom.sources import blosc, files
 
 
 def decompress(data: bytes, spec: dict | None, size: int) -> bytes:
@@ -20,6 +20,8 @@ def decompress(data: bytes, spec: dict | None, size: int) -> bytes:
         return zlib.decompress(data)
     if name == "gzip":
         return zlib.decompress(data, 31)
+    if name == "blosc":
+        return blosc.decode(data)
     if name in ("zstd", "lz4", "bz2"):
         return pa.Codec("lz4_raw" if name == "lz4" else name).decompress(data[4:] if name == "lz4" else data, size).to_pybytes()
     raise ValueError(f"Zarr compressor {name!r} is not supported")
@@ -36,9 +38,12 @@ class ZarrImage:
         axes = scales.get("axes", ["t", "c", "z", "y", "x"])
         self.axes = "".join((a["name"] if isinstance(a, dict) else a).upper() for a in axes)
         self.arrays = [json.loads(files.read_range(f"{self.uri}/{p}/.zarray")) for p in self.paths]
+        for a in self.arrays:
+            if a.get("filters"):
+                raise ValueError(f"Zarr filters {[f.get('id') for f in a['filters']]} are not supported")
 
     def describe(self) -> dict:
-        levels = [{"level": i, "shape": tuple(a["shape"]), "dtype": np.dtype(a["dtype"]).newbyteorder("=").name} for i, a in enumerate(self.arrays)]
+        levels = [{"level": i, "shape": tuple(a["shape"]), "dtype": np.dtype(a["dtype"]).newbyteorder("=").name, "tags": a} for i, a in enumerate(self.arrays)]
         image = ome.from_omero(self.attributes)
         if not image["channels"] and "C" in self.axes:
             n = levels[0]["shape"][self.axes.index("C")]
@@ -52,6 +57,11 @@ class ZarrImage:
     def segments(self, level: int) -> int:
         return int(np.prod(self._grid(level)))
 
+    def bounds(self, level: int, i: int) -> tuple[tuple[int, ...], tuple[int, ...]]:
+        a = self.arrays[level]
+        start = tuple(int(k) * c for k, c in zip(np.unravel_index(i, self._grid(level)), a["chunks"], strict=True))
+        return start, tuple(min(c, n - s) for n, c, s in zip(a["shape"], a["chunks"], start, strict=True))
+
     def segment(self, level: int, i: int) -> tuple[tuple[int, ...], np.ndarray]:
         a = self.arrays[level]
         index = tuple(int(x) for x in np.unravel_index(i, self._grid(level)))

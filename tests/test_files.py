@@ -3,13 +3,15 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from rasterloom import api
 from rasterloom.metadata import ome
+from rasterloom.operators.pyramid import ssim as pm_ssim
 from rasterloom.operators.slide import Slide
-from rasterloom.sources import files, png, raster, store, tiff
+from rasterloom.sources import blosc, files, jpeg, png, raster, store, tiff
 
 
 def image(shape, dtype="uint8", seed=0):
@@ -266,8 +268,219 @@ def test_tiles_of_a_load_that_broke_off_do_not_count(spark, tmp_path, monkeypatc
 def test_region_reads_only_tiles_in_reach(spark, tmp_path):
     write_zarr(str(tmp_path / "a"), image((64, 64)), "YX", (32, 32))
     slide = api.ingest(spark, str(tmp_path / "a"), str(tmp_path / "s"), "i", "zarr", tiles={"Y": 16, "X": 16})
-    plan = slide.read_region((0, 20), 0, (10, 10))._jdf.queryExecution().toString()
-    assert "PartitionFilters" in plan and "(ty#" in plan
+    plan = slide.read_region((0, 20), 0, (10, 10))._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(ty)" in plan and "(tx#" in plan
+
+
+def test_sources_read_only_segments_that_a_region_meets(spark, tmp_path, monkeypatch):
+    a = image((3, 64, 48))
+    write_zarr(str(tmp_path / "a"), a, "CYX", (1, 16, 16))
+    region = {"Y": (20, 40), "X": (30, 33), "C": (1, 3)}
+    reader = raster.RasterReader(raster.READERS["zarr"], str(tmp_path / "a"), 0, region)
+    assert sorted(i for p in reader.partitions() for i in p.segments) == [c * 12 + y * 3 + x for c in (1, 2) for y in (1, 2) for x in (1, 2)]
+    out = np.zeros_like(a)
+    for b in raster.blocks(spark, str(tmp_path / "a"), "zarr", 0, region).collect():
+        out[tuple(slice(s, s + n) for s, n in zip(b.start, b.extent, strict=True))] = np.frombuffer(b.data, b.dtype).reshape(b.extent)
+    want = np.zeros_like(a)
+    want[1:3, 20:40, 30:33] = a[1:3, 20:40, 30:33]
+    np.testing.assert_array_equal(out, want)
+    b = image((40, 70, 3))
+    paged_tiff(tmp_path / "b.tif", [(b, "", True)])
+    t = tiff.TiffFile(str(tmp_path / "b.tif"))
+    for i in range(t.segments(0)):
+        start, block = t.segment(0, i)
+        assert (start, block.shape) == t.bounds(0, i)
+        np.testing.assert_array_equal(block, b[tuple(slice(s, s + n) for s, n in zip(start, block.shape, strict=True))])
+
+
+@pytest.mark.parametrize("tiles", [{"Y": 100, "X": 70}, {"Y": 256, "X": 100}, {"Y": 30, "X": 512}])
+def test_tiff_export_of_any_stored_tile(spark, tmp_path, tiles):
+    a = image((300, 530, 3))
+    write_zarr(str(tmp_path / "a"), a, "YXC", (128, 100, 3))
+    api.ingest(spark, str(tmp_path / "a"), str(tmp_path / "s"), "i", "zarr", tiles=tiles)
+    api.export(spark, str(tmp_path / "s"), "i", str(tmp_path / "b.tif"), "tiff")
+    t = tiff.TiffFile(str(tmp_path / "b.tif"))
+    out = np.zeros_like(a)
+    for i in range(t.segments(0)):
+        start, block = t.segment(0, i)
+        out[tuple(slice(s, s + n) for s, n in zip(start, block.shape, strict=True))] = block
+    np.testing.assert_array_equal(out, a)
+    assert [p.name for p in tmp_path.iterdir() if p.name.startswith(".")] == []
+
+
+@pytest.mark.parametrize("axes,shape", [("YXC", (40, 50, 3)), ("CYX", (4, 40, 50))])
+def test_channels_side_by_side_through_load_read_and_export(spark, tmp_path, axes, shape):
+    a = image(shape)
+    write_zarr(str(tmp_path / "a"), a, axes, tuple(max(1, n // 2) for n in shape[:2]) + ((3,) if axes == "YXC" else (50,)))
+    slide = api.ingest(spark, str(tmp_path / "a"), str(tmp_path / "s"), "i", "zarr", tiles={"Y": 16, "X": 16}, folded=True)
+    n = shape[axes.index("C")]
+    level = store.levels(spark, str(tmp_path / "s")).first()
+    assert (level.axes, level.pixel_depth, level.shape, level.tile) == ("YX", n, [40, 50 * n], [16, 16 * n]) and slide.dimensions == (50, 40)
+    want = a if axes == "YXC" else a.transpose(1, 2, 0)
+    np.testing.assert_array_equal(pixels(slide.read_level(0, original_axes=True), axes, shape), a)
+    got = slide.read_region((10, 5), 0, (20, 30)).toPandas()
+    assert len(got) == 600 * n and (want[got["y"], got["x"], got["c"]] == got["intensity"]).all()
+    stats = store.channel_stats(store.level_tiles(spark, str(tmp_path / "s"), level.asDict()), "YX", n).orderBy("c").collect()
+    assert [(c["min"], c["max"]) for c in stats] == [(want[..., k].min(), want[..., k].max()) for k in range(n)]
+    if n == 3:
+        api.export(spark, str(tmp_path / "s"), "i", str(tmp_path / "c.png"), "png")
+        np.testing.assert_array_equal(png.decode((tmp_path / "c.png").read_bytes()), want)
+        api.export(spark, str(tmp_path / "s"), "i", str(tmp_path / "c.tif"), "tiff", tile=16)
+    api.export(spark, str(tmp_path / "s"), "i", str(tmp_path / "c.zarr"), "zarr")
+    for name, codec in [("c.zarr", "zarr"), *([("c.tif", "tiff")] if n == 3 else [])]:
+        back = api.ingest(spark, str(tmp_path / name), str(tmp_path / "t"), codec, codec)
+        np.testing.assert_array_equal(pixels(back.read_level(0, original_axes=True), axes, shape), a)
+
+
+def test_a_load_with_holes_fails_and_is_swept_up(spark, tmp_path):
+    path = str(tmp_path / "s")
+    kinds = "image_id string, level int, start array<int>, extent array<int>, dtype string, data binary"
+    row = {"image_id": "i", "level": 0, "axes": "YX", "shape": [40, 40], "dtype": "uint8", "tile": [16, 16], "codec": "zstd", "pixel_depth": 1, "original_axes": "YX", "original_shape": [40, 40], "properties": {}}
+    whole = [("i", 0, [y, x], [min(20, 40 - y), 20], "uint8", bytes(400)) for y in (0, 20) for x in (0, 20)]
+    for some, told in ((whole[:3], "missing"), ([("i", 0, [0, 0], [16, 40], "uint8", bytes(640))], "3 of 9 tiles")):
+        with pytest.raises(Exception, match=told):
+            store.save_level(spark, path, row, spark.createDataFrame(some, kinds))
+    assert store.levels(spark, path).count() == 0
+    assert store.save_level(spark, path, row, spark.createDataFrame(whole, kinds))
+    assert store.vacuum(spark, path) >= 1 and store.vacuum(spark, path) == 0
+    assert store.tiles(spark, path).count() == 9
+
+
+# ---- codecs
+
+
+@pytest.mark.parametrize("bits", [1, 2, 4])
+def test_samples_of_less_than_a_byte(bits):
+    a = image((5, 13), "uint8") % (1 << bits)
+    flat = np.unpackbits(a[..., None], axis=2)[..., 8 - bits :].reshape(5, -1)
+    page = {"bits": (bits,), "predictor": 1, "compression": 1}
+    np.testing.assert_array_equal(tiff.samples(np.packbits(flat, axis=1).tobytes(), page, 5, 13, 1, np.dtype("u1"))[..., 0], a)
+
+
+@pytest.mark.parametrize("kind", ["<f4", ">f4", "<f8"])
+@pytest.mark.parametrize("inner", [1, 3])
+def test_floating_point_predictor(kind, inner):
+    a = np.random.default_rng(2).normal(size=(4, 9, inner)).astype(kind)
+    size = a.dtype.itemsize
+    planes = np.ascontiguousarray(a.astype(a.dtype.newbyteorder(">"))).view(np.uint8).reshape(4, 9 * inner, size).transpose(0, 2, 1).reshape(4, -1)
+    steps = planes.copy()
+    steps[:, inner:] -= planes[:, :-inner]
+    page = {"bits": (size * 8,), "predictor": 3, "compression": 8}
+    np.testing.assert_array_equal(tiff.samples(zlib.compress(steps.tobytes()), page, 4, 9, inner, a.dtype), a)
+
+
+def test_what_cannot_be_read_is_an_error(tmp_path):
+    for page, kind in [({"bits": (8,), "predictor": 4}, "u1"), ({"bits": (16,), "predictor": 3}, "u2"), ({"bits": (4,), "predictor": 2}, "u1")]:
+        with pytest.raises(ValueError, match="predictor"):
+            tiff.samples(bytes(100), page | {"compression": 1}, 2, 3, 1, np.dtype(kind))
+    write_zarr(str(tmp_path / "a"), image((10, 10)), "YX", (10, 10))
+    about = json.loads((tmp_path / "a/0/.zarray").read_text())
+    (tmp_path / "a/0/.zarray").write_text(json.dumps(about | {"filters": [{"id": "delta"}]}))
+    with pytest.raises(ValueError, match="delta"):
+        raster.READERS["zarr"](str(tmp_path / "a"))
+    a = image((21, 37))
+    plain_tiff(tmp_path / "a.tif", a, 1, lambda raw: b"" if raw == a[8:16].tobytes() else raw)
+    t = tiff.TiffFile(str(tmp_path / "a.tif"))
+    assert (t.segment(0, 1)[1] == 0).all() and (t.segment(0, 0)[1] == a[:8]).all()
+
+
+def blosc_chunk(raw, size, block, codec, shuffle, split):
+    flags, out = (codec << 5) | shuffle | (0 if split else 16), []
+    pack = {1: lambda b: pa.Codec("lz4_raw").compress(b).to_pybytes(), 3: zlib.compress, 4: lambda b: pa.Codec("zstd").compress(b).to_pybytes()}[codec]
+    for at in range(0, len(raw), block):
+        part = raw[at : at + block]
+        n = len(part) // size
+        if shuffle == 1:
+            part = b"".join(part[k : n * size : size] for k in range(size)) + part[n * size :]
+        elif shuffle == 4:
+            n = n // 8 * 8
+            bits = np.unpackbits(np.frombuffer(part, np.uint8, n * size).reshape(n, size), axis=1, bitorder="little")
+            part = np.packbits(bits.T, axis=1, bitorder="little").tobytes() + part[n * size :]
+        pieces = size if split and len(part) == block else 1
+        step, packed = len(part) // pieces, b""
+        for k in range(pieces):
+            piece = part[k * step : (k + 1) * step]
+            made = min(pack(piece), piece, key=len)
+            packed += struct.pack("<I", len(made)) + made
+        out.append(packed)
+    starts = np.cumsum([16 + 4 * len(out), *map(len, out)])
+    return struct.pack("<BBBBIII", 2, 1, flags, size, len(raw), block, int(starts[-1])) + struct.pack(f"<{len(out)}I", *starts[:-1]) + b"".join(out)
+
+
+@pytest.mark.parametrize("codec", [1, 3, 4])
+@pytest.mark.parametrize("shuffle", [0, 1, 4])
+@pytest.mark.parametrize("split", [False, True])
+def test_blosc(codec, shuffle, split):
+    raw = (np.arange(5003, dtype="<u4") // 7).tobytes() + b"xyz"
+    assert blosc.decode(blosc_chunk(raw, 4, 4096, codec, shuffle, split)) == raw
+    noise = np.random.default_rng(1).bytes(3000)
+    assert blosc.decode(blosc_chunk(noise, 1, 1024, codec, shuffle, False)) == noise
+    assert blosc.decode(struct.pack("<BBBBIII", 2, 1, 2, 4, 8, 8, 24) + b"12345678") == b"12345678"
+    with pytest.raises(ValueError):
+        blosc.decode(struct.pack("<BBBBIII", 2, 1, 0, 1, 8, 8, 26) + struct.pack("<II", 20, 2) + b"zz")
+
+
+def jpeg_of(spark, a, quality=0.95):
+    """A JPEG stream made by the JVM, and the pixels that the JVM reads from it."""
+    jvm = spark._jvm
+    h, w = a.shape[:2]
+    kind = 1 if a.ndim == 3 else 10
+    picture = jvm.java.awt.image.BufferedImage(w, h, kind)
+    raster_ = picture.getRaster()
+    flat = spark.sparkContext._gateway.new_array(jvm.int, a.size)
+    for i, v in enumerate(a.reshape(-1).tolist()):
+        flat[i] = v
+    raster_.setPixels(0, 0, w, h, flat)
+    writer = jvm.javax.imageio.ImageIO.getImageWritersByFormatName("jpeg").next()
+    out = jvm.java.io.ByteArrayOutputStream()
+    writer.setOutput(jvm.javax.imageio.ImageIO.createImageOutputStream(out))
+    options = writer.getDefaultWriteParam()
+    options.setCompressionMode(2)
+    options.setCompressionQuality(quality)
+    writer.write(None, jvm.javax.imageio.IIOImage(picture, None, None), options)
+    writer.dispose()
+    data = bytes(out.toByteArray())
+    back = jvm.javax.imageio.ImageIO.read(jvm.java.io.ByteArrayInputStream(data)).getData()
+    none = spark.sparkContext._gateway.new_array(jvm.int, a.size)
+    return data, np.array(list(back.getPixels(0, 0, w, h, none))).reshape(a.shape)
+
+
+def smooth(shape):
+    y, x = np.indices(shape[:2])
+    a = 128 + 90 * np.sin(y / 9)[..., None] * np.cos(x / 7)[..., None] * np.array([1, 0.6, -0.8][: shape[2] if len(shape) == 3 else 1])
+    return (a if len(shape) == 3 else a[..., 0]).astype(np.uint8)
+
+
+@pytest.mark.parametrize("shape", [(21, 37), (24, 40, 3), (16, 16, 3)])
+def test_jpeg_equals_another_decoder(spark, shape):
+    data, want = jpeg_of(spark, smooth(shape))
+    got = jpeg.decode(data)
+    # chroma is spread by repetition here and smoothly there
+    assert got.shape == (*shape[:2], shape[2] if len(shape) == 3 else 1)
+    error = np.abs(got.reshape(shape).astype(int) - want)
+    assert error.max() <= (1 if len(shape) == 2 else 24) and error.mean() < 2.5
+    with pytest.raises(ValueError):
+        jpeg.decode(data[: len(data) * 2 // 3])
+    with pytest.raises(ValueError):
+        jpeg.decode(b"\xff\xd8\xff\xd9")
+
+
+def test_jpeg_segments_of_a_scanned_slide(spark, tmp_path):
+    a = smooth((24, 40, 3))
+    streams = []
+    plain_tiff(tmp_path / "a.tif", a, 7, lambda raw: streams.append(jpeg_of(spark, np.frombuffer(raw, np.uint8).reshape(-1, 40, 3))[0]) or streams[-1])
+    t = tiff.TiffFile(str(tmp_path / "a.tif"))
+    for page in t.levels[0]:
+        page["photometric"] = 6
+    got = np.concatenate([t.segment(0, i)[1] for i in range(t.segments(0))])
+    assert pm_ssim(got[..., 0], a[..., 0]) > 0.95
+    # tables that all segments share stand in a tag of their own
+    cut = streams[0].index(b"\xff\xc0")
+    tables, rest = streams[0][:cut] + b"\xff\xd9", b"\xff\xd8" + streams[0][cut:]
+    split = [rest.index(b"\xff\xc4"), rest.index(b"\xff\xda")]
+    huffman, bare = rest[split[0] : split[1]], rest[: split[0]] + rest[split[1] :]
+    np.testing.assert_array_equal(jpeg.decode(bare, tables[:-2] + huffman + b"\xff\xd9"), jpeg.decode(streams[0]))
+    np.testing.assert_array_equal(tiff.ScannedSlide(str(tmp_path / "a.tif")).segment(0, 0)[1][..., 3], 255)
 
 
 def test_deep_images_need_their_original_axes(spark, tmp_path):
