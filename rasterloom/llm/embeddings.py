@@ -1,19 +1,26 @@
 """Operator 4: embedding near-duplicates by collision-counting projections.
 
-Vectors of equal labels are scaled to length 1 and projected on PROJECTIONS random directions. In the sorted order
-of each projection, a pair collides if one lies in the window of +-WIDTH around the other. A pair at the threshold
-lies at distance sqrt(2 - 2*cos), so its differences are about normal with a known deviation; NEEDED is the
-largest count that such a pair reaches with probability RECALL. Pairs that reach it are verified by cosine in
-double precision.
-
-Rows are numbered in (label, first projection) order and cut into blocks of BLOCK rows; only block pairs whose
-ranges of the first projection come as near as a pair at the threshold can be (exactly: the distance itself) meet,
-each in a task of its own. A block pair gives, per vector, its number of links, and the links of a spanning
-forest: no result grows with the square of a group. Bitwise equal vectors are one representative with a count.
+Vectors of equal labels are scaled to length 1 and projected on random directions; a pair at the threshold lies at
+distance sqrt(2 - 2*cos), so its differences there have a known distribution. Two rounds count collisions.
+
+The first finds which vectors can be linked at all. Each projection is cut into cells of CELL deviations of a pair
+at the threshold, and `depth` projections together make a table; a pair collides in a table if it shares all its
+cells. The depth follows the size of the largest label, so that spread vectors rarely collide; the number of tables
+follows the depth, so that a pair at the threshold collides in one at least with probability TABLE_RECALL. Vectors
+are tied to the smallest id of each of their buckets, and the components of these ties hold all links. Rows grow with
+the vectors times the tables (about as the 1.1th power of a label's rows), not with the square of a label.
+
+The second counts within components. Sorted by (component, first projection), rows are cut into blocks of BLOCK rows;
+block pairs meet whose ranges come as near as a pair at the threshold can be. There, for each of PROJECTIONS
+projections in sorted order, a pair collides if one lies in the window of +-WIDTH around the other; NEEDED is the
+largest count that a pair at the threshold reaches with probability RECALL. Pairs that reach it are verified by
+cosine in double precision. A block pair gives, per vector, its number of links, and the links of a spanning forest:
+no result grows with the square of a group, though the comparisons within a group of vectors that are all near each
+other do. Bitwise equal vectors are one representative with a count.
 
 Defined cases: a null label, a null or zero vector, or one with null or non-finite components links with nothing;
-vectors of different lengths link with nothing; equal vectors link; rows that share a vec_id within a label are one
-node of the links; an empty table gives no rows; other columns are not used.
+vectors of different lengths link with nothing; equal vectors link; rows are nodes of their own, also where
+they share a vec_id; a null vec_id is an id before all others; an empty table gives no rows; other columns are not used.
 """
 
 from __future__ import annotations
@@ -26,8 +33,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import number_rows, pin, table
+from rasterloom.llm.common import number_rows, pin, settled, table
 from rasterloom.llm.components import components, forest
+from rasterloom.llm.grams import mixed
 
 COSINE = 0.98
 PROJECTIONS = 24
@@ -35,8 +43,12 @@ PROJECTIONS = 24
 WIDTH = 2.0
 RECALL = 1 - 1e-9
 BLOCK = 2048
+CELL = 10.0
+TABLE_RECALL = 1 - 1e-6
+#: A vector of the largest label collides with a spread one by chance in so many of its tables taken together.
+CHANCE = 0.05
 SEED = 7
-_ROWS = 64
+_ROWS, _PART = 64, 500
 
 
 def needed(projections: int = PROJECTIONS, width: float = WIDTH, recall: float = RECALL) -> int:
@@ -49,6 +61,51 @@ def needed(projections: int = PROJECTIONS, width: float = WIDTH, recall: float =
     return projections
 
 
+def shares(dims: int, radius: float) -> tuple[float, float]:
+    """The chance to share a cell of one projection, of a pair at the threshold and of a pair of spread vectors."""
+    width = CELL * radius / math.sqrt(dims)
+    # mean size of one coordinate of a vector of length 1
+    mean = math.exp(math.lgamma(dims / 2) - math.lgamma((dims + 1) / 2)) / math.sqrt(math.pi)
+    z = width / math.sqrt(2 / dims)
+    spread = math.erf(z / math.sqrt(2)) - math.sqrt(2 / math.pi) / z * (1 - math.exp(-z * z / 2))
+    return 1 - mean * radius / width, spread
+
+
+def tables(n: int, dims: int, radius: float) -> tuple[int, int]:
+    """Depth and number of tables for a label of n vectors."""
+    near, spread = shares(dims, radius)
+    depth = many = 1
+    for _ in range(50):
+        depth = max(1, math.ceil(math.log(max(n, 2) * many / CHANCE) / -math.log(spread)))
+        many = math.ceil(math.log(1 - TABLE_RECALL) / math.log1p(-(near**depth)))
+    return depth, many
+
+
+def codes(units: np.ndarray, depth: int, many: int, radius: float, seed: int = SEED) -> np.ndarray:
+    """Per row and table a hash of the cells."""
+    dims = units.shape[1]
+    rng = np.random.default_rng((seed, dims))
+    ways = rng.standard_normal((dims, many * depth))
+    ways /= np.linalg.norm(ways, axis=0)
+    shift = rng.random(many * depth)
+    out = np.zeros((len(units), many), np.uint64)
+    for top in range(0, len(units), _PART):
+        cells = np.floor(units[top : top + _PART] @ ways / (CELL * radius / math.sqrt(dims)) + shift).astype(np.int64).view(np.uint64)
+        cells = cells.reshape(-1, many, depth)
+        for k in range(depth):
+            out[top : top + _PART] = mixed((out[top : top + _PART] + cells[:, :, k]) * np.uint64(0x9E3779B97F4A7C15))
+    return out.view(np.int64)
+
+
+def together(placed: DataFrame) -> DataFrame:
+    """(id, component) of the rows (label, id, dims, codes) that share a bucket with others, directly or over others."""
+    rows = placed.select("id", "label", "dims", F.posexplode("codes").alias("at", "code"))
+    rows = rows.select("id", F.xxhash64("label", "dims", "at", "code").alias("bucket"))
+    heads = rows.groupBy("bucket").agg(F.min("id").alias("head"), F.max("id").alias("last")).filter("head <> last")
+    ties = rows.join(heads, "bucket").filter("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct()
+    return components(ties).select(F.col("node").alias("id"), "component")
+
+
 def directions(dims: int, projections: int = PROJECTIONS, seed: int = SEED) -> np.ndarray:
     d = np.random.default_rng(seed + dims).standard_normal((dims, projections))
     return d / np.linalg.norm(d, axis=0)
@@ -85,37 +142,36 @@ def _usable(vector: str = "embedding"):
 
 
 def representatives(rows: DataFrame) -> DataFrame:
-    """Usable vectors, bitwise equal ones of a label as one row: id, copies, label, embedding."""
+    """Usable vectors, bitwise equal ones of a label as one row: vec_id, copies, label, embedding."""
     usable = rows.filter(F.col("label").isNotNull() & F.coalesce(_usable(), F.lit(False)))
-    return usable.groupBy("label", "embedding").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("copies"))
+    return usable.groupBy("label", "embedding").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("copies"))
 
 
-def link(rows: DataFrame, cosine: float = COSINE, projections: int = PROJECTIONS, width: float = WIDTH, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+def link(reps: DataFrame, cosine: float = COSINE, projections: int = PROJECTIONS, width: float = WIDTH, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """Links among representatives: (id, linked vectors) counts, and (a, b) forest links."""
-    spark = rows.sparkSession
+    spark = reps.sparkSession
     radius = math.sqrt(2 - 2 * cosine)
     least = needed(projections, width)
+    most = reps.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
 
     def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = batch[["label", "id", "copies"]].copy()
-            unit = [(v := np.asarray(e, np.float64) / np.abs(np.asarray(e, np.float64)).max()) / np.linalg.norm(v) for e in batch["embedding"]]
-            out["dims"] = [len(u) for u in unit]
-            out["first"] = [float(u @ directions_of(len(u))[:, 0]) for u in unit]
-            out["unit"] = [u.tobytes() for u in unit]
-            yield out
-
-    kept: dict[int, np.ndarray] = {}
-
-    def directions_of(dims: int) -> np.ndarray:
-        if dims not in kept:
-            kept[dims] = directions(dims, projections)
-        return kept[dims]
-
-    schema = f"label {dict(rows.dtypes)['label']}, id long, copies long, dims int, first double, unit binary"
-    flat = representatives(rows).mapInPandas(project, schema)
-    placed, _ = number_rows(spark, flat, [F.col("label"), F.col("dims"), F.col("first"), F.col("id")], "row_no")
-    group = ["label", "dims"]
+            vectors = [np.asarray(e, np.float64) for e in batch["embedding"]]
+            for dims in {len(v) for v in vectors}:
+                own = [i for i, v in enumerate(vectors) if len(v) == dims]
+                unit = np.stack([vectors[i] / np.abs(vectors[i]).max() for i in own])
+                unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+                out = batch[["label", "id", "copies"]].iloc[own].assign(dims=dims, first=unit @ directions(dims, projections)[:, 0])
+                out["unit"] = [u.tobytes() for u in unit]
+                out["codes"] = list(codes(unit, *tables(most, dims, radius), radius))
+                yield out
+
+    kind = dict(reps.dtypes)["label"]
+    flat = pin(spark, reps.mapInPandas(project, f"label {kind}, id long, copies long, dims int, first double, unit binary, codes array<long>"), "projected")
+    near = pin(spark, together(flat), "near-vectors")
+    flat = flat.select("id", "copies", "dims", "first", "unit").join(near, "id")
+    placed, _ = number_rows(spark, flat, [F.col("component"), F.col("first"), F.col("id")], "row_no")
+    group = ["component"]
     base = placed.groupBy(*group).agg(F.min("row_no").alias("base"))
     blocked = placed.join(base, group).withColumn("block", F.expr(f"(row_no - base) div {int(block)}"))
     blocked = blocked.drop("row_no", "base")
@@ -162,15 +218,21 @@ def link(rows: DataFrame, cosine: float = COSINE, projections: int = PROJECTIONS
 
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     """Per row of vectors (vec_id, embedding, label): n_links, component_id, kept."""
+    spark = vectors.sparkSession
     rows = vectors.select("vec_id", "embedding", "label")
-    counts, links = link(rows, cosine)
-    roots = components(links)
-    heads = representatives(rows).select("label", "embedding", "id", "copies")
-    heads = heads.join(counts, "id", "left").join(roots.withColumnRenamed("node", "id"), "id", "left")
-    heads = heads.select("label", "embedding", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("head"))
+
+    def headed() -> DataFrame:
+        # rows of one vec_id that differ in label are nodes of their own, with numbers in the order of vec_id
+        reps, _ = number_rows(spark, representatives(rows), [F.col("vec_id"), F.col("label")], "id")
+        counts, links = link(reps, cosine)
+        heads = components(links).join(reps.select(F.col("id").alias("component"), F.col("vec_id").alias("head")), "component")
+        heads = reps.join(counts, "id", "left").join(heads.withColumnRenamed("node", "id"), "id", "left")
+        return heads.select("label", "embedding", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("head", "vec_id").alias("head"))
+
+    heads = settled(spark, headed, "vector-groups")
     out = rows.join(heads, ["label", "embedding"], "left")
     component = F.coalesce("head", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
 
 
 def op4_collision_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

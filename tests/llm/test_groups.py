@@ -203,6 +203,34 @@ def test_vectors_of_an_empty_table(spark):
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
+@pytest.mark.parametrize("dims", [2, 16, 64])
+def test_pairs_at_the_threshold_share_a_table_and_spread_ones_rarely_do(dims):
+    rng, radius = np.random.default_rng(5), math.sqrt(0.04)
+    x = rng.normal(size=(2000, dims))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    side = rng.normal(size=x.shape)
+    side -= (side * x).sum(1, keepdims=True) * x
+    y = 0.98 * x + math.sqrt(1 - 0.98**2) * side / np.linalg.norm(side, axis=1, keepdims=True)
+    depth, many = embeddings.tables(5000, dims, radius)
+    a, b = (embeddings.codes(v, depth, many, radius) for v in (x, y))
+    shared = (a == b).mean()
+    assert (a == b).any(axis=1).all() and shared == pytest.approx(embeddings.shares(dims, radius)[0] ** depth, rel=0.1)
+    if dims == 64:
+        other = (a == np.roll(b, 1, axis=0)).any(axis=1)
+        assert other.mean() < 0.01
+        assert embeddings.tables(10**8, dims, radius)[1] < 8 * many
+
+
+def test_spread_vectors_of_one_label_meet_few_others(spark):
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(6000, 64))
+    x = np.concatenate([base, base[:50] + rng.normal(scale=0.05, size=(50, 64))]).astype(np.float32)
+    rows = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    reps = common.number_rows(spark, embeddings.representatives(rows), [F.col("vec_id")], "id")[0]
+    counts, _ = embeddings.link(reps)
+    assert counts.count() == 100 and counts.agg(F.max("links")).first()[0] == 1
+
+
 def test_collision_counts():
     rng = np.random.default_rng(2)
     a, b = rng.normal(size=(30, 7)), rng.normal(size=(25, 7))
