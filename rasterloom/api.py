@@ -64,11 +64,12 @@ def codecs_by_level(compressor: str | dict[int, str] | None, levels: int) -> dic
 def ingest(
     spark: SparkSession, source: str, path: str, image_id: str, codec: str = "tiff", *, level_min: int = 0, tiles: dict[str, int] | None = None,
     preserve_axes: bool = False, exclude_metadata: bool | Callable[[str], str] | None = None, compressor: str | dict[int, str] | None = None,
-    scale_factors: list[float] | None = None, folded: bool = False, **options,
+    scale_factors: list[float] | None = None, folded: bool = False, tile_scale: int = 1, **options,
 ) -> Slide:
     """Load a file's levels from level_min on as image_id of the store at path; levels already there are skipped.
 
-    folded: lay the channels of a plane side by side in X; options go to the reader.
+    folded: lay the channels of a plane side by side in X; tile_scale: times as many segments a task; options go to the
+    reader.
     """
     about = raster.READERS[codec](source, **options).describe()
     if not store.check_version(spark, path, image_id):
@@ -87,7 +88,7 @@ def ingest(
         }
         if depth > 1:  # a channel at a time may come; store.save_level lays them side by side
             change = Layout(about["axes"], "YXC")
-        store.save_level(spark, path, row, rearranged(raster.blocks(spark, source, codec, level["level"], **options), change, image_id))
+        store.save_level(spark, path, row, rearranged(raster.blocks(spark, source, codec, level["level"], scale=tile_scale, **options), change, image_id))
         if level["level"] == level_min:
             add_ranges(spark, path, row, channels)
     if scale_factors:

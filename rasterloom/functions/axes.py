@@ -139,6 +139,17 @@ def axes_held(axes: Column, pixel_depth: Column) -> Column:
     return F.map_from_arrays(names, held)
 
 
+def distances(given: Column, orders: tuple[str, ...]) -> Column:
+    """Edits (insert, delete, replace) from axes to each of the orders, as an array of (distance, place, target)."""
+    each = [F.struct(F.levenshtein(given, F.lit(o)).alias("distance"), F.lit(i).alias("place"), F.lit(o).alias("target")) for i, o in enumerate(orders)]
+    return F.array(*each)
+
+
+def nearest(given: Column, orders: tuple[str, ...]) -> Column:
+    """The order of fewest edits, the first of several."""
+    return F.array_min(distances(given, orders))
+
+
 # ---- the same on cells: coordinates are columns, so a permutation is a projection
 
 

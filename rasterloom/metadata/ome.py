@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 import xml.etree.ElementTree as ET
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -48,7 +49,9 @@ def prune(text: str | None) -> str | None:
     return ET.tostring(root, encoding="unicode")
 
 
-prune_column = F.udf(lambda text: prune(text), T.StringType())
+@F.pandas_udf(T.StringType())
+def prune_column(texts: pd.Series) -> pd.Series:
+    return texts.map(prune, na_action="ignore")
 
 
 def rgba(value: int) -> dict[str, int]:
@@ -106,6 +109,14 @@ def aperio(description: str) -> dict[str, str]:
     return {k.strip(): v.strip() for k, eq, v in parts if eq}
 
 
+def aperio_column(description: Column) -> Column:
+    """The same for a column of descriptions, as a map; of settings of one name the last counts."""
+    entries = F.filter(F.split(F.coalesce(F.get(F.split(description, "\r?\n"), F.lit(1)), F.lit("")), r"\|"), lambda e: e.contains("="))
+    pairs = F.transform(entries, lambda e: F.struct(F.trim(F.substring_index(e, "=", 1)).alias("k"), F.trim(F.substr(e, F.instr(e, F.lit("=")) + 1)).alias("v")))
+    names = F.transform(pairs, lambda p: p.k)
+    return F.map_from_entries(F.filter(pairs, lambda p, i: ~F.array_contains(F.slice(names, i + 2, F.size(names)), p.k)))
+
+
 def from_aperio(description: str) -> dict:
     mpp = aperio(description).get("MPP")
     sizes = {f"physicalSize{d}{u}": (float(mpp) if not u else "µm") for d in "XY" for u in ("", "Unit")} if mpp else {}

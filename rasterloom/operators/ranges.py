@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def merge_ranges(ranges: DataFrame, *by: str, start: str = "s", end: str = "e") -> DataFrame:
-    """Ranges that overlap or follow each other become one, per group."""
+def _merged(ranges: DataFrame, by: list[str], start: str, end: str) -> DataFrame:
     order = Window.partitionBy(*by).orderBy(start, end)
     before = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
     opens = F.when(before.isNull() | (F.col(start) > before + 1), 1).otherwise(0)
@@ -16,6 +15,18 @@ def merge_ranges(ranges: DataFrame, *by: str, start: str = "s", end: str = "e")
     return marked.groupBy(*by, "__island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("__island")
 
 
+def merge_ranges(ranges: DataFrame, *by: str, start: str = "s", end: str = "e") -> DataFrame:
+    """Ranges that overlap or follow each other become one, per group.
+
+    Of ranges with one start only the longest counts, found map-side first. They are merged within stretches of starts,
+    so a group that holds most ranges is spread over tasks; what the stretches leave, mostly few, is merged by group.
+    """
+    parts = int(ranges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    longest = ranges.groupBy(*by, start).agg(F.max(end).alias(end))
+    placed = longest.repartitionByRange(parts, *by, start).withColumn("__part", F.spark_partition_id())
+    return _merged(_merged(placed, [*by, "__part"], start, end).drop("__part"), list(by), start, end)
+
+
 def covers(ranges: DataFrame, domain: DataFrame, *by: str) -> DataFrame:
     """Per axis of domain (lo, hi): whether its ranges merge to just that domain; an axis without ranges is not covered."""
     merged = merge_ranges(ranges, *by).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("s").alias("s"), F.max("e").alias("e"))

@@ -41,6 +41,17 @@ def best_levels(levels: DataFrame, factors: DataFrame) -> DataFrame:
     return factors.join(arrays, "image_id").select("image_id", "factor", best.cast("int").alias("position"))
 
 
+def with_depths(levels: DataFrame, known: DataFrame) -> DataFrame:
+    """Levels with the pixel_depth that known records by level, 1 where it records none."""
+    found = known.select("level", F.col("pixel_depth").alias("__depth"))
+    return levels.join(found, "level", "left").withColumn("pixel_depth", F.coalesce("__depth", F.lit(1)).cast("int")).drop("__depth")
+
+
+def missing_levels(planned: DataFrame, stored: DataFrame) -> DataFrame:
+    """Planned levels that stored lacks, by image and level."""
+    return planned.join(stored, ["image_id", "level"], "left_anti")
+
+
 class Slide:
     """A stored image; opening it reads metadata only, pixels stay lazy DataFrames."""
 

@@ -32,11 +32,9 @@ EVENTS = """ev AS (
                       hour(ts)::INT AS x, count(*) AS n FROM events GROUP BY ALL) k USING (t, c, y, x))"""
 
 
-def query(sql: str | None = None):
+def query(sql: str):
     def add(f):
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
+        _QUERIES[f.__name__], _SQL[f.__name__] = f, sql
         return f
 
     return add
@@ -117,9 +115,7 @@ def axes_unsqueeze(spark, sf_dir):
 """)
 def axes_canonical(spark, sf_dir):
     rows = table(spark, sf_dir, "part").select("p_partkey", F.array(F.expr("p_partkey % 2 + 1"), F.expr("p_size % 3 + 1"), F.expr("p_size % 2 + 1"), F.expr("p_partkey % 5 + 1"), F.lit(64)).alias("shape"))
-    names = F.array(*[F.lit(d) for d in axes.ORDER])
-    large = F.filter(names, lambda d, i: (F.get("shape", i) > 1) | d.isin("X", "Y"))
-    return rows.select("p_partkey", F.array_join(large, "").alias("axes"))
+    return rows.select("p_partkey", axes.canonical_axes(F.col("shape")).alias("axes"))
 
 
 @query(f"WITH {YXC} SELECT y, (x * 4 + c)::INT AS x, intensity FROM yxc")
@@ -237,9 +233,10 @@ def pyramid_shapes(spark, sf_dir):
     return views.emb_levels(spark, sf_dir).select("level", slide.size_of("Y").alias("height"), slide.size_of("X").alias("width"))
 
 
-@query("SELECT i, factor, factor / coalesce(lag(factor) OVER (ORDER BY i), 1.0) AS step FROM (VALUES (0, 2.0::DOUBLE), (1, 4.0), (2, 16.0), (3, 24.0)) t(i, factor)")
+@query("""WITH r AS (SELECT r_regionkey AS i, ((r_regionkey + 1) * (r_regionkey + 2))::DOUBLE AS factor FROM region)
+    SELECT i, factor, factor / coalesce(lag(factor) OVER (ORDER BY i), 1.0) AS step FROM r""")
 def progressive_factors(spark, sf_dir):
-    rows = spark.range(1).select(F.posexplode(F.array(*[F.lit(f) for f in (2.0, 4.0, 16.0, 24.0)])).alias("i", "factor"))
+    rows = table(spark, sf_dir, "region").selectExpr("r_regionkey as i", "cast((r_regionkey + 1) * (r_regionkey + 2) as double) as factor")
     return pyramid.progressive_factors(rows)
 
 
@@ -276,7 +273,19 @@ def source_window(spark, sf_dir):
     return tiles.select(F.col("y_start").alias("start"), F.col("y_stop").alias("stop"), lo.alias("lo"), hi.alias("hi"))
 
 
-@query()
+#: Weights of source cells by level, dimension and target, straight from the kernel's definition.
+_KERNEL = """n AS (SELECT level, f0, d, n, greatest(1, round_even(n / f0, 0))::INT AS m FROM fs, (SELECT 'y' AS d, max(y) + 1 AS n FROM emb UNION ALL SELECT 'x', 64)),
+    c AS (SELECT level, d, n, k, n / m::DOUBLE AS f, (k + 0.5) * (n / m::DOUBLE) - 0.5 AS centre FROM n, unnest(range(m)) t(k)),
+    o AS (SELECT *, (f - 1) / 2 AS sigma, centre - floor(centre) AS part, unnest(range(-ceil(2 * (f - 1))::INT - 1, ceil(2 * (f - 1))::INT + 3)) AS off FROM c),
+    g AS (SELECT level, d, n, k, abs(floor(centre)::INT + off) % greatest(1, 2 * (n - 1)) AS i,
+          (1 - part) * exp(-0.5 * (off / sigma) ** 2) + part * exp(-0.5 * ((off - 1) / sigma) ** 2) AS w FROM o),
+    k AS (SELECT level, d, k, CASE WHEN i >= n THEN 2 * (n - 1) - i ELSE i END AS i, sum(w) AS w FROM g GROUP BY ALL),
+    ws AS (SELECT level, d, k, i, w / sum(w) OVER (PARTITION BY level, d, k) AS w FROM k),
+    small AS (SELECT a.level, a.k::INT AS y, b.k::INT AS x, round_even(sum(a.w * b.w * intensity), 0)::INT AS intensity
+        FROM emb JOIN ws a ON a.d = 'y' AND a.i = emb.y JOIN ws b ON b.d = 'x' AND b.i = emb.x AND a.level = b.level GROUP BY ALL)"""
+
+
+@query(f"WITH {EMB}, fs AS (SELECT 1 AS level, 2.0::DOUBLE AS f0), {_KERNEL} SELECT y, x, intensity FROM small")
 def bilinear_pyramid(spark, sf_dir):
     """Smoothed linear resampling by 2 on tiles."""
     h = views.emb_height(spark, sf_dir)
@@ -317,18 +326,19 @@ def levels_sorted(spark, sf_dir):
     return _levels(spark, sf_dir).groupBy("image_id").agg(F.sort_array(F.collect_list("level")).alias("levels"))
 
 
-@query(f"WITH {LEVELS} SELECT level, CASE WHEN level = 2 THEN 3 ELSE 1 END AS depth FROM lv")
+@query(f"""WITH {LEVELS}, k AS (SELECT n_nationkey AS level, n_regionkey + 2 AS depth FROM nation WHERE n_nationkey % 2 = 0)
+    SELECT level, coalesce(depth, 1)::INT AS depth FROM lv LEFT JOIN k USING (level)""")
 def level_pixel_depth(spark, sf_dir):
-    """Left lookup of a level's depth, 1 where none is recorded."""
-    known = spark.range(1).select(F.lit(2).alias("level"), F.lit(3).alias("found"))
-    return _levels(spark, sf_dir).join(known, "level", "left").select("level", F.coalesce("found", F.lit(1)).alias("depth"))
+    """A level's recorded depth, 1 where none is recorded."""
+    known = table(spark, sf_dir, "nation").filter("n_nationkey % 2 = 0").select(F.col("n_nationkey").alias("level"), (F.col("n_regionkey") + 2).alias("pixel_depth"))
+    return slide.with_depths(_levels(spark, sf_dir).drop("pixel_depth"), known).select("level", F.col("pixel_depth").alias("depth"))
 
 
-@query(f"WITH {LEVELS} SELECT level FROM lv WHERE level NOT IN (0, 2)")
+@query(f"WITH {LEVELS} SELECT level FROM lv WHERE level NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)")
 def levels_to_create(spark, sf_dir):
     """Planned levels that a store does not have yet."""
-    have = spark.range(1).select(F.explode(F.array(F.lit(0), F.lit(2))).alias("level"))
-    return _levels(spark, sf_dir).join(have, "level", "left_anti").select("level")
+    have = table(spark, sf_dir, "nation").filter("n_regionkey = 1").select(F.lit("emb").alias("image_id"), F.col("n_nationkey").alias("level"))
+    return slide.missing_levels(_levels(spark, sf_dir), have).select("level")
 
 
 # ---- intervals
@@ -405,11 +415,14 @@ def pixel_depth(spark, sf_dir):
     return table(spark, sf_dir, "nation").select("n_nationkey", colors.pixel_depth(layout).alias("depth"))
 
 
-@query("SELECT 'Y' AS axis, 'Y' AS source UNION ALL SELECT 'X', 'X' UNION ALL SELECT 'X', 'C'")
+@query("""WITH p AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'YX' WHEN 1 THEN 'ZYX' ELSE 'TCYX' END AS axes, p_size % 2 * 2 + 1 AS depth FROM part),
+    a AS (SELECT p_partkey, unnest(string_split(axes, '')) AS axis, depth FROM p)
+    SELECT p_partkey, axis, axis AS source FROM a UNION ALL SELECT p_partkey, axis, 'C' FROM a WHERE axis = 'X' AND depth > 1""")
 def axes_translation(spark, sf_dir):
-    """Which original axes a stored axis holds, with channels folded into X."""
-    held = F.create_map(F.lit("Y"), F.array(F.lit("Y")), F.lit("X"), F.array(F.lit("X"), F.lit("C")))
-    return spark.range(1).select(F.explode(held).alias("axis", "from")).select("axis", F.explode("from").alias("source"))
+    """Which original axes each stored axis holds: X also C where channels lie side by side."""
+    names = F.get(F.array(F.lit("YX"), F.lit("ZYX"), F.lit("TCYX")), F.expr("cast(p_partkey % 3 as int)"))
+    held = axes.axes_held(names, F.expr("p_size % 2 * 2 + 1"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.explode(held).alias("axis", "from")).select("p_partkey", "axis", F.explode("from").alias("source"))
 
 
 _URIS = "u AS (SELECT page_id, CASE page_id % 5 WHEN 0 THEN 's3://b/' WHEN 1 THEN 'gs://b/' WHEN 2 THEN 'C:/' WHEN 3 THEN 'file:///' ELSE '' END || url AS uri FROM pages)"
@@ -431,12 +444,26 @@ def path_scheme(spark, sf_dir):
     return _uris(spark, sf_dir).select("page_id", paths.scheme(F.col("uri")).alias("scheme"), paths.is_local(F.col("uri")).alias("local"))
 
 
-@query("""WITH a AS (SELECT unnest(['YX','ZYX','CYX','TYX','CZYX','TCYX','TZYX','TCZYX']) AS s)
-    SELECT a.s AS source, b.s AS target, levenshtein(a.s, b.s)::INT AS distance FROM a, a b""")
+_ORDERS = ("YX", "ZYX", "CYX", "TYX", "CZYX", "TCYX", "TZYX", "TCZYX")
+_GIVEN = "p AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'XYC' WHEN 1 THEN 'YXZ' WHEN 2 THEN 'TXYC' ELSE 'XYTZC' END AS given FROM part)"
+_GIVEN_ORDERS = "t AS (SELECT unnest(['YX','ZYX','CYX','TYX','CZYX','TCYX','TZYX','TCZYX']) AS target, unnest(range(8)) AS i)"
+
+
+def _given(spark, sf_dir):
+    names = F.array(*[F.lit(x) for x in ("XYC", "YXZ", "TXYC", "XYTZC")])
+    return table(spark, sf_dir, "part").select("p_partkey", F.get(names, F.expr("cast(p_partkey % 4 as int)")).alias("given"))
+
+
+@query(f"WITH {_GIVEN}, {_GIVEN_ORDERS} SELECT p_partkey, given, target, levenshtein(given, target)::INT AS distance FROM p, t")
 def axes_distance(spark, sf_dir):
-    names = F.array(*[F.lit(s) for s in ("YX", "ZYX", "CYX", "TYX", "CZYX", "TCYX", "TZYX", "TCZYX")])
-    both = spark.range(1).select(F.explode(names).alias("source")).select("source", F.explode(names).alias("target"))
-    return both.select("source", "target", F.levenshtein("source", "target").alias("distance"))
+    return _given(spark, sf_dir).select("p_partkey", "given", F.inline(axes.distances(F.col("given"), _ORDERS))).select("p_partkey", "given", "target", "distance")
+
+
+@query(f"""WITH {_GIVEN}, {_GIVEN_ORDERS} SELECT p_partkey, given, arg_min(target, levenshtein(given, target) * 100 + i) AS target, min(levenshtein(given, target))::INT AS distance
+    FROM p, t GROUP BY ALL""")
+def axes_nearest(spark, sf_dir):
+    """The order that is fewest edits away; the first of several."""
+    return _given(spark, sf_dir).withColumn("n", axes.nearest(F.col("given"), _ORDERS)).select("p_partkey", "given", "n.target", "n.distance")
 
 
 @query("SELECT n_nationkey, (((n_nationkey * 658931 % 16777216)::BIGINT) * 256 + 255)::BIGINT AS color FROM nation")
@@ -453,8 +480,8 @@ def json_props(spark, sf_dir):
 @query("SELECT p_partkey, 'm' || p_size AS magnification, p_retailprice AS mpp FROM part")
 def aperio_properties(spark, sf_dir):
     """Settings of scanner descriptions, parsed as a map."""
-    text = F.concat(F.lit("AppMag = m"), "p_size", F.lit("|MPP = "), F.col("p_retailprice").cast("string"))
-    found = F.str_to_map(text, F.lit(r"[|]"), F.lit(r" ?= ?"))
+    text = F.concat(F.lit("Scanner v1\n10x10 |AppMag = m"), "p_size", F.lit("|odd|MPP = "), F.col("p_retailprice").cast("string"))
+    found = ome.aperio_column(text)
     return table(spark, sf_dir, "part").select("p_partkey", found["AppMag"].alias("magnification"), found["MPP"].cast("double").alias("mpp"))
 
 
@@ -519,7 +546,8 @@ def zarr_roundtrip(spark, sf_dir):
     return _back(spark, sf_dir, "zarr")
 
 
-@query()
+@query(f"""WITH {EMB}, fs AS (SELECT 1 AS level, 2.0::DOUBLE AS f0 UNION ALL SELECT 2, 4.0), {_KERNEL}
+    SELECT level, y, x, intensity FROM small UNION ALL SELECT 0, y, x, intensity FROM emb""")
 def stored_pyramid(spark, sf_dir):
     """A stored image with two generated levels: cells by level."""
     path, image = _stored(spark, sf_dir, 64)

@@ -113,7 +113,29 @@ class PngFile:
         names = ["Gray"] if n == 1 else ["Red", "Green", "Blue", "Alpha"][:n]
         image = {"channels": [{"id": str(i), "name": x, "color": c} for i, (x, c) in enumerate(zip(names, default_colors(n), strict=True))]}
         level = {"level": 0, "shape": shape, "dtype": "uint16" if bits == 16 else "uint8"}
-        return {"axes": "YX" if n == 1 else "YXC", "levels": [level], "image": image, "original": {"bits": bits, "color_type": color}}
+        return {"axes": "YX" if n == 1 else "YXC", "levels": [level], "image": image, "original": {"bits": bits, "color_type": color} | self.notes()}
+
+    def notes(self) -> dict:
+        """Texts, resolution (pixels a metre) and gamma that stand before the pixels."""
+        out, at = {}, 33
+        while True:
+            n, kind = struct.unpack(">I4s", files.read_range(self.uri, at, 8))
+            if kind in (b"IDAT", b"IEND"):
+                return out
+            part = files.read_range(self.uri, at + 8, n) if kind in (b"tEXt", b"zTXt", b"iTXt", b"pHYs", b"gAMA") else b""
+            name, _, text = part.partition(b"\0")
+            if kind == b"tEXt":
+                out[name.decode("latin-1")] = text.decode("latin-1")
+            elif kind == b"zTXt":
+                out[name.decode("latin-1")] = zlib.decompress(text[1:]).decode("latin-1")
+            elif kind == b"iTXt":
+                packed, rest = text[0], text[2:].split(b"\0", 2)[2]
+                out[name.decode("latin-1")] = (zlib.decompress(rest) if packed else rest).decode("utf-8", "replace")
+            elif kind == b"pHYs":
+                out["resolution"] = struct.unpack(">II", part[:8])
+            elif kind == b"gAMA":
+                out["gamma"] = struct.unpack(">I", part)[0] / 100_000
+            at += 12 + n
 
     def segments(self, level: int) -> int:
         return 1

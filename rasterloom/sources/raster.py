@@ -52,8 +52,9 @@ class Run(InputPartition):
 class RasterReader(DataSourceReader):
     """The file's directory is read once, by the driver, and goes to the tasks; a region leaves out segments that it doesn't meet."""
 
-    def __init__(self, reader: Callable[..., Reader], path: str, level: int, region: dict[str, tuple[int, int]] | None = None, options: dict | None = None):
+    def __init__(self, reader: Callable[..., Reader], path: str, level: int, region: dict[str, tuple[int, int]] | None = None, options: dict | None = None, scale: int = 1):
         self.image, self.level = reader(path, **(options or {})), level
+        self.step = SEGMENTS_A_TASK * scale
         axes = self.image.describe()["axes"] if region else ""
         self.region = [(axes.index(d), lo, hi) for d, (lo, hi) in (region or {}).items()]
 
@@ -63,7 +64,7 @@ class RasterReader(DataSourceReader):
 
     def partitions(self) -> list[Run]:
         found = [i for i in range(self.image.segments(self.level)) if not self.region or not hasattr(self.image, "bounds") or self._meets(i)]
-        return [Run(self.level, found[a : a + SEGMENTS_A_TASK]) for a in range(0, len(found), SEGMENTS_A_TASK)]
+        return [Run(self.level, found[a : a + self.step]) for a in range(0, len(found), self.step)]
 
     def read(self, partition: Run) -> Iterator[tuple]:
         for i in partition.segments:
@@ -87,11 +88,11 @@ class RasterSource(DataSource):
 
     def reader(self, schema) -> RasterReader:
         region, options = (json.loads(self.options.get(k, "{}")) for k in ("region", "reader"))
-        return RasterReader(READERS[self.options["codec"]], self.options["path"], int(self.options.get("level", "0")), region, options)
+        return RasterReader(READERS[self.options["codec"]], self.options["path"], int(self.options.get("level", "0")), region, options, int(self.options.get("scale", "1")))
 
 
-def blocks(spark: SparkSession, path: str, codec: str, level: int, region: dict[str, tuple[int, int]] | None = None, **options) -> DataFrame:
-    """Blocks of a level; region: half-open ranges by axis, by which segments are left out and cut; options go to the reader."""
+def blocks(spark: SparkSession, path: str, codec: str, level: int, region: dict[str, tuple[int, int]] | None = None, scale: int = 1, **options) -> DataFrame:
+    """Blocks of a level; region: half-open ranges by axis, by which segments are left out and cut; scale: times as many segments a task; options go to the reader."""
     spark.dataSource.register(RasterSource)
-    found = spark.read.format("raster").option("codec", codec).option("level", str(level))
+    found = spark.read.format("raster").option("codec", codec).option("level", str(level)).option("scale", str(scale))
     return found.option("region", json.dumps(region or {})).option("reader", json.dumps(options)).load(path)

@@ -167,6 +167,11 @@ class TiffFile:
                 return "".join(axes), tuple(sizes[d] for d in axes)
         return ("C" if self.multispectral and self.levels[0][0]["samples"] == 1 else "Z", (n,)) if n > 1 else ("", ())
 
+    def is_rgb(self) -> bool:
+        """By the pages' own mark or by an annotation of the OME-XML."""
+        marked = "<OME" in self.text[:200] and ome.annotation(self.text, "PhotometricInterpretation") == "RGB"
+        return marked or self.levels[0][0].get("photometric") == 2
+
     def describe(self) -> dict:
         lead, sizes = self.leading()
         first = self.levels[0][0]
@@ -177,8 +182,10 @@ class TiffFile:
             return (*sizes, *[at[d] for d in inner])
 
         levels = [{"level": i, "shape": shape(pages[0]), "dtype": self.dtype(i).name, "tags": page_tags(pages[0])} for i, pages in enumerate(self.levels)]
-        flags = {"bigtiff": self.big, "byteorder": self.order, "ome": "<OME" in self.text[:200], "multispectral": self.multispectral}
+        flags = {"bigtiff": self.big, "byteorder": self.order, "ome": "<OME" in self.text[:200], "multispectral": self.multispectral, "rgb": self.is_rgb()}
         original = {"description": self.text, "software": first.get("software"), "flags": flags}
+        if self.text.startswith("Aperio"):
+            original["settings"] = ome.aperio(self.text)
         if len(self.levels[0]) > 1:
             original["pages"] = [page_tags(p) for p in self.levels[0]]
         return {"axes": lead + inner, "levels": levels, "image": self.image(), "original": original}

@@ -540,6 +540,51 @@ def test_scanner_and_page_metadata():
     assert omero["channels"][0]["min"] == 2 and ome.to_omero(omero)["channels"][0]["color"] == "FF8000"
 
 
+def test_scanner_settings_as_a_column(spark):
+    texts = ["Aperio\nx |AppMag = 20|MPP = 0.5|odd|Note = a=b", "Aperio\r\ny|A=1|B= |A = 2", "one line|A=1", "", "a\n"]
+    for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", ome.aperio_column(F.col("t")).alias("m")).collect():
+        assert r.m == ome.aperio(r.t)
+
+
+def test_notes_of_a_png(tmp_path):
+    body = png.chunk(b"tEXt", b"Title\0scan") + png.chunk(b"zTXt", b"Note\0\0" + zlib.compress(b"long")) + png.chunk(b"iTXt", b"Name\0\0\0de\0\0" + "é".encode())
+    body += png.chunk(b"pHYs", struct.pack(">IIB", 10, 20, 1)) + png.chunk(b"gAMA", struct.pack(">I", 45455))
+    (tmp_path / "a.png").write_bytes(png.head(1, 1, 1, 8) + body + png.chunk(b"IDAT", zlib.compress(b"\0\5")) + png.chunk(b"IEND", b""))
+    told = png.PngFile(str(tmp_path / "a.png")).describe()["original"]
+    assert told == {"bits": 8, "color_type": 0, "Title": "scan", "Note": "long", "Name": "é", "resolution": (10, 20), "gamma": 0.45455}
+
+
+def test_tags_and_flags_reach_the_store(spark, tmp_path):
+    a = image((21, 37, 3))
+    plain_tiff(tmp_path / "a.tif", a, 8, zlib.compress)
+    assert tiff.TiffFile(str(tmp_path / "a.tif"), extra_tags=(317,)).levels[0][0]["tag_317"] == 1
+    slide = api.ingest(spark, str(tmp_path / "a.tif"), str(tmp_path / "s"), "i", "tiff", tile_scale=2)
+    tags = json.loads(slide.level_properties(0)["tags"])
+    assert (tags["width"], tags["height"], tags["compression"], tags["predictor"]) == (37, 21, 8, 1) and "strips" not in tags
+    original = json.loads(store.images(spark, str(tmp_path / "s")).first().original_metadata)
+    assert original["flags"] == {"bigtiff": False, "byteorder": "<", "ome": False, "multispectral": False, "rgb": True}
+
+
+def test_own_writers_and_plugins_can_be_registered(spark, tmp_path, monkeypatch):
+    write_zarr(str(tmp_path / "a"), image((10, 10)), "YX", (10, 10))
+    api.ingest(spark, str(tmp_path / "a"), str(tmp_path / "s"), "i", "zarr")
+    seen = []
+
+    class Point:
+        name = "count"
+
+        def load(self):
+            return lambda tiles, rows, about, dest, **options: seen.append((tiles.count(), len(rows), dest, options))
+
+    monkeypatch.setattr(api.metadata, "entry_points", lambda group: [Point()] if group == "rasterloom.writers" else [])
+    try:
+        assert api.load_plugins() == ["count"]
+        api.export(spark, str(tmp_path / "s"), "i", "x", "count", effort=3)
+        assert seen == [(1, 1, "x", {"effort": 3})]
+    finally:
+        api.WRITERS.pop("count")
+
+
 def test_own_readers_can_be_registered(spark):
     class Ramp:
         def __init__(self, uri):
