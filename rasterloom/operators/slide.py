@@ -65,6 +65,8 @@ class Slide:
         self.properties = image[0]["metadata"]
         order = dimensions(store.levels(spark, path).filter(F.col("image_id") == image_id)).orderBy("level")
         self._levels = order.collect()
+        if not self._levels:
+            raise RuntimeError(f"image {image_id!r} in {path} has no levels")
 
     @property
     def levels(self) -> list[int]:

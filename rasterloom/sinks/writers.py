@@ -1,7 +1,7 @@
 """Export of stored levels: chunk files for Zarr, encoded tiles for TIFF, row strips for PNG.
 
-Tasks encode; the driver only streams what a single output file needs in order, one tile or one row of tiles at a
-time.
+Tasks encode; the driver only lines up encoded tiles or bands, one at a time, since one file is written in order, under
+another name that is changed when all is there.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from rasterloom.metadata import ome
 from rasterloom.sources import files, png
 
 _PIECES = "level int, page int, ty int, tx int, y int, x int, h int, w int, n int, dtype string, data binary"
+#: Bytes of pixels that one task deflates for a PNG file, or a row if that is more.
+PNG_BAND = 8 << 20
 #: Side of a tile in exported TIFF files.
 TIFF_TILE = 256
 
@@ -155,8 +157,16 @@ def tiff(tiles: DataFrame, levels: list[dict], image: dict, dest: str, tile: int
     encoded.unpersist()
 
 
+def joined_sums(first: int, second: int, size: int) -> int:
+    """The Adler-32 sum of two stretches of bytes from their own sums, the second of `size` bytes."""
+    prime = 65521
+    a, b = first & 0xFFFF, first >> 16
+    c, d = second & 0xFFFF, second >> 16
+    return (b + d + size * (a - 1)) % prime << 16 | (a + c - 1) % prime
+
+
 def png_file(tiles: DataFrame, levels: list[dict], image: dict, dest: str, effort: int = 6) -> None:
-    """One PNG of the first level, streamed in rows of tiles."""
+    """One PNG of the first level. Tasks deflate bands of rows, each to a byte's end; the driver lines them up and joins their sums."""
     level, axes = levels[0], levels[0]["axes"]
     depth = level["pixel_depth"]
     size = dict(zip(axes, level["shape"], strict=True))
@@ -165,24 +175,40 @@ def png_file(tiles: DataFrame, levels: list[dict], image: dict, dest: str, effor
     n, kind = size.get("C", 1), np.dtype(level["dtype"])
     if kind.name not in ("uint8", "uint16") or n not in (1, 2, 3, 4) or set(axes) - set("YXC"):
         raise ValueError("PNG holds 8- or 16-bit images of up to four channels")
-    target = "YXC" if n > 1 else "YX"
-    z, held, row_no, change = zlib.compressobj(effort), None, None, Layout(axes, target, depth, 1)
+    change, width, height = Layout(axes, "YXC", depth, 1), size["X"], size["Y"]
+    tall = max(1, min(height, PNG_BAND // (width * n * kind.itemsize)))
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for t in batch.itertuples():
+                block = change.array(np.frombuffer(t.data, t.dtype).reshape(tuple(t.extent)))
+                place = change.tile(tuple(slice(int(a), int(a) + int(k)) for a, k in zip(t.start, t.extent, strict=True)))
+                y0, x0, c0 = (p.start or 0 for p in place)
+                for band in range(y0 // tall, (y0 + len(block) - 1) // tall + 1):
+                    top = max(y0, band * tall)
+                    part = block[top - y0 : (band + 1) * tall - y0]
+                    rows.append((band, top - band * tall, x0, c0, *part.shape, part.tobytes()))
+            yield pd.DataFrame(rows, columns=["band", "y", "x", "c", "h", "w", "n", "data"])
+
+    def deflated(pieces: pd.DataFrame) -> pd.DataFrame:
+        band = int(pieces["band"].iloc[0])
+        whole = np.zeros((min(tall, height - band * tall), width, n), kind)
+        for p in pieces.itertuples():
+            whole[p.y : p.y + p.h, p.x : p.x + p.w, p.c : p.c + p.n] = np.frombuffer(p.data, kind).reshape(p.h, p.w, p.n)
+        lines = np.zeros((len(whole), 1 + whole[0].nbytes), np.uint8)
+        lines[:, 1:] = whole.astype(kind.newbyteorder(">")).reshape(len(whole), -1).view(np.uint8)
+        z = zlib.compressobj(effort, zlib.DEFLATED, -15)
+        data = z.compress(lines.tobytes()) + z.flush(zlib.Z_FULL_FLUSH)
+        return pd.DataFrame({"band": [band], "data": [data], "sum": [zlib.adler32(lines.tobytes())], "size": [lines.nbytes]})
+
+    pieces = tiles.filter(F.col("level") == level["level"]).mapInPandas(cut, "band int, y int, x int, c int, h int, w int, n int, data binary")
+    bands = pieces.groupBy("band").applyInPandas(deflated, "band int, data binary, sum long, size long").orderBy("band")
     with files.writing(dest) as f:
-        f.write(png.head(size["Y"], size["X"], n, kind.itemsize * 8))
-
-        def flush() -> None:
-            if held is not None:
-                lines = np.zeros((len(held), 1 + held[0].nbytes), np.uint8)
-                lines[:, 1:] = held.astype(kind.newbyteorder(">")).reshape(len(held), -1).view(np.uint8)
-                if data := z.compress(lines.tobytes()):
-                    f.write(png.chunk(b"IDAT", data))
-
-        for t in tiles.filter(F.col("level") == level["level"]).orderBy("ty", "tx").toLocalIterator(prefetchPartitions=False):
-            block = change.array(np.frombuffer(bytes(t["data"]), t["dtype"]).reshape(tuple(t["extent"])))
-            if t["ty"] != row_no:
-                flush()
-                row_no, held = t["ty"], np.zeros((block.shape[0], size["X"], *block.shape[2:]), kind)
-            x = t["start"][axes.index("X")] // depth
-            held[:, x : x + block.shape[1]] = block
-        flush()
-        f.write(png.chunk(b"IDAT", z.flush()) + png.chunk(b"IEND", b""))
+        f.write(png.head(height, width, n, kind.itemsize * 8))
+        total, begun = 1, zlib.compress(b"")[:2]
+        for row in bands.toLocalIterator(prefetchPartitions=False):
+            f.write(png.chunk(b"IDAT", begun + bytes(row["data"])))
+            total, begun = joined_sums(total, row["sum"], row["size"]), b""
+        # an empty last block, and the sum of all bytes
+        f.write(png.chunk(b"IDAT", b"\3\0" + struct.pack(">I", total)) + png.chunk(b"IEND", b""))

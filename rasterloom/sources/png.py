@@ -14,6 +14,9 @@ MAGIC = b"\x89PNG\r\n\x1a\n"
 #: Samples a pixel by colour type (grey, RGB, palette, grey and alpha, RGBA).
 SAMPLES = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}
 
+#: First row and column and steps down and across of each pass of an interlaced picture.
+PASSES = ((0, 0, 8, 8), (0, 4, 8, 8), (4, 0, 8, 4), (0, 2, 4, 4), (2, 0, 4, 2), (0, 1, 2, 2), (1, 0, 2, 1))
+
 
 def chunks(data: bytes):
     if data[:8] != MAGIC:
@@ -65,22 +68,15 @@ def decode(data: bytes) -> np.ndarray:
             palette = np.frombuffer(part, np.uint8).reshape(-1, 3)
         elif kind == b"IDAT":
             body.append(part)
-    if interlaced:
-        raise ValueError("interlaced PNG files are not supported")
     n = SAMPLES[color]
-    line = -(-width * n * bits // 8)
-    raw = np.frombuffer(zlib.decompress(b"".join(body)), np.uint8).reshape(height, line + 1)
-    flat = _unfilter(raw[:, 1:], raw[:, 0], max(1, n * bits // 8))
-    if bits == 16:
-        pixels = flat.reshape(height, -1).view(">u2").astype(np.uint16)
-    elif bits == 8:
-        pixels = flat
-    else:
-        each = np.unpackbits(flat, axis=1).reshape(height, -1, bits)
-        pixels = (each @ (1 << np.arange(bits - 1, -1, -1))).astype(np.uint8)[:, : width * n]
-        if color == 0:
-            pixels = (pixels * (255 // (2**bits - 1))).astype(np.uint8)
-    pixels = pixels.reshape(height, width, n)
+    raw, at = zlib.decompress(b"".join(body)), 0
+    pixels = np.zeros((height, width, n), np.uint16 if bits == 16 else np.uint8)
+    for y, x, down, across in PASSES if interlaced else [(0, 0, 1, 1)]:
+        h, w = -(-(height - y) // down), -(-(width - x) // across)
+        if h > 0 and w > 0:
+            size = h * (1 + -(-w * n * bits // 8))
+            pixels[y::down, x::across] = _plain(raw[at : at + size], h, w, n, bits, color == 0)
+            at += size
     if color == 3:
         return palette[pixels[..., 0]]
     if color == 4:
@@ -88,6 +84,19 @@ def decode(data: bytes) -> np.ndarray:
     return pixels[..., 0] if n == 1 else pixels
 
 
+def _plain(data: bytes, height: int, width: int, n: int, bits: int, grey: bool) -> np.ndarray:
+    """Pixels (height, width, n) of filtered rows; grey of less than a byte is stretched to the whole range."""
+    raw = np.frombuffer(data, np.uint8).reshape(height, -1)
+    flat = _unfilter(raw[:, 1:], raw[:, 0], max(1, n * bits // 8))
+    if bits == 16:
+        return flat.reshape(height, -1).view(">u2").reshape(height, width, n)
+    if bits == 8:
+        return flat.reshape(height, width, n)
+    each = np.unpackbits(flat, axis=1).reshape(height, -1, bits)
+    pixels = (each @ (1 << np.arange(bits - 1, -1, -1))).astype(np.uint8)[:, : width * n]
+    return (pixels * (255 // (2**bits - 1)) if grey else pixels).reshape(height, width, n)
+
+
 def head(height: int, width: int, samples: int, bits: int) -> bytes:
     color = {1: 0, 2: 4, 3: 2, 4: 6}[samples]
     return MAGIC + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, bits, color, 0, 0, 0))

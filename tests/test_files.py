@@ -11,6 +11,7 @@ from rasterloom import api
 from rasterloom.metadata import ome
 from rasterloom.operators.pyramid import ssim as pm_ssim
 from rasterloom.operators.slide import Slide
+from rasterloom.sinks import writers
 from rasterloom.sources import blosc, files, jpeg, png, raster, store, tiff
 
 
@@ -213,6 +214,33 @@ def test_png_row_filters(kind):
     np.testing.assert_array_equal(png.decode(data), a)
 
 
+@pytest.mark.parametrize("shape,bits", [((9, 13), 8), ((3, 2), 8), ((1, 1), 8), ((17, 21, 3), 8), ((10, 11), 1)])
+def test_interlaced_png(shape, bits):
+    a = image(shape) if bits == 8 else image(shape) % 2 * 255
+    body = b""
+    for y, x, down, across in png.PASSES:
+        part = a[y::down, x::across]
+        if part.size:
+            rows = part.reshape(len(part), -1)
+            body += b"".join(b"\0" + (r if bits == 8 else np.packbits(r > 0)).tobytes() for r in rows)
+    n = 3 if len(shape) == 3 else 1
+    head = png.MAGIC + png.chunk(b"IHDR", struct.pack(">IIBBBBB", shape[1], shape[0], bits, 2 if n == 3 else 0, 0, 0, 1))
+    np.testing.assert_array_equal(png.decode(head + png.chunk(b"IDAT", zlib.compress(body)) + png.chunk(b"IEND", b"")), a)
+
+
+def test_bands_of_a_png_make_one_valid_stream(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(writers, "PNG_BAND", 7 * 50 * 3)
+    a = image((40, 50, 3))
+    write_zarr(str(tmp_path / "a"), a, "YXC", (20, 25, 3))
+    api.ingest(spark, str(tmp_path / "a"), str(tmp_path / "s"), "i", "zarr", tiles={"Y": 16, "X": 16})
+    api.export(spark, str(tmp_path / "s"), "i", str(tmp_path / "b.png"), "png", effort=1)
+    data = (tmp_path / "b.png").read_bytes()
+    np.testing.assert_array_equal(png.decode(data), a)
+    assert sum(kind == b"IDAT" for kind, _ in png.chunks(data)) == 7
+    x, y = b"some bytes", b"and more of them" * 5000
+    assert writers.joined_sums(zlib.adler32(x), zlib.adler32(y), len(y)) == zlib.adler32(x + y)
+
+
 @pytest.mark.parametrize("shape,dtype", [((50, 70), "uint8"), ((50, 70, 3), "uint8"), ((33, 20, 4), "uint16")])
 def test_png_to_store_and_back(spark, tmp_path, shape, dtype):
     a = image(shape, dtype)
