@@ -11,7 +11,7 @@ are tied to the smallest id of each of their buckets, and the components of thes
 the vectors times the tables (about as the 1.1th power of a label's rows), not with the square of a label.
 
 The second counts within components. Sorted by (component, first projection), rows are cut into blocks of BLOCK rows;
-block pairs meet whose ranges come as near as a pair at the threshold can be. There, for each of PROJECTIONS
+blocks meet that share a component and whose ranges of it come as near as a pair at the threshold can be. There, for each of PROJECTIONS
 projections in sorted order, a pair collides if one lies in the window of +-WIDTH around the other; NEEDED is the
 largest count that a pair at the threshold reaches with probability RECALL. Pairs that reach it are verified by
 cosine in double precision. A block pair gives, per vector, its number of links, and the links of a spanning forest:
@@ -170,11 +170,10 @@ def link(reps: DataFrame, cosine: float = COSINE, projections: int = PROJECTIONS
     flat = pin(spark, reps.mapInPandas(project, f"label {kind}, id long, copies long, dims int, first double, unit binary, codes array<long>"), "projected")
     near = pin(spark, together(flat), "near-vectors")
     flat = flat.select("id", "copies", "dims", "first", "unit").join(near, "id")
-    placed, _ = number_rows(spark, flat, [F.col("component"), F.col("first"), F.col("id")], "row_no")
-    group = ["component"]
-    base = placed.groupBy(*group).agg(F.min("row_no").alias("base"))
-    blocked = placed.join(base, group).withColumn("block", F.expr(f"(row_no - base) div {int(block)}"))
-    blocked = blocked.drop("row_no", "base")
+    placed, _ = number_rows(spark, flat, [F.col("dims"), F.col("component"), F.col("first"), F.col("id")], "row_no")
+    group = ["dims", "component"]
+    # a block may hold many small components, or a part of a large one
+    blocked = placed.withColumn("block", F.expr(f"row_no div {int(block)}")).drop("row_no")
     ranges = blocked.groupBy(*group, "block").agg(F.min("first").alias("lo"), F.max("first").alias("hi"))
     # blocks lie in order of the first projection, so those in reach are a run: from the block itself to the last that starts in reach
     starts = ranges.select(*group, F.col("lo").alias("at"), F.col("block").alias("start"), F.lit(None).cast("long").alias("query"))
@@ -197,6 +196,7 @@ def link(reps: DataFrame, cosine: float = COSINE, projections: int = PROJECTIONS
         v = u if same else np.frombuffer(b"".join(two["unit"]), np.float64).reshape(-1, dims)
         ways = directions(dims, projections)
         near = collisions(u @ ways, v @ ways, width * radius / math.sqrt(dims)) >= least
+        near &= one["component"].to_numpy(np.int64)[:, None] == two["component"].to_numpy(np.int64)[None, :]
         if same:
             near = np.triu(near, 1)
         i, j = np.nonzero(near)
@@ -211,7 +211,7 @@ def link(reps: DataFrame, cosine: float = COSINE, projections: int = PROJECTIONS
         other = pd.array([None] * (len(ids) - len(tree)) + [y for _, y in tree], dtype="Int64")
         return pd.DataFrame({"id": ids, "links": many, "other": other})
 
-    found = pin(spark, cells.groupBy(*group, "left", "right").applyInPandas(verify, "id long, links long, other long"), "vector-links")
+    found = pin(spark, cells.groupBy("dims", "left", "right").applyInPandas(verify, "id long, links long, other long"), "vector-links")
     counts = found.filter(F.col("other").isNull()).groupBy("id").agg(F.sum("links").alias("links"))
     return counts, found.filter(F.col("other").isNotNull()).select(F.col("id").alias("a"), F.col("other").alias("b"))
 

@@ -199,6 +199,22 @@ def test_vectors_against_all_pairs(spark):
         assert (r.n_links, r.component_id, r.kept) == (sum(i in p for p in links), want[i], want[i] == i)
 
 
+def test_components_that_lie_in_several_blocks(spark):
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(12, 16))
+    x = np.concatenate([base.repeat(9, 0) + rng.normal(scale=0.06, size=(108, 16)), base[:1].repeat(60, 0) + rng.normal(scale=0.08, size=(60, 16))]).astype(np.float32)
+    rows = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    want = (unit @ unit.T >= 0.98).sum(1) - 1
+    reps = common.number_rows(spark, embeddings.representatives(rows), [F.col("vec_id")], "id")[0]
+    for block in (7, 64, 2048):
+        counts, links = embeddings.link(reps, block=block)
+        got = {r.id: r.links for r in counts.collect()}
+        assert [got.get(i, 0) for i in range(len(x))] == want.tolist() and want.max() > 20
+        tied = brute_components(range(len(x)), [tuple(r) for r in links.collect()])
+        assert tied == brute_components(range(len(x)), [(i, j) for i in range(len(x)) for j in range(i) if unit[i] @ unit[j] >= 0.98])
+
+
 def test_vectors_of_an_empty_table(spark):
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
