@@ -5,10 +5,10 @@ a turn. Each span becomes one training text of at most `budget` tokens: the lead
 `history` turns before the span are repeated if they fit in `history_budget` tokens, then come the span's own turns.
 The loss mask covers the text of the span's own assistant turns; repeated ones are masked out, so each is learned once.
 
-How spans keep the budget: what the system turn and the history leave is the room. Offsets of turns fall into cells of
-width room - small, where small is the largest turn of up to half the room. Turns within a cell are a span, together
-with a turn that reaches into the cell if it is no larger than small; a larger turn that reaches over a cell's end is a
-span of its own. So a text exceeds the budget only if it is the system turn and one single turn, without history.
+How spans keep the budget: what the system turn and the history leave is the room. Prefix sums cut a conversation into
+cells of the room less its largest turn of up to an eighth. The turns that lie within a cell are a span. A turn that reaches over a cell's end goes with the
+cell that it ends in if all that fits in the room, else with the cell that it begins in if there is room left, else it is
+a span of its own. So a text exceeds the budget only if it is the system turn and one single turn, without history.
 
 A turn is written `<turn>ROLE\\nTEXT</turn>\\n`. Inside roles and texts a backslash is doubled and `<` becomes
 `\\l` (in roles a line feed becomes `\\n`), so no text can hold a turn mark, and unescaping gives it back.
@@ -52,14 +52,20 @@ def plan_spans(turns: DataFrame, budget: int, history: int, history_budget: int)
     rows = repeated(groups, "n", "nth").withColumn("before", F.col("before") + F.col("nth") * F.col("tokens")).withColumn("rank", F.col("rank") + F.col("nth") + 1)
     rows = pin(spark, rows.drop("nth", "tie", "turn"), "turns")
     system = F.max(F.when((F.col("rank") == 1) & (F.col("role") == "system"), F.struct("tokens", "h1", "h2"))).alias("system")
-    small = F.max(F.when(F.col("tokens") * 2 <= budget - history_budget, F.col("tokens"))).alias("small")
+    small = F.max(F.when(F.col("tokens") * 8 <= budget - history_budget, F.col("tokens"))).alias("small")
     rows = rows.join(rows.groupBy("conv").agg(system, small), "conv")
     room = F.greatest(F.lit(1).cast("long"), F.lit(budget - history_budget) - F.coalesce("system.tokens", F.lit(0)))
-    rows = rows.withColumn("room", room).withColumn("small", F.least(F.coalesce("small", F.lit(0)), F.expr("room div 2")))
-    rows = rows.withColumn("width", F.greatest(F.lit(1).cast("long"), F.col("room") - F.col("small")))
-    rows = rows.withColumn("first_cell", F.expr("before div width")).withColumn("last_cell", F.expr("(before + tokens - 1) div width"))
-    alone = (F.col("first_cell") < F.col("last_cell")) & (F.col("tokens") > F.col("small"))
-    return rows.select("conv", "rank", "before", "tokens", "role", "h1", "h2", (F.col("last_cell") * 2 - F.when(alone, 1).otherwise(0)).alias("span"), "system")
+    rows = rows.withColumn("room", room).withColumn("width", F.expr("room - least(coalesce(small, 0), room div 8)"))
+    rows = rows.withColumn("cell", F.expr("before div width")).withColumn("ends", F.expr("(before + tokens - 1) div width"))
+    within, over = F.when(F.col("cell") == F.col("ends"), F.col("tokens")), F.when(F.col("cell") < F.col("ends"), F.col("tokens"))
+    cells = rows.groupBy("conv", "room", F.col("ends").alias("cell")).agg(F.coalesce(F.sum(within), F.lit(0)).alias("whole"), F.coalesce(F.max(over), F.lit(0)).alias("front"))
+    fits = F.col("front") + F.col("whole") <= F.col("room")
+    cells = cells.withColumn("held", F.col("whole") + F.when(fits, F.col("front")).otherwise(0))
+    rows = rows.join(cells.select("conv", F.col("cell").alias("ends"), "whole"), ["conv", "ends"])
+    rows = rows.join(cells.select("conv", "cell", "held"), ["conv", "cell"], "left")
+    ahead, behind = F.col("whole") + F.col("tokens") <= F.col("room"), F.col("held") + F.col("tokens") <= F.col("room")
+    span = F.when((F.col("cell") == F.col("ends")) | ahead, F.col("ends") * 2).when(behind, F.col("cell") * 2).otherwise(F.col("ends") * 2 - 1)
+    return rows.select("conv", "rank", "before", "tokens", "role", "h1", "h2", span.alias("span"), "system")
 
 
 def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, history_budget: int = HISTORY_BUDGET) -> DataFrame:
@@ -142,10 +148,14 @@ ORACLES = {
             FROM k WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text))),
         i AS (
             SELECT conv_id AS c, coalesce(max(tokens) FILTER (rank = 1 AND role = 'system'), 0) AS sys, any_value(text) FILTER (rank = 1 AND role = 'system') AS sys_text,
-                   coalesce(max(tokens) FILTER (tokens * 2 <= 384), 0) AS small0 FROM b GROUP BY conv_id),
-        j AS (SELECT *, greatest(1, 384 - sys) AS room, least(small0, greatest(1, 384 - sys) // 2) AS small FROM i),
-        g AS (SELECT b.*, sys, sys_text, small, greatest(1, room - small) AS width FROM b JOIN j ON b.conv_id IS NOT DISTINCT FROM j.c),
-        r AS (SELECT *, 2 * ((before + tokens - 1) // width) - (before // width < (before + tokens - 1) // width AND tokens > small)::BIGINT AS span FROM g),
+                   coalesce(max(tokens) FILTER (tokens * 8 <= 384), 0) AS small FROM b GROUP BY conv_id),
+        j AS (SELECT *, greatest(1, 384 - sys) AS room, greatest(1, 384 - sys) - least(small, greatest(1, 384 - sys) // 8) AS width FROM i),
+        g AS (SELECT b.*, sys, sys_text, room, before // width AS cell, (before + tokens - 1) // width AS ends FROM b JOIN j ON b.conv_id IS NOT DISTINCT FROM j.c),
+        e AS (SELECT conv_id AS c, ends AS e, room AS r, coalesce(sum(tokens) FILTER (cell = ends), 0) AS whole, coalesce(max(tokens) FILTER (cell < ends), 0) AS front FROM g GROUP BY ALL),
+        f AS (SELECT *, whole + CASE WHEN front + whole <= r THEN front ELSE 0 END AS held FROM e),
+        r AS (
+            SELECT g.*, CASE WHEN cell = ends OR n.whole + tokens <= room THEN 2 * ends WHEN p.held + tokens <= room THEN 2 * cell ELSE 2 * ends - 1 END AS span
+            FROM g JOIN f n ON g.conv_id IS NOT DISTINCT FROM n.c AND ends = n.e LEFT JOIN f p ON g.conv_id IS NOT DISTINCT FROM p.c AND cell = p.e),
         z AS (SELECT conv_id AS c, span AS s, min(rank) AS f, min(before) AS at, sum(tokens) AS own, any_value(sys) AS sys, any_value(sys_text) AS sys_text FROM r GROUP BY ALL HAVING min(rank) > 1),
         parts AS (
             SELECT conv_id, role, text FROM r

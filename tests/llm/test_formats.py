@@ -109,7 +109,7 @@ def test_windows_are_well_filled_and_within_the_budget(spark):
     rows = [(1, k, "user" if k % 2 else "assistant", "w " * rng.randrange(20, 60)) for k in range(1, 1000)] + [(1, 0, "system", "be kind")]
     windows = chat.format_windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), budget=1024, history=2, history_budget=256).collect()
     assert len(windows) > 40 and max(w.n_tokens for w in windows) <= 1024
-    assert sum(w.n_tokens for w in windows) / len(windows) > 700 and all(w.n_repeated == 3 for w in windows[1:] if w.span)
+    assert sum(w.n_tokens for w in windows) / len(windows) > 750 and all(w.n_repeated == 3 for w in windows[1:] if w.span)
 
 
 def test_chat_windows_against_brute_force(spark):
