@@ -8,6 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 _ROW_BITS = 33
 #: Repeats of a row that are numbered in one array.
@@ -77,11 +78,22 @@ def unpacked(df: DataFrame, *own: str) -> list[Column]:
     return [F.col("__in").getField(c).alias(c) for c in df.schema["__in"].dataType.names if c.lower() not in taken]
 
 
+def _exact(value: Column, kind: DataType) -> list[Column]:
+    """What tells values apart for xxhash64, which passes over nulls, also within arrays and structs, and over where an array ends."""
+    if isinstance(kind, StructType):
+        return [value.isNull(), *[c for f in kind for c in _exact(value.getField(f.name), f.dataType)]]
+    if isinstance(kind, ArrayType) and not isinstance(kind.elementType, (ArrayType, MapType, StructType)):
+        return [value.isNull(), F.size(value), F.transform(value, lambda x: x.isNull()), value]
+    if isinstance(kind, (ArrayType, MapType)):
+        micros = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+        value = F.to_json(F.struct(value), {"timestampFormat": f"{micros}XXX", "timestampNTZFormat": micros})
+    return [value.isNull(), value]
+
+
 def row_key(df: DataFrame) -> list[Column]:
     """Two 64-bit hashes of a whole row, as columns h1 and h2; only equal rows share both."""
-    each = [F.to_json(F.struct(c)) if "map<" in kind else F.col(c) for c, kind in df.dtypes]
-    empty = [F.col(c).isNull() for c in df.columns]  # xxhash64 passes over nulls
-    return [F.xxhash64(F.lit(k), *empty, *each).alias(f"h{k}") for k in (1, 2)]
+    each = [c for f in df.schema for c in _exact(F.col(f.name), f.dataType)]
+    return [F.xxhash64(F.lit(k), *each).alias(f"h{k}") for k in (1, 2)]
 
 
 def unique_rows(df: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ import struct
 import time
 import zlib
 from collections import Counter
+from datetime import datetime
 from hashlib import md5
 
 import numpy as np
@@ -190,6 +191,7 @@ def test_vectors_against_all_pairs(spark):
     x = np.concatenate([base, base[:20] + rng.normal(scale=0.05, size=(20, 16)), base[:5] + rng.normal(scale=0.13, size=(5, 16)), np.repeat(base[:1], 30, 0) + rng.normal(scale=0.03, size=(30, 16)), base[3:4] * 7])
     rows = [(int(i), [float(f) for f in np.float32(v)], int(i % 2) if 0 < i < 40 else 0) for i, v in enumerate(x)]
     rows += [(500, None, 0), (501, [0.0] * 16, 0), (502, [float("nan")] * 16, 0), (503, [None] + [1.0] * 15, 0), (504, rows[0][1], None), (505, rows[0][1], 0), (506, rows[0][1], 0), (507, rows[0][1][:8], 0), (508, [float("inf")] + [1.0] * 15, 0), (509, [], 0)]
+    rows += [(510, [1.0] * 15, 0), (511, [-0.0] + [1.0] * 15, 0), (512, [0.0] + [1.0] * 15, 0), (513, [1.0] * 15 + [None], 0)]
     got = {r.vec_id: r for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()}
     ok = [(i, np.array(v, float), lab) for i, v, lab in rows if lab is not None and v and all(f is not None and np.isfinite(f) for f in v) and any(v)]
     links = [(a[0], b[0]) for k, a in enumerate(ok) for b in ok[:k] if a[2] == b[2] and len(a[1]) == len(b[1]) and a[1] @ b[1] / np.linalg.norm(a[1]) / np.linalg.norm(b[1]) >= 0.98]
@@ -215,6 +217,19 @@ def test_components_that_lie_in_several_blocks(spark):
         assert tied == brute_components(range(len(x)), [(i, j) for i in range(len(x)) for j in range(i) if unit[i] @ unit[j] >= 0.98])
 
 
+def test_row_keys_tell_unlike_rows_apart(spark):
+    kind = "a array<int>, b array<int>, s struct<x: int, y: int>, m map<string, int>, n array<struct<x: int, y: int>>, t timestamp"
+    at = datetime(2020, 1, 1, 0, 0, 0, 1)
+    some = [[1], [2], (1, 2), {"k": 1}, [(1, 2)], at]
+    other = [([1, 2], []), ([1, None], [2]), ([None, 1], [2]), (None, [2]), ([], [2]), ([1], [])]
+    rows = [some, *[[a, b, *some[2:]] for a, b in other]]
+    rows += [[*some[:k], v, *some[k + 1 :]] for k, vs in {2: [(1, None), (None, 1), (None, None), None], 3: [{"k": None}, {}, None], 4: [[(1, None)], [(None, 1)], [None], []], 5: [None, at.replace(microsecond=2)]}.items() for v in vs]
+    df = spark.createDataFrame([tuple(r) for r in [*rows, *rows]], kind)
+    assert df.select(*common.row_key(df)).distinct().count() == len(rows)
+    within = spark.createDataFrame([tuple(r) for r in rows], kind).select(F.struct("*").alias("all"), F.array(F.struct("t")).alias("deep"))
+    assert within.select(*common.row_key(within)).distinct().count() == len(rows)
+
+
 def test_vectors_of_an_empty_table(spark):
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
