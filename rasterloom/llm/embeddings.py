@@ -16,7 +16,7 @@ projections in sorted order, a pair collides if one lies in the window of +-WIDT
 largest count that a pair at the threshold reaches with probability RECALL. Pairs that reach it are verified by
 cosine in double precision. A block pair gives, per vector, its number of links, and the links of a spanning forest:
 no result grows with the square of a group, though the comparisons within a group of vectors that are all near each
-other do. Bitwise equal vectors are one representative with a count.
+other do. Equal vectors of a label are one representative with a count.
 
 Defined cases: a null label, a null or zero vector, or one with null or non-finite components links with nothing;
 vectors of different lengths link with nothing; equal vectors link; rows are nodes of their own, also where
@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import number_rows, pin, settled, table
+from rasterloom.llm.common import number_rows, pin, row_key, settled, table
 from rasterloom.llm.components import components, forest
 from rasterloom.llm.grams import mixed
 
@@ -82,25 +82,28 @@ def tables(n: int, dims: int, radius: float) -> tuple[int, int]:
 
 
 def codes(units: np.ndarray, depth: int, many: int, radius: float, seed: int = SEED) -> np.ndarray:
-    """Per row and table a hash of the cells."""
+    """Per row and table a hash of the table and its cells."""
     dims = units.shape[1]
     rng = np.random.default_rng((seed, dims))
     ways = rng.standard_normal((dims, many * depth))
-    ways /= np.linalg.norm(ways, axis=0)
+    ways *= math.sqrt(dims) / (CELL * radius * np.linalg.norm(ways, axis=0))
     shift = rng.random(many * depth)
-    out = np.zeros((len(units), many), np.uint64)
+    factors = rng.integers(0, 1 << 64, (depth, many), np.uint64) | np.uint64(1)
+    out = np.empty((len(units), many), np.uint64)
     for top in range(0, len(units), _PART):
-        cells = np.floor(units[top : top + _PART] @ ways / (CELL * radius / math.sqrt(dims)) + shift).astype(np.int64).view(np.uint64)
-        cells = cells.reshape(-1, many, depth)
+        cells = units[top : top + _PART] @ ways
+        cells += shift
+        cells = np.floor(cells, out=cells).astype(np.int64).view(np.uint64).reshape(-1, many, depth)
+        sums = np.broadcast_to(np.arange(many, dtype=np.uint64), cells.shape[:2]).copy()
         for k in range(depth):
-            out[top : top + _PART] = mixed((out[top : top + _PART] + cells[:, :, k]) * np.uint64(0x9E3779B97F4A7C15))
-    return out.view(np.int64)
+            sums += cells[:, :, k] * factors[k]
+        out[top : top + _PART] = mixed(sums)
+    return out
 
 
 def together(placed: DataFrame) -> DataFrame:
-    """(id, component) of the rows (label, id, dims, codes) that share a bucket with others, directly or over others."""
-    rows = placed.select("id", "label", "dims", F.posexplode("codes").alias("at", "code"))
-    rows = rows.select("id", F.xxhash64("label", "dims", "at", "code").alias("bucket"))
+    """(id, component) of the rows (id, buckets) that share a bucket with others, directly or over others."""
+    rows = placed.select("id", F.explode("buckets").alias("bucket"))
     heads = rows.groupBy("bucket").agg(F.min("id").alias("head"), F.max("id").alias("last")).filter("head <> last")
     ties = rows.join(heads, "bucket").filter("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct()
     return components(ties).select(F.col("node").alias("id"), "component")
@@ -142,9 +145,10 @@ def _usable(vector: str = "embedding"):
 
 
 def representatives(rows: DataFrame) -> DataFrame:
-    """Usable vectors, bitwise equal ones of a label as one row: vec_id, copies, label, embedding."""
+    """Usable vectors, equal ones of a label as one row: vec_id, copies, label, embedding, and h1 and h2, the key of the last two."""
     usable = rows.filter(F.col("label").isNotNull() & F.coalesce(_usable(), F.lit(False)))
-    return usable.groupBy("label", "embedding").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("copies"))
+    reps = usable.groupBy("label", "embedding").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("copies"))
+    return reps.select("*", *row_key(reps.select("label", "embedding")))
 
 
 def link(reps: DataFrame, cosine: float = COSINE, projections: int = PROJECTIONS, width: float = WIDTH, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
@@ -161,13 +165,14 @@ def link(reps: DataFrame, cosine: float = COSINE, projections: int = PROJECTIONS
                 own = [i for i, v in enumerate(vectors) if len(v) == dims]
                 unit = np.stack([vectors[i] / np.abs(vectors[i]).max() for i in own])
                 unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-                out = batch[["label", "id", "copies"]].iloc[own].assign(dims=dims, first=unit @ directions(dims, projections)[:, 0])
+                out = batch[["id", "copies"]].iloc[own].assign(dims=dims, first=unit @ directions(dims, projections)[:, 0])
                 out["unit"] = [u.tobytes() for u in unit]
-                out["codes"] = list(codes(unit, *tables(most, dims, radius), radius))
+                kind = mixed(batch["kind"].to_numpy(np.int64)[own].view(np.uint64) + np.uint64(dims))
+                out["buckets"] = list(mixed(codes(unit, *tables(most, dims, radius), radius) ^ kind[:, None]).view(np.int64))
                 yield out
 
-    kind = dict(reps.dtypes)["label"]
-    flat = pin(spark, reps.mapInPandas(project, f"label {kind}, id long, copies long, dims int, first double, unit binary, codes array<long>"), "projected")
+    slim = reps.select("id", "copies", "embedding", F.xxhash64("label").alias("kind"))
+    flat = pin(spark, slim.mapInPandas(project, "id long, copies long, dims int, first double, unit binary, buckets array<long>"), "projected")
     near = pin(spark, together(flat), "near-vectors")
     flat = flat.select("id", "copies", "dims", "first", "unit").join(near, "id")
     placed, _ = number_rows(spark, flat, [F.col("dims"), F.col("component"), F.col("first"), F.col("id")], "row_no")
@@ -227,10 +232,10 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
         counts, links = link(reps, cosine)
         heads = components(links).join(reps.select(F.col("id").alias("component"), F.col("vec_id").alias("head")), "component")
         heads = reps.join(counts, "id", "left").join(heads.withColumnRenamed("node", "id"), "id", "left")
-        return heads.select("label", "embedding", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("head", "vec_id").alias("head"))
+        return heads.select("h1", "h2", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("head", "vec_id").alias("head"))
 
     heads = settled(spark, headed, "vector-groups")
-    out = rows.join(heads, ["label", "embedding"], "left")
+    out = rows.select("vec_id", *row_key(rows.select("label", "embedding"))).join(heads, ["h1", "h2"], "left")
     component = F.coalesce("head", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
 
