@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from rasterloom.llm import chat, decontaminate, embeddings, langid, mixing, near_dup, quality, sharding, tokens, warc
+from rasterloom.llm import chat, decontaminate, divergence, embeddings, langid, mixing, near_dup, quality, resampling, sharding, token_files, tokens, warc
 
-_MODULES = (warc, sharding, langid, embeddings, decontaminate, tokens, near_dup, quality, chat, mixing)
+_MODULES = (warc, sharding, langid, embeddings, decontaminate, tokens, near_dup, quality, chat, mixing, divergence, token_files, resampling)
 
 
 def queries() -> dict:
