@@ -28,11 +28,30 @@ def children(node: ET.Element, name: str) -> list[ET.Element]:
     return [x for x in node if local(x.tag) == name]
 
 
+def is_ome(text: str) -> bool:
+    """Whether a text is OME-XML: its first element is OME, with any prefix."""
+    return bool(re.match(r"\s*(<\?xml.*?\?>)?\s*(<!--.*?-->\s*)*<(\w+:)?OME[\s>/]", text, re.DOTALL))
+
+
+def uuid_of(text: str) -> str | None:
+    """The mark of the file that holds an OME-XML."""
+    return ET.fromstring(text.strip()).get("UUID")
+
+
+def metadata_file(text: str) -> str | None:
+    """The file that holds the metadata instead, if there is one."""
+    other = children(ET.fromstring(text.strip()), "BinaryOnly")
+    return other[0].get("MetadataFile") if other else None
+
+
 def prune(text: str | None) -> str | None:
-    """OME-XML without label and macro images and without comments on labels and barcodes; None for other text."""
-    if text is None or not text.startswith("<OME"):
+    """OME-XML without label and macro images and without comments on labels and barcodes; None for other text.
+
+    White space may stand before it, but no XML declaration.
+    """
+    if text is None or not text.lstrip().startswith("<OME"):
         return None
-    root = ET.fromstring(text)
+    root = ET.fromstring(text.lstrip())
     space = root.tag[1:].split("}")[0] if root.tag.startswith("{") else ""
     for image in children(root, "Image"):
         if image.get("Name") in PRUNED_IMAGES:
@@ -68,7 +87,7 @@ def default_colors(n: int) -> list[dict[str, int]]:
 
 def from_ome_xml(text: str, image: int = 0) -> dict:
     """The common form of one image of OME-XML; a channel of several samples counts as so many channels."""
-    root = ET.fromstring(text)
+    root = ET.fromstring(text.strip())
     found = children(root, "Image")
     if image >= len(found):
         return {"channels": []}
@@ -94,7 +113,7 @@ def from_ome_xml(text: str, image: int = 0) -> dict:
 
 def annotation(text: str, key: str) -> str | None:
     """The value of the first original-metadata annotation with this key."""
-    for node in ET.fromstring(text).iter():
+    for node in ET.fromstring(text.strip()).iter():
         if local(node.tag) == "OriginalMetadata":
             at = {local(x.tag): x.text for x in node}
             if at.get("Key") == key:
@@ -172,8 +191,8 @@ def plain_decimal(value: float) -> str:
     return format(Context(prec=32).create_decimal(repr(value)), "f")
 
 
-def to_ome_xml(image: dict, shape: dict[str, int], dtype: str) -> str:
-    """OME-XML of the common form; colours become signed numbers."""
+def to_ome_xml(image: dict, shape: dict[str, int], dtype: str, planes: int | None = None) -> str:
+    """OME-XML of the common form; colours become signed numbers; planes: their number, if they lie in the pages from the first on."""
     kinds = {"float32": "float", "float64": "double"}
     attrs = {"ID": "Pixels:0", "DimensionOrder": "XYCZT", "Type": kinds.get(dtype, dtype)} | {f"Size{d}": str(shape.get(d, 1)) for d in "XYCZT"}
     for name in PIXELS:
@@ -186,4 +205,6 @@ def to_ome_xml(image: dict, shape: dict[str, int], dtype: str) -> str:
         color = c.get("color", {})
         value = sum(color.get(n, 255) << s for n, s in (("red", 24), ("green", 16), ("blue", 8), ("alpha", 0)))
         ET.SubElement(pixels, "Channel", ID=f"Channel:0:{i}", Name=c["name"], Color=str((value ^ 1 << 31) - (1 << 31)), SamplesPerPixel="1")
+    if planes is not None:
+        ET.SubElement(pixels, "TiffData", IFD="0", PlaneCount=str(planes))
     return re.sub(r">\s+<", "><", ET.tostring(root, encoding="unicode"))

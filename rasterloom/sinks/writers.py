@@ -142,7 +142,7 @@ def tiff(tiles: DataFrame, levels: list[dict], image: dict, dest: str, tile: int
     sizes_of = dict(zip(top["original_axes"], level_layout(top).shape(tuple(top["shape"])), strict=True))
     lead = [d for d in top["original_axes"] if d not in "YX" and not (interleaved and d == "C")]
     dims = "XY" + "".join(reversed(lead)) + "".join(d for d in "CZT" if d not in lead)
-    text = ome.to_ome_xml(image, sizes_of, top["dtype"]).replace('DimensionOrder="XYCZT"', f'DimensionOrder="{dims}"')
+    text = ome.to_ome_xml(image, sizes_of, top["dtype"], len(pages)).replace('DimensionOrder="XYCZT"', f'DimensionOrder="{dims}"')
     heads = []
     for p in pages:
         link = links[-1] if heads else None

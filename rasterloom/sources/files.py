@@ -23,6 +23,11 @@ def exists(uri: str) -> bool:
     return store.get_file_info(path).type != fs.FileType.NotFound
 
 
+def beside(uri: str, name: str) -> str:
+    """A file of the same folder."""
+    return f"{uri.rstrip('/').rsplit('/', 1)[0]}/{name}" if "/" in uri else name
+
+
 @contextmanager
 def writing(uri: str):
     """A stream to another name, renamed when all is written, so that no reader and no rerun sees half a file."""

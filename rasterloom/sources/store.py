@@ -127,11 +127,12 @@ def merge_tiles(pieces: DataFrame, axes: str, tile: dict[str, int], shape: tuple
         first = part.iloc[0]
         at = [int(first["t" + d.lower()]) * tile[d] for d in axes]
         size = [min(tile[d], n - a) for d, n, a in zip(axes, shape, at, strict=True)]
-        if sum(int(np.prod(p.extent)) for p in part.itertuples()) < np.prod(size):
-            raise ValueError(f"pieces of the tile at {at} of level {first['level']} are missing")
-        block = np.zeros(size, first["dtype"])
+        block, covered = np.zeros(size, first["dtype"]), np.zeros(size, bool)
         for p in part.itertuples():
-            block[tuple(slice(s - a, s - a + n) for s, n, a in zip(p.start, p.extent, at, strict=True))] = np.frombuffer(p.data, p.dtype).reshape(tuple(p.extent))
+            place = tuple(slice(s - a, s - a + n) for s, n, a in zip(p.start, p.extent, at, strict=True))
+            block[place], covered[place] = np.frombuffer(p.data, p.dtype).reshape(tuple(p.extent)), True
+        if not covered.all():  # pieces that overlap can't make up for a hole
+            raise ValueError(f"pieces of the tile at {at} of level {first['level']} are missing")
         out = part.iloc[:1].drop(columns="band")
         out["start"], out["extent"], out["data"] = [at], [size], [block.tobytes()]
         return out

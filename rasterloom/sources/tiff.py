@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import struct
+import warnings
 import zlib
 
 import numpy as np
 import pyarrow as pa
 
 from rasterloom.metadata import ome
-from rasterloom.sources import files, jpeg
+from rasterloom.sources import files, jpeg, planes
 
 #: Tags by number.
 TAGS = {
@@ -74,33 +75,124 @@ def inflate(data: bytes, compression: int, size: int) -> bytes:
     raise ValueError(f"TIFF compression {compression} is not supported")
 
 
+def directory(uri: str, order: str, big: bool, at: int, tags: dict[int, str]) -> tuple[dict, int]:
+    """The page whose directory lies at a place of a file, with what it takes to read it, and the place of the next one."""
+    code, size, wide, o = ("Q", 20, "Q", 8) if big else ("H", 12, "I", 4)
+    head = files.read_range(uri, at, struct.calcsize(code))
+    (n,) = struct.unpack(order + code, head)
+    body = files.read_range(uri, at + len(head), n * size + o)
+    page: dict = {"uri": uri, "order": order, "big": big, "samples": 1, "compression": 1, "planar": 1, "predictor": 1, "bits": (8,), "format": (1,)}
+    for i in range(n):
+        tag, kind, many = struct.unpack_from(order + "HH" + wide, body, i * size)
+        if tag not in tags or kind not in CODES:
+            continue
+        one = struct.calcsize("=" + CODES[kind])
+        data = body[i * size + 4 + o : i * size + size]
+        if one * many > o:
+            data = files.read_range(uri, struct.unpack(order + wide, data)[0], one * many)
+        if kind == 2:
+            page[tags[tag]] = data[:many].rstrip(b"\0").decode("utf-8", "replace")
+            continue
+        values = struct.unpack_from(order + CODES[kind] * many, data)
+        if kind in (5, 10):
+            values = tuple(a / b if b else 0.0 for a, b in zip(values[::2], values[1::2], strict=True))
+        several = many > 1 or tags[tag] in ("bits", "format", "strips", "strip_sizes", "tiles", "tile_sizes", "sub", "jpeg_tables")
+        page[tags[tag]] = values if several else values[0]
+    return page, struct.unpack_from(order + wide, body, n * size)[0]
+
+
+def pages_of(uri: str, tags: dict[int, str]) -> list[dict]:
+    """The pages of a file, in the order of its chain of directories."""
+    start = files.read_range(uri, 0, 16)
+    order = {b"II": "<", b"MM": ">"}.get(start[:2])
+    if order is None:
+        raise ValueError("not a TIFF file")
+    big = struct.unpack_from(order + "H", start, 2)[0] == 43
+    at = struct.unpack_from(order + ("Q" if big else "I"), start, 8 if big else 4)[0]
+    out = []
+    while at:
+        page, at = directory(uri, order, big, at, tags)
+        out.append(page)
+    return out
+
+
+#: What pages of one level have in common.
+FORM = ("width", "height", "samples", "bits", "format", "planar")
+
+
 class TiffFile:
-    """The reader protocol on series 0: pages of one shape, with smaller levels in sub-directories or later pages."""
-
-    def __init__(self, uri: str, extra_tags: tuple[int, ...] = ()):
-        self.uri, self.tags = uri, TAGS | {t: f"tag_{t}" for t in extra_tags}
-        start = files.read_range(uri, 0, 16)
-        self.order = {b"II": "<", b"MM": ">"}.get(start[:2])
-        if self.order is None:
-            raise ValueError("not a TIFF file")
-        self.big = struct.unpack_from(self.order + "H", start, 2)[0] == 43
-        at = struct.unpack_from(self.order + ("Q" if self.big else "I"), start, 8 if self.big else 4)[0]
-        pages = []
-        while at:
-            page, at = self._directory(at)
-            pages.append(page)
-        first = pages[0]
-        same = [p for p in pages if (p["width"], p["height"], p["samples"]) == (first["width"], first["height"], first["samples"])]
-        self.levels = [same]
+    """The reader protocol on one series of a file: pages of one shape, with smaller levels in sub-directories or later pages.
+
+    In an OME-TIFF a series is an image of the OME-XML, whose planes may lie in any pages of this file and others of its
+    folder (sources.planes); planes that are in no file, or in a lost one, are zero, with a warning. Other files have series 0 alone.
+    """
+
+    def __init__(self, uri: str, extra_tags: tuple[int, ...] = (), series: int = 0):
+        self.uri, self.series, self.tags = uri, series, TAGS | {t: f"tag_{t}" for t in extra_tags}
+        pages = pages_of(uri, self.tags)
+        self.order, self.big, self.text = pages[0]["order"], pages[0]["big"], self._described(pages[0].get("description", ""))
+        self.is_ome = ome.is_ome(self.text)
+        described = planes.images(self.text) if self.is_ome else []
+        if series >= max(1, len(described)):
+            raise ValueError(f"{uri} has no series {series}")
+        if described:
+            self.lead, same = self._series(pages, described)
+            rest = [] if len(described) > 1 else [p for p in pages if all(p is not q for q in same)]
+        else:
+            same = [p for p in pages if all(p[k] == pages[0][k] for k in FORM[:3])]
+            rest = pages[1:]
+            self.lead = ("C" if self.multispectral and pages[0]["samples"] == 1 else "Z", (len(same),)) if len(same) > 1 else ("", ())
+        self.levels, first = [same], same[0]
         for k in range(len(first.get("sub", ()))):
-            self.levels.append([self._directory(p["sub"][k])[0] for p in same])
+            self.levels.append([directory(p["uri"], p["order"], p["big"], p["sub"][k], self.tags)[0] if "sub" in p else None for p in same])
+            self.levels[-1] = [p or blank(self.levels[-1][0]) for p in self.levels[-1]]
         if len(self.levels) == 1 and len(same) == 1:
             ratio = first["width"] / first["height"]
-            smaller = [p for p in pages[1:] if p["width"] < first["width"] and "tiles" in p and abs(p["width"] / p["height"] / ratio - 1) < 0.02]
+            smaller = [p for p in rest if p["width"] < first["width"] and "tiles" in p and abs(p["width"] / p["height"] / ratio - 1) < 0.02]
             self.levels += [[p] for p in sorted(smaller, key=lambda p: -p["width"])]
         elif len(self.levels) == 1 and self.multispectral:
             self.levels += self._channel_levels(pages)
 
+    def _described(self, text: str) -> str:
+        """The OME-XML, which a file may leave to another one beside it."""
+        name = ome.metadata_file(text) if ome.is_ome(text) else None
+        if name is None:
+            return text
+        other = files.beside(self.uri, name)
+        if files.read_range(other, 0, 2) in (b"II", b"MM"):
+            return pages_of(other, self.tags)[0].get("description", "")
+        return files.read_range(other).decode("utf-8")
+
+    def _series(self, own: list[dict], described: list) -> tuple[tuple[str, tuple[int, ...]], list[dict]]:
+        """Axes over the planes of this series with their sizes, and the page of each plane; the first plane has a page."""
+        pixels, name, mark = described[self.series], self.uri.rstrip("/").rsplit("/", 1)[-1], ome.uuid_of(self.text)
+        held: dict[str | None, list[dict]] = {None: own}
+        found = planes.intervals(pixels, 1, name, mark)
+        for at in found:
+            if at.file not in held:
+                there = files.beside(self.uri, at.file)
+                held[at.file] = pages_of(there, self.tags) if files.exists(there) else []
+        some = next((held[at.file][at.page] for at in found if at.page < len(held[at.file])), None) if found else own[0]
+        if some is None:
+            raise ValueError(f"no page of series {self.series} of {self.uri} is there")
+        lead, sizes = planes.plane_axes(pixels, some["samples"])
+        if found:
+            where = planes.located(planes.intervals(pixels, some["samples"], name, mark), int(np.prod(sizes)), {f: len(p) for f, p in held.items()})
+        else:
+            # pages of another size than the only image's are its smaller levels
+            held[None] = own if len(described) > 1 else [p for p in own if all(p[k] == some[k] for k in FORM[:3])]
+            where = planes.following(described, self.series, some["samples"], len(held[None]))
+        same = [held[w[0]][w[1]] if w else None for w in where]
+        first = next(p for p in same if p)
+        if any(p[k] != first[k] for p in same if p for k in FORM):
+            raise ValueError(f"the pages of series {self.series} of {self.uri} differ in form")
+        if lost := same.count(None):
+            warnings.warn(f"{lost} of {len(same)} planes of {self.uri} are in no file and read as zero", stacklevel=3)
+        axes = "".join(d for d, k in zip(lead, sizes, strict=True) if k > 1)
+        if first["samples"] > 1 and "C" in axes:
+            raise ValueError("channels over pages of several samples are not supported")
+        return (axes, tuple(k for k in sizes if k > 1)), [p or blank(first) for p in same]
+
     @property
     def multispectral(self) -> bool:
         """Pages are channels, each with a description of its own."""
@@ -120,34 +212,6 @@ class TiffFile:
                 raise ValueError(f"a level of {size[0]} x {size[1]} has {len(found)} of {n} pages")
         return [found for _, found in sorted(groups.items(), reverse=True) if len(found) == n]
 
-    def _directory(self, at: int) -> tuple[dict, int]:
-        code, size, wide, o = ("Q", 20, "Q", 8) if self.big else ("H", 12, "I", 4)
-        head = files.read_range(self.uri, at, struct.calcsize(code))
-        (n,) = struct.unpack(self.order + code, head)
-        body = files.read_range(self.uri, at + len(head), n * size + o)
-        page: dict = {"samples": 1, "compression": 1, "planar": 1, "predictor": 1, "bits": (8,), "format": (1,)}
-        for i in range(n):
-            tag, kind, many = struct.unpack_from(self.order + "HH" + wide, body, i * size)
-            if tag not in self.tags or kind not in CODES:
-                continue
-            one = struct.calcsize("=" + CODES[kind])
-            data = body[i * size + 4 + o : i * size + size]
-            if one * many > o:
-                data = files.read_range(self.uri, struct.unpack(self.order + wide, data)[0], one * many)
-            if kind == 2:
-                page[self.tags[tag]] = data[:many].rstrip(b"\0").decode("utf-8", "replace")
-                continue
-            values = struct.unpack_from(self.order + CODES[kind] * many, data)
-            if kind in (5, 10):
-                values = tuple(a / b if b else 0.0 for a, b in zip(values[::2], values[1::2], strict=True))
-            several = many > 1 or self.tags[tag] in ("bits", "format", "strips", "strip_sizes", "tiles", "tile_sizes", "sub", "jpeg_tables")
-            page[self.tags[tag]] = values if several else values[0]
-        return page, struct.unpack_from(self.order + wide, body, n * size)[0]
-
-    @property
-    def text(self) -> str:
-        return self.levels[0][0].get("description", "")
-
     def dtype(self, level: int = 0) -> np.dtype:
         page = self.levels[level][0]
         bits = page["bits"][0]
@@ -155,25 +219,13 @@ class TiffFile:
             raise ValueError(f"TIFF samples of {page['bits']} bits and form {page['format']} are not supported")
         return np.dtype(f"{KINDS[page['format'][0]]}{max(1, bits // 8)}")
 
-    def leading(self) -> tuple[str, tuple[int, ...]]:
-        """Axes over the pages and their sizes: by OME-XML, C for a multispectral scan, else Z."""
-        n = len(self.levels[0])
-        if self.text.lstrip().startswith(("<OME", "<?xml")) and "<OME" in self.text:
-            pixels = next(x for x in ome.ET.fromstring(self.text).iter() if ome.local(x.tag) == "Pixels")
-            samples = self.levels[0][0]["samples"]
-            sizes = {d: int(pixels.get(f"Size{d}", 1)) // (samples if d == "C" else 1) for d in "TCZ"}
-            axes = [d for d in reversed(pixels.get("DimensionOrder", "XYCZT")[2:]) if sizes[d] > 1]
-            if int(np.prod([sizes[d] for d in axes])) == n:
-                return "".join(axes), tuple(sizes[d] for d in axes)
-        return ("C" if self.multispectral and self.levels[0][0]["samples"] == 1 else "Z", (n,)) if n > 1 else ("", ())
-
     def is_rgb(self) -> bool:
         """By the pages' own mark or by an annotation of the OME-XML."""
-        marked = "<OME" in self.text[:200] and ome.annotation(self.text, "PhotometricInterpretation") == "RGB"
+        marked = self.is_ome and ome.annotation(self.text, "PhotometricInterpretation") == "RGB"
         return marked or self.levels[0][0].get("photometric") == 2
 
     def describe(self) -> dict:
-        lead, sizes = self.leading()
+        lead, sizes = self.lead
         first = self.levels[0][0]
         inner = ("CYX" if first["planar"] == 2 else "YXC") if first["samples"] > 1 else "YX"
 
@@ -182,7 +234,7 @@ class TiffFile:
             return (*sizes, *[at[d] for d in inner])
 
         levels = [{"level": i, "shape": shape(pages[0]), "dtype": self.dtype(i).name, "tags": page_tags(pages[0])} for i, pages in enumerate(self.levels)]
-        flags = {"bigtiff": self.big, "byteorder": self.order, "ome": "<OME" in self.text[:200], "multispectral": self.multispectral, "rgb": self.is_rgb()}
+        flags = {"bigtiff": self.big, "byteorder": self.order, "ome": self.is_ome, "multispectral": self.multispectral, "rgb": self.is_rgb()}
         original = {"description": self.text, "software": first.get("software"), "flags": flags}
         if self.text.startswith("Aperio"):
             original["settings"] = ome.aperio(self.text)
@@ -192,8 +244,8 @@ class TiffFile:
 
     def image(self) -> dict:
         text, first = self.text, self.levels[0][0]
-        if "<OME" in text[:200]:
-            return ome.from_ome_xml(text)
+        if self.is_ome:
+            return ome.from_ome_xml(text, self.series)
         if self.multispectral:
             pages = [(p["description"], (p["x_resolution"], p["y_resolution"]) if "x_resolution" in p else None, p.get("photometric") == 2) for p in self.levels[0]]
             return ome.from_page_xml(pages)
@@ -221,7 +273,7 @@ class TiffFile:
         page = self.levels[level][number]
         plane, rest = divmod(within, down * across)
         row, column = divmod(rest, across)
-        _, sizes = self.leading()
+        _, sizes = self.lead
         where = tuple(int(x) for x in np.unravel_index(number, sizes)) if sizes else ()
         start, extent = (row * h, column * w), (min(h, page["height"] - row * h), min(w, page["width"] - column * w))
         if page["samples"] > 1 and page["planar"] == 2:
@@ -244,12 +296,12 @@ class TiffFile:
         kind = self.dtype(level)
         if not size:  # a segment that was never written
             return start, np.zeros(extent, kind)
-        data = files.read_range(self.uri, at, size)
+        data = files.read_range(page["uri"], at, size)
         if page["compression"] == 7:
             block = jpeg.decode(data, bytes(page.get("jpeg_tables", ())), page.get("photometric") == 6)
         else:
             rows = h if tiled else height
-            block = samples(data, page, rows, w, inner, kind.newbyteorder(self.order))
+            block = samples(data, page, rows, w, inner, kind.newbyteorder(page["order"]))
         return start, block[:height, :width].reshape(extent)
 
 
@@ -276,9 +328,14 @@ def samples(data: bytes, page: dict, rows: int, width: int, inner: int, kind: np
     return np.cumsum(block, axis=1, dtype=block.dtype) if predictor == 2 else block
 
 
+def blank(page: dict) -> dict:
+    """A page of the same form that holds nothing."""
+    return page | {k: (0,) * len(page[k]) for k in ("strips", "strip_sizes", "tiles", "tile_sizes") if k in page} | {"description": ""}
+
+
 def page_tags(page: dict) -> dict:
     """A page's tags but places and tables."""
-    return {k: v for k, v in page.items() if k not in ("strips", "strip_sizes", "tiles", "tile_sizes", "sub", "jpeg_tables", "description")}
+    return {k: v for k, v in page.items() if k not in ("uri", "order", "big", "strips", "strip_sizes", "tiles", "tile_sizes", "sub", "jpeg_tables", "description")}
 
 
 class ScannedSlide(TiffFile):

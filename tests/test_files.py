@@ -365,7 +365,8 @@ def test_a_load_with_holes_fails_and_is_swept_up(spark, tmp_path):
     kinds = "image_id string, level int, start array<int>, extent array<int>, dtype string, data binary"
     row = {"image_id": "i", "level": 0, "axes": "YX", "shape": [40, 40], "dtype": "uint8", "tile": [16, 16], "codec": "zstd", "pixel_depth": 1, "original_axes": "YX", "original_shape": [40, 40], "properties": {}}
     whole = [("i", 0, [y, x], [min(20, 40 - y), 20], "uint8", bytes(400)) for y in (0, 20) for x in (0, 20)]
-    for some, told in ((whole[:3], "missing"), ([("i", 0, [0, 0], [16, 40], "uint8", bytes(640))], "3 of 9 tiles")):
+    twice = [*whole[:3], ("i", 0, [20, 0], [20, 20], "uint8", bytes(400))]
+    for some, told in ((whole[:3], "missing"), (twice, "missing"), ([("i", 0, [0, 0], [16, 40], "uint8", bytes(640))], "3 of 9 tiles")):
         with pytest.raises(Exception, match=told):
             store.save_level(spark, path, row, spark.createDataFrame(some, kinds))
     assert store.levels(spark, path).count() == 0
