@@ -13,6 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from rasterloom.sources import files
 from rasterloom.sources.png import PngFile
 from rasterloom.sources.tiff import ScannedSlide, TiffFile
 from rasterloom.sources.zarr import ZarrImage
@@ -35,6 +36,12 @@ class Reader(Protocol):
     def bounds(self, level: int, i: int) -> tuple[tuple[int, ...], tuple[int, ...]]:
         """Start and extent without reading; a reader without this method reads whole levels."""
 
+    def place(self, level: int, i: int) -> tuple[str, int, int]:
+        """File, offset and length of a segment's bytes, 0 for one without any; may be left out, together with decode()."""
+
+    def decode(self, level: int, i: int, data: bytes) -> tuple[tuple[int, ...], np.ndarray]:
+        """Start and pixels of a segment from its bytes."""
+
 
 #: Readers by name; register() adds to them.
 READERS: dict[str, Callable[..., Reader]] = {"png": PngFile, "tiff": TiffFile, "svs": ScannedSlide, "zarr": ZarrImage}
@@ -44,6 +51,18 @@ def register(name: str, reader: Callable[..., Reader]) -> None:
     READERS[name] = reader
 
 
+def segments(image: Reader, level: int, wanted: list[int]) -> Iterator[tuple[tuple[int, ...], np.ndarray]]:
+    """Start and pixels of some segments; where their places are known, neighbours are read together (files.read_ranges)."""
+    if not hasattr(image, "place"):
+        yield from (image.segment(level, i) for i in wanted)
+        return
+    places = [image.place(level, i) for i in wanted]
+    held = [k for k, (_, _, size) in enumerate(places) if size]
+    yield from (image.decode(level, i, b"") for i, (_, _, size) in zip(wanted, places, strict=True) if not size)
+    for k, data in files.read_ranges([places[k] for k in held]):
+        yield image.decode(level, wanted[held[k]], bytes(data))
+
+
 class Run(InputPartition):
     def __init__(self, level: int, segments: list[int]):
         self.level, self.segments = level, segments
@@ -67,8 +86,7 @@ class RasterReader(DataSourceReader):
         return [Run(self.level, found[a : a + self.step]) for a in range(0, len(found), self.step)]
 
     def read(self, partition: Run) -> Iterator[tuple]:
-        for i in partition.segments:
-            start, block = self.image.segment(partition.level, i)
+        for start, block in segments(self.image, partition.level, partition.segments):
             start = list(map(int, start))
             for k, lo, hi in self.region:
                 low, high = max(lo, start[k]), min(hi, start[k] + block.shape[k])

@@ -37,6 +37,8 @@ LEVELS = (
 )
 TILES = "image_id string, level int, ty int, tx int, tc int, tz int, tt int, start array<int>, extent array<int>, dtype string, data binary"
 STORED = TILES + ", load_id string"
+#: What each file of a load holds; Spark's readers pass over names that begin like this.
+PARTS = "_parts.json"
 #: Neighbouring tiles that are written together, and the size of row groups.
 BAND, ROW_GROUP = 16, 16 << 20
 
@@ -160,6 +162,13 @@ def channel_stats(found: DataFrame, axes: str, depth: int = 1) -> DataFrame:
     return merge_minmax(found.mapInPandas(partial, "level int, c int, min double, max double"), "level", "c")
 
 
+def parts_of(found: DataFrame) -> list[dict]:
+    """A record a file of a load: its name, tiles, and least and largest tile index by axis."""
+    spans = [x.alias(f"{c}_{n}") for c in ("ty", "tx", "tc", "tz", "tt") for n, x in (("lo", F.min(c)), ("hi", F.max(c)))]
+    each = found.groupBy(F.regexp_extract(F.input_file_name(), "[^/]+$", 0).alias("file")).agg(F.count(F.lit(1)).alias("tiles"), *spans)
+    return [r.asDict() for r in each.orderBy("file").collect()]
+
+
 def save_level(spark: SparkSession, path: str, level: dict, blocks: DataFrame) -> bool:
     """Write a level's blocks as tiles; False if a valid image already has it.
 
@@ -180,8 +189,10 @@ def save_level(spark: SparkSession, path: str, level: dict, blocks: DataFrame) -
     folder = f"{path}/tiles/load_id={load}"
     packed.write.option("compression", level["codec"]).option("parquet.block.size", ROW_GROUP).parquet(folder)
     expected = math.prod(-(-n // t) for n, t in zip(level["shape"], level["tile"], strict=True))
-    if (found := spark.read.schema(TILES).parquet(folder).count()) != expected:
+    parts = parts_of(spark.read.schema(TILES).parquet(folder))
+    if (found := sum(p["tiles"] for p in parts)) != expected:
         raise ValueError(f"level {level['level']} of {level['image_id']!r} has {found} of {expected} tiles")
+    files.write_whole(f"{folder}/{PARTS}", json.dumps(parts).encode())
     named = level | {"load_id": load}
     row = spark.createDataFrame([tuple(named[c.split()[0]] for c in LEVELS.split(", "))], LEVELS)
     row.withColumn("written", F.current_timestamp()).coalesce(1).write.mode("append").parquet(f"{path}/levels")

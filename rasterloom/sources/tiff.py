@@ -282,26 +282,34 @@ class TiffFile:
             start, extent = (*start, 0), (*extent, page["samples"])
         return (*where, *start), ((1,) * len(where) + extent)
 
+    def place(self, level: int, i: int) -> tuple[str, int, int]:
+        """File, offset and length of a segment's bytes; length 0: it was never written."""
+        _, _, down, across, planes = self._grid(self.levels[level][0])
+        number, within = divmod(i, planes * down * across)
+        page = self.levels[level][number]
+        at, size = ("tiles", "tile_sizes") if "tiles" in page else ("strips", "strip_sizes")
+        return page["uri"], page[at][within], page[size][within]
+
     def segment(self, level: int, i: int) -> tuple[tuple[int, ...], np.ndarray]:
         """Start and pixels of a segment, clipped at the image's edges."""
+        uri, at, size = self.place(level, i)
+        return self.decode(level, i, files.read_range(uri, at, size) if size else b"")
+
+    def decode(self, level: int, i: int, data: bytes) -> tuple[tuple[int, ...], np.ndarray]:
+        """The same from the segment's bytes."""
         h, w, down, across, planes = self._grid(self.levels[level][0])
-        number, within = divmod(i, planes * down * across)
-        page = self.levels[level][number]
+        page = self.levels[level][i // (planes * down * across)]
         start, extent = TiffFile.bounds(self, level, i)
         interleaved = page["samples"] > 1 and page["planar"] != 2
         inner = page["samples"] if interleaved else 1
         height, width = extent[-3:-1] if interleaved else extent[-2:]
-        tiled = "tiles" in page
-        at, size = (page["tiles"][within], page["tile_sizes"][within]) if tiled else (page["strips"][within], page["strip_sizes"][within])
         kind = self.dtype(level)
-        if not size:  # a segment that was never written
+        if not data:
             return start, np.zeros(extent, kind)
-        data = files.read_range(page["uri"], at, size)
         if page["compression"] == 7:
             block = jpeg.decode(data, bytes(page.get("jpeg_tables", ())), page.get("photometric") == 6)
         else:
-            rows = h if tiled else height
-            block = samples(data, page, rows, w, inner, kind.newbyteorder(page["order"]))
+            block = samples(data, page, h if "tiles" in page else height, w, inner, kind.newbyteorder(page["order"]))
         return start, block[:height, :width].reshape(extent)
 
 
@@ -353,7 +361,7 @@ class ScannedSlide(TiffFile):
         start, extent = super().bounds(level, i)
         return start, (*extent[:2], 4)
 
-    def segment(self, level: int, i: int) -> tuple[tuple[int, ...], np.ndarray]:
-        start, block = super().segment(level, i)
+    def decode(self, level: int, i: int, data: bytes) -> tuple[tuple[int, ...], np.ndarray]:
+        start, block = super().decode(level, i, data)
         opaque = np.full((*block.shape[:2], 1), np.iinfo(block.dtype).max, block.dtype)
         return start, np.concatenate([block[..., :3], opaque], axis=2)

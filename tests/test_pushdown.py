@@ -1,0 +1,150 @@
+"""Ranges of files and stored images, and byte ranges read together."""
+
+import importlib.util
+from pathlib import Path
+
+import numpy as np
+import pytest
+
+from rasterloom import api
+from rasterloom.sources import files, pixels, raster, tiff
+
+_spec = importlib.util.spec_from_file_location("files_of_tests", Path(__file__).with_name("test_files.py"))
+made = importlib.util.module_from_spec(_spec)
+_spec.loader.exec_module(made)
+
+RANGES = [{}, {"x": (0, 10)}, {"x": (33, None), "y": (5, 41)}, {"x": (20, 21), "c": (1, 2)}, {"x": (None, 0)}, {"y": (60, 900)}, {"x": (9, 9)}, {"c": (2, None), "x": (-5, 17), "y": (15, 17)}]
+
+
+def grid(a, ranges):
+    at = [slice(*np.clip([0 if lo is None else lo, n if hi is None else hi], 0, n)) for n, (lo, hi) in zip(a.shape, (ranges.get(d, (None, None)) for d in "cyx"), strict=True)]
+    lows = [s.start for s in at]
+    piece = a[tuple(at)]
+    return {(*(int(k + lo) for k, lo in zip(where, lows, strict=True)), int(v)) for where, v in np.ndenumerate(piece)}
+
+
+def told(ranges):
+    return {d: ":".join("" if n is None else str(n) for n in r) for d, r in ranges.items()}
+
+
+@pytest.fixture(scope="module")
+def sources(spark, tmp_path_factory):
+    folder = tmp_path_factory.mktemp("push")
+    a = made.image((3, 64, 48))
+    made.paged_tiff(folder / "a.tif", [(p, "", True) for p in a])
+    made.write_zarr(str(folder / "a"), a, "CYX", (1, 16, 16))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    api.ingest(spark, str(folder / "a"), str(folder / "s"), "i", "zarr", tiles={"Y": 8, "X": 8, "C": 1})
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    pixels.enable(spark)
+    return a, folder
+
+
+@pytest.mark.parametrize("source,options", [("raster_cells", "codec 'zarr', path '{}/a'"), ("stored_cells", "path '{}/s', image 'i'")])
+def test_views_over_ranges(spark, sources, source, options):
+    a, folder = sources
+    for ranges in RANGES:
+        more = "".join(f", {d} '{t}'" for d, t in told(ranges).items())
+        spark.sql(f"CREATE OR REPLACE TEMPORARY VIEW part USING {source} OPTIONS ({options.format(folder)}{more})")
+        rows = spark.sql("SELECT * FROM part").collect()
+        assert len(rows) == len({(r.c, r.y, r.x) for r in rows}) and {(r.c, r.y, r.x, r.intensity) for r in rows} == grid(a, ranges)
+    # scans of one view don't get in each other's way
+    spark.sql(f"CREATE OR REPLACE TEMPORARY VIEW part USING {source} OPTIONS ({options.format(folder)}, y '3:5')")
+    two = spark.sql("SELECT x FROM part WHERE x = 1 UNION ALL SELECT x FROM part WHERE x = 2 UNION ALL SELECT x FROM part WHERE x = 3 OR y = 4").groupBy("x").count().collect()
+    assert {r.x: r["count"] for r in two if r.x < 4} == {0: 3, 1: 9, 2: 9, 3: 6}
+    with pytest.raises(Exception, match="no range of z"):
+        spark.read.format(source).options(**{"codec": "zarr", "path": f"{folder}/{'a' if source[0] == 'r' else 's'}", "image": "i", "z": "0:1"}).load().count()
+    with pytest.raises(ValueError, match="no range low:high"):
+        pixels.span("5")
+
+
+def test_what_is_left_out_is_not_read(sources):
+    _, folder = sources
+    ranges = told({"x": (0, 10), "y": (50, None), "c": (2, 3)})
+    reader = pixels.FileReader(raster.READERS["zarr"](str(folder / "a")), None, ranges)
+    assert [(p.level, p.items) for p in reader.partitions()] == [(0, [2 * 12 + 3 * 3])]
+    stored = [pixels.StoredCells({"path": str(folder / "s"), "image": "i"} | r).reader(None) for r in ({}, ranges, {"x": "7:7"})]
+    count = [sum(len(p.items) for p in r.partitions()) for r in stored]
+    assert count[0] > count[1] > 0 == count[2]
+    assert sum(b.num_rows for p in stored[1].partitions() for b in stored[1].read(p)) == 10 * 14
+    assert [p.items for p in stored[2].partitions()] == [[]] and list(stored[2].read(stored[2].partitions()[0])) == []
+
+
+def test_levels_of_an_image_are_rows_of_their_own(spark, tmp_path):
+    a = made.image((40, 60), "uint16")
+    made.write_zarr(str(tmp_path / "a"), a, "YX", (20, 20))
+    api.ingest(spark, str(tmp_path / "a"), str(tmp_path / "s"), "i", "zarr", tiles={"Y": 16, "X": 16}, scale_factors=[2.0, 4.0])
+    pixels.enable(spark)
+    df = spark.read.format("stored_cells").option("path", str(tmp_path / "s")).option("image", "i").load()
+    assert dict(df.dtypes) == {"level": "int", "y": "int", "x": "int", "intensity": "int"}
+    assert {r.level: r["count"] for r in df.groupBy("level").count().collect()} == {0: 2400, 1: 600, 2: 150}
+    np.testing.assert_array_equal(made.pixels(df.filter("level = 0").drop("level"), "YX", a.shape), a)
+    with pytest.raises(Exception, match="no level"):
+        spark.read.format("stored_cells").option("path", str(tmp_path / "s")).option("image", "other").load().count()
+
+
+@pytest.mark.parametrize("dtype", ["uint8", "int8", "uint16", "int16", "uint32", "int32", "int64", "uint64", "float32", "float64"])
+def test_cells_of_every_type(dtype):
+    from rasterloom.functions import dtypes
+
+    a = np.array([0, 1, 100, np.iinfo(dtype).max if "int" in dtype else 0.5]).astype(dtype)
+    for order in ("<", ">"):
+        assert pixels.intensities(a.astype(a.dtype.newbyteorder(order)), dtypes.spark_type(dtype)).to_pylist() == a.tolist()
+
+
+# ---- byte ranges
+
+
+def test_neighbouring_ranges_are_read_together(tmp_path, monkeypatch):
+    data = np.random.default_rng(1).integers(0, 256, 100_000, dtype=np.uint8).tobytes()
+    uris = [str(tmp_path / n) for n in "ab"]
+    for uri in uris:
+        files.write_whole(uri, data)
+    rng = np.random.default_rng(2)
+    ranges = [(uris[k % 2], int(rng.integers(0, 99_000)), int(rng.integers(1, 1000))) for k in range(200)]
+    for gap, most in ((0, 1 << 20), (50, 3000), (1 << 20, 1 << 20), (0, 1)):
+        got = dict((k, bytes(v)) for k, v in files.read_ranges(ranges, gap, most))
+        assert got == {k: data[at : at + n] for k, (_, at, n) in enumerate(ranges)}
+        found = files.runs(ranges, gap, most)
+        assert sorted(k for *_, held in found for k in held) == list(range(200))
+        assert all(n <= most or len(held) == 1 for _, _, n, held in found)
+    assert len(files.runs(ranges, 1 << 20, 1 << 20)) == 2
+    assert files.runs([("a", 0, 10), ("a", 10, 5), ("a", 20, 5), ("b", 25, 5)], 5, 100) == [("a", 0, 25, [0, 1, 2]), ("b", 25, 5, [3])]
+    assert files.runs([("a", 0, 10), ("a", 16, 5)], 5, 100) == [("a", 0, 10, [0]), ("a", 16, 5, [1])]
+
+
+def test_a_task_opens_a_file_once_and_reads_neighbours_at_once(tmp_path, monkeypatch):
+    a = made.image((160, 160))
+    made.paged_tiff(tmp_path / "a.tif", [(a, "", True)])
+    t = tiff.TiffFile(str(tmp_path / "a.tif"))
+    opened, reads = [], []
+    plain = files.store_of
+
+    class Counted:
+        def __init__(self, store):
+            self.store = store
+
+        def open_input_file(self, path):
+            opened.append(path)
+            f = self.store.open_input_file(path)
+
+            class Reads:
+                close = staticmethod(f.close)
+
+                def read_at(self, n, at):
+                    reads.append(n)
+                    return f.read_at(n, at)
+
+            return Reads()
+
+    monkeypatch.setattr(files, "store_of", lambda uri: (Counted(plain(uri)[0]), plain(uri)[1]))
+    got = np.zeros_like(a)
+    for (y, x), block in raster.segments(t, 0, list(range(t.segments(0)))):
+        got[y : y + 16, x : x + 16] = block
+    np.testing.assert_array_equal(got, a)
+    assert len(opened) == 1 and reads == [160 * 160]
+    reads.clear()
+    assert len(list(raster.segments(t, 0, [0, 1, 2, 40, 41]))) == 5 and reads == [256 * 42]
+    monkeypatch.setattr(files.read_ranges, "__defaults__", (100, 1 << 20))
+    reads.clear()
+    assert len(list(raster.segments(t, 0, [41, 0, 2, 1, 40]))) == 5 and reads == [256 * 3, 256 * 2]
