@@ -14,11 +14,11 @@ from rasterloom.functions.axes import Layout, stored_layout
 from rasterloom.metadata import ome
 from rasterloom.operators import grid, pyramid
 from rasterloom.operators.slide import Slide
-from rasterloom.sinks import writers
+from rasterloom.sinks import tiff, writers
 from rasterloom.sources import raster, store
 
 #: Writers by name; None: the format can only be read.
-WRITERS: dict[str, Callable | None] = {"png": writers.png_file, "tiff": writers.tiff, "zarr": writers.zarr, "svs": None}
+WRITERS: dict[str, Callable | None] = {"png": writers.png_file, "tiff": tiff.tiff, "zarr": writers.zarr, "svs": None}
 
 
 def register_writer(name: str, writer: Callable) -> None:

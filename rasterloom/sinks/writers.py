@@ -1,15 +1,11 @@
-"""Export of stored levels: chunk files for Zarr, encoded tiles for TIFF, row strips for PNG.
-
-Tasks encode; the driver only lines up encoded tiles or bands, one at a time, since one file is written in order, under
-another name that is changed when all is there.
-"""
+"""Export of stored levels: chunk files for Zarr, bands of rows for PNG (TIFF: sinks.tiff)."""
 
 from __future__ import annotations
 
 import json
 import struct
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -18,13 +14,12 @@ from pyspark.sql import functions as F
 
 from rasterloom.functions.axes import Layout, level_layout
 from rasterloom.metadata import ome
+from rasterloom.session import scratch_path
+from rasterloom.sinks.shared import SharedFile
 from rasterloom.sources import files, png
 
-_PIECES = "level int, page int, ty int, tx int, y int, x int, h int, w int, n int, dtype string, data binary"
 #: Bytes of pixels that one task deflates for a PNG file, or a row if that is more.
 PNG_BAND = 8 << 20
-#: Side of a tile in exported TIFF files.
-TIFF_TILE = 256
 
 
 def original(level: dict, tile) -> tuple[np.ndarray, list[int]]:
@@ -62,101 +57,6 @@ def zarr(tiles: DataFrame, levels: list[dict], image: dict, dest: str) -> None:
     files.write_whole(f"{dest}/.zattrs", json.dumps({"multiscales": [scales], "omero": ome.to_omero(image)}).encode())
 
 
-def tiff(tiles: DataFrame, levels: list[dict], image: dict, dest: str, tile: int = TIFF_TILE) -> None:
-    """A BigTIFF of deflated tiles, smaller levels in sub-directories, a page for each of the leading axes' coordinates."""
-    by_level = {r["level"]: r for r in levels}
-    interleaved = levels[0]["original_axes"].endswith("YXC")
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for t in batch.itertuples():
-                block, start = original(by_level[t.level], t)
-                if not interleaved:
-                    block, start = block[..., None], [*start, 0]
-                lead = level_layout(by_level[t.level]).shape(tuple(by_level[t.level]["shape"]))[: len(start) - 3]
-                y0, x0 = start[-3:-1]
-                for where in np.ndindex(block.shape[:-3]):
-                    page = int(np.ravel_multi_index([a + b for a, b in zip(where, start[:-3], strict=True)], lead)) if lead else 0
-                    plane = block[where]
-                    h, w, n = plane.shape
-                    for ty in range(y0 // tile, (y0 + h - 1) // tile + 1):
-                        for tx in range(x0 // tile, (x0 + w - 1) // tile + 1):
-                            top, left = max(y0, ty * tile), max(x0, tx * tile)
-                            part = plane[top - y0 : (ty + 1) * tile - y0, left - x0 : (tx + 1) * tile - x0]
-                            rows.append((t.level, page, ty, tx, top - ty * tile, left - tx * tile, *part.shape, t.dtype, part.tobytes()))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in _PIECES.split(", ")])
-
-    def deflated(pieces: Iterable) -> bytes:
-        whole = None
-        for p in pieces:
-            if whole is None:
-                whole = np.zeros((tile, tile, p.n), p.dtype)
-            whole[p.y : p.y + p.h, p.x : p.x + p.w] = np.frombuffer(p.data, p.dtype).reshape(p.h, p.w, p.n)
-        return zlib.compress(whole.tobytes(), 5)
-
-    def alone(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield batch[order].assign(data=[deflated([p]) for p in batch.itertuples()])
-
-    def together(pieces: pd.DataFrame) -> pd.DataFrame:
-        return pieces[order].iloc[:1].assign(data=[deflated(pieces.itertuples())])
-
-    order = ["level", "page", "ty", "tx"]
-    pieces, encoded_as = tiles.mapInPandas(cut, _PIECES), "level int, page int, ty int, tx int, data binary"
-    # a stored tile that ends on a border of exported ones holds them whole
-    fits = all(t % (tile * (r["pixel_depth"] if d == "X" else 1)) == 0 or t >= n for r in levels for d, t, n in zip(r["axes"], r["tile"], r["shape"], strict=True) if d in "YX")
-    encoded = pieces.mapInPandas(alone, encoded_as) if fits else pieces.groupBy(*order).applyInPandas(together, encoded_as)
-    encoded = encoded.orderBy(*order).persist()
-    sizes = encoded.select(*order, F.length("data").alias("n")).orderBy(*order).toPandas()
-    at = 16 + np.concatenate([[0], np.cumsum(sizes["n"].to_numpy())]).astype(np.int64)
-    places = {k: (at[g.index].tolist(), g["n"].tolist()) for k, g in sizes.groupby(["level", "page"])}
-    end, body = int(at[-1]), bytearray()
-
-    def directory(r: dict, page: int, text: str, subs: list[int]) -> int:
-        shape = level_layout(r).shape(tuple(r["shape"]))
-        h, w, n = shape[-3:] if interleaved else (*shape[-2:], 1)
-        kind = np.dtype(r["dtype"])
-        offsets, lengths = places[(r["level"], page)]
-        entries = [
-            (254, 4, [int(r["level"] != levels[0]["level"])]), (256, 4, [w]), (257, 4, [h]), (258, 3, [kind.itemsize * 8] * n), (259, 3, [8]),
-            (262, 3, [2 if n in (3, 4) else 1]), (270, 2, text.encode() + b"\0"), (277, 3, [n]), (284, 3, [1]), (322, 4, [tile]), (323, 4, [tile]),
-            (324, 16, offsets), (325, 16, lengths), (330, 16, subs), (338, 3, [2] * (n == 4)), (339, 3, [{"u": 1, "i": 2, "f": 3}[kind.kind]] * n),
-        ]
-        packed = [(t, k, v if k == 2 else struct.pack(f"<{len(v)}{ {3: 'H', 4: 'I', 16: 'Q'}[k] }", *v), len(v)) for t, k, v in entries if len(v)]
-        for i, (t, k, data, many) in enumerate(packed):
-            if len(data) > 8:
-                place = end + len(body)
-                body.extend(data + b"\0" * (-len(data) % 8))
-                packed[i] = (t, k, struct.pack("<Q", place), many)
-        place = end + len(body)
-        body.extend(struct.pack("<Q", len(packed)) + b"".join(struct.pack("<HHQ", t, k, many) + data.ljust(8, b"\0") for t, k, data, many in packed))
-        links.append(end + len(body))
-        body.extend(bytes(8))
-        return place
-
-    links: list[int] = []
-    top = levels[0]
-    pages = sorted({p for lv, p in places if lv == top["level"]})
-    subs = {p: [directory(r, p, "", []) for r in levels[1:]] for p in pages}
-    sizes_of = dict(zip(top["original_axes"], level_layout(top).shape(tuple(top["shape"])), strict=True))
-    lead = [d for d in top["original_axes"] if d not in "YX" and not (interleaved and d == "C")]
-    dims = "XY" + "".join(reversed(lead)) + "".join(d for d in "CZT" if d not in lead)
-    text = ome.to_ome_xml(image, sizes_of, top["dtype"], len(pages)).replace('DimensionOrder="XYCZT"', f'DimensionOrder="{dims}"')
-    heads = []
-    for p in pages:
-        link = links[-1] if heads else None
-        heads.append(directory(top, p, text if p == pages[0] else "", subs[p]))
-        if link is not None:
-            struct.pack_into("<Q", body, link - end, heads[-1])
-    with files.writing(dest) as f:
-        f.write(struct.pack("<2sHHHQ", b"II", 43, 8, 0, heads[0]))
-        for row in encoded.select("data").toLocalIterator(prefetchPartitions=False):
-            f.write(bytes(row["data"]))
-        f.write(bytes(body))
-    encoded.unpersist()
-
-
 def joined_sums(first: int, second: int, size: int) -> int:
     """The Adler-32 sum of two stretches of bytes from their own sums, the second of `size` bytes."""
     prime = 65521
@@ -166,7 +66,11 @@ def joined_sums(first: int, second: int, size: int) -> int:
 
 
 def png_file(tiles: DataFrame, levels: list[dict], image: dict, dest: str, effort: int = 6) -> None:
-    """One PNG of the first level. Tasks deflate bands of rows, each to a byte's end; the driver lines them up and joins their sums."""
+    """One PNG of the first level.
+
+    Tasks deflate bands of rows, each to a byte's end, into scratch space. The driver gets their lengths and sums alone;
+    where tasks share the file system with it, they write each band in its place, else it lines them up one at a time.
+    """
     level, axes = levels[0], levels[0]["axes"]
     depth = level["pixel_depth"]
     size = dict(zip(axes, level["shape"], strict=True))
@@ -203,12 +107,44 @@ def png_file(tiles: DataFrame, levels: list[dict], image: dict, dest: str, effor
         return pd.DataFrame({"band": [band], "data": [data], "sum": [zlib.adler32(lines.tobytes())], "size": [lines.nbytes]})
 
     pieces = tiles.filter(F.col("level") == level["level"]).mapInPandas(cut, "band int, y int, x int, c int, h int, w int, n int, data binary")
-    bands = pieces.groupBy("band").applyInPandas(deflated, "band int, data binary, sum long, size long").orderBy("band")
-    with files.writing(dest) as f:
-        f.write(png.head(height, width, n, kind.itemsize * 8))
-        total, begun = 1, zlib.compress(b"")[:2]
-        for row in bands.toLocalIterator(prefetchPartitions=False):
-            f.write(png.chunk(b"IDAT", begun + bytes(row["data"])))
-            total, begun = joined_sums(total, row["sum"], row["size"]), b""
-        # an empty last block, and the sum of all bytes
-        f.write(png.chunk(b"IDAT", b"\3\0" + struct.pack(">I", total)) + png.chunk(b"IEND", b""))
+    bands = pieces.groupBy("band").applyInPandas(deflated, "band int, data binary, sum long, size long")
+    spark = tiles.sparkSession
+    scratch = scratch_path(spark, "png")
+    bands.write.parquet(scratch)
+    staged = spark.read.parquet(scratch)
+    rows = staged.select("band", "sum", "size", F.length("data").alias("n")).orderBy("band").collect()
+    begun, front = zlib.compress(b"")[:2], png.head(height, width, n, kind.itemsize * 8)
+    total, at, places = 1, len(front), []
+    for r in rows:
+        places.append((r["band"], at))
+        total, at = joined_sums(total, r["sum"], r["size"]), at + 12 + r["n"] + (len(begun) if r["band"] == 0 else 0)
+    # an empty last block, and the sum of all bytes
+    back = png.chunk(b"IDAT", b"\3\0" + struct.pack(">I", total)) + png.chunk(b"IEND", b"")
+    file = SharedFile(dest, len(front))
+
+    def chunk(band: int, data: bytes) -> bytes:
+        return png.chunk(b"IDAT", (begun if band == 0 else b"") + data)
+
+    def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for band, data, offset in zip(batch["band"], batch["data"], batch["at"], strict=True):
+                file.place(offset, chunk(band, data))
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    if file.local:
+        try:
+            placed = staged.select("band", "data").join(spark.createDataFrame(places, "band int, at long"), "band")
+            placed.mapInPandas(put, "n long").agg(F.sum("n")).collect()
+            file.place(0, front)
+            file.place(at, back)
+            file.rename()
+        except BaseException:
+            file.drop()
+            raise
+    else:
+        with files.writing(dest) as f:
+            f.write(front)
+            for row in staged.orderBy("band").toLocalIterator(prefetchPartitions=False):
+                f.write(chunk(row["band"], bytes(row["data"])))
+            f.write(back)
+    files.delete(scratch)

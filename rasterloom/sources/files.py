@@ -61,6 +61,12 @@ def exists(uri: str) -> bool:
     return store.get_file_info(path).type != fs.FileType.NotFound
 
 
+def delete(uri: str) -> None:
+    """Delete a folder."""
+    store, path = store_of(uri)
+    store.delete_dir(path)
+
+
 def beside(uri: str, name: str) -> str:
     """A file of the same folder."""
     return f"{uri.rstrip('/').rsplit('/', 1)[0]}/{name}" if "/" in uri else name

@@ -104,6 +104,13 @@ class RasterSource(DataSource):
     def schema(self) -> str:
         return BLOCKS
 
+    def writer(self, schema, overwrite: bool):
+        from rasterloom.sinks.tiff import TiffWriter
+
+        if self.options.get("codec") != "tiff":
+            raise ValueError("blocks can be written as tiff only")
+        return TiffWriter(self.options, overwrite)
+
     def reader(self, schema) -> RasterReader:
         region, options = (json.loads(self.options.get(k, "{}")) for k in ("region", "reader"))
         return RasterReader(READERS[self.options["codec"]], self.options["path"], int(self.options.get("level", "0")), region, options, int(self.options.get("scale", "1")))
