@@ -72,7 +72,9 @@ def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTOR
     """One row a span: conv_id, span, formatted, loss_spans (start, length in code points), n_repeated, n_tokens."""
     spark, none = turns.sparkSession, F.lit("")
     rows = turns.select("conv_id", "turn", F.coalesce("role", none).alias("role"), F.coalesce("text", none).alias("text"))
-    rows = rows.select("*", F.coalesce(F.col("conv_id").cast("string"), F.lit("null")).alias("conv"), *row_key(rows))
+    # marked, so that no text is taken for a null id
+    conv = F.when(F.col("conv_id").isNull(), "n").otherwise(F.concat(F.lit("s"), F.col("conv_id").cast("string")))
+    rows = rows.select("*", conv.alias("conv"), *row_key(rows))
     planned = settled(spark, lambda: plan_spans(rows, budget, history, history_budget), "spans")
     spans = planned.groupBy("conv", "span").agg(
         F.min("rank").alias("from"), F.min("before").alias("at"), F.sum("tokens").alias("own"), F.first("system").alias("system")

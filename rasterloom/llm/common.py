@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -13,8 +14,8 @@ from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 _ROW_BITS = 33
 #: Repeats of a row that are numbered in one array.
 _REPEATS = 1000
-#: Folders that pin() wrote and nothing deleted yet.
-_made: list[str] = []
+#: Folders that pin() wrote in this thread and nothing deleted yet; a build within settled() has a list of its own.
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,10 +39,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _made.append(path)
+    made().append(path)
     return path
 
 
+def made() -> list[str]:
+    if (held := _made.get()) is None:
+        _made.set(held := [])
+    return held
+
+
 def pin(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Write df once to the shared folder and read it back: cuts lineage, survives lost executors."""
     path = fresh_path(spark, name)
@@ -49,22 +56,29 @@ def pin(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def clear(spark: SparkSession, since: int = 0) -> None:
-    """Delete what was pinned in this session; for a caller that has written its results."""
-    for path in _made[since:]:
+def clear(spark: SparkSession) -> None:
+    """Delete what was pinned in this thread; for a caller that has written its results."""
+    held = made()
+    for path in held:
         at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-    del _made[since:]
+    held.clear()
 
 
 def settled(spark: SparkSession, build: Callable[[], DataFrame], name: str) -> DataFrame:
-    """Pin what build() gives and delete what build() itself pinned on the way."""
-    before = len(_made)
-    out = pin(spark, build(), name)
-    own = _made.pop()
-    clear(spark, before)
-    _made.append(own)
-    return out
+    """Pin what build() gives and delete what build() itself pinned on the way; builds of other threads are left alone."""
+    before = _made.set([])
+    try:
+        df = build()
+        path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        df.write.option("compression", "zstd").parquet(path)
+        clear(spark)
+    finally:
+        left = made()
+        _made.reset(before)
+        made().extend(left)
+    made().append(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def packed(df: DataFrame, *needed: Column) -> DataFrame:

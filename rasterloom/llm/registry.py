@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from rasterloom.llm import chat, decontaminate, divergence, embeddings, langid, mixing, near_dup, quality, resampling, sharding, token_files, tokens, warc
+from rasterloom.llm.common import clear
 
+__all__ = ["clear", "oracle_sql", "queries"]
 _MODULES = (warc, sharding, langid, embeddings, decontaminate, tokens, near_dup, quality, chat, mixing, divergence, token_files, resampling)
 
 

@@ -151,6 +151,13 @@ def test_chat_keeps_the_system_turn_and_limits_history(spark):
         assert all(w.formatted[s.start : s.start + s.length].startswith("t") for s in w.loss_spans)
 
 
+def test_ids_of_text_are_not_taken_for_null(spark):
+    rows = [(i, k, r, f"{i} {k}") for i in ("null", None, "n", "snull", "") for k, r in enumerate(["user", "assistant"])]
+    df = spark.createDataFrame(rows, "conv_id string, turn long, role string, text string")
+    got = {r.conv_id: r for r in chat.read_back(chat.format_windows(df)).collect()}
+    assert {k: (r.n_turns, r.turns_sha256) for k, r in got.items()} == {i: digest([(r, t) for j, _, r, t in rows if j == i])[:2] for i in ("null", None, "n", "snull", "")}
+
+
 def test_chat_empty_table(spark):
     df = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat.read_back(chat.format_windows(df)).count() == 0
