@@ -3,12 +3,15 @@
 Vectors of equal labels are scaled to length 1 and projected on random directions; a pair at the threshold lies at
 distance sqrt(2 - 2*cos), so its differences there have a known distribution. Two rounds count collisions.
 
-The first finds which vectors can be linked at all. Each projection is cut into cells of CELL deviations of a pair
+The first finds which vectors can be linked at all. Each projection is cut into cells of some deviations of a pair
 at the threshold, and `depth` projections together make a table; a pair collides in a table if it shares all its
-cells. The depth follows the size of the largest label, so that spread vectors rarely collide; the number of tables
-follows the depth, so that a pair at the threshold collides in one at least with probability TABLE_RECALL. Vectors
-are tied to the smallest id of each of their buckets, and the components of these ties hold all links. Rows grow with
-the vectors times the tables (about as the 1.1th power of a label's rows), not with the square of a label.
+cells. A pair at the threshold collides in one table at least with probability TABLE_RECALL. Vectors are tied to the smallest id
+of each of their buckets, and the components of these ties hold all links. How wide cells and how deep tables have to be, so
+that vectors that aren't linked rarely collide, is told by the distances of pairs of a sample: of the LABELS largest labels,
+SAMPLE vectors each, which the driver collects. Vectors of a label that all point the same way need deeper tables and so more
+of them than spread ones. Where the tables would cost more than to compare all pairs of the largest label, this round is left
+out and a label is one component: that is so for labels of some ten thousand vectors, and up to the more, the closer together
+a label's vectors lie. Both ways give the same links.
 
 The second counts within components. Sorted by (component, first projection), rows are cut into blocks of BLOCK rows;
 blocks meet that share a component and whose ranges of it come as near as a pair at the threshold can be. There, for each of PROJECTIONS
@@ -27,6 +30,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -38,15 +42,20 @@ from rasterloom.llm.components import components, forest
 from rasterloom.llm.grams import mixed
 
 COSINE = 0.98
-PROJECTIONS = 24
+PROJECTIONS = 32
 #: Window half-width in deviations of a pair at the threshold.
-WIDTH = 2.0
+WIDTH = 2.25
 RECALL = 1 - 1e-9
 BLOCK = 2048
-CELL = 10.0
+#: Widths of cells that are tried, and the deepest tables.
+CELLS, DEEPEST = (3, 4, 5, 6, 8, 10, 13, 16), 80
 TABLE_RECALL = 1 - 1e-6
-#: A vector of the largest label collides with a spread one by chance in so many of its tables taken together.
+#: A vector collides by chance with so many vectors, in all its tables taken together.
 CHANCE = 0.05
+#: Labels and vectors of each from which distances are learnt.
+LABELS, SAMPLE = 16, 256
+#: Measured costs in seconds: to compare a pair, of a row of a bucket, of a cell and, in it, of a dimension.
+PAIR, ROW, PER_CELL, PER_DIM = 3e-8, 5e-6, 1e-8, 2e-10
 SEED = 7
 _ROWS, _PART = 64, 500
 
@@ -61,32 +70,86 @@ def needed(projections: int = PROJECTIONS, width: float = WIDTH, recall: float =
     return projections
 
 
-def shares(dims: int, radius: float) -> tuple[float, float]:
-    """The chance to share a cell of one projection, of a pair at the threshold and of a pair of spread vectors."""
-    width = CELL * radius / math.sqrt(dims)
+def near_share(dims: int, radius: float, cell: float) -> float:
+    """The least chance of a pair within radius to share a cell of one projection."""
     # mean size of one coordinate of a vector of length 1
     mean = math.exp(math.lgamma(dims / 2) - math.lgamma((dims + 1) / 2)) / math.sqrt(math.pi)
-    z = width / math.sqrt(2 / dims)
-    spread = math.erf(z / math.sqrt(2)) - math.sqrt(2 / math.pi) / z * (1 - math.exp(-z * z / 2))
-    return 1 - mean * radius / width, spread
-
-
-def tables(n: int, dims: int, radius: float) -> tuple[int, int]:
-    """Depth and number of tables for a label of n vectors."""
-    near, spread = shares(dims, radius)
-    depth = many = 1
-    for _ in range(50):
-        depth = max(1, math.ceil(math.log(max(n, 2) * many / CHANCE) / -math.log(spread)))
-        many = math.ceil(math.log(1 - TABLE_RECALL) / math.log1p(-(near**depth)))
-    return depth, many
+    return 1 - mean * math.sqrt(dims) / cell
+
+
+def far_shares(dims: int, radius: float, cell: float, apart: np.ndarray) -> np.ndarray:
+    """The same of pairs that lie so far apart, whose differences in a projection are about normal."""
+    z = cell * radius / np.maximum(apart, 1e-12)
+    inside = np.array([math.erf(v / math.sqrt(2)) for v in z])
+    return inside - math.sqrt(2 / math.pi) / z * (1 - np.exp(-z * z / 2))
+
+
+@dataclass(frozen=True)
+class Tables:
+    """Width of cells, projections of a table, tables, and seconds that they cost a vector."""
+
+    cell: float
+    depth: int
+    many: int
+    cost: float
+
+
+def tables(labels: list[tuple[int, np.ndarray]], dims: int, radius: float) -> Tables | None:
+    """The cheapest tables for labels of so many vectors, whose pairs lie so far apart; None if none keep unlinked vectors apart."""
+    best = None
+    for cell in CELLS:
+        near = near_share(dims, radius, cell)
+        if near <= 0:
+            continue
+        spread = [(n, far_shares(dims, radius, cell, apart)) for n, apart in labels]
+        for depth in range(1, DEEPEST + 1):
+            many = math.ceil(math.log(1 - TABLE_RECALL) / math.log1p(-(near**depth)))
+            cost = many * (ROW + depth * (PER_CELL + dims * PER_DIM))
+            if best and cost >= best.cost:
+                break
+            if all(n * many * (far**depth).mean() <= CHANCE for n, far in spread if len(far)):
+                best = Tables(cell, depth, many, cost)
+                break
+    return best
+
+
+def distances(units: np.ndarray, radius: float) -> np.ndarray:
+    """Distances of all pairs of a sample that are not linked, as 64 means of equally many."""
+    a, b = np.triu_indices(len(units), 1)
+    found = np.sort(np.sqrt(np.maximum(0, 2 - 2 * (units @ units.T)[a, b])))
+    found = found[found > radius]
+    return np.array([part.mean() for part in np.array_split(found, 64) if len(part)])
+
+
+def planned(slim: DataFrame, radius: float) -> dict[int, Tables]:
+    """For each number of dimensions that a large label has, the tables that cost less than comparing its pairs, if there are any."""
+    keyed = slim.select("kind", F.size("embedding").alias("dims"), "embedding", F.pmod(F.xxhash64("embedding", F.lit(SEED)), F.lit(1 << 62)).alias("spot"))
+    large = keyed.groupBy("kind", "dims").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "kind").limit(LABELS)
+    # LABELS rows
+    some = keyed.join(F.broadcast(large), ["kind", "dims"]).filter(F.col("spot") <= F.least(F.lit(1.0), F.lit(SAMPLE + 6 * SAMPLE**0.5) / F.col("n")) * float(1 << 62))
+    rank = F.row_number().over(Window.partitionBy("kind", "dims").orderBy("spot"))
+    held: dict[int, dict[int, tuple[int, list]]] = {}
+    for r in some.withColumn("rank", rank).filter(F.col("rank") <= SAMPLE).select("kind", "dims", "n", "embedding").toLocalIterator():
+        held.setdefault(r.dims, {}).setdefault(r.kind, (r.n, []))[1].append(r.embedding)
+    out = {}
+    for dims, labels in held.items():
+        told = []
+        for n, vectors in labels.values():
+            x = np.array(vectors, np.float64)
+            x /= np.abs(x).max(axis=1, keepdims=True)
+            told.append((n, distances(x / np.linalg.norm(x, axis=1, keepdims=True), radius)))
+        best = tables(told, dims, radius)
+        if best and best.cost < max(n for n, _ in told) / 2 * PAIR:
+            out[dims] = best
+    return out
 
 
-def codes(units: np.ndarray, depth: int, many: int, radius: float, seed: int = SEED) -> np.ndarray:
+def codes(units: np.ndarray, by: Tables, radius: float, seed: int = SEED) -> np.ndarray:
     """Per row and table a hash of the table and its cells."""
-    dims = units.shape[1]
+    dims, depth, many = units.shape[1], by.depth, by.many
     rng = np.random.default_rng((seed, dims))
     ways = rng.standard_normal((dims, many * depth))
-    ways *= math.sqrt(dims) / (CELL * radius * np.linalg.norm(ways, axis=0))
+    ways *= math.sqrt(dims) / (by.cell * radius * np.linalg.norm(ways, axis=0))
     shift = rng.random(many * depth)
     factors = rng.integers(0, 1 << 64, (depth, many), np.uint64) | np.uint64(1)
     out = np.empty((len(units), many), np.uint64)
@@ -156,7 +219,8 @@ def link(reps: DataFrame, cosine: float = COSINE, projections: int = PROJECTIONS
     spark = reps.sparkSession
     radius = math.sqrt(2 - 2 * cosine)
     least = needed(projections, width)
-    most = reps.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    slim = reps.select("id", "copies", "embedding", F.xxhash64("label").alias("kind"))
+    by = planned(slim, radius)
 
     def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -165,16 +229,21 @@ def link(reps: DataFrame, cosine: float = COSINE, projections: int = PROJECTIONS
                 own = [i for i, v in enumerate(vectors) if len(v) == dims]
                 unit = np.stack([vectors[i] / np.abs(vectors[i]).max() for i in own])
                 unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-                out = batch[["id", "copies"]].iloc[own].assign(dims=dims, first=unit @ directions(dims, projections)[:, 0])
+                out = batch[["id", "copies", "kind"]].iloc[own].assign(dims=dims, first=unit @ directions(dims, projections)[:, 0])
                 out["unit"] = [u.tobytes() for u in unit]
                 kind = mixed(batch["kind"].to_numpy(np.int64)[own].view(np.uint64) + np.uint64(dims))
-                out["buckets"] = list(mixed(codes(unit, *tables(most, dims, radius), radius) ^ kind[:, None]).view(np.int64))
+                none = np.zeros((len(own), 0), np.uint64)
+                out["buckets"] = list((mixed(codes(unit, by[dims], radius) ^ kind[:, None]) if dims in by else none).view(np.int64))
                 yield out
 
-    slim = reps.select("id", "copies", "embedding", F.xxhash64("label").alias("kind"))
-    flat = pin(spark, slim.mapInPandas(project, "id long, copies long, dims int, first double, unit binary, buckets array<long>"), "projected")
-    near = pin(spark, together(flat), "near-vectors")
-    flat = flat.select("id", "copies", "dims", "first", "unit").join(near, "id")
+    columns = "id long, copies long, kind long, dims int, first double, unit binary, buckets array<long>"
+    flat = pin(spark, slim.mapInPandas(project, columns), "projected")
+    kept, tied = ["id", "copies", "dims", "first", "unit"], F.col("dims").isin(list(by))
+    whole = flat.filter(~tied).select(*kept, F.col("kind").alias("component")) if by else flat.select(*kept, F.col("kind").alias("component"))
+    if by:
+        near = pin(spark, together(flat.filter(tied)), "near-vectors")
+        whole = whole.unionByName(flat.filter(tied).select(*kept).join(near, "id"))
+    flat = whole
     placed, _ = number_rows(spark, flat, [F.col("dims"), F.col("component"), F.col("first"), F.col("id")], "row_no")
     group = ["dims", "component"]
     # a block may hold many small components, or a part of a large one

@@ -242,14 +242,61 @@ def test_pairs_at_the_threshold_share_a_table_and_spread_ones_rarely_do(dims):
     side = rng.normal(size=x.shape)
     side -= (side * x).sum(1, keepdims=True) * x
     y = 0.98 * x + math.sqrt(1 - 0.98**2) * side / np.linalg.norm(side, axis=1, keepdims=True)
-    depth, many = embeddings.tables(5000, dims, radius)
-    a, b = (embeddings.codes(v, depth, many, radius) for v in (x, y))
+    by = embeddings.tables([(5000, embeddings.distances(x[:256], radius))], dims, radius)
+    if dims == 2:  # 5000 vectors on a circle lie too close together for any table
+        assert by is None
+        return
+    a, b = (embeddings.codes(v, by, radius) for v in (x, y))
     shared = (a == b).mean()
-    assert (a == b).any(axis=1).all() and shared == pytest.approx(embeddings.shares(dims, radius)[0] ** depth, rel=0.1)
+    assert (a == b).any(axis=1).all() and shared == pytest.approx(embeddings.near_share(dims, radius, by.cell) ** by.depth, rel=0.1)
     if dims == 64:
         other = (a == np.roll(b, 1, axis=0)).any(axis=1)
         assert other.mean() < 0.01
-        assert embeddings.tables(10**8, dims, radius)[1] < 8 * many
+        assert embeddings.tables([(10**8, embeddings.distances(x[:256], radius))], dims, radius).many < 8 * by.many
+
+
+def leaning(n, mean_cosine, dims=64, seed=4):
+    """Vectors around one direction, so that two of them have this cosine on average."""
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, dims))
+    x = math.sqrt(1 - mean_cosine) * x / np.linalg.norm(x, axis=1, keepdims=True)
+    x[:, 0] += math.sqrt(mean_cosine)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("mean_cosine", [0.0, 0.3, 0.5, 0.7])
+def test_tables_follow_the_distances_of_a_label(mean_cosine):
+    radius = math.sqrt(0.04)
+    x = leaning(3000, mean_cosine)
+    y = x + np.random.default_rng(3).normal(scale=0.2 / 8 * 0.9, size=x.shape)
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    linked = (x * y).sum(1) >= 0.98
+    by = embeddings.tables([(len(x), embeddings.distances(x[:256], radius))], 64, radius)
+    a, b = (embeddings.codes(v, by, radius) for v in (x, y))
+    assert linked.mean() > 0.5 and (a == b).any(axis=1)[linked].mean() >= 0.999
+    # by chance a vector meets few others in any of its tables
+    met = sum((a[:, None, t] == a[None, :300, t]).sum() - 300 for t in range(by.many))
+    assert met / 300 < 4 * embeddings.CHANCE
+    # the second round verifies few pairs
+    ways = embeddings.directions(64)
+    near = embeddings.collisions(x[:1000] @ ways, x[1000:2000] @ ways, embeddings.WIDTH * radius / 8) >= embeddings.needed()
+    assert near.mean() < 0.05
+
+
+@pytest.mark.parametrize("mean_cosine", [0.0, 0.7])
+def test_both_ways_to_compare_give_all_links(spark, monkeypatch, mean_cosine):
+    x = leaning(1500, mean_cosine)
+    x = np.concatenate([x, x[:200] + np.random.default_rng(1).normal(scale=0.02, size=(200, 64))]).astype(np.float32)
+    label = np.arange(len(x)) % 100 // 50
+    unit = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    true = (unit @ unit.T >= 0.98) & (label[:, None] == label[None, :])
+    rows = spark.createDataFrame([(i, v.tolist(), int(k)) for i, (v, k) in enumerate(zip(x, label, strict=True))], "vec_id long, embedding array<float>, label int")
+    for pair, used in ((1.0, 1), (0.0, 0)):
+        monkeypatch.setattr(embeddings, "PAIR", pair)
+        slim = embeddings.representatives(rows).withColumn("kind", F.xxhash64("label"))
+        assert len(embeddings.planned(slim, math.sqrt(0.04))) == used
+        got = {r.vec_id: r.n_links for r in embeddings.near_duplicates(rows).collect()}
+        assert [got[i] for i in range(len(x))] == (true.sum(1) - 1).tolist()
 
 
 def test_spread_vectors_of_one_label_meet_few_others(spark):
@@ -369,6 +416,41 @@ def test_near_duplicates_of_an_empty_table(spark):
     assert near_dup.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_builds_of_two_threads_leave_each_other_alone(spark):
+    import os
+    import threading
+    from concurrent.futures import ThreadPoolExecutor
+
+    meet = threading.Barrier(2, timeout=60)
+
+    def build(k):
+        def own():
+            held = common.pin(spark, spark.range(100 * k), f"t{k}")
+            meet.wait()
+            return held
+
+        def late():
+            out = own()
+            if k == 2:
+                first.result(60)  # the other build has ended and deleted what it pinned
+            return out
+
+        n = common.settled(spark, late, f"settled{k}").count()
+        left = list(common.made())
+        common.clear(spark)
+        return n, left
+
+    with ThreadPoolExecutor(2) as pool:
+        first = pool.submit(build, 1)
+        second = pool.submit(build, 2)
+        (n, one), (m, two) = first.result(120), second.result(120)
+    assert (n, m) == (100, 200) and [len(x) for x in (one, two)] == [1, 1] and "settled1" in one[0] and "settled2" in two[0]
+    assert not any(os.path.exists(p.removeprefix("file://").removeprefix("file:")) for p in one + two)
+    with pytest.raises(ZeroDivisionError):
+        common.settled(spark, lambda: common.pin(spark, spark.range(1), "x") and 1 / 0, "y")
+    assert any("/x-" in p for p in common.made())
+
+
 # ---- the pipeline
 
 
@@ -421,9 +503,9 @@ def test_row_keys_tell_rows_apart_that_differ_in_place_of_a_null(spark):
 
 
 def test_settled_results_stay_when_the_way_there_is_deleted(spark):
-    before = len(common._made)
+    before = len(common.made())
     out = common.settled(spark, lambda: common.pin(spark, common.pin(spark, spark.range(5), "a"), "b"), "c")
-    assert out.count() == 5 and len(common._made) == before + 1
+    assert out.count() == 5 and len(common.made()) == before + 1
 
 
 def test_stages_of_the_pipeline_on_an_empty_table(spark, tmp_path):
