@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom import api
-from rasterloom.functions import axes, colors, dtypes, paths
+from rasterloom.functions import axes, colors, dtypes, paths, tables
 from rasterloom.metadata import ome
 from rasterloom.operators import cells, grid, pyramid, ranges, slide, stats
 from rasterloom.session import scratch_path
@@ -150,6 +150,19 @@ def tile_grid(spark, sf_dir):
     return grid.tile_grid(spark, ["y", "x"], (views.emb_height(spark, sf_dir), 64), (100, 24))
 
 
+@query(f"""
+    WITH {LEVELS}, ys AS (SELECT *, unnest(range(0, y, 64)) AS y0 FROM lv), xs AS (SELECT *, unnest(range(0, x, 5)) AS x0 FROM ys)
+    SELECT level, ((y0 // 64) * ((x + 4) // 5) + x0 // 5)::BIGINT AS tile_no, y0::BIGINT AS y, x0::BIGINT AS x, least(64, y - y0)::BIGINT AS height, least(5, xs.x - x0)::BIGINT AS width
+    FROM xs WHERE y0 < 300 AND y0 + 64 > 100""")
+def image_tiles(spark, sf_dir):
+    """The tiles of each level that the rows from 100 to 299 meet, by a lateral join."""
+    tables.register(spark)
+    views.emb_levels(spark, sf_dir).createOrReplaceTempView("rasterloom_levels")
+    return spark.sql("""
+        SELECT l.level, t.tile_no, t.start[1] AS y, t.start[2] AS x, t.extent[1] AS height, t.extent[2] AS width
+        FROM rasterloom_levels l, LATERAL image_tiles(l.axes, l.shape, array(4L, 64L, 5L), map('y', array(100L, 300L))) t""")
+
+
 @query("""
     WITH h AS (SELECT max(vec_id) + 1 AS h FROM embeddings)
     SELECT ((a // 200) * 2 + b // 48)::BIGINT AS tile_no, a::BIGINT AS y_start, least(a + 200, h)::BIGINT AS y_stop, b::BIGINT AS x_start, least(b + 48, 64)::BIGINT AS x_stop
@@ -388,11 +401,16 @@ def validate_tiles_exact(spark, sf_dir):
 # ---- scalars
 
 
-@query("""SELECT n, i, CASE WHEN n = 1 THEN 255 ELSE CASE WHEN i = 0 THEN 255 ELSE 0 END END AS red, CASE WHEN n = 1 THEN 255 ELSE CASE WHEN i = 1 THEN 255 ELSE 0 END END AS green,
-    CASE WHEN n = 1 THEN 255 ELSE CASE WHEN i = 2 THEN 255 ELSE 0 END END AS blue, 255 AS alpha FROM (VALUES (1, 0), (3, 0), (3, 1), (3, 2)) t(n, i)""")
+@query("""
+    WITH k AS (SELECT p_partkey, 1 + p_size % 5 AS n, unnest(range(1 + p_size % 5)) AS i FROM part)
+    SELECT p_partkey, n::INT AS n, i::INT AS i, CASE n WHEN 1 THEN 255 WHEN 3 THEN CASE i WHEN 0 THEN 255 ELSE 0 END ELSE (i + 1) * 73 % 256 END::INT AS red,
+           CASE n WHEN 1 THEN 255 WHEN 3 THEN CASE i WHEN 1 THEN 255 ELSE 0 END ELSE (i + 1) * 151 % 256 END::INT AS green,
+           CASE n WHEN 1 THEN 255 WHEN 3 THEN CASE i WHEN 2 THEN 255 ELSE 0 END ELSE (i + 1) * 199 % 256 END::INT AS blue, 255 AS alpha FROM k""")
 def default_colors(spark, sf_dir):
-    rows = spark.range(1).select(F.explode(F.array(F.lit(1), F.lit(3))).alias("n")).select("n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
-    return rows.withColumn("color", colors.default_color(F.col("i"), F.col("n"))).select("n", "i", "color.*")
+    """Colours of the channels of one image a part, with one to five channels."""
+    images = table(spark, sf_dir, "part").select("p_partkey", F.expr("1 + p_size % 5").cast("int").alias("n"))
+    rows = images.select("p_partkey", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
+    return rows.withColumn("color", colors.default_color(F.col("i"), F.col("n"))).select("p_partkey", "n", "i", "color.*")
 
 
 _VALUES = "v AS (SELECT c_custkey, c_custkey * 2654435761 % 4294967296 AS v FROM customer)"
@@ -531,6 +549,21 @@ def store_read_region(spark, sf_dir):
     return slide.Slide(spark, path, image).read_region((10, 100), 0, (40, 90))
 
 
+@query(f"""
+    WITH {EMB}, r AS (SELECT n_nationkey, n_nationkey * 17 AS y0, n_nationkey * 5 % 60 AS x0 FROM nation)
+    SELECT n_nationkey, count(*) AS cells, sum(intensity)::DOUBLE AS total, max(x)::INT AS right FROM r JOIN emb ON y >= y0 AND y < y0 + 40 AND x >= x0 AND x < x0 + 9 GROUP BY 1""")
+def stored_image_cells(spark, sf_dir):
+    """Sums over regions of a stored image, one a nation, by a lateral join that reads only what each region meets."""
+    path, image = _stored(spark, sf_dir, 32)
+    tables.register(spark)
+    regions = table(spark, sf_dir, "nation").selectExpr("n_nationkey", "n_nationkey * 17 as y0", "n_nationkey * 5 % 60 as x0")
+    regions.withColumns({"path": F.lit(path), "image": F.lit(image)}).createOrReplaceTempView("rasterloom_regions")
+    return spark.sql("""
+        SELECT r.n_nationkey, count(*) AS cells, sum(c.intensity) AS total, max(c.x) AS right
+        FROM rasterloom_regions r, LATERAL stored_image_cells(r.path, r.image, 0, map('y', array(r.y0, r.y0 + 40), 'x', array(r.x0, r.x0 + 9))) c
+        GROUP BY r.n_nationkey""")
+
+
 @query(_SAME)
 def png_roundtrip(spark, sf_dir):
     return _back(spark, sf_dir, "png")

@@ -1,0 +1,64 @@
+"""Table functions for SQL."""
+
+import importlib.util
+from pathlib import Path
+
+import numpy as np
+import pytest
+
+from rasterloom import api
+from rasterloom.functions import tables
+
+_spec = importlib.util.spec_from_file_location("files_of_tests", Path(__file__).with_name("test_files.py"))
+made = importlib.util.module_from_spec(_spec)
+_spec.loader.exec_module(made)
+
+
+@pytest.fixture(scope="module")
+def images(spark, tmp_path_factory):
+    folder = tmp_path_factory.mktemp("tables")
+    tables.register(spark)
+    for k in range(2):
+        a = made.image((2, 50, 40), "uint16", k)
+        made.write_zarr(str(folder / f"z{k}"), a, "CYX", (1, 16, 16))
+        made.paged_tiff(folder / f"t{k}.tif", [(a[0], "", True)])
+        api.ingest(spark, str(folder / f"z{k}"), str(folder / "s"), f"i{k}", "zarr", tiles={"Y": 16, "X": 16})
+    rows = [(k, str(folder / "s"), f"i{k}", str(folder / f"t{k}.tif"), y, x) for k in range(2) for y, x in ((0, 0), (30, 35), (49, 3), (90, 0))]
+    spark.createDataFrame(rows + [(None, None, None, None, 0, 0)], "k int, path string, image string, file string, y0 int, x0 int").createOrReplaceTempView("regions")
+    return [made.image((2, 50, 40), "uint16", k) for k in range(2)]
+
+
+def test_cells_of_stored_images_by_lateral_join(spark, images):
+    got = spark.sql("SELECT r.k, r.y0, r.x0, c.* FROM regions r, LATERAL stored_image_cells(r.path, r.image, 0, map('y', array(r.y0, r.y0 + 9), 'x', array(r.x0, r.x0 + 7), 'c', array(1, 2))) c").toPandas()
+    assert sorted(set(zip(got["k"], got["y0"], strict=True))) == [(k, y) for k in range(2) for y in (0, 30, 49)]
+    for (k, y0, x0), part in got.groupby(["k", "y0", "x0"]):
+        want = images[k][1, y0 : y0 + 9, x0 : x0 + 7]
+        assert len(part) == want.size and set(part["c"]) == {1} and set(part["t"]) == {0}
+        np.testing.assert_array_equal(want[part["y"] - y0, part["x"] - x0], part["intensity"])
+
+
+def test_cells_of_files_by_lateral_join(spark, images):
+    got = spark.sql("SELECT r.k, c.y, c.x, c.intensity FROM (SELECT DISTINCT k, file FROM regions) r, LATERAL file_cells('tiff', r.file, 0, NULL) c").toPandas()
+    assert len(got) == 2 * 50 * 40
+    for k, part in got.groupby("k"):
+        np.testing.assert_array_equal(images[int(k)][0][part["y"], part["x"]], part["intensity"])
+    some = spark.sql("SELECT c.y, c.x FROM (SELECT DISTINCT file FROM regions WHERE k = 0) r, LATERAL file_cells('tiff', r.file, 0, map('y', array(10, 12))) c")
+    assert some.count() == 80 and {r.y for r in some.collect()} == {10, 11}
+
+
+def test_tiles_spread_an_image_over_rows(spark, images):
+    got = spark.sql("""
+        SELECT r.k, t.tile_no, count(*) AS n, sum(c.intensity) AS total
+        FROM (SELECT DISTINCT k, path, image FROM regions) r, LATERAL image_tiles('CYX', array(2L, 50L, 40L), array(2L, 16L, 16L), NULL) t,
+             LATERAL stored_image_cells(r.path, r.image, 0, t.region) c GROUP BY ALL""").collect()
+    assert sorted((r.k, r.tile_no) for r in got) == [(k, n) for k in range(2) for n in range(12)]
+    assert {k: sum(r.total for r in got if r.k == k) for k in range(2)} == {k: float(images[k].sum()) for k in range(2)}
+
+
+def test_wrong_regions_are_told(spark, images):
+    for region, told in (("map('z', array(0, 1))", "no range of z"), ("map('y', array(1))", "no array"), ("map('y', NULL)", "no array")):
+        with pytest.raises(Exception, match=told):
+            spark.sql(f"SELECT * FROM regions r, LATERAL stored_image_cells(r.path, r.image, 0, {region}) c").count()
+    assert spark.sql("SELECT * FROM image_tiles('YX', array(10L, 10L), array(3L, 4L), map('y', array(5L, 5L)))").count() == 0
+    assert spark.sql("SELECT * FROM image_tiles(NULL, array(10L, 10L), array(3L, 4L), NULL)").count() == 0
+    assert spark.sql("SELECT * FROM image_tiles('YX', array(10L, 10L), array(3L, 4L), map('y', array(8L, 900L)))").count() == 6
