@@ -2,8 +2,8 @@
 
 df.write.format("raster").mode("overwrite").save(path) takes blocks as the data source gives them (level, start, extent,
 dtype, data), each one tile of the grid of side `tile`, cut at the image's edges. Options: axes, which end in YX or YXC;
-levels, a JSON list of {level, shape} of which the first is the main picture; tile; compression; image, the common metadata as
-JSON. Each task answers with the places of its tiles; the commit checks that every tile of every level is there,
+levels, a JSON list of {level, shape} of which the first is the main picture; tile; compression (none, deflate, or jpeg for 8 bits and
+one or three samples, with quality); image, the common metadata as JSON. Each task answers with the places of its tiles; the commit checks that every tile of every level is there,
 writes offsets, lengths and directories behind them, and renames the file. An abort deletes what tasks have written.
 """
 
@@ -24,6 +24,7 @@ from pyspark.sql.datasource import DataSourceArrowWriter, WriterCommitMessage
 
 from rasterloom.functions.axes import level_layout
 from rasterloom.metadata import ome
+from rasterloom.sinks import jpeg
 from rasterloom.sinks.shared import SharedFile
 from rasterloom.sinks.writers import original
 from rasterloom.sources import files, raster
@@ -31,7 +32,7 @@ from rasterloom.sources import files, raster
 #: Side of a tile in exported files.
 TILE = 256
 #: Numbers of compressions.
-COMPRESSIONS = {"none": 1, "deflate": 8}
+COMPRESSIONS = {"none": 1, "jpeg": 7, "deflate": 8}
 _HEAD = 16
 _PIECES = "level int, ty int, tx int, lead array<int>, y int, x int, h int, w int, n int, dtype string, data binary"
 
@@ -52,6 +53,7 @@ class TiffWriter(DataSourceArrowWriter):
             raise ValueError(f"a TIFF file holds images whose axes end in YX or YXC, not {self.axes}")
         self.interleaved = self.axes.endswith("YXC")
         self.tile, self.compression = int(options.get("tile", TILE)), options.get("compression", "deflate")
+        self.quality = int(options.get("quality", "90"))
         if self.tile % 16 or self.compression not in COMPRESSIONS:
             raise ValueError(f"no TIFF file of tiles of {self.tile}, {self.compression}")
         self.image = json.loads(options.get("image", "{}"))
@@ -75,16 +77,20 @@ class TiffWriter(DataSourceArrowWriter):
                 h, w = min(self.tile, height - y), min(self.tile, width - x)
                 if y % self.tile or x % self.tile or list(extent) != [1] * len(lead) + [h, w, n]:
                     raise ValueError(f"a block of {t['extent']} at {t['start']} is no tile of {self.tile} of level {t['level']}")
-                block = np.zeros((self.tile, self.tile, n), t["dtype"])
-                block[:h, :w] = np.frombuffer(t["data"], t["dtype"]).reshape(h, w, n)
-                data = self.encoded(block.astype(block.dtype.newbyteorder("<"), copy=False))
+                data = self.encoded(np.frombuffer(t["data"], t["dtype"]).reshape(h, w, n))
                 page = int(np.ravel_multi_index(start[:-3], lead)) if lead else 0
                 places.append((t["level"], page, y // self.tile, x // self.tile, out.put(data), len(data)))
                 dtypes.add(t["dtype"])
             return Written(out.part, np.array(places, np.int64).reshape(-1, 6), dtypes)
 
     def encoded(self, block: np.ndarray) -> bytes:
-        return zlib.compress(block.tobytes(), 5) if self.compression == "deflate" else block.tobytes()
+        """The bytes of a tile; beyond the image's edges it holds zeros, or the edge again where zeros would shine through."""
+        lossy = self.compression == "jpeg"
+        whole = np.pad(block, ((0, self.tile - block.shape[0]), (0, self.tile - block.shape[1]), (0, 0)), mode="edge" if lossy else "constant")
+        if lossy:
+            return jpeg.encode(whole, self.quality)
+        data = whole.astype(whole.dtype.newbyteorder("<"), copy=False).tobytes()
+        return zlib.compress(data, 5) if self.compression == "deflate" else data
 
     def abort(self, messages: list) -> None:
         self.file.drop()
@@ -138,6 +144,9 @@ class TiffWriter(DataSourceArrowWriter):
                 (324, 16, offsets), (325, 16, lengths), (330, 16, subs), (338, 3, [2] * (n == 4)), (339, 3, [{"u": 1, "b": 1, "i": 2, "f": 3}[kind.kind]] * n),
             ]
             entries += [(270, 2, text)] if text else []
+            if self.compression == "jpeg":
+                entries = [e for e in entries if e[0] != 262] + [(262, 3, [6 if n == 3 else 1]), (347, 7, jpeg.tables(self.quality, n))]
+                entries += [(530, 3, [1, 1])] if n == 3 else []
             entries += tags_back(tags)
             packed = []
             for tag, code, values in sorted(entries):
@@ -164,11 +173,13 @@ class TiffWriter(DataSourceArrowWriter):
         return struct.pack("<2sHHHQ", b"II", 43, 8, 0, heads[0]), bytes(body)
 
 
-def field(code: int, values: list | str) -> tuple[int, bytes]:
+def field(code: int, values: list | str | bytes) -> tuple[int, bytes]:
     """Number of values of a directory's entry, and their bytes."""
     if code == 2:
         data = values.encode("utf-8") + b"\0"
         return len(data), data
+    if code == 7:
+        return len(values), values
     form = {3: "H", 4: "I", 5: "I", 12: "d", 16: "Q", 17: "q"}[code]
     return len(values) // (2 if code == 5 else 1), struct.pack(f"<{len(values)}{form}", *values)
 
@@ -196,7 +207,7 @@ def tags_back(tags: dict) -> list[tuple[int, int, list | str]]:
     return out
 
 
-def tiff(tiles: DataFrame, levels: list[dict], image: dict, dest: str, tile: int = TILE, compression: str = "deflate") -> None:
+def tiff(tiles: DataFrame, levels: list[dict], image: dict, dest: str, tile: int = TILE, compression: str = "deflate", quality: int = 90) -> None:
     """Stored tiles as a BigTIFF file in the original axes, smaller levels in sub-directories, a page for each of the leading axes' coordinates."""
     by_level = {r["level"]: r for r in levels}
     interleaved = levels[0]["original_axes"].endswith("YXC")
@@ -247,4 +258,4 @@ def tiff(tiles: DataFrame, levels: list[dict], image: dict, dest: str, tile: int
     told = [{"level": r["level"], "shape": list(level_layout(r).shape(tuple(r["shape"]))), "tags": json.loads((r["properties"] or {}).get("tags", "{}"))} for r in levels]
     tiles.sparkSession.dataSource.register(raster.RasterSource)
     out = blocks.write.format("raster").option("codec", "tiff").option("axes", levels[0]["original_axes"]).option("levels", json.dumps(told))
-    out.option("image", json.dumps(image)).option("tile", str(tile)).option("compression", compression).mode("overwrite").save(dest)
+    out.option("image", json.dumps(image)).option("tile", str(tile)).option("compression", compression).option("quality", str(quality)).mode("overwrite").save(dest)

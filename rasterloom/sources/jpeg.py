@@ -14,9 +14,9 @@ def zigzag() -> list[int]:
     return [p for _, _, p in sorted(places)]
 
 
-_ORDER = zigzag()
+ORDER = zigzag()
 _k = np.arange(8)
-_COSINES = np.where(_k == 0, np.sqrt(1 / 8), 1 / 2)[:, None] * np.cos((2 * _k[None, :] + 1) * _k[:, None] * np.pi / 16)
+COSINES = np.where(_k == 0, np.sqrt(1 / 8), 1 / 2)[:, None] * np.cos((2 * _k[None, :] + 1) * _k[:, None] * np.pi / 16)
 
 
 def codes(counts: bytes, symbols: bytes) -> list[tuple[int, int]]:
@@ -106,9 +106,9 @@ class Picture:
             coefficients = np.zeros(across * down * h * v * 64)
             coefficients[found[k][0]] = found[k][1]
             steps = np.zeros(64)
-            steps[_ORDER] = self.quant[table]
+            steps[ORDER] = self.quant[table]
             blocks = (coefficients.reshape(-1, 64) * steps).reshape(-1, 8, 8)
-            pixels = np.clip(np.rint(_COSINES.T @ blocks @ _COSINES + 128), 0, 255)
+            pixels = np.clip(np.rint(COSINES.T @ blocks @ COSINES + 128), 0, 255)
             plane = pixels.reshape(down, across, v, h, 8, 8).transpose(0, 2, 4, 1, 3, 5).reshape(down * v * 8, across * h * 8)
             plane = plane.repeat(most[1] // v, 0).repeat(most[0] // h, 1)
             self.planes.append(plane[: self.height, : self.width])
@@ -155,7 +155,7 @@ def _blocks(data: bytes, plan: list, many: int, found: list, done: list[int]) ->
                 at += bits
                 if k > 63:
                     raise ValueError("a JPEG picture has a block of too many values")
-                places.append(base + _ORDER[k])
+                places.append(base + ORDER[k])
                 values.append(value if value >> (bits - 1) else value - (1 << bits) + 1)
                 k += 1
 
