@@ -15,7 +15,7 @@ from rasterloom.metadata import ome
 from rasterloom.operators import grid, pyramid
 from rasterloom.operators.slide import Slide
 from rasterloom.sinks import tiff, writers
-from rasterloom.sources import raster, store
+from rasterloom.sources import log, raster, store
 
 #: Writers by name; None: the format can only be read.
 WRITERS: dict[str, Callable | None] = {"png": writers.png_file, "tiff": tiff.tiff, "zarr": writers.zarr, "svs": None}
@@ -74,6 +74,7 @@ def ingest(
     about = raster.READERS[codec](source, **options).describe()
     if not store.check_version(spark, path, image_id):
         return Slide(spark, path, image_id)
+    writer = log.Writer(path, image_id)
     codecs = codecs_by_level(compressor, len(about["levels"]))
     channels = about["image"].get("channels", [])
     for level in about["levels"][level_min:][: 1 if scale_factors else None]:
@@ -88,19 +89,19 @@ def ingest(
         }
         if depth > 1:  # a channel at a time may come; store.save_level lays them side by side
             change = Layout(about["axes"], "YXC")
-        store.save_level(spark, path, row, rearranged(raster.blocks(spark, source, codec, level["level"], scale=tile_scale, **options), change, image_id))
+        store.save_level(spark, path, row, rearranged(raster.blocks(spark, source, codec, level["level"], scale=tile_scale, **options), change, image_id), writer)
         if level["level"] == level_min:
-            add_ranges(spark, path, row, channels)
+            add_ranges(spark, path, writer.levels[level_min], channels)
     if scale_factors:
         if len(about["levels"]) > level_min + 1:
             warnings.warn("levels of the source above level_min are replaced by generated ones", stacklevel=2)
-        build_pyramid(spark, path, image_id, level_min, scale_factors)
+        build_pyramid(spark, path, image_id, level_min, scale_factors, writer=writer)
     text = about["original"].get("description") if isinstance(about["original"], dict) else None
     original = store.as_json(about["original"]) if not exclude_metadata else filtered_metadata(text, exclude_metadata)
     store.mark(spark, path, {
         "image_id": image_id, "fmt_version": store.FORMAT_VERSION, "axes": about["axes"], "channels": [c["name"] for c in channels],
         "metadata": store.as_json(about["image"]), "original_metadata": original or "{}", "valid": True,
-    })
+    }, writer)
     return Slide(spark, path, image_id)
 
 
@@ -125,17 +126,17 @@ def rearranged(blocks: DataFrame, change, image_id: str) -> DataFrame:
 
 def add_ranges(spark: SparkSession, path: str, level: dict, channels: list[dict]) -> None:
     """Give channels the range of their cells, unless the source gave one; read from the stored tiles."""
-    named = store.levels(spark, path).filter((F.col("image_id") == level["image_id"]) & (F.col("level") == level["level"])).first()
-    measured = {r["c"]: r for r in store.channel_stats(store.level_tiles(spark, path, named), level["axes"], level["pixel_depth"]).collect()}
+    measured = {r["c"]: r for r in store.channel_stats(store.level_tiles(spark, path, level), level["axes"], level["pixel_depth"]).collect()}
     for i, channel in enumerate(channels):
         if i in measured:
             channel.setdefault("min", measured[i]["min"])
             channel.setdefault("max", measured[i]["max"])
 
 
-def build_pyramid(spark: SparkSession, path: str, image_id: str, base: int, factors: list[float], progressive: bool = False) -> None:
+def build_pyramid(spark: SparkSession, path: str, image_id: str, base: int, factors: list[float], progressive: bool = False, writer: log.Writer | None = None) -> None:
     """Generate levels base+1, ... by smoothed linear resampling, each from the base or from the level before."""
-    top = store.levels(spark, path).filter((F.col("image_id") == image_id) & (F.col("level") == base)).first().asDict()
+    writer = writer or log.Writer(path, image_id)
+    top = writer.levels[base]
     if top["pixel_depth"] > 1:
         raise ValueError("a pyramid can't be made of channels side by side")
     size = dict(zip(top["axes"], top["shape"], strict=True))
@@ -149,10 +150,9 @@ def build_pyramid(spark: SparkSession, path: str, image_id: str, base: int, fact
         tile = [min(t, n) for t, n in zip(top["tile"], shape, strict=True)]
         row = top | {"level": base + 1 + i, "shape": shape, "tile": tile, "properties": {"level": str(base + 1 + i), "factor": str(factor)}}
         row["original_shape"] = [dict(zip(top["axes"], shape, strict=True)).get(d, 1) for d in top["original_axes"]]
-        named = store.levels(spark, path).filter((F.col("image_id") == image_id) & (F.col("level") == source["level"])).first()
-        found = store.level_tiles(spark, path, named)
+        found = store.level_tiles(spark, path, writer.levels[source["level"]])
         extent = max(tile[top["axes"].index("Y")], tile[top["axes"].index("X")])
-        store.save_level(spark, path, row, resampled_planes(found, top["axes"], lead, (source_size["Y"], source_size["X"]), step, extent, row))
+        store.save_level(spark, path, row, resampled_planes(found, top["axes"], lead, (source_size["Y"], source_size["X"]), step, extent, row), writer)
         now, now_size, done = row, dict(zip(top["axes"], shape, strict=True)), factor if progressive else 1.0
 
 
@@ -201,7 +201,7 @@ def export(spark: SparkSession, path: str, image_id: str, dest: str, codec: str
     if writer is None:
         raise NotImplementedError(f"images cannot be written as {codec!r}")
     slide = Slide(spark, path, image_id)
-    rows = [r.asDict() for r in slide._levels if r["level"] >= level_min]
+    rows = [r for r in slide._levels if r["level"] >= level_min]
     if not rows:
         raise ValueError(f"image {image_id!r} has no level from {level_min} on")
     found = reduce(DataFrame.unionByName, [store.level_tiles(spark, path, r) for r in rows])

@@ -59,12 +59,12 @@ class Slide:
         from rasterloom.sources import store
 
         self._spark, self._path, self.image_id = spark, path, image_id
-        image = store.images(spark, path).filter((F.col("image_id") == image_id) & F.col("valid")).collect()
-        if not image:
+        image, levels = store.image_rows(path, image_id)
+        if image is None or not image["valid"]:
             raise KeyError(f"no valid image {image_id!r} in {path}")
-        self.properties = image[0]["metadata"]
-        order = dimensions(store.levels(spark, path).filter(F.col("image_id") == image_id)).orderBy("level")
-        self._levels = order.collect()
+        self.properties = image["metadata"]
+        size = [dict(zip(r["axes"], r["shape"], strict=True)) for r in levels]
+        self._levels = [r | {"width": n.get("X", 1) // r["pixel_depth"], "height": n.get("Y", 1)} for r, n in zip(levels, size, strict=True)]
         if not self._levels:
             raise RuntimeError(f"image {image_id!r} in {path} has no levels")
 

@@ -24,7 +24,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from rasterloom.functions import dtypes
 from rasterloom.sources import files, raster
-from rasterloom.sources.store import PARTS
+from rasterloom.sources.store import PARTS, image_rows
 
 #: Rows of a batch.
 ROWS = 1 << 18
@@ -201,13 +201,8 @@ class StoredCells(DataSource):
         return "stored_cells"
 
     def levels(self) -> list[dict]:
-        """The last written row of each level of the image."""
-        import pyarrow.dataset as dataset
-
-        store, path = files.store_of(f"{self.options['path']}/levels")
-        rows = dataset.dataset(path, filesystem=store, format="parquet").to_table(filter=dataset.field("image_id") == self.options["image"]).to_pylist()
-        latest = {r["level"]: r for r in sorted(rows, key=lambda r: r["written"])}
-        out = [r for _, r in sorted(latest.items()) if "level" not in self.options or r["level"] == int(self.options["level"])]
+        _, rows = image_rows(self.options["path"], self.options["image"])
+        out = [r for r in rows if "level" not in self.options or r["level"] == int(self.options["level"])]
         if not out:
             raise ValueError(f"no level of image {self.options['image']!r} in {self.options['path']}")
         if any(r["pixel_depth"] > 1 for r in out):

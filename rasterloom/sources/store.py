@@ -1,10 +1,12 @@
-"""Stored images: plain Parquet tables `images`, `levels` and `tiles`, with a commit marker written last.
+"""Stored images: Parquet tables of tiles, and a log of what images and levels there are (sources.log).
 
-A load writes tiles into a folder of its own, then the level's row, which names the load, and last the row of `images`
+A load writes tiles into a folder of its own, then commits the level's row, which names the load, and last the row of the image
 with valid = true. Tiles of a load that no level names are never read, so a load that broke off leaves nothing behind that
 counts, and vacuum() removes it; images without a valid row are incomplete and are loaded again. A load must bring every
 cell of its level, else it fails before it counts. Levels that a valid image already has are skipped, and a store of
-another format version is left alone with a warning.
+another format version is left alone with a warning. Of two writers that load one image at the same time, one fails.
+
+images() and levels() are tables over the whole log; image_rows() opens one image, by reading one folder of the log.
 
 A region read opens one load's folder. Its files hold bands of neighbouring tiles in order, in small row groups, so tile
 rows and columns prune files and row groups by their statistics.
@@ -14,6 +16,7 @@ from __future__ import annotations
 
 import json
 import math
+import re
 import uuid
 import warnings
 from collections.abc import Iterator
@@ -27,7 +30,7 @@ from pyspark.sql import functions as F
 
 from rasterloom.functions import dtypes
 from rasterloom.operators.cells import tile_predicate
-from rasterloom.sources import files
+from rasterloom.sources import files, log
 
 FORMAT_VERSION = 2
 IMAGES = "image_id string, fmt_version int, axes string, channels array<string>, metadata string, original_metadata string, valid boolean"
@@ -52,18 +55,35 @@ def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-def _latest(rows: DataFrame, *keys: str) -> DataFrame:
-    """The last written row of each key."""
-    rest = F.struct(*[c for c in rows.columns if c not in keys])
-    return rows.groupBy(*keys).agg(F.max_by(rest, "written").alias("r")).select(*keys, "r.*").drop("written")
+def _states(spark: SparkSession, path: str) -> DataFrame:
+    """The newest state of each image in the log."""
+    kinds = f"image_id string, commit long, image struct<{_fields(IMAGES)}>, levels array<struct<{_fields(LEVELS)}>>"
+    try:
+        lines = spark.read.schema(kinds).json(f"{path}/log")
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        lines = spark.createDataFrame([], kinds)
+    # a state stands in its commit and in later snapshots
+    return lines.groupBy("image_id").agg(F.max_by(F.struct("image", "levels"), "commit").alias("r")).select("image_id", "r.*")
+
+
+def _fields(schema: str) -> str:
+    return re.sub(r"(\w+) ([a-z]+(<[^>]*>)?)", r"\1: \2", schema)
 
 
 def images(spark: SparkSession, path: str) -> DataFrame:
-    return _latest(_read(spark, f"{path}/images", IMAGES + ", written timestamp"), "image_id")
+    return _states(spark, path).filter("image is not null").select("image.*")
 
 
 def levels(spark: SparkSession, path: str) -> DataFrame:
-    return _latest(_read(spark, f"{path}/levels", LEVELS + ", written timestamp"), "image_id", "level")
+    return _states(spark, path).select(F.explode("levels").alias("r")).select("r.*")
+
+
+def image_rows(path: str, image_id: str) -> tuple[dict | None, list[dict]]:
+    """The row of an image and those of its levels, from one folder of the log."""
+    held = log.Writer(path, image_id)
+    return held.image, list(held.levels.values())
 
 
 def tiles(spark: SparkSession, path: str) -> DataFrame:
@@ -77,7 +97,7 @@ def level_tiles(spark: SparkSession, path: str, level: dict) -> DataFrame:
 
 
 def vacuum(spark: SparkSession, path: str) -> int:
-    """Delete the tiles of loads that no level names, which broke off or were replaced; returns how many. Not while a load runs."""
+    """Delete the tiles of loads that no level names, which broke off or were replaced, and old parts of the log; returns how many loads. Not while a load runs."""
     from pyarrow import fs
 
     store, folder = files.store_of(f"{path}/tiles")
@@ -86,12 +106,13 @@ def vacuum(spark: SparkSession, path: str) -> int:
     gone = [f for f in found if f.base_name.startswith("load_id=") and f.base_name not in named]
     for f in gone:
         store.delete_dir(f.path)
+    log.trim(path)
     return len(gone)
 
 
-def mark(spark: SparkSession, path: str, row: dict) -> None:
-    frame = spark.createDataFrame([tuple(row.get(c.split()[0]) for c in IMAGES.split(", "))], IMAGES)
-    frame.withColumn("written", F.current_timestamp()).coalesce(1).write.mode("append").parquet(f"{path}/images")
+def mark(spark: SparkSession, path: str, row: dict, writer: log.Writer | None = None) -> None:
+    """Commit the row of an image; writer: the one that committed its levels."""
+    (writer or log.Writer(path, row["image_id"])).commit(image={c.split()[0]: row.get(c.split()[0]) for c in IMAGES.split(", ")})
 
 
 def split_tiles(blocks: DataFrame, axes: str, tile: dict[str, int]) -> DataFrame:
@@ -169,13 +190,13 @@ def parts_of(found: DataFrame) -> list[dict]:
     return [r.asDict() for r in each.orderBy("file").collect()]
 
 
-def save_level(spark: SparkSession, path: str, level: dict, blocks: DataFrame) -> bool:
-    """Write a level's blocks as tiles; False if a valid image already has it.
+def save_level(spark: SparkSession, path: str, level: dict, blocks: DataFrame, writer: log.Writer | None = None) -> bool:
+    """Write a level's blocks as tiles and commit its row; False if a valid image already has it. writer: that of the other levels.
 
     Blocks come in the level's axes; those of a level with channels side by side in X come in YXC.
     """
-    mine = F.col("image_id") == level["image_id"]
-    if not images(spark, path).filter(mine & F.col("valid")).isEmpty() and not levels(spark, path).filter(mine & (F.col("level") == level["level"])).isEmpty():
+    writer = writer or log.Writer(path, level["image_id"])
+    if (writer.image or {}).get("valid") and level["level"] in writer.levels:
         return False
     axes, shape, extents, depth = level["axes"], tuple(level["shape"]), list(level["tile"]), level["pixel_depth"]
     if depth > 1:
@@ -194,15 +215,14 @@ def save_level(spark: SparkSession, path: str, level: dict, blocks: DataFrame) -
         raise ValueError(f"level {level['level']} of {level['image_id']!r} has {found} of {expected} tiles")
     files.write_whole(f"{folder}/{PARTS}", json.dumps(parts).encode())
     named = level | {"load_id": load}
-    row = spark.createDataFrame([tuple(named[c.split()[0]] for c in LEVELS.split(", "))], LEVELS)
-    row.withColumn("written", F.current_timestamp()).coalesce(1).write.mode("append").parquet(f"{path}/levels")
+    writer.commit(level={c.split()[0]: named[c.split()[0]] for c in LEVELS.split(", ")})
     return True
 
 
 def check_version(spark: SparkSession, path: str, image_id: str) -> bool:
     """Whether this version may write the image; read before the valid mark is taken away."""
-    other = images(spark, path).filter((F.col("image_id") == image_id) & (F.col("fmt_version") != FORMAT_VERSION))
-    if other.isEmpty():
+    row, _ = image_rows(path, image_id)
+    if row is None or row["fmt_version"] == FORMAT_VERSION:
         return True
     warnings.warn(f"image {image_id!r} has another format version and is left as it is", stacklevel=2)
     return False
