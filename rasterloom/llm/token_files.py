@@ -1,7 +1,7 @@
 """Operator 12: token ids of all documents in flat binary files that can be memory-mapped.
 
-encode() gives each text's ids by the tokenizers library, with an end id after each document. write_ids() range-sorts the
-documents by doc_id and lets each task stream its range into two files:
+write_ids() range-sorts the documents by doc_id and lets each task encode its range by the tokenizers library, an end id
+after each document, and stream it into two files:
 
 ids-00000.bin  the ids of all its documents, one after the other: little-endian unsigned integers, of 2 bytes if the
                vocabulary has at most 65,536 entries, else of 4
@@ -18,7 +18,7 @@ the other. So each worker asks the library once for each different word and keep
 cut before a blank into pieces of PIECE characters. Any other vocabulary gets whole texts.
 
 Defined cases: a null text is empty and has the end id alone; null doc_ids come first, and are null again when read; rows
-with equal doc_id are ordered by the checksum of their ids, and rows equal in both are interchangeable, and spread over
+with equal doc_id are ordered by a hash of their text, and rows equal in both are interchangeable, and spread over
 files where they are many; an empty table gives a manifest without rows; other columns are not used.
 """
 
@@ -38,10 +38,14 @@ from rasterloom.llm.common import fresh_path, pin, table
 from rasterloom.llm.warc import _store
 
 END_ID = 2
-KEPT = 500_000
+KEPT = 1_000_000
+#: Marks that are, however many, one pre-token behind letters.
+MARKS = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
 #: Longest word that is kept, in characters.
 KEPT_CHARS = 64
 PIECE = 1 << 20
+#: Characters whose words are told apart together.
+LINE = 8 << 20
 #: Documents of a file that are read together, and bytes of ids in a batch.
 RANGE, BATCH = 20_000, 1 << 24
 ENTRY = np.dtype([("end", "<u8"), ("doc_id", "<i8"), ("known", "<u8")])
@@ -86,77 +90,135 @@ class Encoder:
 
         # one thread a task: Spark has dealt out the cores
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer = Tokenizer.from_str(spec)
+        self.tokenizer, about = Tokenizer.from_str(spec), json.loads(spec)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.by_word = uses_words(json.loads(spec))
-        self.kind = id_type(self.tokenizer.get_vocab_size(with_added_tokens=True))
+        self.by_word = uses_words(about)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.kind = id_type(max(vocabulary.values()) + 1)
+        mark = about["model"].get("end_of_word_suffix")
+        #: Ids that end a pre-token; without such a mark words are asked for one by one.
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool) if mark else None
+        if mark:
+            self.ends[[i for t, i in vocabulary.items() if t.endswith(mark)]] = True
+        #: The same for lowered ASCII letters between blanks, which neither its normalisers nor its pre-tokenizer change.
+        self.light = Tokenizer.from_str(json.dumps(about | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}})) if self.by_word and mark else None
         self.known: dict[str, bytes] = {}
 
-    def ask(self, texts: list[str]) -> list[bytes]:
+    def one_by_one(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, text: str) -> bytes:
+    def in_a_line(self, words: list[str], tokenizer) -> list[bytes]:
+        """The ids of words of one pre-token each, asked for as one text and cut where pre-tokens end."""
+        line = " ".join(words)
+        ids = np.array(tokenizer.encode_batch_fast([line if tokenizer is self.tokenizer else line.lower()], add_special_tokens=False)[0].ids, np.int64)
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != len(words):
+            return self.one_by_one(words)
+        cuts, raw = [0, *(ends * self.kind.itemsize).tolist()], ids.astype(self.kind).tobytes()
+        return [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    def learn(self, words: set[str]) -> None:
+        """Make words known: those of letters with marks behind from both parts, all others by asking."""
+        known, plain, rest = self.known, set(), words
+        parts: list[tuple[str, str, str]] = []
+        if self.ends is not None:
+            plain = {w for w in words if w.isalpha()}
+            other = words - plain
+            parts = [(w, bare, w[len(bare) :]) for w in other if (bare := w.rstrip(MARKS)).isalpha() and (bare.isascii() or not odd(bare))]
+            rest = other.difference([w for w, _, _ in parts]) | {tail for _, _, tail in parts}.difference(known)
+            plain |= {bare for _, bare, _ in parts}.difference(known)
+        ascii_only = [w for w in plain if w.isascii()]
+        plain.difference_update(ascii_only)
+        several = {w for w in plain if odd(w)}
+        beyond, single = list(plain - several), list(rest | several)
+        known.update(zip(ascii_only, self.in_a_line(ascii_only, self.light), strict=True))
+        known.update(zip(beyond, self.in_a_line(beyond, self.tokenizer), strict=True))
+        known.update(zip(single, self.one_by_one(single), strict=True))
+        for w, bare, tail in parts:
+            known[w] = known[bare] + known[tail]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_word:
-            return self.ask([text])[0]
-        return b"".join(map(self.encode_words, pieces(text, PIECE)))
-
-    def encode_words(self, text: str) -> bytes:
-        words, known = text.replace("\n", " ").split(" "), self.known
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            pass
-        if len(known) > KEPT:
-            known.clear()
-        new = list({w for w in words if w not in known})
-        found = dict(zip(new, self.ask(new), strict=True))
-        out = b"".join([known[w] if w in known else found[w] for w in words])
-        known.update((w, ids) for w, ids in found.items() if len(w) <= KEPT_CHARS)
-        return out
+            return self.one_by_one(texts)
+        out: list[list[bytes]] = [[] for _ in texts]
+        held: list[tuple[int, str]] = []
+        chars = 0
+        for k, text in enumerate(texts):
+            for piece in pieces(text, PIECE):
+                held.append((k, piece))
+                chars += len(piece)
+                if chars > LINE:
+                    self.encode_pieces(held, out)
+                    held, chars = [], 0
+        if held:
+            self.encode_pieces(held, out)
+        return [b"".join(parts) for parts in out]
+
+    def encode_pieces(self, held: list[tuple[int, str]], out: list[list[bytes]]) -> None:
+        """Append the ids of each piece to its text's: words are told apart by Arrow, so that Python sees each of them once."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        if len(self.known) > KEPT:
+            self.known.clear()
+        lines = pc.split_pattern(pa.array([piece.replace("\n", " ") for _, piece in held], pa.large_string()), " ")
+        coded = lines.flatten().dictionary_encode()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        new = set(words).difference(self.known)
+        self.learn(new)
+        ids = [self.known[w] for w in words]
+        flat, place = np.frombuffer(b"".join(ids), self.kind), coded.indices.to_numpy()
+        each = np.fromiter(map(len, ids), np.int64, len(ids)) // self.kind.itemsize
+        # of each word of the line, where its ids begin and end in the line's
+        many, first = each[place], (np.cumsum(each) - each)[place]
+        ends = np.cumsum(many)
+        line = flat[np.repeat(first - ends + many, many) + np.arange(many.sum())].tobytes()
+        cuts = np.r_[0, ends][lines.offsets.to_numpy()] * self.kind.itemsize
+        for (k, _), a, b in zip(held, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            out[k].append(line[a:b])
+        for w in new:
+            if len(w) > KEPT_CHARS:
+                del self.known[w]
+
+
+def odd(word: str) -> bool:
+    """Whether a letter is several characters in lower case, of which the last may go with what follows."""
+    return len(word.lower()) != len(word)
 
 
 def id_type(vocabulary: int) -> np.dtype:
     return np.dtype("<u2" if vocabulary <= 1 << 16 else "<u4")
 
 
-def encode(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
-    """(doc_id, ids) of docs (doc_id, text); path: a tokenizers file, read by the driver and broadcast."""
+def write_ids(docs: DataFrame, path: str, folder: str, end_id: int = END_ID) -> None:
+    """Write the ids of docs (doc_id, text) into folder, in ascending doc_id order; path: a tokenizers file, read by the driver and broadcast."""
+    spark = docs.sparkSession
     with open(path, encoding="utf-8") as f:
-        held = docs.sparkSession.sparkContext.broadcast(f.read())
-
-    @F.pandas_udf("binary")
-    def ids_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        if path not in _loaded:
-            _loaded[path] = Encoder(held.value)
-        encoder = _loaded[path]
-        end = np.array([end_id], encoder.kind).tobytes()
-        for texts in batches:
-            yield pd.Series([encoder.encode(t or "") + end for t in texts], dtype=object)
-
-    return docs.select("doc_id", ids_of("text").alias("ids"))
-
-
-def write_ids(encoded: DataFrame, folder: str, width: int) -> None:
-    """Write encoded documents (doc_id, ids) of so many bytes an id into folder, in ascending doc_id order."""
-    spark = encoded.sparkSession
+        held = spark.sparkContext.broadcast(f.read())
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import uuid
 
+        batches = (b for b in batches if len(b))
+        if (batch := next(batches, None)) is None:
+            return
+        if path not in _loaded:
+            _loaded[path] = Encoder(held.value)
+        encoder = _loaded[path]
+        last, width = np.array([end_id], encoder.kind).tobytes(), encoder.kind.itemsize
         store, at = _store(folder)
         name = f"ids-{TaskContext.get().partitionId():05d}"
         drafts = {kind: f"{at}/.{name}.{uuid.uuid4().hex}.{kind}" for kind in ("bin", "idx")}
         docs = tokens = 0
-        batches = (b for b in batches if len(b))
-        if (batch := next(batches, None)) is None:
-            return
         with store.open_output_stream(drafts["bin"], compression=None) as ids, store.open_output_stream(drafts["idx"], compression=None) as index:
             while batch is not None:
-                for one in batch["ids"]:
-                    ids.write(one)
+                lengths = []
+                for one in encoder.encode([t or "" for t in batch["text"]]):
+                    ids.write(one + last)
+                    lengths.append(len(one) // width + 1)
                 entry = np.zeros(len(batch), ENTRY)
-                entry["end"] = tokens + np.cumsum([len(x) // width for x in batch["ids"]])
+                entry["end"] = tokens + np.cumsum(lengths)
                 entry["known"] = batch["doc_id"].notna()
                 entry["doc_id"] = batch["doc_id"].fillna(0)
                 index.write(entry.tobytes())
@@ -164,20 +226,19 @@ def write_ids(encoded: DataFrame, folder: str, width: int) -> None:
                 batch = next(batches, None)
         for kind, draft in drafts.items():
             store.move(draft, f"{at}/{name}.{kind}")
-        yield pd.DataFrame({"file": [f"{folder}/{name}"], "n_docs": [docs], "n_tokens": [tokens]})
+        yield pd.DataFrame({"file": [f"{folder}/{name}"], "n_docs": [docs], "n_tokens": [tokens], "width": [width]})
 
     store, at = _store(folder)
     store.create_dir(at)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # pinned first, as a range partitioning looks at its input twice
-    slim = pin(spark, encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids", F.crc32("ids").alias("crc")), "encoded")
-    order = ["doc_id", "crc", "salt"]
-    placed = slim.withColumn("salt", F.monotonically_increasing_id()).repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    files = pin(spark, placed.select("doc_id", "ids").mapInPandas(write, "file string, n_docs long, n_tokens long"), "files")
+    order = ["doc_id", "hash", "salt"]
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("salt"))
+    placed = keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "text")
+    files = pin(spark, placed.mapInPandas(write, "file string, n_docs long, n_tokens long, width int"), "files")
     # one row a file
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
     bases = [F.coalesce(F.sum(f"n_{c}").over(before), F.lit(0)).alias(f"base_{c}") for c in ("docs", "tokens")]
-    files.select("file", "n_docs", "n_tokens", F.lit(width).alias("width"), *bases).write.parquet(f"{folder}/manifest")
+    files.select("file", "n_docs", "n_tokens", "width", *bases).write.parquet(f"{folder}/manifest")
 
 
 def manifest(spark: SparkSession, folder: str) -> DataFrame:
@@ -228,9 +289,6 @@ def read_ids(spark: SparkSession, folder: str) -> DataFrame:
 def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    path = str(public_tokenizers.path("word_bpe_49k.json"))
     folder = fresh_path(spark, "ids")
-    with open(path, encoding="utf-8") as f:
-        width = id_type(max(json.load(f)["model"]["vocab"].values()) + 1).itemsize
-    write_ids(encode(table(spark, sf_dir, "documents"), path), folder, width)
+    write_ids(table(spark, sf_dir, "documents"), str(public_tokenizers.path("word_bpe_49k.json")), folder)
     return read_ids(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

@@ -103,8 +103,7 @@ def library_ids(path, texts):
 def written(spark, rows, path=WORD_BPE, schema="doc_id long, text string, ids int, START string"):
     folder = fresh_path(spark, "ids")
     df = spark.createDataFrame([(*r, 1, "x") for r in rows], schema)
-    width = token_files.id_type(Tokenizer.from_file(path).get_vocab_size()).itemsize
-    token_files.write_ids(token_files.encode(df, path), folder, width)
+    token_files.write_ids(df, path, folder)
     return folder, sorted(token_files.read_ids(spark, folder).collect(), key=lambda r: r.start)
 
 
@@ -143,13 +142,14 @@ def test_words_may_be_encoded_one_by_one_only_where_white_space_is_dropped(monke
     specs = {p: open(p, encoding="utf-8").read() for p in (WORD_BPE, BYTE_BPE)}
     assert token_files.uses_words(json.loads(specs[WORD_BPE])) and not token_files.uses_words(json.loads(specs[BYTE_BPE]))
     rng = random.Random(8)
-    alphabet = "abE's \n\r\ṭ́ ΣßİÅ1!<|>é日😀"
+    alphabet = "abE's  \n\r\t\u0323\u0301 \u03a3\u00df\u0130\u212b1!,.)(<|>\u00e9\u65e5\U0001f600"
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(80))) for _ in range(2000)] + [t or "" for t in TEXTS]
     encoder, want = token_files.Encoder(specs[WORD_BPE]), library_ids(WORD_BPE, texts)
     for piece, kept in ((1 << 20, 500_000), (5, 500_000), (64, 20)):
         monkeypatch.setattr(token_files, "PIECE", piece)
         monkeypatch.setattr(token_files, "KEPT", kept)
-        assert [np.frombuffer(encoder.encode(t), "<u2").tolist() for t in texts] == want
+        assert [np.frombuffer(ids, "<u2").tolist() for ids in encoder.encode(texts)] == want
+        assert [np.frombuffer(encoder.encode([t])[0], "<u2").tolist() for t in texts[-30:]] == want[-30:]
     assert all("".join(token_files.pieces(t, n)) == t for t in texts for n in (1, 3, 50))
 
 
