@@ -8,12 +8,11 @@ language with the largest corrected share decides.
 An n-gram belongs to a language if its share of that language's training texts is at least SHARE of its largest
 share in any language. The fit reads a sample of FIT_TEXTS texts a language (those of the lowest hashes of doc_id, text
 and repeat) and keeps all their n-grams: slots are filled by an aggregate, so the model has 2**SLOT_BITS slots of 8
-bytes per 64 languages however many n-grams there are; it is collected and broadcast. Prediction covers whole texts
-of all rows.
+bytes per 64 languages however many n-grams there are, which is 8 MB; it is collected 64 languages at a time and broadcast.
+Prediction covers whole texts of all rows.
 
 Defined cases: a text that is null or has no letter gets `und`, score 0; ties go to the first language in order;
-with nothing to learn from, all rows get `und`; more than MAX_LANGUAGES different languages are an error; other columns
-pass through, but those that bear a result's name in any case.
+with nothing to learn from, all rows get `und`; any number of languages can be learnt; other columns pass through, but those that bear a result's name in any case.
 """
 
 from __future__ import annotations
@@ -26,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rasterloom.llm import grams
-from rasterloom.llm.common import packed, sampled, table, unpacked
+from rasterloom.llm.common import packed, pin, sampled, table, unpacked
 
 SIZES = (3, 4)
 FIT_TEXTS = 4000
@@ -34,7 +33,6 @@ SHARE = 0.5
 SLOT_BITS = 20
 PROBES = 2
 UNKNOWN = "und"
-MAX_LANGUAGES = 256
 
 
 class Filters:
@@ -89,9 +87,8 @@ def slots_of(grams_of: DataFrame, bits: int = SLOT_BITS) -> DataFrame:
 def fit(texts: DataFrame, fit_texts: int = FIT_TEXTS, bits: int = SLOT_BITS) -> Filters:
     """Learn from rows (doc_id, text, lang); rows with a null text or lang teach nothing."""
     rows = texts.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    found = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()
-    if len(found) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages to learn")
+    # one row a language
+    found = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()
     sizes = {r["lang"]: min(r["n"], fit_texts) for r in found}
     langs = sorted(sizes)
     slots = np.zeros((max(1, -(-len(langs) // 64)), 1 << bits), np.uint64)
@@ -107,11 +104,15 @@ def fit(texts: DataFrame, fit_texts: int = FIT_TEXTS, bits: int = SLOT_BITS) ->
 
     sample = sampled(rows, fit_texts, F.col("lang")).select("by", "text")
     counted = sample.mapInPandas(in_texts, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
-    about = F.create_map(*[x for i, k in enumerate(langs) for x in (F.lit(k), F.struct(F.lit(i).cast("long").alias("number"), F.lit(float(sizes[k])).alias("total")))])
-    rated = counted.withColumn("about", about[F.col("lang")]).withColumn("share", F.col("n") / F.col("about.total"))
+    numbers = texts.sparkSession.createDataFrame([(k, i, float(sizes[k])) for i, k in enumerate(langs)], "lang string, number long, total double")
+    rated = counted.join(numbers, "lang").withColumn("share", F.col("n") / F.col("total"))
     rated = rated.withColumn("most", F.max("share").over(Window.partitionBy("key"))).filter(F.col("share") >= F.col("most") * SHARE)
-    filled = slots_of(rated.select("about.number", "key"), bits).toPandas()
-    slots[filled["word"].to_numpy(np.int64), filled["slot"].to_numpy(np.int64)] = filled["mask"].to_numpy(np.int64).view(np.uint64)
+    filled = slots_of(rated.select("number", "key"), bits)
+    if len(slots) > 1:
+        filled = pin(texts.sparkSession, filled, "slots")
+    for word in range(len(slots)):
+        part = filled.filter(F.col("word") == word).select("slot", "mask").toPandas()
+        slots[word, part["slot"].to_numpy(np.int64)] = part["mask"].to_numpy(np.int64).view(np.uint64)
     return Filters(langs, slots)
 
 

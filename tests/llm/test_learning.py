@@ -104,10 +104,13 @@ def test_one_doc_id_on_all_rows_neither_empties_nor_overfills_the_sample(spark,
     assert {r.by: r["count"] for r in got} == {"a": 400, "b": 400}
 
 
-def test_too_many_languages_are_an_error(spark):
-    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.lit("ab").alias("text"), F.col("id").cast("string").alias("lang"))
-    with pytest.raises(ValueError):
-        langid.fit(docs)
+def test_any_number_of_languages(spark):
+    letters = "abcdefghijklmnopqrst"
+    word = lambda k: "".join(letters[(k // 20**i) % 20] * (i + 1) for i in range(3))
+    rows = [(1000 * k + i, f"{word(k)} {word(k)}x{letters[i]} y{word(k)}", f"l{k:03}") for k in range(300) for i in range(3)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.langs) == 300 and model.slots.shape[0] == 5
+    assert [model.predict(f"{word(k)} {word(k)}")[0] for k in (0, 63, 64, 200, 299)] == [f"l{k:03}" for k in (0, 63, 64, 200, 299)]
 
 
 def test_letter_lines():

@@ -1,0 +1,52 @@
+"""Very long texts, which no operator cuts short."""
+
+import zlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from rasterloom.llm import decontaminate, langid, mixing, near_dup, sharding
+from rasterloom.llm.words import norm_words
+
+PASSAGE = "zebra quartz lemon fjord amber violin tundra cactus marble orbit"
+
+
+@pytest.fixture(scope="module")
+def long_docs(spark):
+    """Two copies of a text of three million characters that differ at their ends, its beginning alone, and short texts."""
+    long = " ".join(f"w{k % 9973}x{k // 9973}" for k in range(300_000))
+    rows = [(1, f"{long} {PASSAGE}", "aa", "s"), (2, f"{long} other end", "aa", "s"), (3, long[: len(long) // 3], "aa", "t"), (4, "short " * 9, "bb", "t"), (5, None, "bb", None)]
+    return rows, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+
+
+def test_shards_of_long_texts(long_docs):
+    rows, df = long_docs
+    got = {r.doc_id: r for r in sharding.shard(df, keep_text=False).collect()}
+    assert {d: (got[d].size, got[d].text_crc32) for d, *_ in rows} == {d: (len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for d, t, *_ in rows}
+
+
+def test_languages_of_long_texts(spark, long_docs):
+    _, df = long_docs
+    learnt = spark.createDataFrame([(k, "der die das und nicht " * 5, "de") for k in range(50)] + [(100 + k, "the of and not with " * 5, "en") for k in range(50)], "doc_id long, text string, lang string")
+    asked = spark.createDataFrame([(1, "der die das und nicht " * 150_000), (2, "123 " * 700_000 + "the of and not with"), (3, "12 " * 900_000)], "doc_id long, text string")
+    got = {r.doc_id: r.lang_pred for r in langid.predict(asked, langid.fit(learnt)).collect()}
+    assert got == {1: "de", 2: "en", 3: langid.UNKNOWN}
+
+
+def test_passages_at_the_end_of_long_texts(spark, long_docs):
+    rows, df = long_docs
+    items = spark.createDataFrame([(7, PASSAGE)], "item_id long, text string")
+    got = {r.doc_id: r for r in decontaminate.mark(df, items).collect()}
+    assert {d: (got[d].n_words, got[d].n_hit) for d in got} == {d: (len(norm_words(t)), 10 if d == 1 else 0) for d, t, *_ in rows}
+
+
+def test_near_copies_of_long_texts(long_docs):
+    _, df = long_docs
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(df.select("doc_id", "text")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5}
+
+
+def test_sizes_of_long_texts_in_a_mix(long_docs):
+    rows, df = long_docs
+    got = {r.doc_id: r["size"] for r in mixing.plan(df.select("doc_id", "source", "text")).select("doc_id", F.col("size")).collect()}
+    assert got == {d: len((t or "").split()) for d, t, *_ in rows}
