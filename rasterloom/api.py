@@ -124,6 +124,48 @@ def rearranged(blocks: DataFrame, change, image_id: str) -> DataFrame:
     return blocks.mapInPandas(turn, "image_id string, level int, start array<int>, extent array<int>, dtype string, data binary")
 
 
+def store_cells(spark: SparkSession, cells: DataFrame, path: str, image_id: str, axes: str, shape: tuple[int, ...], dtypes: dict[str, str], tiles: dict[str, int] | None = None, compressor: str = "zstd") -> Slide:
+    """Store a table of cells (a column a coordinate, named like its axis in small letters, and one an attribute) as an image of one level.
+
+    dtypes: the type of each attribute, intensity among them; every cell of the shape must be there once. The cells
+    of a tile meet in a task.
+    """
+    import numpy as np
+    import pandas as pd
+
+    if "intensity" not in dtypes:
+        raise ValueError("a cell has an intensity")
+    tile = dict(zip(axes, grid.extents(axes, shape, tiles), strict=True))
+    names, more = [d.lower() for d in axes], list(store.named_well({n: k for n, k in dtypes.items() if n != "intensity"}))
+
+    def block(part: pd.DataFrame) -> pd.DataFrame:
+        start = [int(part[d].iloc[0]) // tile[d.upper()] * tile[d.upper()] for d in names]
+        size = [min(tile[d], n - s) for d, n, s in zip(axes, shape, start, strict=True)]
+        at = tuple(part[d].to_numpy() - s for d, s in zip(names, start, strict=True))
+        held = np.zeros(size, np.int64)
+        np.add.at(held, at, 1)
+        if (held != 1).any():
+            raise ValueError(f"the tile at {start} of {image_id!r} lacks cells, or has some twice")
+        out = {"image_id": [image_id], "level": [0], "start": [start], "extent": [size], "dtype": [dtypes["intensity"]]}
+        for name in ["intensity", *more]:
+            whole = np.zeros(size, dtypes[name])
+            whole[at] = part[name].to_numpy()
+            out["data" if name == "intensity" else f"data_{name}"] = [whole.tobytes()]
+        return pd.DataFrame(out)
+
+    schema = ", ".join(["image_id string, level int, start array<int>, extent array<int>, dtype string, data binary", *[f"data_{n} binary" for n in more]])
+    placed = grid.with_tiles(cells.select(*names, "intensity", *more), {d: tile[d.upper()] for d in names})
+    blocks = placed.groupBy(*[f"t{d}" for d in names]).applyInPandas(lambda part: block(part), schema)
+    writer = log.Writer(path, image_id)
+    row = {
+        "image_id": image_id, "level": 0, "axes": axes, "shape": list(shape), "dtype": dtypes["intensity"], "tile": [tile[d] for d in axes], "codec": compressor, "pixel_depth": 1,
+        "original_axes": axes, "original_shape": list(shape), "properties": {"level": "0"}, "attributes": {n: dtypes[n] for n in more},
+    }
+    store.save_level(spark, path, row, blocks, writer)
+    store.mark(spark, path, {"image_id": image_id, "fmt_version": store.FORMAT_VERSION, "axes": axes, "channels": [], "metadata": '{"channels": []}', "original_metadata": "{}", "valid": True}, writer)
+    return Slide(spark, path, image_id)
+
+
 def add_ranges(spark: SparkSession, path: str, level: dict, channels: list[dict]) -> None:
     """Give channels the range of their cells, unless the source gave one; read from the stored tiles."""
     measured = {r["c"]: r for r in store.channel_stats(store.level_tiles(spark, path, level), level["axes"], level["pixel_depth"]).collect()}
@@ -148,7 +190,7 @@ def build_pyramid(spark: SparkSession, path: str, image_id: str, base: int, fact
         h, w = pyramid.level_shapes((source_size["Y"], source_size["X"]), "YX", [step])[0]
         shape = [{"Y": h, "X": w}.get(d, size[d]) for d in top["axes"]]
         tile = [min(t, n) for t, n in zip(top["tile"], shape, strict=True)]
-        row = top | {"level": base + 1 + i, "shape": shape, "tile": tile, "properties": {"level": str(base + 1 + i), "factor": str(factor)}}
+        row = top | {"level": base + 1 + i, "shape": shape, "tile": tile, "properties": {"level": str(base + 1 + i), "factor": str(factor)}, "attributes": {}}
         row["original_shape"] = [dict(zip(top["axes"], shape, strict=True)).get(d, 1) for d in top["original_axes"]]
         found = store.level_tiles(spark, path, writer.levels[source["level"]])
         extent = max(tile[top["axes"].index("Y")], tile[top["axes"].index("X")])

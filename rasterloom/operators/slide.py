@@ -95,22 +95,27 @@ class Slide:
     def best_level_for_downsample(self, factor: float) -> int:
         return max((i for i, d in enumerate(self.level_downsamples) if d < factor), default=0)
 
-    def read_level(self, position: int, original_axes: bool = False) -> DataFrame:
-        """Cells of the level at a position in the sorted list; in its original axes, or as y, x, c."""
+    def read_level(self, position: int, original_axes: bool = False, attribute: str = "intensity") -> DataFrame:
+        """Cells of the level at a position in the sorted list, with one attribute; in its original axes, or as y, x, c."""
         row = self._levels[position]
-        return self._read(row, {}, row["original_axes"] if original_axes else None)
+        return self._read(row, {}, row["original_axes"] if original_axes else None, attribute)
 
-    def read_region(self, location: tuple[int, int], position: int, size: tuple[int, int]) -> DataFrame:
-        """Cells of a region, in the level's own frame; tiles outside are not read."""
+    def read_region(self, location: tuple[int, int], position: int, size: tuple[int, int], attribute: str = "intensity") -> DataFrame:
+        """Cells of a region, in the level's own frame; neither tiles outside nor other attributes are read."""
         (x, y), (w, h) = location, size
-        return self._read(self._levels[position], {"y": (y, y + h), "x": (x, x + w)}, None)
+        return self._read(self._levels[position], {"y": (y, y + h), "x": (x, x + w)}, None, attribute)
 
-    def _read(self, row, slices: dict, axes: str | None) -> DataFrame:
+    def attributes(self, position: int) -> dict[str, str]:
+        """The attributes of a level's cells, with their types."""
+        row = self._levels[position]
+        return {"intensity": row["dtype"]} | (row.get("attributes") or {})
+
+    def _read(self, row, slices: dict, axes: str | None, attribute: str) -> DataFrame:
         from rasterloom.sources import store
 
         if axes is None:
             deep = [d for d, n in zip(row["axes"], row["shape"], strict=True) if d in "TZ" and n > 1]
             if deep:
                 raise ValueError(f"dimensions {deep} have several coordinates; read the level in its original axes")
-        found = store.cells(self._spark, self._path, self.image_id, row, slices)
-        return reads.read_level(found, axes=axes or "YXC")
+        found = store.cells(self._spark, self._path, self.image_id, row, slices, attribute)
+        return reads.read_level(found, axes=axes or "YXC").withColumnRenamed("intensity", attribute)

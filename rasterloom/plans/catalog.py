@@ -564,6 +564,15 @@ def stored_image_cells(spark, sf_dir):
         GROUP BY r.n_nationkey""")
 
 
+@query(f"WITH {EMB} SELECT y, x, 0 AS c, (intensity * 7 + x)::INT AS mark FROM emb WHERE y >= 30 AND y < 130 AND x >= 20 AND x < 41")
+def stored_attribute(spark, sf_dir):
+    """One of two attributes of a stored image's cells, in a region."""
+    cells_ = views.emb_yx(spark, sf_dir).withColumn("mark", F.col("intensity") * 7 + F.col("x"))
+    shape, kinds = (views.emb_height(spark, sf_dir), 64), {"intensity": "uint8", "mark": "int32"}
+    opened = api.store_cells(spark, cells_, scratch_path(spark, "store"), "emb", "YX", shape, kinds, {"Y": 64, "X": 32})
+    return opened.read_region((20, 30), 0, (21, 100), "mark")
+
+
 @query(_SAME)
 def png_roundtrip(spark, sf_dir):
     return _back(spark, sf_dir, "png")

@@ -26,9 +26,53 @@ def unshuffled_bits(data: bytes, size: int) -> bytes:
     return np.packbits(bits.T, axis=1, bitorder="little").tobytes() + data[n * size :]
 
 
+#: Fixed values of Blosc's own codec: bytes of a match beyond what its first byte counts, and the distance from which one has 16 bits.
+_LEAST, _FAR = 3, 8191
+
+
+def unpacked(data: bytes, size: int) -> bytes:
+    """Blosc's own codec: runs of literals, and matches with what came before.
+
+    A first byte below 32 counts literals less one. Else its upper three bits count a match's bytes, going on in following
+    bytes where they are full, and its lower five and one more byte tell the distance; where these are full too, two more bytes do.
+    """
+    out, at, first = bytearray(), 0, True
+    while at < len(data):
+        head = data[at] & 31 if first else data[at]
+        at, first = at + 1, False
+        if head < 32:
+            if at + head + 1 > len(data):
+                raise ValueError("a Blosc block breaks off")
+            out += data[at : at + head + 1]
+            at += head + 1
+            continue
+        many = (head >> 5) - 1
+        if many == 6:
+            while data[at] == 255:
+                many, at = many + 255, at + 1
+            many, at = many + data[at], at + 1
+        high, low = (head & 31) << 8, data[at]
+        at += 1
+        back = high + low + 1
+        if low == 255 and high == 31 << 8:
+            back = (data[at] << 8 | data[at + 1]) + _FAR + 1
+            at += 2
+        many += _LEAST
+        if back > len(out):
+            raise ValueError("a Blosc block looks back beyond its beginning")
+        piece = bytes(out[len(out) - back : len(out) - back + many])
+        # a match may reach into what it makes itself
+        out += piece if len(piece) == many else (piece * (many // len(piece) + 1))[:many]
+    if len(out) != size:
+        raise ValueError(f"a Blosc block has {len(out)} of {size} bytes")
+    return bytes(out)
+
+
 def inflate(codec: int, data: bytes, size: int) -> bytes:
     if len(data) == size:
         return data
+    if codec == 0:
+        return unpacked(data, size)
     if codec not in CODECS:
         raise ValueError(f"Blosc codec {codec} is not supported")
     name = CODECS[codec]

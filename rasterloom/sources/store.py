@@ -8,6 +8,9 @@ another format version is left alone with a warning. Of two writers that load on
 
 images() and levels() are tables over the whole log; image_rows() opens one image, by reading one folder of the log.
 
+A cell may have further attributes beside its intensity: the level's row names them with their types, and a tile holds the
+pixels of each in a column of its own, data_NAME. So reading one attribute leaves the bytes of the others unread.
+
 A region read opens one load's folder. Its files hold bands of neighbouring tiles in order, in small row groups, so tile
 rows and columns prune files and row groups by their statistics.
 """
@@ -32,11 +35,11 @@ from rasterloom.functions import dtypes
 from rasterloom.operators.cells import tile_predicate
 from rasterloom.sources import files, log
 
-FORMAT_VERSION = 2
+FORMAT_VERSION = 3
 IMAGES = "image_id string, fmt_version int, axes string, channels array<string>, metadata string, original_metadata string, valid boolean"
 LEVELS = (
     "image_id string, level int, axes string, shape array<long>, dtype string, tile array<long>, codec string, pixel_depth int, "
-    "original_axes string, original_shape array<long>, properties map<string,string>, load_id string"
+    "original_axes string, original_shape array<long>, properties map<string,string>, load_id string, attributes map<string,string>"
 )
 TILES = "image_id string, level int, ty int, tx int, tc int, tz int, tt int, start array<int>, extent array<int>, dtype string, data binary"
 STORED = TILES + ", load_id string"
@@ -91,9 +94,28 @@ def tiles(spark: SparkSession, path: str) -> DataFrame:
     return _read(spark, f"{path}/tiles", STORED).join(levels(spark, path).select("load_id"), "load_id", "left_semi").drop("load_id")
 
 
-def level_tiles(spark: SparkSession, path: str, level: dict) -> DataFrame:
-    """Tiles of one level, from the folder of its load."""
-    return _read(spark, f"{path}/tiles/load_id={level['load_id']}", TILES)
+def level_tiles(spark: SparkSession, path: str, level: dict, attribute: str = "intensity") -> DataFrame:
+    """Tiles of one level, from the folder of its load, with the pixels of one attribute."""
+    folder = f"{path}/tiles/load_id={level['load_id']}"
+    if attribute == "intensity":
+        return _read(spark, folder, TILES)
+    kinds = level.get("attributes") or {}
+    if attribute not in kinds:
+        raise KeyError(f"level {level['level']} has no attribute {attribute!r}, but {['intensity', *kinds]}")
+    place = [c for c in TILES.split(", ") if c.split()[0] not in ("dtype", "data")]
+    found = _read(spark, folder, ", ".join([*place, f"data_{attribute} binary"]))
+    return found.select(*[c.split()[0] for c in place], F.lit(kinds[attribute]).alias("dtype"), F.col(f"data_{attribute}").alias("data"))
+
+
+def named_well(attributes: dict[str, str]) -> dict[str, str]:
+    """The attributes, if they can be names of columns."""
+    if wrong := [n for n in attributes if not re.fullmatch(r"[A-Za-z_]\w*", n, re.ASCII) or n == "intensity"]:
+        raise ValueError(f"{wrong} are no names of attributes")
+    return attributes
+
+
+def tile_schema(attributes: dict[str, str]) -> str:
+    return ", ".join([TILES, *[f"data_{name} binary" for name in attributes]])
 
 
 def vacuum(spark: SparkSession, path: str) -> int:
@@ -115,8 +137,8 @@ def mark(spark: SparkSession, path: str, row: dict, writer: log.Writer | None =
     (writer or log.Writer(path, row["image_id"])).commit(image={c.split()[0]: row.get(c.split()[0]) for c in IMAGES.split(", ")})
 
 
-def split_tiles(blocks: DataFrame, axes: str, tile: dict[str, int]) -> DataFrame:
-    """Blocks (image_id, level, start, extent, dtype, data) in the stored axes, cut along the tile grid.
+def split_tiles(blocks: DataFrame, axes: str, tile: dict[str, int], attributes: dict[str, str]) -> DataFrame:
+    """Blocks (image_id, level, start, extent, dtype, data, and data_NAME of each attribute) in the stored axes, cut along the tile grid.
 
     A block may span several tiles and a tile several blocks; pieces of a tile meet in merge_tiles().
     """
@@ -125,21 +147,23 @@ def split_tiles(blocks: DataFrame, axes: str, tile: dict[str, int]) -> DataFrame
         for batch in batches:
             rows = []
             for b in batch.itertuples():
-                block = np.frombuffer(b.data, b.dtype).reshape(tuple(b.extent))
+                each = [np.frombuffer(getattr(b, c), k or b.dtype).reshape(tuple(b.extent)) for c, k in columns.items()]
                 steps = []
                 for d, s, n in zip(axes, b.start, b.extent, strict=True):
                     t = tile[d]
                     steps.append([(k, max(s, k * t), min(s + n, (k + 1) * t)) for k in range(s // t, (s + n - 1) // t + 1)])
                 for where in product(*steps):
                     index = dict(zip(axes, (k for k, _, _ in where), strict=True))
-                    piece = block[tuple(slice(lo - s, hi - s) for (_, lo, hi), s in zip(where, b.start, strict=True))]
-                    rows.append((b.image_id, b.level, *[index.get(d, 0) for d in "YXCZT"], [lo for _, lo, _ in where], list(piece.shape), b.dtype, piece.tobytes()))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in TILES.split(", ")])
+                    inside = tuple(slice(lo - s, hi - s) for (_, lo, hi), s in zip(where, b.start, strict=True))
+                    place = (*[index.get(d, 0) for d in "YXCZT"], [lo for _, lo, _ in where], [hi - lo for _, lo, hi in where])
+                    rows.append((b.image_id, b.level, *place, b.dtype, *[block[inside].tobytes() for block in each]))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
 
-    return blocks.mapInPandas(cut, TILES)
+    columns, schema = {"data": None} | {f"data_{name}": kind for name, kind in attributes.items()}, tile_schema(attributes)
+    return blocks.mapInPandas(cut, schema)
 
 
-def merge_tiles(pieces: DataFrame, axes: str, tile: dict[str, int], shape: tuple[int, ...]) -> DataFrame:
+def merge_tiles(pieces: DataFrame, axes: str, tile: dict[str, int], shape: tuple[int, ...], attributes: dict[str, str]) -> DataFrame:
     """Pieces of the same tile put together, bands of neighbouring tiles in a task; a tile is bounded, so its group is. A hole fails."""
     size = dict(zip(axes, shape, strict=True))
     across = -(-size["X"] // tile["X"])
@@ -150,17 +174,22 @@ def merge_tiles(pieces: DataFrame, axes: str, tile: dict[str, int], shape: tuple
         first = part.iloc[0]
         at = [int(first["t" + d.lower()]) * tile[d] for d in axes]
         size = [min(tile[d], n - a) for d, n, a in zip(axes, shape, at, strict=True)]
-        block, covered = np.zeros(size, first["dtype"]), np.zeros(size, bool)
+        covered, kinds = np.zeros(size, bool), {"data": first["dtype"]} | {f"data_{name}": kind for name, kind in attributes.items()}
+        whole = {c: np.zeros(size, kind) for c, kind in kinds.items()}
         for p in part.itertuples():
             place = tuple(slice(s - a, s - a + n) for s, n, a in zip(p.start, p.extent, at, strict=True))
-            block[place], covered[place] = np.frombuffer(p.data, p.dtype).reshape(tuple(p.extent)), True
+            for c, kind in kinds.items():
+                whole[c][place] = np.frombuffer(getattr(p, c), kind).reshape(tuple(p.extent))
+            covered[place] = True
         if not covered.all():  # pieces that overlap can't make up for a hole
             raise ValueError(f"pieces of the tile at {at} of level {first['level']} are missing")
         out = part.iloc[:1].drop(columns="band")
-        out["start"], out["extent"], out["data"] = [at], [size], [block.tobytes()]
+        out["start"], out["extent"] = [at], [size]
+        for c, block in whole.items():
+            out[c] = [block.tobytes()]
         return out
 
-    return placed.groupBy(*keys).applyInPandas(join, TILES)
+    return placed.groupBy(*keys).applyInPandas(join, tile_schema(attributes))
 
 
 def channel_stats(found: DataFrame, axes: str, depth: int = 1) -> DataFrame:
@@ -202,7 +231,10 @@ def save_level(spark: SparkSession, path: str, level: dict, blocks: DataFrame, w
     if depth > 1:
         axes, shape, extents = "YXC", (shape[0], shape[1] // depth, depth), [extents[0], extents[1] // depth, depth]
     tile = dict(zip(axes, extents, strict=True))
-    packed = merge_tiles(split_tiles(blocks, axes, tile), axes, tile, shape)
+    attributes = named_well(dict(level.get("attributes") or {}))
+    if attributes and depth > 1:
+        raise ValueError("channels side by side have no further attributes")
+    packed = merge_tiles(split_tiles(blocks, axes, tile, attributes), axes, tile, shape, attributes)
     if depth > 1:  # a block of YXC lies in memory as one of YX with channels side by side
         side_by_side = [F.array(F.get(c, F.lit(0)), F.get(c, F.lit(1)) * depth).alias(c) for c in ("start", "extent")]
         packed = packed.select(*[c for c in packed.columns if c not in ("start", "extent")], *side_by_side).select(*packed.columns)
@@ -214,7 +246,7 @@ def save_level(spark: SparkSession, path: str, level: dict, blocks: DataFrame, w
     if (found := sum(p["tiles"] for p in parts)) != expected:
         raise ValueError(f"level {level['level']} of {level['image_id']!r} has {found} of {expected} tiles")
     files.write_whole(f"{folder}/{PARTS}", json.dumps(parts).encode())
-    named = level | {"load_id": load}
+    named = level | {"load_id": load, "attributes": attributes}
     writer.commit(level={c.split()[0]: named[c.split()[0]] for c in LEVELS.split(", ")})
     return True
 
@@ -228,8 +260,8 @@ def check_version(spark: SparkSession, path: str, image_id: str) -> bool:
     return False
 
 
-def cells(spark: SparkSession, path: str, image_id: str, level: dict, slices: dict[str, tuple[int, int]] | None = None) -> DataFrame:
-    """Cells of a stored level; slices become tile predicates first, then cut each block before it is spread out.
+def cells(spark: SparkSession, path: str, image_id: str, level: dict, slices: dict[str, tuple[int, int]] | None = None, attribute: str = "intensity") -> DataFrame:
+    """Cells of a stored level, with one attribute, which is called intensity; slices become tile predicates first, then cut each block before it is spread out.
 
     Channels folded into X come back as c.
     """
@@ -239,7 +271,7 @@ def cells(spark: SparkSession, path: str, image_id: str, level: dict, slices: di
         slices["x"] = tuple(n * depth for n in slices["x"])
     extent = {d.lower(): n for d, n in zip(axes, level["tile"], strict=True)}
     channels = slices.pop("c", None) if depth > 1 else None
-    found = level_tiles(spark, path, level).filter(tile_predicate(slices, extent))
+    found = level_tiles(spark, path, level, attribute).filter(tile_predicate(slices, extent))
     names = [d.lower() for d in axes]
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -253,7 +285,7 @@ def cells(spark: SparkSession, path: str, image_id: str, level: dict, slices: di
                     at = np.indices(piece.shape).reshape(len(names), -1)
                     yield pd.DataFrame({d: at[i] + lows[i] for i, d in enumerate(names)} | {"intensity": piece.reshape(-1)})
 
-    kind = dtypes.spark_type(level["dtype"])
+    kind = dtypes.spark_type(level["dtype"] if attribute == "intensity" else level["attributes"][attribute])
     out = found.mapInPandas(spread, ", ".join([*[f"{d} int" for d in names], f"intensity {kind}"]))
     if depth > 1:
         from rasterloom.functions.axes import unfold

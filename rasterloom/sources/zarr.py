@@ -27,6 +27,33 @@ def decompress(data: bytes, spec: dict | None, size: int) -> bytes:
     raise ValueError(f"Zarr compressor {name!r} is not supported")
 
 
+#: Filters that can be undone.
+FILTERS = ("delta", "fixedscaleoffset", "quantize", "astype", "packbits", "shuffle", "crc32", "adler32")
+
+
+def unfiltered(data: bytes, spec: dict) -> bytes:
+    """Undo one filter of a chunk."""
+    name = spec["id"]
+    if name in ("crc32", "adler32"):
+        told, data = int.from_bytes(data[:4], "little"), data[4:]
+        if getattr(zlib, name)(data) != told:
+            raise ValueError(f"a chunk doesn't have its {name} sum")
+        return data
+    if name == "shuffle":
+        return blosc.unshuffled(data, spec.get("elementsize", 4))
+    if name == "packbits":
+        return np.unpackbits(np.frombuffer(data, np.uint8, offset=1))[: (len(data) - 1) * 8 - data[0]].tobytes()
+    if name == "astype":
+        return np.frombuffer(data, spec["encode_dtype"]).astype(spec["decode_dtype"]).tobytes()
+    kind = np.dtype(spec["dtype"])
+    values = np.frombuffer(data, spec.get("astype") or kind)
+    if name == "delta":
+        return np.cumsum(values, dtype=kind).tobytes()
+    if name == "fixedscaleoffset":
+        return (values / spec["scale"] + spec["offset"]).astype(kind).tobytes()
+    return values.astype(kind).tobytes()
+
+
 class ZarrImage:
     """The reader protocol on a folder with `multiscales` attributes."""
 
@@ -39,8 +66,8 @@ class ZarrImage:
         self.axes = "".join((a["name"] if isinstance(a, dict) else a).upper() for a in axes)
         self.arrays = [json.loads(files.read_range(f"{self.uri}/{p}/.zarray")) for p in self.paths]
         for a in self.arrays:
-            if a.get("filters"):
-                raise ValueError(f"Zarr filters {[f.get('id') for f in a['filters']]} are not supported")
+            if unknown := [f.get("id") for f in a.get("filters") or [] if f.get("id") not in FILTERS]:
+                raise ValueError(f"Zarr filters {unknown} are not supported")
 
     def describe(self) -> dict:
         levels = [{"level": i, "shape": tuple(a["shape"]), "dtype": np.dtype(a["dtype"]).newbyteorder("=").name, "tags": a} for i, a in enumerate(self.arrays)]
@@ -69,6 +96,8 @@ class ZarrImage:
         kind = np.dtype(a["dtype"])
         if files.exists(path):
             raw = decompress(files.read_range(path), a["compressor"], int(np.prod(a["chunks"])) * kind.itemsize)
+            for f in reversed(a.get("filters") or []):
+                raw = unfiltered(raw, f)
             block = np.frombuffer(raw, kind).reshape(a["chunks"], order=a["order"])
         else:
             block = np.full(a["chunks"], a.get("fill_value") or 0, kind)

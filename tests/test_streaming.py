@@ -12,6 +12,16 @@ def write_png(path, a):
     path.write_bytes(png.head(*a.shape, 1, 8) + png.chunk(b"IDAT", body) + png.chunk(b"IEND", b""))
 
 
+def test_several_files_at_a_time(spark, tmp_path):
+    folder, path = tmp_path / "in", str(tmp_path / "s")
+    folder.mkdir()
+    for k in range(10):
+        write_png(folder / f"f{k}.png", np.full((5, 4 + k), k, np.uint8))
+    watch(spark, str(folder), path, str(tmp_path / "c"), "png").awaitTermination(300)
+    assert {r.image_id for r in store.images(spark, path).filter("valid").collect()} == {f"f{k}" for k in range(10)}
+    assert {k: Slide(spark, path, f"f{k}").dimensions for k in range(10)} == {k: (4 + k, 5) for k in range(10)}
+
+
 def test_new_files_are_loaded_once(spark, tmp_path):
     folder, path, mark = tmp_path / "in", str(tmp_path / "s"), str(tmp_path / "c")
     folder.mkdir()
