@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import logging
+import sys
 import warnings
 from collections.abc import Callable
 from functools import reduce
@@ -26,9 +28,33 @@ def register_writer(name: str, writer: Callable) -> None:
     WRITERS[name] = writer
 
 
+def register_format(name: str, reader: Callable | None = None, writer: Callable | None = None) -> None:
+    """Add a format as a pair; one without a reader can only be written, one without a writer only be read."""
+    if reader is None and writer is None:
+        raise ValueError(f"format {name!r} has neither a reader nor a writer")
+    if reader is not None:
+        raster.register(name, reader)
+    if writer is not None or name not in WRITERS:
+        register_writer(name, writer)
+
+
+def get_logger(verbose: bool = False) -> logging.Logger:
+    """The library's logger, to standard output; it tells of each level that is loaded or written if verbose, else of warnings alone."""
+    if not LOG.handlers:
+        shown = logging.StreamHandler(sys.stdout)
+        shown.setFormatter(logging.Formatter("[%(asctime)s] %(name)s %(levelname)s: %(message)s"))
+        LOG.addHandler(shown)
+    LOG.setLevel(logging.DEBUG if verbose else logging.WARNING)
+    return LOG
+
+
 def load_plugins() -> list[str]:
-    """Register the readers and writers that installed packages declare as entry points; returns their names."""
+    """Register the readers, writers and formats (objects with reader and writer) that installed packages declare as entry points; returns their names."""
     found = []
+    for point in metadata.entry_points(group="rasterloom.formats"):
+        both = point.load()
+        register_format(point.name, getattr(both, "reader", None), getattr(both, "writer", None))
+        found.append(point.name)
     for group, add in (("rasterloom.readers", raster.register), ("rasterloom.writers", register_writer)):
         for point in metadata.entry_points(group=group):
             add(point.name, point.load())
@@ -36,6 +62,9 @@ def load_plugins() -> list[str]:
     return found
 
 
+LOG = logging.getLogger("rasterloom")
+
+
 class MetadataCallbackError(Exception):
     """A user's metadata function failed."""
 
@@ -90,6 +119,7 @@ def ingest(
         if depth > 1:  # a channel at a time may come; store.save_level lays them side by side
             change = Layout(about["axes"], "YXC")
         store.save_level(spark, path, row, rearranged(raster.blocks(spark, source, codec, level["level"], scale=tile_scale, **options), change, image_id), writer)
+        LOG.debug("level %s of %s: %s cells of %s", level["level"], image_id, "x".join(map(str, level["shape"])), level["dtype"])
         if level["level"] == level_min:
             add_ranges(spark, path, writer.levels[level_min], channels)
     if scale_factors:
@@ -248,3 +278,4 @@ def export(spark: SparkSession, path: str, image_id: str, dest: str, codec: str
         raise ValueError(f"image {image_id!r} has no level from {level_min} on")
     found = reduce(DataFrame.unionByName, [store.level_tiles(spark, path, r) for r in rows])
     writer(found, rows, json.loads(slide.properties), dest, **options)
+    LOG.debug("%s levels of %s written to %s as %s", len(rows), image_id, dest, codec)

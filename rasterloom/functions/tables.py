@@ -97,7 +97,7 @@ class file_cells:  # noqa: N801
 
         if None in (codec, path, level):
             return
-        image = raster.READERS[codec](path)
+        image = raster.reader_of(codec, {})(path)
         axes = image.describe()["axes"]
         box = pixels.Box(axes, ranges_of(region))
         if not box.empty:

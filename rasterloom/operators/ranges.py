@@ -41,3 +41,15 @@ def tiles_complete(tiles: DataFrame, expected: DataFrame, *by: str) -> DataFrame
     found = tiles.groupBy(*by).agg(F.count_distinct(*[F.col(c) for c in index]).alias("found"))
     out = expected.join(found, list(by), "left").withColumn("found", F.coalesce("found", F.lit(0)))
     return out.select(*by, "expected", "found", (F.col("expected") == F.col("found")).alias("complete"))
+
+
+def complete_lines(tiles: DataFrame, keys: list[str], along: list[str], expected: int) -> DataFrame:
+    """The lines of a tile grid (one coordinate of each key) of which all tiles along the other axes are there; repeats count once."""
+    lines = tiles.select(*keys, *along).distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    return lines.filter(F.col("n") == expected).drop("n")
+
+
+def first_complete(tiles: DataFrame, group: str, keys: list[str], along: list[str], expected: int) -> DataFrame:
+    """Of each group with a complete line: its first one, as columns of the keys, and how many there are."""
+    lines = complete_lines(tiles, [group, *keys], along, expected)
+    return lines.groupBy(group).agg(F.min(F.struct(*keys)).alias("first"), F.count(F.lit(1)).alias("lines")).select(group, "first.*", "lines")

@@ -398,6 +398,16 @@ def validate_tiles_exact(spark, sf_dir):
     return ranges.tiles_complete(tiles, expected, "image")
 
 
+@query("""
+    WITH t AS (SELECT DISTINCT l_linenumber AS image, l_suppkey % 16 AS ty, l_partkey % 40 AS tx FROM lineitem WHERE l_partkey % 11 <> l_suppkey % 3),
+    r AS (SELECT image, ty FROM t GROUP BY ALL HAVING count(*) = 40)
+    SELECT image, min(ty) AS ty, count(*) AS lines FROM r GROUP BY 1""")
+def first_complete_row(spark, sf_dir):
+    """Of each image, the first row of tiles that is there in full, of a grid with holes."""
+    tiles = table(spark, sf_dir, "lineitem").filter("l_partkey % 11 <> l_suppkey % 3").selectExpr("l_linenumber as image", "l_suppkey % 16 as ty", "l_partkey % 40 as tx")
+    return ranges.first_complete(tiles, "image", ["ty"], ["tx"], 40)
+
+
 # ---- scalars
 
 

@@ -148,7 +148,7 @@ class RasterCells(DataSource):
         return "raster_cells"
 
     def image(self) -> raster.Reader:
-        return raster.READERS[self.options["codec"]](self.options["path"], **json.loads(self.options.get("reader", "{}")))
+        return raster.reader_of(self.options["codec"], self.options)(self.options["path"], **json.loads(self.options.get("reader", "{}")))
 
     def schema(self) -> str:
         about = self.image().describe()

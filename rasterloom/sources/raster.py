@@ -5,11 +5,14 @@ A partition is a run of segments (strips, tiles or chunks), read by ranges, so a
 
 from __future__ import annotations
 
+import base64
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
+from importlib import metadata
 from typing import Protocol
 
 import numpy as np
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -47,10 +50,30 @@ class Reader(Protocol):
 READERS: dict[str, Callable[..., Reader]] = {"png": PngFile, "tiff": TiffFile, "svs": ScannedSlide, "zarr": ZarrImage}
 
 
+_BUILT_IN = frozenset(READERS)
+
+
 def register(name: str, reader: Callable[..., Reader]) -> None:
     READERS[name] = reader
 
 
+def packed_reader(codec: str) -> dict[str, str]:
+    """An option that carries a registered reader to Spark's own processes, which know the built-in ones alone."""
+    return {} if codec in _BUILT_IN else {"pickled": base64.b64encode(cloudpickle.dumps(READERS[codec])).decode()}
+
+
+def reader_of(codec: str, options: Mapping[str, str]) -> Callable[..., Reader]:
+    """The reader of a format: a registered one, one that the options carry, or an installed package's."""
+    if codec in READERS:
+        return READERS[codec]
+    if "pickled" in options:
+        return cloudpickle.loads(base64.b64decode(options["pickled"]))
+    for point in metadata.entry_points(group="rasterloom.readers"):
+        if point.name == codec:
+            return point.load()
+    raise ValueError(f"there is no reader of {codec!r}")
+
+
 def segments(image: Reader, level: int, wanted: list[int]) -> Iterator[tuple[tuple[int, ...], np.ndarray]]:
     """Start and pixels of some segments; where their places are known, neighbours are read together (files.read_ranges)."""
     if not hasattr(image, "place"):
@@ -113,11 +136,11 @@ class RasterSource(DataSource):
 
     def reader(self, schema) -> RasterReader:
         region, options = (json.loads(self.options.get(k, "{}")) for k in ("region", "reader"))
-        return RasterReader(READERS[self.options["codec"]], self.options["path"], int(self.options.get("level", "0")), region, options, int(self.options.get("scale", "1")))
+        return RasterReader(reader_of(self.options["codec"], self.options), self.options["path"], int(self.options.get("level", "0")), region, options, int(self.options.get("scale", "1")))
 
 
 def blocks(spark: SparkSession, path: str, codec: str, level: int, region: dict[str, tuple[int, int]] | None = None, scale: int = 1, **options) -> DataFrame:
     """Blocks of a level; region: half-open ranges by axis, by which segments are left out and cut; scale: times as many segments a task; options go to the reader."""
     spark.dataSource.register(RasterSource)
-    found = spark.read.format("raster").option("codec", codec).option("level", str(level)).option("scale", str(scale))
+    found = spark.read.format("raster").options(**packed_reader(codec)).option("codec", codec).option("level", str(level)).option("scale", str(scale))
     return found.option("region", json.dumps(region or {})).option("reader", json.dumps(options)).load(path)

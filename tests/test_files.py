@@ -614,6 +614,42 @@ def test_own_writers_and_plugins_can_be_registered(spark, tmp_path, monkeypatch)
         api.WRITERS.pop("count")
 
 
+def test_formats_are_pairs(spark, tmp_path, monkeypatch, capsys):
+    write_zarr(str(tmp_path / "a"), image((10, 12)), "YX", (10, 12))
+
+    class Pair:
+        name = "copied"
+
+        def load(self):
+            class Both:
+                reader = raster.READERS["zarr"]
+                writer = staticmethod(writers.zarr)
+
+            return Both
+
+    monkeypatch.setattr(api.metadata, "entry_points", lambda group: [Pair()] if group == "rasterloom.formats" else [])
+    logger = api.get_logger(verbose=True)
+    try:
+        assert api.load_plugins() == ["copied"]
+        api.ingest(spark, str(tmp_path / "a"), str(tmp_path / "s"), "i", "copied")
+        api.export(spark, str(tmp_path / "s"), "i", str(tmp_path / "b"), "copied")
+        np.testing.assert_array_equal(raster.READERS["copied"](str(tmp_path / "b")).segment(0, 0)[1], image((10, 12)))
+        told = capsys.readouterr().out
+        assert "level 0 of i: 10x12 cells of uint8" in told and "1 levels of i written to" in told
+        api.register_format("readonly", raster.READERS["zarr"])
+        with pytest.raises(NotImplementedError):
+            api.export(spark, str(tmp_path / "s"), "i", "x", "readonly")
+        with pytest.raises(ValueError, match="neither"):
+            api.register_format("none")
+    finally:
+        for name in ("copied", "readonly"):
+            raster.READERS.pop(name, None)
+            api.WRITERS.pop(name, None)
+        for h in list(logger.handlers):
+            logger.removeHandler(h)
+    assert api.get_logger().level == 30
+
+
 def test_own_readers_can_be_registered(spark):
     class Ramp:
         def __init__(self, uri):

@@ -87,7 +87,7 @@ def test_levels_of_an_image_are_rows_of_their_own(spark, tmp_path):
 def test_cells_of_every_type(dtype):
     from rasterloom.functions import dtypes
 
-    a = np.array([0, 1, 100, np.iinfo(dtype).max if "int" in dtype else 0.5]).astype(dtype)
+    a = np.array([0, 1, 100, np.iinfo(dtype).max if "int" in dtype else 0.5], dtype)
     for order in ("<", ">"):
         assert pixels.intensities(a.astype(a.dtype.newbyteorder(order)), dtypes.spark_type(dtype)).to_pylist() == a.tolist()
 
