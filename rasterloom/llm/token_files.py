@@ -14,8 +14,10 @@ task writes the same bytes, so lost executors leave no half file. read_ids() dea
 the files (or, where the store can't map, read just these ranges).
 
 A vocabulary whose pre-tokenizer drops white space (uses_words()) gives a text the ids of its words at blanks, one after
-the other. So each worker asks the library once for each different word and keeps up to KEPT answers; very long texts are
-cut before a blank into pieces of PIECE characters. Any other vocabulary gets whole texts.
+the other. So each worker asks the library once for each different word and keeps up to KEPT answers. Where letters and the marks
+behind them are pre-tokens of their own (cuts_marks()), they are looked up apart, and new words of letters are asked for as
+one text that is cut at the vocabulary's ends of words; should their number not fit, one by one. Very long texts are cut before a
+blank into pieces of PIECE characters. Any other vocabulary gets whole texts.
 
 Defined cases: a null text is empty and has the end id alone; null doc_ids come first, and are null again when read; rows
 with equal doc_id are ordered by a hash of their text, and rows equal in both are interchangeable, and spread over
@@ -27,6 +29,7 @@ from __future__ import annotations
 import json
 import os
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -69,6 +72,16 @@ def uses_words(spec: dict) -> bool:
     return bool(drops and plain and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or " " in t["content"] or "\n" in t["content"] for t in tokens))
 
 
+def cuts_marks(spec: dict) -> bool:
+    """Whether runs of letters and runs of marks are pre-tokens of their own, and letters are lowered."""
+    first = spec.get("pre_tokenizer") or {}
+    first = first["pretokenizers"][0] if first.get("type") == "Sequence" else first
+    kinds = first.get("pattern", {}).get("Regex", "").split("|")
+    steps = spec.get("normalizer") or {}
+    lowered = any(s["type"] == "Lowercase" for s in steps.get("normalizers", [steps] if steps else []))
+    return r"[\p{L}]+" in kinds and r"[^\s\p{L}\p{N}]+" in kinds and lowered
+
+
 def pieces(text: str, size: int) -> Iterator[str]:
     """The text cut before blanks into pieces of at most size characters, but where a word is longer."""
     at = 0
@@ -96,13 +109,13 @@ class Encoder:
         self.by_word = uses_words(about)
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.kind = id_type(max(vocabulary.values()) + 1)
-        mark = about["model"].get("end_of_word_suffix")
-        #: Ids that end a pre-token; without such a mark words are asked for one by one.
+        mark = about["model"].get("end_of_word_suffix") if self.by_word and cuts_marks(about) else None
+        #: Ids that end a pre-token; where there is no such mark, words are asked for one by one.
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool) if mark else None
         if mark:
             self.ends[[i for t, i in vocabulary.items() if t.endswith(mark)]] = True
         #: The same for lowered ASCII letters between blanks, which neither its normalisers nor its pre-tokenizer change.
-        self.light = Tokenizer.from_str(json.dumps(about | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}})) if self.by_word and mark else None
+        self.light = Tokenizer.from_str(json.dumps(about | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}})) if mark else None
         self.known: dict[str, bytes] = {}
 
     def one_by_one(self, texts: list[str]) -> list[bytes]:
@@ -110,6 +123,8 @@ class Encoder:
 
     def in_a_line(self, words: list[str], tokenizer) -> list[bytes]:
         """The ids of words of one pre-token each, asked for as one text and cut where pre-tokens end."""
+        if not words:
+            return []
         line = " ".join(words)
         ids = np.array(tokenizer.encode_batch_fast([line if tokenizer is self.tokenizer else line.lower()], add_special_tokens=False)[0].ids, np.int64)
         ends = np.flatnonzero(self.ends[ids]) + 1
@@ -118,8 +133,8 @@ class Encoder:
         cuts, raw = [0, *(ends * self.kind.itemsize).tolist()], ids.astype(self.kind).tobytes()
         return [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
-    def learn(self, words: set[str]) -> None:
-        """Make words known: those of letters with marks behind from both parts, all others by asking."""
+    def learn(self, words: set[str]) -> list[str]:
+        """Make words known: those of letters with marks behind from both parts, all others by asking; returns what was asked for."""
         known, plain, rest = self.known, set(), words
         parts: list[tuple[str, str, str]] = []
         if self.ends is not None:
@@ -137,6 +152,7 @@ class Encoder:
         known.update(zip(single, self.one_by_one(single), strict=True))
         for w, bare, tail in parts:
             known[w] = known[bare] + known[tail]
+        return [*ascii_only, *beyond, *single]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_word:
@@ -166,7 +182,7 @@ class Encoder:
         coded = lines.flatten().dictionary_encode()
         words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         new = set(words).difference(self.known)
-        self.learn(new)
+        asked = self.learn(new)
         ids = [self.known[w] for w in words]
         flat, place = np.frombuffer(b"".join(ids), self.kind), coded.indices.to_numpy()
         each = np.fromiter(map(len, ids), np.int64, len(ids)) // self.kind.itemsize
@@ -177,9 +193,9 @@ class Encoder:
         cuts = np.r_[0, ends][lines.offsets.to_numpy()] * self.kind.itemsize
         for (k, _), a, b in zip(held, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             out[k].append(line[a:b])
-        for w in new:
+        for w in chain(new, asked):
             if len(w) > KEPT_CHARS:
-                del self.known[w]
+                self.known.pop(w, None)
 
 
 def odd(word: str) -> bool:

@@ -141,6 +141,12 @@ def test_ranges_and_batches_of_a_file(spark, monkeypatch):
 def test_words_may_be_encoded_one_by_one_only_where_white_space_is_dropped(monkeypatch):
     specs = {p: open(p, encoding="utf-8").read() for p in (WORD_BPE, BYTE_BPE)}
     assert token_files.uses_words(json.loads(specs[WORD_BPE])) and not token_files.uses_words(json.loads(specs[BYTE_BPE]))
+    word = json.loads(specs[WORD_BPE])
+    assert token_files.cuts_marks(word) and not token_files.cuts_marks(word | {"normalizer": None}) and not token_files.cuts_marks(word | {"pre_tokenizer": {"type": "WhitespaceSplit"}})
+    # the same vocabulary where marks belong to words
+    other = json.dumps(word | {"pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, word["pre_tokenizer"]["pretokenizers"][1]]}})
+    texts = ["one, two. Three!! (four) don't", "a,b ,c", ""]
+    assert [np.frombuffer(i, "<u2").tolist() for i in token_files.Encoder(other).encode(texts)] == [e.ids for e in Tokenizer.from_str(other).encode_batch(texts, add_special_tokens=False)]
     rng = random.Random(8)
     alphabet = "abE's  \n\r\t\u0323\u0301 \u03a3\u00df\u0130\u212b1!,.)(<|>\u00e9\u65e5\U0001f600"
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(80))) for _ in range(2000)] + [t or "" for t in TEXTS]
