@@ -118,7 +118,7 @@ def ingest(
         }
         if depth > 1:  # a channel at a time may come; store.save_level lays them side by side
             change = Layout(about["axes"], "YXC")
-        store.save_level(spark, path, row, rearranged(raster.blocks(spark, source, codec, level["level"], scale=tile_scale, **options), change, image_id), writer)
+        store.save_level(spark, path, row, raster.blocks(spark, source, codec, level["level"], scale=tile_scale, **options).withColumn("image_id", F.lit(image_id)), writer, change)
         LOG.debug("level %s of %s: %s cells of %s", level["level"], image_id, "x".join(map(str, level["shape"])), level["dtype"])
         if level["level"] == level_min:
             add_ranges(spark, path, writer.levels[level_min], channels)
@@ -135,25 +135,6 @@ def ingest(
     return Slide(spark, path, image_id)
 
 
-def rearranged(blocks: DataFrame, change, image_id: str) -> DataFrame:
-    """Blocks of the source's axes in the stored axes."""
-    import numpy as np
-
-    def turn(batches):
-        for batch in batches:
-            starts, extents, data = [], [], []
-            for b in batch.itertuples():
-                block = change.array(np.frombuffer(b.data, b.dtype).reshape(tuple(b.extent)))
-                tile = change.tile(tuple(slice(int(s), int(s) + int(n)) for s, n in zip(b.start, b.extent, strict=True)))
-                starts.append([s.start or 0 for s in tile])
-                extents.append(list(block.shape))
-                data.append(np.ascontiguousarray(block).tobytes())
-            out = batch[["level", "dtype"]].assign(image_id=image_id, start=starts, extent=extents, data=data)
-            yield out[["image_id", "level", "start", "extent", "dtype", "data"]]
-
-    return blocks.mapInPandas(turn, "image_id string, level int, start array<int>, extent array<int>, dtype string, data binary")
-
-
 def store_cells(spark: SparkSession, cells: DataFrame, path: str, image_id: str, axes: str, shape: tuple[int, ...], dtypes: dict[str, str], tiles: dict[str, int] | None = None, compressor: str = "zstd") -> Slide:
     """Store a table of cells (a column a coordinate, named like its axis in small letters, and one an attribute) as an image of one level.
 
@@ -191,7 +172,7 @@ def store_cells(spark: SparkSession, cells: DataFrame, path: str, image_id: str,
         "image_id": image_id, "level": 0, "axes": axes, "shape": list(shape), "dtype": dtypes["intensity"], "tile": [tile[d] for d in axes], "codec": compressor, "pixel_depth": 1,
         "original_axes": axes, "original_shape": list(shape), "properties": {"level": "0"}, "attributes": {n: dtypes[n] for n in more},
     }
-    store.save_level(spark, path, row, blocks, writer)
+    store.save_level(spark, path, row, blocks, writer, in_tiles=True)
     store.mark(spark, path, {"image_id": image_id, "fmt_version": store.FORMAT_VERSION, "axes": axes, "channels": [], "metadata": '{"channels": []}', "original_metadata": "{}", "valid": True}, writer)
     return Slide(spark, path, image_id)
 
@@ -223,8 +204,10 @@ def build_pyramid(spark: SparkSession, path: str, image_id: str, base: int, fact
         row = top | {"level": base + 1 + i, "shape": shape, "tile": tile, "properties": {"level": str(base + 1 + i), "factor": str(factor)}, "attributes": {}}
         row["original_shape"] = [dict(zip(top["axes"], shape, strict=True)).get(d, 1) for d in top["original_axes"]]
         found = store.level_tiles(spark, path, writer.levels[source["level"]])
-        extent = max(tile[top["axes"].index("Y")], tile[top["axes"].index("X")])
-        store.save_level(spark, path, row, resampled_planes(found, top["axes"], lead, (source_size["Y"], source_size["X"]), step, extent, row), writer)
+        sides = [dict(zip(top["axes"], tile, strict=True))[d] for d in "YX"]
+        extent = max(sides)
+        in_tiles = all(t in (extent, n) for t, n in zip(sides, (h, w), strict=True))
+        store.save_level(spark, path, row, resampled_planes(found, top["axes"], lead, (source_size["Y"], source_size["X"]), step, extent, row), writer, in_tiles=in_tiles)
         now, now_size, done = row, dict(zip(top["axes"], shape, strict=True)), factor if progressive else 1.0
 
 
@@ -247,22 +230,11 @@ def resampled_planes(found: DataFrame, axes: str, lead: list[str], shape: tuple[
             yield pd.DataFrame(rows, columns=["plane", "y0", "x0", "height", "width", "dtype", "data"])
 
     flat = found.mapInPandas(planes, "plane array<int>, y0 int, x0 int, height int, width int, dtype string, data binary")
-    made = pyramid.resample_planes(flat, shape, factor, extent)
-
-    def whole(batches):
-        for batch in batches:
-            rows = []
-            for t in batch.itertuples():
-                at = dict(zip(lead, (int(p) for p in t.plane), strict=True)) | {"Y": int(t.y0), "X": int(t.x0)}
-                size = {"Y": int(t.height), "X": int(t.width)}
-                rows.append((row["image_id"], row["level"], [at[d] for d in axes], [size.get(d, 1) for d in axes], t.dtype, plane_in(t, axes)))
-            yield pd.DataFrame(rows, columns=["image_id", "level", "start", "extent", "dtype", "data"])
-
-    def plane_in(t, axes: str) -> bytes:
-        block = np.frombuffer(t.data, t.dtype).reshape(int(t.height), int(t.width))
-        return np.ascontiguousarray(block if axes.index("Y") < axes.index("X") else block.T).tobytes()
-
-    return made.mapInPandas(whole, "image_id string, level int, start array<int>, extent array<int>, dtype string, data binary")
+    made = pyramid.resample_planes(flat, shape, factor, extent, turned=axes.index("X") < axes.index("Y"))
+    start = {"Y": F.col("y0"), "X": F.col("x0")} | {d: F.get("plane", F.lit(i)) for i, d in enumerate(lead)}
+    size = {"Y": F.col("height"), "X": F.col("width")}
+    placed = [F.array(*[start[d] for d in axes]).alias("start"), F.array(*[size.get(d, F.lit(1)) for d in axes]).alias("extent")]
+    return made.select(F.lit(row["image_id"]).alias("image_id"), F.lit(row["level"]).alias("level"), *placed, "dtype", "data")
 
 
 def export(spark: SparkSession, path: str, image_id: str, dest: str, codec: str = "tiff", *, level_min: int = 0, **options) -> None:

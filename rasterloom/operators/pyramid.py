@@ -69,8 +69,8 @@ def resample(tiles: DataFrame, shape: tuple[int, int], factor: float, extent: in
     return made.select(*index, *TILE_FIELDS[2:])
 
 
-def resample_planes(tiles: DataFrame, shape: tuple[int, int], factor: float, extent: int, smooth: bool = True) -> DataFrame:
-    """Planes of a smaller level, from tiles (plane, y0, x0, height, width, dtype, data).
+def resample_planes(tiles: DataFrame, shape: tuple[int, int], factor: float, extent: int, smooth: bool = True, turned: bool = False) -> DataFrame:
+    """Planes of a smaller level, from tiles (plane, y0, x0, height, width, dtype, data); turned: data come out in the order X, Y.
 
     Each source tile goes to the target tiles whose kernel reaches it, found by tile index, so a target tile is made
     in one task from the few source tiles below it. Values are rounded half to even and clipped to the type.
@@ -103,7 +103,7 @@ def resample_planes(tiles: DataFrame, shape: tuple[int, int], factor: float, ext
         value = wy @ source @ wx.T
         if kind.kind in "iu":
             value = np.clip(np.rint(value), np.iinfo(kind).min, np.iinfo(kind).max)
-        return pd.DataFrame([(list(part["plane"].iloc[0]), y0, x0, y1 - y0, x1 - x0, kind.name, value.astype(kind).tobytes())], columns=["plane", *TILE_FIELDS[2:]])
+        return pd.DataFrame([(list(part["plane"].iloc[0]), y0, x0, y1 - y0, x1 - x0, kind.name, (value.T if turned else value).astype(kind).tobytes())], columns=["plane", *TILE_FIELDS[2:]])
 
     return sent.groupBy("plane", "oy", "ox").applyInPandas(make, "plane array<int>, y0 int, x0 int, height int, width int, dtype string, data binary")
 

@@ -535,7 +535,7 @@ def _stored(spark, sf_dir, extent: int = 64):
     blocks = packed.select(F.lit("emb").alias("image_id"), F.lit(0).alias("level"), F.array("y0", "x0").alias("start"), F.array("height", "width").alias("extent"), "dtype", "data")
     row = {"image_id": "emb", "level": 0, "axes": "YX", "shape": shape, "dtype": "uint8", "tile": tile, "codec": "zstd", "pixel_depth": 1,
            "original_axes": "YX", "original_shape": shape, "properties": {"level": "0"}}
-    store.save_level(spark, path, row, blocks)
+    store.save_level(spark, path, row, blocks, in_tiles=True)
     image = {"channels": [{"id": "0", "name": "Gray", "color": ome.default_colors(1)[0]}]}
     store.mark(spark, path, {"image_id": "emb", "fmt_version": store.FORMAT_VERSION, "axes": "YX", "channels": ["Gray"], "metadata": store.as_json(image), "original_metadata": "{}", "valid": True})
     return path, "emb"

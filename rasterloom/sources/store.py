@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom.functions import dtypes
+from rasterloom.functions.axes import Layout
 from rasterloom.operators.cells import tile_predicate
 from rasterloom.sources import files, log
 
@@ -137,10 +138,11 @@ def mark(spark: SparkSession, path: str, row: dict, writer: log.Writer | None =
     (writer or log.Writer(path, row["image_id"])).commit(image={c.split()[0]: row.get(c.split()[0]) for c in IMAGES.split(", ")})
 
 
-def split_tiles(blocks: DataFrame, axes: str, tile: dict[str, int], attributes: dict[str, str]) -> DataFrame:
-    """Blocks (image_id, level, start, extent, dtype, data, and data_NAME of each attribute) in the stored axes, cut along the tile grid.
+def split_tiles(blocks: DataFrame, axes: str, tile: dict[str, int], attributes: dict[str, str], change: Layout | None = None) -> DataFrame:
+    """Blocks (image_id, level, start, extent, dtype, data, and data_NAME of each attribute), cut along the tile grid.
 
-    A block may span several tiles and a tile several blocks; pieces of a tile meet in merge_tiles().
+    A block may span several tiles and a tile several blocks; pieces of a tile meet in merge_tiles(). change brings
+    blocks of other axes into the stored ones, in the same pass: each pass is a Python worker more a task.
     """
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -148,13 +150,17 @@ def split_tiles(blocks: DataFrame, axes: str, tile: dict[str, int], attributes:
             rows = []
             for b in batch.itertuples():
                 each = [np.frombuffer(getattr(b, c), k or b.dtype).reshape(tuple(b.extent)) for c, k in columns.items()]
+                begin = b.start
+                if change is not None:
+                    begin = [s.start or 0 for s in change.tile(tuple(slice(int(s), int(s) + int(n)) for s, n in zip(b.start, b.extent, strict=True)))]
+                    each = [change.array(block) for block in each]
                 steps = []
-                for d, s, n in zip(axes, b.start, b.extent, strict=True):
+                for d, s, n in zip(axes, begin, each[0].shape, strict=True):
                     t = tile[d]
                     steps.append([(k, max(s, k * t), min(s + n, (k + 1) * t)) for k in range(s // t, (s + n - 1) // t + 1)])
                 for where in product(*steps):
                     index = dict(zip(axes, (k for k, _, _ in where), strict=True))
-                    inside = tuple(slice(lo - s, hi - s) for (_, lo, hi), s in zip(where, b.start, strict=True))
+                    inside = tuple(slice(lo - s, hi - s) for (_, lo, hi), s in zip(where, begin, strict=True))
                     place = (*[index.get(d, 0) for d in "YXCZT"], [lo for _, lo, _ in where], [hi - lo for _, lo, hi in where])
                     rows.append((b.image_id, b.level, *place, b.dtype, *[block[inside].tobytes() for block in each]))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
@@ -163,6 +169,13 @@ def split_tiles(blocks: DataFrame, axes: str, tile: dict[str, int], attributes:
     return blocks.mapInPandas(cut, schema)
 
 
+def placed_tiles(blocks: DataFrame, axes: str, tile: dict[str, int], attributes: dict[str, str]) -> DataFrame:
+    """What split_tiles() gives of blocks that each lie within one tile, without a pass of Python."""
+    index = {d: F.expr(f"cast(start[{i}] div {tile[d]} as int)") for i, d in enumerate(axes)}
+    place = [index.get(d, F.lit(0)).alias(f"t{d.lower()}") for d in "YXCZT"]
+    return blocks.select("image_id", "level", *place, "start", "extent", "dtype", "data", *[f"data_{name}" for name in attributes])
+
+
 def merge_tiles(pieces: DataFrame, axes: str, tile: dict[str, int], shape: tuple[int, ...], attributes: dict[str, str]) -> DataFrame:
     """Pieces of the same tile put together, bands of neighbouring tiles in a task; a tile is bounded, so its group is. A hole fails."""
     size = dict(zip(axes, shape, strict=True))
@@ -219,10 +232,11 @@ def parts_of(found: DataFrame) -> list[dict]:
     return [r.asDict() for r in each.orderBy("file").collect()]
 
 
-def save_level(spark: SparkSession, path: str, level: dict, blocks: DataFrame, writer: log.Writer | None = None) -> bool:
+def save_level(spark: SparkSession, path: str, level: dict, blocks: DataFrame, writer: log.Writer | None = None, change: Layout | None = None, in_tiles: bool = False) -> bool:
     """Write a level's blocks as tiles and commit its row; False if a valid image already has it. writer: that of the other levels.
 
-    Blocks come in the level's axes; those of a level with channels side by side in X come in YXC.
+    Blocks come in the level's axes, or in those that change brings into them; for a level with channels side by side
+    in X that is YXC. in_tiles: each block lies within one tile, and has these axes already.
     """
     writer = writer or log.Writer(path, level["image_id"])
     if (writer.image or {}).get("valid") and level["level"] in writer.levels:
@@ -234,7 +248,8 @@ def save_level(spark: SparkSession, path: str, level: dict, blocks: DataFrame, w
     attributes = named_well(dict(level.get("attributes") or {}))
     if attributes and depth > 1:
         raise ValueError("channels side by side have no further attributes")
-    packed = merge_tiles(split_tiles(blocks, axes, tile, attributes), axes, tile, shape, attributes)
+    pieces = placed_tiles(blocks, axes, tile, attributes) if in_tiles else split_tiles(blocks, axes, tile, attributes, change)
+    packed = merge_tiles(pieces, axes, tile, shape, attributes)
     if depth > 1:  # a block of YXC lies in memory as one of YX with channels side by side
         side_by_side = [F.array(F.get(c, F.lit(0)), F.get(c, F.lit(1)) * depth).alias(c) for c in ("start", "extent")]
         packed = packed.select(*[c for c in packed.columns if c not in ("start", "extent")], *side_by_side).select(*packed.columns)

@@ -1,4 +1,5 @@
 import json
+import re
 import struct
 import zlib
 
@@ -671,3 +672,24 @@ def test_own_readers_can_be_registered(spark):
         assert len(rows) == 100 and rows[70][1] == [70, 0] and len(reader.partitions()) == 2
     finally:
         del raster.READERS["ramp"]
+
+
+def test_a_task_of_a_stored_pyramid_runs_one_python_worker(spark, tmp_path, monkeypatch):
+    passes = []
+    write = store.merge_tiles
+
+    def watched(pieces, *args):
+        plan = pieces._jdf.queryExecution().executedPlan().toString()
+        passes.append([len(re.findall("InPandas|InArrow", stage)) for stage in plan.split("Exchange")])
+        return write(pieces, *args)
+
+    monkeypatch.setattr(store, "merge_tiles", watched)
+    a = np.arange(70 * 50, dtype=np.uint8).reshape(70, 50)
+    rows = [(y, x, int(a[y, x])) for y in range(70) for x in range(50)]
+    image = api.store_cells(spark, spark.createDataFrame(rows, "y int, x int, intensity int"), str(tmp_path), "a", "YX", a.shape, {"intensity": "uint8"}, {"Y": 16, "X": 16})
+    api.build_pyramid(spark, str(tmp_path), "a", 0, [2.0, 4.0])
+    assert len(passes) == 3 and max(map(max, passes)) == 1
+    opened = type(image)(spark, str(tmp_path), "a")
+    got = opened.read_level(0).toPandas()
+    assert (a[got["y"], got["x"]] == got["intensity"]).all() and len(got) == a.size
+    assert [opened.read_level(k).count() for k in (1, 2)] == [35 * 25, 18 * 12]
