@@ -4,7 +4,8 @@ write_archives() writes pages as WARC records, one gzip stream over each whole f
 holds RECORDS_AN_ARCHIVE records at most. normalise() inflates each such stream once, piece by piece, rewrites every
 record as a gzip member of its own and writes a sidecar index (archive, record_no, offset, length) beside each archive;
 read_index() finds them and read_records() fetches single members by them. Files are written under another name and
-renamed, and a rerun task writes the same bytes, so lost executors leave no half archive. Archives are read and written
+renamed, and a rerun task writes the same bytes, so lost executors leave no half archive. The query's source archives are
+emptied one by one as their new form is in place. Archives are read and written
 as streams: memory is bounded by the longest record.
 
 Of records with equal payloads of at least `MIN_REVISIT` bytes, those with the smallest page_id are responses,
@@ -133,14 +134,24 @@ def _blocks(uri: str) -> Iterator[bytes]:
             yield block
 
 
-def normalise(spark: SparkSession, source: str, out: str) -> DataFrame:
-    """Rewrite all archives of source into out, a gzip member a record, with an index beside each; returns the index."""
+def normalise(spark: SparkSession, source: str, out: str, consume: bool = False) -> DataFrame:
+    """Rewrite all archives of source into out, a gzip member a record, with an index beside each; returns the index.
+
+    consume: each archive of source is emptied once its new form is in place, so both forms of all never lie on disk
+    together. A task that is run again finds the empty file and the new form, and leaves them.
+    """
     import uuid
 
+    from pyarrow import fs
+
     def rewrite(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, folder = _store(out)
         for path in (p for batch in batches for p in batch["path"]):
             name = path.rsplit("/", 1)[-1].split(".")[0] + ".warc.gz"
+            old, place = _store(path)
+            size = old.get_file_info(place).size
+            if consume and not size and store.get_file_info(f"{folder}/{name}{INDEXED}").type == fs.FileType.File:
+                continue
             at, draft = 0, f"{folder}/.{name}.{uuid.uuid4().hex}"
             with store.open_output_stream(draft, compression=None) as f, store.open_output_stream(draft + INDEXED, compression=None) as g:
                 for no, (fields, record) in enumerate(split_records(inflate(_blocks(path)))):
@@ -150,8 +161,12 @@ def normalise(spark: SparkSession, source: str, out: str) -> DataFrame:
                     row = (f"{out}/{name}", no, at, len(member), fields["warc-record-id"], fields["warc-type"], fields.get("warc-target-uri"))
                     g.write(json.dumps(dict(zip(_INDEX, row, strict=True))).encode() + b"\n")
                     at += len(member)
+            if old.get_file_info(place).size != size:
+                raise ValueError(f"{path} was rewritten by another run of this task")
             store.move(draft, f"{folder}/{name}")
             store.move(draft + INDEXED, f"{folder}/{name}{INDEXED}")
+            if consume:
+                old.open_output_stream(place, compression=None).close()
             yield pd.DataFrame({"n": [no + 1 if at else 0]})
 
     store, folder = _store(out)
@@ -200,7 +215,7 @@ def read_records(index: DataFrame) -> DataFrame:
 def op1_warc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = fresh_path(spark, "warc-raw")
     write_archives(table(spark, sf_dir, "pages"), raw)
-    return read_records(normalise(spark, raw, fresh_path(spark, "warc")))
+    return read_records(normalise(spark, raw, fresh_path(spark, "warc"), consume=True))
 
 
 ORACLES = {

@@ -56,6 +56,19 @@ def test_archives_are_bounded_and_their_indices_lie_beside_them(spark, monkeypat
     assert sorted(r.page_id for r in warc.read_records(index).collect()) == list(range(100))
 
 
+def test_warc_archives_are_emptied_one_by_one_as_they_are_rewritten(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "RECORDS_AN_ARCHIVE", 15)
+    raw, out = (f"file://{tmp_path}/{k}" for k in ("raw", "out"))
+    warc.write_archives(spark.createDataFrame([(i, "u", f"<p>{i}</p>" * 40) for i in range(100)], "page_id long, url string, html string"), raw)
+    sizes = lambda: [p.stat().st_size for p in (tmp_path / "raw").glob("*.gz")]
+    assert len(sizes()) >= 7 and all(sizes())
+    first = sorted(map(tuple, warc.normalise(spark, raw, out, consume=True).collect()))
+    assert len(first) == 100 and not any(sizes())
+    again = warc.normalise(spark, raw, out, consume=True)  # as a task that is run again
+    assert sorted(map(tuple, again.collect())) == first
+    assert sorted(r.page_id for r in warc.read_records(again).collect()) == list(range(100))
+
+
 def test_warc_empty_table(spark):
     index, got = roundtrip(spark, [])
     assert got == [] and index.count() == 0
