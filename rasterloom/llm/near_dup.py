@@ -45,15 +45,17 @@ REGISTERS = BANDS * ROWS
 BITS_APART = 30
 REACH = 3
 BLOCK = 256
-_ELEMENTS = 400_000
+_ELEMENTS = 200_000
 _KEPT = 1_000_000
+#: Words whose hashes a worker holds, some 15 MB; workers live on between tasks, so all words of a corpus would add up in them.
+_WORDS = 100_000
 _FIELDS = "key binary, n long, bands array<long>, s1 long, s2 long"
 _PRIMES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
 
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 2_000_000:
+        if len(self) >= _WORDS:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word)
         return h

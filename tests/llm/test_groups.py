@@ -514,3 +514,14 @@ def test_stages_of_the_pipeline_on_an_empty_table(spark, tmp_path):
     empty.write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_a_worker_holds_a_bounded_number_of_words():
+    import xxhash
+
+    words = [f"w{i}".encode() for i in range(250_000)]
+    got = near_dup.shingles(words, 1)
+    assert len(near_dup._hashes) <= 100_000
+    h = np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64)
+    out = (np.full(len(h), 1, np.uint64) + h) * near_dup._PRIMES[0]
+    assert (got == near_dup.mixed(out ^ (out >> np.uint64(29)))).all()
