@@ -14,10 +14,11 @@ task writes the same bytes, so lost executors leave no half file. read_ids() dea
 the files (or, where the store can't map, read just these ranges).
 
 A vocabulary whose pre-tokenizer drops white space (uses_words()) gives a text the ids of its words at blanks, one after
-the other. So each worker asks the library once for each different word and keeps up to KEPT answers. Where letters and the marks
-behind them are pre-tokens of their own (cuts_marks()), they are looked up apart, and new words of letters are asked for as
-one text that is cut at the vocabulary's ends of words; should their number not fit, one by one. Very long texts are cut before a
-blank into pieces of PIECE characters. Any other vocabulary gets whole texts.
+the other. So each worker asks the library once for each different word of LINE characters, and keeps the answers for up to KEPT words
+that came more than once; words and answers lie in Arrow arrays. Where letters and the marks behind them are pre-tokens of their own
+and letters are lowered (cuts_marks()), A-Z are lowered and marks cut from Latin letters first, and new words of letters are asked for
+as lines of WORDS words that are cut at the vocabulary's ends of words; should their number not fit, one by one. Very long texts are
+cut before a blank into pieces of PIECE characters. Any other vocabulary gets whole texts.
 
 Defined cases: a null text is empty and has the end id alone; null doc_ids come first, and are null again when read; rows
 with equal doc_id are ordered by a hash of their text, and rows equal in both are interchangeable, and spread over
@@ -28,11 +29,13 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -41,14 +44,15 @@ from rasterloom.llm.common import fresh_path, pin, table
 from rasterloom.llm.warc import _store
 
 END_ID = 2
-KEPT = 1_000_000
-#: Marks that are, however many, one pre-token behind letters.
-MARKS = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
-#: Longest word that is kept, in characters.
-KEPT_CHARS = 64
+#: Words whose ids are kept in a worker, and the longest of them in characters.
+KEPT, KEPT_CHARS = 250_000, 64
+#: Letters that are one character whatever is done to them, as patterns: Latin without the dotted capital I, which is two in lower case.
+LATIN, ODD = "a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f", "\u0130"
+#: ASCII marks, as a pattern; the pre-tokenizer cuts between a letter and any of them.
+MARKS = r"!-/:-@\[-`{-~"
 PIECE = 1 << 20
-#: Characters whose words are told apart together.
-LINE = 8 << 20
+#: Characters whose words are told apart together, and new words that are asked for together.
+LINE, WORDS = 4 << 20, 10_000
 #: Documents of a file that are read together, and bytes of ids in a batch.
 RANGE, BATCH = 20_000, 1 << 24
 ENTRY = np.dtype([("end", "<u8"), ("doc_id", "<i8"), ("known", "<u8")])
@@ -96,10 +100,10 @@ def pieces(text: str, size: int) -> Iterator[str]:
 
 
 class Encoder:
-    """The library's tokenizer of one file, and the ids of words seen."""
+    """The library's tokenizer of one file, and the ids of words that came again."""
 
     def __init__(self, spec: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         # one thread a task: Spark has dealt out the cores
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -109,50 +113,60 @@ class Encoder:
         self.by_word = uses_words(about)
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.kind = id_type(max(vocabulary.values()) + 1)
-        mark = about["model"].get("end_of_word_suffix") if self.by_word and cuts_marks(about) else None
+        tags = about.get("added_tokens", [])
+        mark = about["model"].get("end_of_word_suffix") if self.by_word and cuts_marks(about) and not any(t["normalized"] for t in tags) else None
+        #: Added tokens with A-Z lowered, as a pattern; texts that hold one are left as they are.
+        self.tags = "|".join(re.escape(t["content"].encode().lower().decode()) for t in tags)
         #: Ids that end a pre-token; where there is no such mark, words are asked for one by one.
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool) if mark else None
         if mark:
             self.ends[[i for t, i in vocabulary.items() if t.endswith(mark)]] = True
-        #: The same for lowered ASCII letters between blanks, which neither its normalisers nor its pre-tokenizer change.
-        self.light = Tokenizer.from_str(json.dumps(about | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}})) if mark else None
-        self.known: dict[str, bytes] = {}
+            # the same model for lowered Latin letters between blanks, which neither its normalisers nor its pre-tokenizer change but for their bytes
+            self.plain, self.latin = Tokenizer(self.tokenizer.model), Tokenizer(self.tokenizer.model)
+            self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+            bytes_only = [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+            self.latin.pre_tokenizer = pre_tokenizers.Sequence(bytes_only)
+        self.words, self.ids = pa.array([], pa.large_string()), pa.array([], pa.large_binary())
 
     def one_by_one(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def in_a_line(self, words: list[str], tokenizer) -> list[bytes]:
-        """The ids of words of one pre-token each, asked for as one text and cut where pre-tokens end."""
-        if not words:
-            return []
-        line = " ".join(words)
-        ids = np.array(tokenizer.encode_batch_fast([line if tokenizer is self.tokenizer else line.lower()], add_special_tokens=False)[0].ids, np.int64)
-        ends = np.flatnonzero(self.ends[ids]) + 1
-        if len(ends) != len(words):
-            return self.one_by_one(words)
-        cuts, raw = [0, *(ends * self.kind.itemsize).tolist()], ids.astype(self.kind).tobytes()
-        return [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-
-    def learn(self, words: set[str]) -> list[str]:
-        """Make words known: those of letters with marks behind from both parts, all others by asking; returns what was asked for."""
-        known, plain, rest = self.known, set(), words
-        parts: list[tuple[str, str, str]] = []
-        if self.ends is not None:
-            plain = {w for w in words if w.isalpha()}
-            other = words - plain
-            parts = [(w, bare, w[len(bare) :]) for w in other if (bare := w.rstrip(MARKS)).isalpha() and (bare.isascii() or not odd(bare))]
-            rest = other.difference([w for w, _, _ in parts]) | {tail for _, _, tail in parts}.difference(known)
-            plain |= {bare for _, bare, _ in parts}.difference(known)
-        ascii_only = [w for w in plain if w.isascii()]
-        plain.difference_update(ascii_only)
-        several = {w for w in plain if odd(w)}
-        beyond, single = list(plain - several), list(rest | several)
-        known.update(zip(ascii_only, self.in_a_line(ascii_only, self.light), strict=True))
-        known.update(zip(beyond, self.in_a_line(beyond, self.tokenizer), strict=True))
-        known.update(zip(single, self.one_by_one(single), strict=True))
-        for w, bare, tail in parts:
-            known[w] = known[bare] + known[tail]
-        return [*ascii_only, *beyond, *single]
+    def in_lines(self, words: list[str], tokenizer) -> pa.Array:
+        """The ids of words of one pre-token each, asked for as lines of text and cut where pre-tokens end."""
+        out = [pa.array([], pa.large_binary())]
+        for some in (words[i : i + WORDS] for i in range(0, len(words), WORDS)):
+            ids = np.array(tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.int64)
+            cuts = np.r_[0, np.flatnonzero(self.ends[ids]) + 1] * self.kind.itemsize
+            if len(cuts) == len(some) + 1:
+                out.append(pa.Array.from_buffers(pa.large_binary(), len(some), [None, pa.py_buffer(cuts), pa.py_buffer(ids.astype(self.kind))]))
+            else:
+                out.append(pa.array(self.one_by_one(some), pa.large_binary()))
+        return pa.concat_arrays(out)
+
+    def learn(self, words: pa.Array) -> pa.Array:
+        """The ids of words: those of letters are asked for in lines, all others one by one."""
+        if self.ends is None:
+            return pa.array(self.one_by_one(words.to_pylist()), pa.large_binary())
+        plain, latin, letters, odd = (pc.match_substring_regex(words, p).to_numpy(zero_copy_only=False) for p in ("^[a-z]+$", f"^[{LATIN}]+$", r"^\p{L}+$", ODD))
+        kind = np.select([plain, latin, letters & ~odd], [0, 1, 2], 3)
+        places = [np.flatnonzero(kind == k) for k in range(4)]
+        parts = [words.take(pa.array(p)) for p in places]
+        found = [
+            self.in_lines(parts[0].to_pylist(), self.plain),
+            self.in_lines(pc.utf8_lower(parts[1]).to_pylist(), self.latin),
+            self.in_lines(parts[2].to_pylist(), self.tokenizer),
+            pa.array(self.one_by_one(parts[3].to_pylist()), pa.large_binary()),
+        ]
+        return pa.concat_arrays(found).take(pa.array(np.argsort(np.concatenate(places))))
+
+    def apart(self, texts: pa.Array) -> pa.Array:
+        """Texts with A-Z lowered and a blank between letters and the marks behind them, where the library would do the same."""
+        lowered = pc.ascii_lower(texts)
+        # a capital and an accent may stay two characters where the small letter and it are one
+        left = pc.match_substring_regex(texts, r"[A-Z]\p{M}")
+        if self.tags:
+            left = pc.or_(left, pc.match_substring_regex(lowered, self.tags))
+        return pc.if_else(left, texts, pc.replace_substring_regex(lowered, f"([{LATIN}])([{MARKS}])", r"\1 \2"))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_word:
@@ -172,35 +186,29 @@ class Encoder:
         return [b"".join(parts) for parts in out]
 
     def encode_pieces(self, held: list[tuple[int, str]], out: list[list[bytes]]) -> None:
-        """Append the ids of each piece to its text's: words are told apart by Arrow, so that Python sees each of them once."""
-        import pyarrow as pa
-        import pyarrow.compute as pc
-
-        if len(self.known) > KEPT:
-            self.known.clear()
-        lines = pc.split_pattern(pa.array([piece.replace("\n", " ") for _, piece in held], pa.large_string()), " ")
-        coded = lines.flatten().dictionary_encode()
-        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        new = set(words).difference(self.known)
-        asked = self.learn(new)
-        ids = [self.known[w] for w in words]
-        flat, place = np.frombuffer(b"".join(ids), self.kind), coded.indices.to_numpy()
-        each = np.fromiter(map(len, ids), np.int64, len(ids)) // self.kind.itemsize
-        # of each word of the line, where its ids begin and end in the line's
-        many, first = each[place], (np.cumsum(each) - each)[place]
-        ends = np.cumsum(many)
-        line = flat[np.repeat(first - ends + many, many) + np.arange(many.sum())].tobytes()
-        cuts = np.r_[0, ends][lines.offsets.to_numpy()] * self.kind.itemsize
-        for (k, _), a, b in zip(held, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            out[k].append(line[a:b])
-        for w in chain(new, asked):
-            if len(w) > KEPT_CHARS:
-                self.known.pop(w, None)
-
-
-def odd(word: str) -> bool:
-    """Whether a letter is several characters in lower case, of which the last may go with what follows."""
-    return len(word.lower()) != len(word)
+        """Append the ids of each piece to its text's: words are told apart by Arrow, so that Python sees each new one once."""
+        texts = pa.array([piece for _, piece in held], pa.large_string())
+        texts = texts if self.ends is None else self.apart(texts)
+        lines = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        del texts
+        # those known come first, in their order
+        known = len(self.words)
+        coded = pa.concat_arrays([self.words, lines.flatten()]).dictionary_encode()
+        words, place = coded.dictionary, coded.indices[known:]
+        ids = pa.concat_arrays([self.ids, self.learn(words[known:])])
+        line = ids.take(place)
+        _, offsets, raw = line.buffers()
+        cuts = np.frombuffer(offsets, np.int64)[lines.offsets.to_numpy()].tolist()
+        raw = raw or pa.py_buffer(b"")
+        for (k, _), a, b in zip(held, cuts[:-1], cuts[1:], strict=True):
+            out[k].append(raw[a:b].to_pybytes())
+        again = np.bincount(place.to_numpy(), minlength=len(words)) > 1
+        again &= pc.less_equal(pc.utf8_length(words), KEPT_CHARS).to_numpy(zero_copy_only=False)
+        kept = again.copy()
+        kept[:known] = True
+        if kept.sum() > KEPT:
+            kept = again & (np.cumsum(again) <= KEPT)
+        self.words, self.ids = words.filter(pa.array(kept)), ids.filter(pa.array(kept))
 
 
 def id_type(vocabulary: int) -> np.dtype:
@@ -263,7 +271,6 @@ def manifest(spark: SparkSession, folder: str) -> DataFrame:
 
 def mapped(path: str):
     """An open file that is mapped into memory where its store is a file system."""
-    import pyarrow as pa
     from pyarrow import fs
 
     store, at = _store(path)

@@ -3,8 +3,11 @@
 import hashlib
 import json
 import math
+import os
 import random
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter, defaultdict
 
@@ -159,6 +162,35 @@ def test_words_may_be_encoded_one_by_one_only_where_white_space_is_dropped(monke
     assert all("".join(token_files.pieces(t, n)) == t for t in texts for n in (1, 3, 50))
 
 
+def test_letters_and_marks_are_cut_apart_only_where_the_library_does():
+    # letters that become a letter and a mark, capitals that stay apart from an accent, lower case of two characters, added tokens in both cases
+    texts = ["\u0958! \u0958\u0958, a\u0958.", "J\u030c J\u030c! j\u030c. A\u0338!", "\u0130! I\u0307, \u0131.", "\u03a3.\u0391 \u0391\u03a3.", "Foo<|endoftext|>, Bar! <|ENDOFTEXT|>. x", "don't, 'S. \u00c9T\u00c9!? \u00f7! a\u00d7."]
+    texts += [f"{c}! A{c}. a{c}b, {c}{c}" for c in map(chr, range(0x80, 0x3000))]
+    encoder = token_files.Encoder(open(WORD_BPE, encoding="utf-8").read())
+    assert [np.frombuffer(ids, "<u2").tolist() for ids in encoder.encode(texts)] == library_ids(WORD_BPE, texts)
+
+
+def test_a_worker_holds_no_more_after_many_different_words():
+    # in a process of its own, whose memory nothing else has grown
+    code = f"""
+import random
+from rasterloom.llm import token_files
+
+def held():
+    return sum(int(x.split()[1]) for x in open("/proc/self/smaps_rollup") if x.startswith(("Pss_Anon", "Pss_Shmem"))) >> 10
+
+rng = random.Random(3)
+encoder = token_files.Encoder(open({WORD_BPE!r}, encoding="utf-8").read())
+for k in range(12):
+    encoder.encode([" ".join("".join(rng.choices("aeioulnrst", k=9)) for _ in range(50_000))])
+    if k == 2:
+        before = held()
+print(held() - before)
+"""
+    grown = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, env=os.environ | {"PYTHONPATH": os.pathsep.join(sys.path)})
+    assert int(grown.stdout) < 40
+
+
 # ---- importance resampling
 
 
